@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from lodestone.llm import langid, simhash
-from lodestone.llm.common import saved
+from lodestone.llm import langid, mixing, pieces, simhash, substrings
+from lodestone.llm.common import WORD, saved
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -21,9 +22,28 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return simhash.keep_one(docs, radius=4).select(*COLUMNS)
 
 
+def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents less the passages that an earlier one has (operator 4); those left without a word go."""
+    found = substrings.drop_repeats(docs).withColumn("n_chars", F.char_length("text").cast("long"))
+    return found.where((F.size("removed") == 0) | F.col("text").rlike(WORD)).select(*COLUMNS)
+
+
+def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix of sources takes them (operator 2)."""
+    return mixing.mixed(docs).select(*COLUMNS)
+
+
+def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of each document (operator 5), beside its columns but the text; ``same``: they decode to the text again."""
+    return pieces.tokenise(docs, keep=("doc_id", "lang", "source", "n_chars"))
+
+
 STAGES = [
     ("language", language),
     ("near_copies", near_copies),
+    ("passages", passages),
+    ("mixture", mixture),
+    ("encoded", encoded),
 ]
 
 #: Trained models and iterated solutions can't be put in SQL: tests hold the stages against brute force.

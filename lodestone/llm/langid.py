@@ -166,7 +166,7 @@ def fit(docs: DataFrame, sample: int = SAMPLE, holdout: int = 3) -> Models:
                     n = np.bincount(back, weights=np.bincount(ids, minlength=len(words))[owner])
                     yield pd.DataFrame({"lang": lang, "key": keys.view(np.int64), "n": n.astype(np.int64)})
 
-    counts = chosen.where(fold != 0).select("lang", "text").mapInPandas(count, "lang string, key long, n long").groupBy("lang", "key").agg(F.sum("n").alias("n")).toPandas()
+    counts = chosen.where(fold != 0).select("lang", "text").mapInPandas(count, "lang string, key long, n long").groupBy("lang", "key").agg(F.sum("n").alias("n")).toArrow().to_pandas()
     tables, backs = kneser_ney(counts, langs)
     models = Models(langs, tables, backs, 1.0, np.full(len(langs), np.inf))
     shared = spark.sparkContext.broadcast(models)
@@ -176,7 +176,7 @@ def fit(docs: DataFrame, sample: int = SAMPLE, holdout: int = 3) -> Models:
             h, length = shared.value.entropies(list(b["text"]))
             yield pd.DataFrame({"lang": b["lang"], "h": list(h), "length": length})
 
-    seen = chosen.where(fold == 0).select("lang", "text").mapInPandas(measure, "lang string, h array<double>, length double").where("length > 0").toPandas()
+    seen = chosen.where(fold == 0).select("lang", "text").mapInPandas(measure, "lang string, h array<double>, length double").where("length > 0").toArrow().to_pandas()
     if len(seen):
         h, y = np.stack(seen["h"].to_list()), seen["lang"].map({x: i for i, x in enumerate(langs)}).to_numpy()
         best = -np.inf

@@ -136,3 +136,18 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST) -
     chosen = placed.where("extra = 0").select("doc_id", "source", "size", F.col("base").alias("copies")).unionByName(most_of)
     out = chosen.alias("d").join(goals.alias("g"), F.col("d.source").eqNullSafe(F.col("g.source")))
     return out.select("d.doc_id", "d.source", "d.size", "g.source_size", "g.target", "d.copies", (F.col("d.copies") * F.col("d.size")).alias("taken"))
+
+
+def mixed(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST) -> DataFrame:
+    """``docs`` with each row as often as the mix takes it (0 to ``most`` times); columns stay as they are.
+
+    Rows that are equal in doc_id, source and size share their copies: as many in all as the mix gives them together.
+    """
+    sizes_of = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
+    taken = mix(docs, weights, most).groupBy("doc_id", "source", "size").agg(F.sum("copies").alias("sum"), F.count(F.lit(1)).alias("rows")).select(F.col("doc_id").alias("__id"), F.col("source").alias("__source"), F.col("size").alias("__of"), "sum", "rows")
+    keyed = docs.withColumn("__size", sizes_of)
+    met = keyed.join(taken, F.col("doc_id").eqNullSafe(F.col("__id")) & F.col("source").eqNullSafe(F.col("__source")) & (F.col("__size") == F.col("__of")))
+    alone = met.where("rows = 1").select(*docs.columns, F.col("sum").alias("__copies"))
+    nth = F.row_number().over(Window.partitionBy("__id", "__source", "__of").orderBy("text"))
+    again = met.where("rows > 1").withColumn("__copies", F.floor((nth * F.col("sum")) / F.col("rows")) - F.floor(((nth - 1) * F.col("sum")) / F.col("rows"))).select(*docs.columns, "__copies")
+    return alone.unionByName(again).select(*docs.columns, F.explode(F.array_repeat(F.lit(0), F.col("__copies").cast("int"))).alias("__again")).select(*docs.columns)

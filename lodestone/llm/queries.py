@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, simhash
+from . import extract, langid, mixing, pieces, ratings, rules, simhash, substrings, toxicity, vectors
 from .common import crc_mod
 
 
@@ -15,19 +15,56 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract.extract(table(spark, sf_dir, "pages"))
+
+
+def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"))
+
+
+def op3_ratings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Grades: 0 for quality 0, 1 for quality 1 that is toxic, 2 for quality 1 that is not."""
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    graded = labels.select("doc_id", F.when(F.col("quality") == 0, 0).when(F.col("quality") == 1, F.when(F.col("toxic") == 0, 2).when(F.col("toxic") == 1, 1)).alias("grade"))
+    found = ratings.grade(docs, ratings.fit(docs, graded), "doc_id")
+    return found.select("doc_id", (crc_mod("doc_id", 5) == 0).alias("held_out"), "expected_grade", F.get("tails", F.lit(0)).alias("p_1_or_more"), F.get("tails", F.lit(1)).alias("p_2"), "kept")
+
+
+def op4_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.drop_repeats(table(spark, sf_dir, "documents")).select("doc_id", "text", "removed")
+
+
+def op5_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.tokenise(table(spark, sf_dir, "documents"))
+
+
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")), "doc_id")
+    return found.select("doc_id", (crc_mod("doc_id", 5) == 0).alias("held_out"), "score", "predicted", "worst_score", "worst_start", "worst_end")
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_groups(table(spark, sf_dir, "documents"), radius=4, shingle=4)
 
 
+def op8_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     found = langid.identify(docs, langid.fit(docs), "doc_id")
     return found.select("doc_id", (crc_mod("doc_id", 3) == 1).alias("held_out"), "lang_pred", "score", "cross_entropy", "rejected")
 
 
+def op10_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rules.judge(table(spark, sf_dir, "documents")).drop("lang", "source")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "op7_simhash": op7_simhash,
-    "op9_language": op9_language,
+    f.__name__: f for f in (op1_pages, op2_mixing, op3_ratings, op4_passages, op5_pieces, op6_toxicity, op7_simhash, op8_vectors, op9_language, op10_rules)
 }
 
 ORACLE_SQL: dict[str, str] = {}
