@@ -9,12 +9,15 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import crc_mod
 
-BITS = 18
+BITS = 20
+#: Lengths of the word beginnings that are features beside the whole word: they tell rare words of one stem.
+STEMS = (2, 3, 4, 5)
 #: Labelled documents of each label, about, that a model is fitted on: the classifier's documented sample.
 SAMPLE = 4000
 TOKEN = re.compile(r"[^\W_]+|[.!?\n]")
@@ -22,23 +25,26 @@ SENTENCE = re.compile(r"[^.!?\n]*(?:[.!?\n]+|$)")
 ENDS = (".", "!", "?", "\n")
 
 
-def bucket(word: str) -> int:
-    return zlib.crc32(word.encode("utf-8", "surrogatepass")) & ((1 << BITS) - 1)
+def features(words: list[str]) -> np.ndarray:
+    """Hashed features of each word: itself and its beginnings; a word that is no longer than one has bucket 0 for it."""
+    code = lambda x: max(1, zlib.crc32(x.encode("utf-8", "surrogatepass")) >> (32 - BITS))
+    return np.array([[code("=" + w), *[code(w[:k]) if len(w) > k else 0 for k in STEMS]] for w in words], dtype=np.int64).reshape(-1, 1 + len(STEMS))
 
 
-def sentences(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(document of each sentence, sentence of each word, hashed word), sentences numbered in a row, those without words left out."""
+def sentences(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(document of each sentence, sentence of each word, place in the last, distinct words).
+
+    Sentences are numbered in a row over all texts, those without words left out.
+    """
     found = [TOKEN.findall(t.lower()) for t in texts]
     ids, tokens = pd.factorize(np.array([w for ws in found for w in ws], dtype=object))
     doc = np.repeat(np.arange(len(found)), [len(w) for w in found])
     end = np.array([t in ENDS for t in tokens], dtype=bool)[ids] if len(ids) else np.zeros(0, bool)
     place = np.cumsum(end) + doc  # a new number after each end and for each document
-    words = ~end
-    kept, sentence = np.unique(place[words], return_inverse=True)
+    kept, sentence = np.unique(place[~end], return_inverse=True)
     of = np.zeros(len(kept), dtype=np.int64)
-    of[sentence] = doc[words]
-    hashed = np.array([bucket(t) for t in tokens], dtype=np.int64)
-    return of, sentence, hashed[ids[words]] if len(ids) else np.zeros(0, np.int64)
+    of[sentence] = doc[~end]
+    return of, sentence, ids[~end], tokens
 
 
 def softplus(z: np.ndarray) -> np.ndarray:
@@ -52,13 +58,10 @@ class NoisyOr:
     weights: np.ndarray
     bias: float
 
-    def logits(self, sentence: np.ndarray, word: np.ndarray, n: int) -> np.ndarray:
-        return self.bias + np.bincount(sentence, weights=self.weights[word], minlength=n)
-
     def scores(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Of each text: its score, its worst sentence's number (-1: none) among those with words, and that one's score."""
-        of, sentence, word = sentences(texts)
-        z = self.logits(sentence, word, len(of))
+        of, sentence, ids, words = sentences(texts)
+        z = self.bias + np.bincount(sentence, weights=self.weights[features(words)].sum(axis=1)[ids], minlength=len(of))
         total = np.bincount(of, weights=softplus(z), minlength=len(texts))
         worst, best = np.full(len(texts), -1), np.full(len(texts), -np.inf)
         np.maximum.at(best, of, z)
@@ -68,31 +71,33 @@ class NoisyOr:
         return -np.expm1(-total), worst, np.exp(-softplus(-best))
 
 
-def solve(of: np.ndarray, sentence: np.ndarray, word: np.ndarray, y: np.ndarray, weight: np.ndarray, rounds: int = 250, ridge: float = 3e-5) -> NoisyOr:
+def solve(of: np.ndarray, sentence: np.ndarray, ids: np.ndarray, words: list[str], y: np.ndarray, weight: np.ndarray, rounds: int = 250, ridge: float = 3e-5) -> NoisyOr:
     """Weights of the largest penalised likelihood of the documents' labels, by Adam on all rows."""
     n = len(y)
-    known, docs_with = np.unique(np.unique(of[sentence] * np.int64(1 << BITS) + word) & ((1 << BITS) - 1), return_counts=True)
-    often = np.zeros(1 << BITS, dtype=bool)
-    often[known[docs_with >= min(5, max(1, n // 50))]] = True  # words of a few documents tell nothing
-    sentence, word = sentence[often[word]], word[often[word]]
-    used, f = np.unique(word, return_inverse=True)
-    w = np.zeros(len(used))
+    word, column = np.unique(features(words), return_inverse=True)
+    column = column.reshape(len(words), -1)
+    # features of a few documents tell nothing: they keep weight 0
+    pairs = np.unique(of[sentence] * np.int64(len(words)) + ids)
+    docs_with = np.bincount(np.unique((pairs // len(words))[:, None] * np.int64(len(word)) + column[pairs % len(words)]) % len(word), minlength=len(word))
+    often = (docs_with >= min(5, max(1, n // 50))) & (word > 0)
+    w = np.zeros(len(word))
     share = np.clip((weight * y).sum() / weight.sum(), 1e-3, 0.999)
     b = np.array([np.log(share * n / max(1, len(of)))])
-    m, v = np.zeros(len(used) + 1), np.zeros(len(used) + 1)
+    m, v = np.zeros(len(word) + 1), np.zeros(len(word) + 1)
     total = weight.sum()
     for step in range(1, rounds + 1):
-        z = b[0] + np.bincount(sentence, weights=w[f], minlength=len(of))
+        z = b[0] + np.bincount(sentence, weights=w[column].sum(axis=1)[ids], minlength=len(of))
         s = np.bincount(of, weights=softplus(z), minlength=n)
         g = np.where(y == 1, -1 / np.maximum(np.expm1(np.minimum(s, 50)), 1e-9), 1.0) * weight / total
-        gz = g[of] / (1 + np.exp(-z))
-        grad = np.concatenate([np.bincount(f, weights=gz[sentence], minlength=len(used)) + ridge * w, [gz.sum()]])
+        gz = g[of] * np.exp(-softplus(-z))
+        by_word = np.bincount(ids, weights=gz[sentence], minlength=len(words))
+        grad = np.concatenate([np.bincount(column.ravel(), weights=np.repeat(by_word, column.shape[1]), minlength=len(word)) * often + ridge * w, [gz.sum()]])
         m, v = 0.9 * m + 0.1 * grad, 0.99 * v + 0.01 * grad * grad
         move = 0.1 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
         w -= move[:-1]
         b -= move[-1:]
     weights = np.zeros(1 << BITS)
-    weights[used] = w
+    weights[word] = w
     return NoisyOr(weights, float(b[0]))
 
 
@@ -100,7 +105,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, holdout: int =
     """A model from ``labels`` (doc_id, toxic 0/1) whose crc32(doc_id as text) mod ``holdout`` is not 0, on whole texts.
 
     About ``sample`` documents of each label are taken (by a hash of their id, at the rate sample / count), weighted by
-    the inverse of the rate; their hashed words, made by Spark, are what the driver gathers. Null labels and texts are
+    the inverse of the rate; their words, made by Spark, are what the driver gathers. Null labels and texts are
     left out. Labels of one kind alone raise ValueError.
     """
     rows = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & (crc_mod("doc_id", holdout) != 0)).select("doc_id", F.col("toxic").cast("int").alias("toxic"))
@@ -114,18 +119,22 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, holdout: int =
 
     def of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            doc, sentence, word = sentences(list(b["text"]))
-            at = doc[sentence]
-            ends = np.cumsum(np.bincount(at, minlength=len(b)))[:-1]
-            first = np.searchsorted(doc, np.arange(len(b)))
-            yield pd.DataFrame({"doc_id": b["doc_id"].to_numpy(), "toxic": b["toxic"].to_numpy(), "s": np.split((sentence - first[at]).astype(np.int32), ends), "w": np.split(word.astype(np.int32), ends)})
-
-    got = met.mapInPandas(of, "doc_id long, toxic int, s array<int>, w array<int>").toArrow().to_pandas().sort_values(["doc_id", "toxic"], kind="stable")
-    n = got["s"].map(lambda s: int(s.max()) + 1 if len(s) else 0).to_numpy()
-    start = np.concatenate([[0], np.cumsum(n)[:-1]])
-    sentence = np.concatenate([s + a for s, a in zip(got["s"], start, strict=True)]).astype(np.int64)
-    y = got["toxic"].to_numpy()
-    return solve(np.repeat(np.arange(len(got)), n), sentence, np.concatenate(got["w"].to_list()).astype(np.int64), y, np.where(y == 1, 1 / rate[1], 1 / rate[0]))
+            for key, toxic, text in zip(b["doc_id"], b["toxic"], b["text"], strict=True):
+                _, sentence, ids, tokens = sentences([text])
+                yield pd.DataFrame({"doc_id": [key], "toxic": [toxic], "s": [sentence.astype(np.int32)], "w": [ids.astype(np.int32)], "u": [tokens]})
+
+    got = met.mapInPandas(of, "doc_id long, toxic int, s array<int>, w array<int>, u array<string>").toArrow().combine_chunks().sort_by([("doc_id", "ascending"), ("toxic", "ascending")])
+    column = lambda c: got[c].combine_chunks()
+    s, w, u = column("s"), column("w"), column("u")
+    y, rows_of = column("toxic").to_numpy(), lambda x: np.repeat(np.arange(len(x)), pc.list_value_length(x))
+    sentence = s.flatten().to_numpy().astype(np.int64)
+    of_word = rows_of(s)
+    n = np.zeros(len(y), dtype=np.int64)
+    np.maximum.at(n, of_word, sentence + 1)
+    start, first = np.concatenate([[0], np.cumsum(n)[:-1]]), np.concatenate([[0], np.cumsum(pc.list_value_length(u).to_numpy())[:-1]])
+    coded = u.flatten().dictionary_encode()
+    ids = coded.indices.to_numpy()[w.flatten().to_numpy() + first[rows_of(w)]]
+    return solve(np.repeat(np.arange(len(y)), n), sentence + start[of_word], ids, coded.dictionary.to_pylist(), y, np.where(y == 1, 1 / rate[1], 1 / rate[0]))
 
 
 def score(docs: DataFrame, model: NoisyOr, *keep: str, locate: bool = True) -> DataFrame:
