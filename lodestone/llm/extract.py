@@ -10,6 +10,7 @@ from itertools import chain
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -168,7 +169,7 @@ def shared(a: list[int], b: list[int]) -> list[int]:
     return sorted(out)
 
 
-Page = tuple[str | None, str | None, list[str], list[int]]  # host, path, lines, kinds
+Page = tuple[str | None, str | None, list[int], list[int], list[int]]  # host, path; of each line digest, length, kind
 
 
 def near(a: Page, b: Page | None) -> int:
@@ -179,79 +180,95 @@ def near(a: Page, b: Page | None) -> int:
     return next((i for i, (p, q) in enumerate(zip(x, y, strict=False)) if p != q), min(len(x), len(y)))
 
 
-def main_text(page: Page, before: Page | None, after: Page | None) -> tuple[str, int]:
-    """(text, lines deleted as shared) of a page between its neighbours in the order of paths.
+def repeated(page: Page, before: Page | None, after: Page | None) -> list[int]:
+    """Numbers of the lines that a page loses, between its neighbours in the order of paths.
 
-    The neighbour with the longer common path is the pair, the one before on a tie. If most of the page's own characters
+    The neighbour with the longer common path is the pair, the one before on a tie. If over nine tenths of its characters
     are shared with it, the pair is a copy of the article and tells nothing of the template: the other one is taken.
     Shared lines inside an article or main element stay: an article may quote a line that another has too.
     """
-    texts, kinds = page[2], page[3]
-    gone: set[int] = set()
-    own = sum(len(t) for t, k in zip(texts, kinds, strict=True) if k)
+    _, _, own, sizes, kinds = page
     for pair in sorted((x for x in (before, after) if near(page, x) >= 0), key=lambda x: -near(page, x)):
-        code: dict[str, int] = {}
-        a, b = ([code.setdefault(t, len(code)) for t in x] for x in (texts, pair[2]))
-        same = shared(a, b)
-        if 2 * sum(len(texts[i]) for i in same if kinds[i]) <= own or not own:
-            gone = {i for i in same if kinds[i] == LOOSE}
-            break
-    return "\n\n".join(t for i, (t, k) in enumerate(zip(texts, kinds, strict=True)) if k and i not in gone), len(gone)
+        same = shared(own, pair[2])
+        if 10 * sum(sizes[i] for i in same) <= 9 * sum(sizes):
+            return [i for i in same if kinds[i] == LOOSE]
+    return []
+
+
+def article(page: str | None) -> tuple[list[str], list[int]]:
+    """Lines that markup alone leaves, and their kinds."""
+    texts, kinds = lines(page)
+    return [t for t, k in zip(texts, kinds, strict=True) if k], [k for k in kinds if k]
 
 
 def extract(pages: DataFrame, key: str = "page_id") -> DataFrame:
     """One row for each row of ``pages`` (key, url, html): key, url, text, n_chars, n_shared (lines deleted as shared).
 
-    Pages are sorted by host and path over all partitions, so that the nearest page by path is a neighbour; the first
-    and last page of each partition are handed to the partitions around it, so a host may span any number of them. Null
-    or empty html gives an empty text. Null url: the page has no pair, and markup alone decides. Equal URLs are each
-    other's pair. Repeated rows give a row each. Other columns are ignored.
+    Digests of the pages' lines are sorted by host and path over all partitions, so that the nearest page by path is a
+    neighbour; the first and last page of each partition are handed to the partitions around it, so a host may span any
+    number of them. Only numbers of deleted lines come back to the texts. Null or empty html gives an empty text. Null
+    url: the page has no pair, and markup alone decides. Equal URLs are each other's pair. Repeated rows give a row
+    each, of one text. Other columns are ignored.
     """
     spark = pages.sparkSession
     n = partitions(spark)
     host = F.lower(F.regexp_extract("url", r"^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)", 1))
     path = F.regexp_extract("url", r"^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*([^?#]*)", 1)
-    keyed = pages.select(F.col(key).alias("key"), "url", F.nullif(host, F.lit("")).alias("host"), path.alias("path"), "html")
+    row = F.xxhash64(F.col(key).isNull(), key, F.col("url").isNull(), "url", "html")
+    keyed = pages.select(F.col(key).alias("key"), "url", "html", row.alias("row"))
 
-    def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(0, len(batch), 256):
                 part = batch.slice(i, 256)
-                each = [lines(x) for x in part["html"].to_pylist()]
-                yield pa.RecordBatch.from_arrays([*[part[c] for c in ("key", "url", "host", "path")], pa.array([x for x, _ in each], pa.list_(pa.string())), pa.array([k for _, k in each], pa.list_(pa.int8()))], names=["key", "url", "host", "path", "lines", "kinds"])
-
-    kind = dict(keyed.dtypes)["key"]
-    columns = f"key {kind}, url string, host string, path string, lines array<string>, kinds array<tinyint>"
-    order = ["host", "path", "key", "url", "tie"]
-    parsed = keyed.mapInArrow(parse, columns).withColumn("tie", F.xxhash64("lines"))
-    placed = saved(parsed.repartitionByRange(n, *order).withColumn("part", F.spark_partition_id()), "pages")
+                each = [article(x) for x in part["html"].to_pylist()]
+                marks = [[xxhash.xxh3_64_intdigest(t.encode("utf-8", "surrogatepass")) >> 1 for t in texts] for texts, _ in each]
+                yield pa.RecordBatch.from_arrays([*[part[c] for c in ("row", "host", "path")], pa.array(marks, pa.list_(pa.int64())), pa.array([[len(t) for t in texts] for texts, _ in each], pa.list_(pa.int32())), pa.array([k for _, k in each], pa.list_(pa.int8()))], names=["row", "host", "path", "marks", "sizes", "kinds"])
+
+    hosted = keyed.select("row", F.nullif(host, F.lit("")).alias("host"), path.alias("path"), "html").where("host is not null and html is not null")
+    columns = ["row", "host", "path", "marks", "sizes", "kinds"]
+    digests = saved(hosted.mapInArrow(digest, "row long, host string, path string, marks array<long>, sizes array<int>, kinds array<tinyint>"), "digests")
+    order = ["host", "path", "row"]
+    placed = saved(digests.repartitionByRange(n, *order).withColumn("part", F.spark_partition_id()), "pages")
     # one row a partition: its first and last page go to the nearest partitions that have any
-    row = F.struct(*order, "url", "lines", "kinds") if "url" not in order else F.struct(*order, "lines", "kinds")
-    edge = saved(placed.groupBy("part").agg(F.min_by(row, F.struct(*order)).alias("first"), F.max_by(row, F.struct(*order)).alias("last")), "edges")
+    one = F.struct(*columns)
+    edge = saved(placed.groupBy("part").agg(F.min_by(one, F.struct(*order)).alias("first"), F.max_by(one, F.struct(*order)).alias("last")), "edges")
     parts = [r["part"] for r in edge.select("part").orderBy("part").collect()]  # as many as partitions
     step = spark.createDataFrame([(p, b, a) for p, b, a in zip(parts, [None, *parts], [*parts[1:], None], strict=False)], "part int, before int, after int")
     ends = edge.join(F.broadcast(step), "part")
     extra = ends.select(F.col("after").alias("part"), F.lit(0).alias("side"), F.col("last").alias("p")).unionByName(ends.select(F.col("before").alias("part"), F.lit(2).alias("side"), F.col("first").alias("p"))).where("part is not null")
-    every = placed.select("part", F.lit(1).alias("side"), *order, "lines", "kinds").unionByName(extra.select("part", "side", *[F.col(f"p.{c}").alias(c) for c in [*order, "lines", "kinds"]]))
+    every = placed.select("part", F.lit(1).alias("side"), *columns).unionByName(extra.select("part", "side", *[F.col(f"p.{c}").alias(c) for c in columns]))
     every = every.repartition(n, "part").sortWithinPartitions("part", "side", *order)
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows() -> Iterator[tuple]:
             for batch in batches:
-                for i in range(0, len(batch), 256):
-                    yield from zip(*[batch[c].slice(i, 256).to_pylist() for c in ("part", "side", "key", "url", "host", "path", "lines", "kinds")], strict=True)
+                for i in range(0, len(batch), 1024):
+                    yield from zip(*[batch[c].slice(i, 1024).to_pylist() for c in ("part", "side", *columns)], strict=True)
 
         out: list[tuple] = []
         before = now = None
         for after in chain(rows(), [None]):
             if now is not None and now[1] == 1:
-                text, gone = main_text(now[4:], before[4:] if before and before[0] == now[0] else None, after[4:] if after and after[0] == now[0] else None)
-                out.append((now[2], now[3], text, len(text), gone))
+                gone = repeated(now[3:], before[3:] if before and before[0] == now[0] else None, after[3:] if after and after[0] == now[0] else None)
+                if gone:
+                    out.append((now[2], gone))
             before, now = now, after
-            if out and (len(out) >= 256 or after is None):
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names=["key", "url", "text", "n_chars", "n_shared"])
+            if len(out) >= 4096 or out and after is None:
+                yield pa.RecordBatch.from_arrays([pa.array([r for r, _ in out], pa.int64()), pa.array([g for _, g in out], pa.list_(pa.int32()))], names=["row", "gone"])
                 out = []
 
-    types = [pa.int64() if kind == "bigint" else pa.int32() if kind == "int" else pa.string(), pa.string(), pa.string(), pa.int64(), pa.int32()]
-    done = every.select("part", "side", "key", "url", "host", "path", "lines", "kinds").mapInArrow(walk, f"key {kind}, url string, text string, n_chars long, n_shared int")
-    return done.withColumnRenamed("key", key)
+    gone = saved(every.mapInArrow(walk, "row long, gone array<int>").groupBy("row").agg(F.max("gone").alias("gone")), "gone")
+
+    @F.pandas_udf("text string, n_chars long, n_shared int")
+    def text_of(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+        for h, g in parts:
+            out = []
+            for page, numbers in zip(h, g, strict=True):
+                less = set() if numbers is None else set(numbers.tolist() if hasattr(numbers, "tolist") else numbers)
+                text = "\n\n".join(t for i, t in enumerate(article(page)[0]) if i not in less)
+                out.append((text, len(text), len(less)))
+            yield pd.DataFrame(out, columns=["text", "n_chars", "n_shared"])
+
+    met = keyed.join(gone, "row", "left").select("key", "url", text_of("html", "gone").alias("t"))
+    return met.select(F.col("key").alias(key), "url", "t.text", "t.n_chars", "t.n_shared")
