@@ -28,6 +28,8 @@ def repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     units = saved(units.select("__rid", "doc_id", "pos", words.alias("words"), F.xxhash64("norm").alias("d1"), F.xxhash64(F.lit("unit"), "norm").alias("d2")), "units")
     place = F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("id"), F.col("__rid").alias("rid"), F.col("pos").alias("pos"))
     first = units.groupBy("d1", "d2").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("times")).where("times > 1").select("d1", "d2", F.col("first.rid").alias("rid"), F.col("first.pos").alias("at"))
+    # written, so that the join has plain exchanges on both sides and a very common unit's rows can be split over tasks
+    first = saved(first, "first")
     later = units.join(first, ["d1", "d2"]).where((F.col("rid") != F.col("__rid")) | (F.col("at") != F.col("pos"))).select("__rid", "pos", "words")
     # a document's own units: neighbouring positions make a run
     order = Window.partitionBy("__rid").orderBy("pos")  # equal rows give equal positions: ranked as one, counted once
