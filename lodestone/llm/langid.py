@@ -94,6 +94,9 @@ class Models:
 
     def decide(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Of each text: its best language's index (-1 if it has no letter), score, bits a character, rejected."""
+        if not self.langs:
+            n = len(texts)
+            return np.full(n, -1), np.zeros(n), np.full(n, np.nan), np.ones(n, dtype=bool)
         h, length = self.entropies(texts)
         best = h.argmin(axis=1)
         e = np.exp(-self.beta * (h - h.min(axis=1, keepdims=True)))
@@ -144,14 +147,16 @@ def fit(docs: DataFrame, sample: int = SAMPLE, holdout: int = 3) -> Models:
     About ``sample`` whole documents of each language are taken (by a hash of their id, at the rate sample / count), so
     what the driver gathers is bounded; their n-grams are counted by Spark. A fifth of them is left out of the counts
     and calibrates: ``beta`` (a grid of powers of two, by likelihood) makes scores of entropies, and a document is
-    rejected beyond 1.25 times the largest cross-entropy that its language has there (4 bits more at least).
+    rejected beyond 1.25 times the largest cross-entropy that its language has there (4 bits more at least). Without
+    any labelled document with a letter the models have no language, and every text is ``und``.
     """
     spark = docs.sparkSession
     rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (crc_mod("doc_id", holdout) != 1)).select("lang", "text", F.pmod(F.xxhash64(F.lit("langid"), "doc_id"), F.lit(1_000_000)).alias("u"))
     many = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}  # one row a language
     langs = sorted(many)
+    none = Models([], {}, {}, 1.0, np.zeros(0))
     if not langs:
-        raise ValueError("no labelled documents to learn languages from")
+        return none
     rate = spark.createDataFrame([(x, int(1_000_000 * min(1, sample / many[x]))) for x in langs], "lang string, __rate int")
     chosen = rows.join(F.broadcast(rate), "lang").where(F.col("u") < F.col("__rate"))
     fold = F.pmod(F.xxhash64(F.lit("fold"), "u"), F.lit(5)) if max(many.values()) >= 50 else F.lit(1)
@@ -167,6 +172,8 @@ def fit(docs: DataFrame, sample: int = SAMPLE, holdout: int = 3) -> Models:
                     yield pd.DataFrame({"lang": lang, "key": keys.view(np.int64), "n": n.astype(np.int64)})
 
     counts = chosen.where(fold != 0).select("lang", "text").mapInPandas(count, "lang string, key long, n long").groupBy("lang", "key").agg(F.sum("n").alias("n")).toArrow().to_pandas()
+    if not len(counts):
+        return none
     tables, backs = kneser_ney(counts, langs)
     models = Models(langs, tables, backs, 1.0, np.full(len(langs), np.inf))
     shared = spark.sparkContext.broadcast(models)

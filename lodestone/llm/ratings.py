@@ -106,13 +106,14 @@ def fit(docs: DataFrame, ratings: DataFrame, sample: int = SAMPLE, holdout: int
 
     About ``sample`` documents of each grade are taken (by a hash of their id, at the rate sample / count), weighted by
     the inverse of the rate; their features, made by Spark, are what the driver gathers. Null grades and texts are left out.
+    Ratings of fewer than two grades give a model that always tells the one there is (0 if none) and keeps every row.
     """
     spark = docs.sparkSession
     rows = ratings.where(F.col("grade").isNotNull() & F.col("doc_id").isNotNull() & (crc_mod("doc_id", holdout) != 0)).select("doc_id", "grade")
     many = {r["grade"]: r["n"] for r in rows.groupBy("grade").agg(F.count(F.lit(1)).alias("n")).collect()}  # one row a grade
     grades = sorted(many)
     if len(grades) < 2:
-        raise ValueError("ratings of two grades at least are needed")
+        return Ordinal(grades or [0], np.zeros(1 << BITS), np.zeros(0))
     rate = F.create_map(*[F.lit(x) for g in grades for x in (g, min(1.0, sample / many[g]))])
     chosen = rows.where(F.pmod(F.xxhash64(F.lit("ratings"), "doc_id"), F.lit(1_000_000)) < rate[F.col("grade")] * 1_000_000)
     # a bounded sample, so it may be broadcast
@@ -126,6 +127,8 @@ def fit(docs: DataFrame, ratings: DataFrame, sample: int = SAMPLE, holdout: int
             yield pd.DataFrame({"grade": b["grade"].to_numpy(), "f": np.split(f[order].astype(np.int32), ends), "v": np.split(v[order].astype(np.float32), ends)})
 
     got = met.mapInPandas(of, "grade int, f array<int>, v array<float>").toArrow().to_pandas()
+    if not len(got):
+        return Ordinal(grades[:1], np.zeros(1 << BITS), np.zeros(0))
     got = got.sort_values("grade", kind="stable")
     doc = np.repeat(np.arange(len(got)), got["f"].map(len).to_numpy())
     y = got["grade"].map({g: i for i, g in enumerate(grades)}).to_numpy()
@@ -157,4 +160,4 @@ def grade(docs: DataFrame, model: Ordinal, *keep: str, at_least: int | None = No
             yield pd.concat(out[1:] or out)
 
     found = docs.select(*keep, of("text").alias("__g"))
-    return found.select(*keep, "__g.expected_grade", "__g.tails", (F.get("__g.tails", F.lit(cut)) >= odds).alias("kept"))
+    return found.select(*keep, "__g.expected_grade", "__g.tails", F.coalesce(F.get("__g.tails", F.lit(cut)) >= odds, F.lit(True)).alias("kept"))

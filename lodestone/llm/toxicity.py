@@ -106,12 +106,13 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, holdout: int =
 
     About ``sample`` documents of each label are taken (by a hash of their id, at the rate sample / count), weighted by
     the inverse of the rate; their words, made by Spark, are what the driver gathers. Null labels and texts are
-    left out. Labels of one kind alone raise ValueError.
+    left out. Labels of one kind alone give a model that always tells that label, no labels one that tells 0.
     """
     rows = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & (crc_mod("doc_id", holdout) != 0)).select("doc_id", F.col("toxic").cast("int").alias("toxic"))
     many = {r["toxic"]: r["n"] for r in rows.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}  # two rows
+    one = NoisyOr(np.zeros(1 << BITS), 40.0 if set(many) == {1} else -40.0)
     if len(many) < 2:
-        raise ValueError("documents of both labels are needed")
+        return one
     rate = {k: min(1.0, sample / many[k]) for k in many}
     chosen = rows.where(F.pmod(F.xxhash64(F.lit("toxicity"), "doc_id"), F.lit(1_000_000)) < F.when(F.col("toxic") == 1, rate[1]).otherwise(rate[0]) * 1_000_000)
     # a bounded sample, so it may be broadcast
@@ -124,6 +125,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, holdout: int =
                 yield pd.DataFrame({"doc_id": [key], "toxic": [toxic], "s": [sentence.astype(np.int32)], "w": [ids.astype(np.int32)], "u": [tokens]})
 
     got = met.mapInPandas(of, "doc_id long, toxic int, s array<int>, w array<int>, u array<string>").toArrow().combine_chunks().sort_by([("doc_id", "ascending"), ("toxic", "ascending")])
+    if len(pc.unique(got["toxic"])) < 2:
+        return one
     column = lambda c: got[c].combine_chunks()
     s, w, u = column("s"), column("w"), column("u")
     y, rows_of = column("toxic").to_numpy(), lambda x: np.repeat(np.arange(len(x)), pc.list_value_length(x))
