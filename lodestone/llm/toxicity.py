@@ -28,7 +28,11 @@ ENDS = (".", "!", "?", "\n")
 def features(words: list[str]) -> np.ndarray:
     """Hashed features of each word: itself and its beginnings; a word that is no longer than one has bucket 0 for it."""
     code = lambda x: max(1, zlib.crc32(x.encode("utf-8", "surrogatepass")) >> (32 - BITS))
-    return np.array([[code("=" + w), *[code(w[:k]) if len(w) > k else 0 for k in STEMS]] for w in words], dtype=np.int64).reshape(-1, 1 + len(STEMS))
+    out = np.zeros((len(words), 1 + len(STEMS)), dtype=np.int32)
+    out[:, 0] = np.fromiter((code("=" + w) for w in words), dtype=np.int32, count=len(words))
+    for i, k in enumerate(STEMS, 1):
+        out[:, i] = np.fromiter((code(w[:k]) if len(w) > k else 0 for w in words), dtype=np.int32, count=len(words))
+    return out
 
 
 def sentences(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -74,11 +78,16 @@ class NoisyOr:
 def solve(of: np.ndarray, sentence: np.ndarray, ids: np.ndarray, words: list[str], y: np.ndarray, weight: np.ndarray, rounds: int = 250, ridge: float = 3e-5) -> NoisyOr:
     """Weights of the largest penalised likelihood of the documents' labels, by Adam on all rows."""
     n = len(y)
-    word, column = np.unique(features(words), return_inverse=True)
-    column = column.reshape(len(words), -1)
+    coded = features(words)
+    word = np.unique(coded)
+    column = np.searchsorted(word, coded).astype(np.int32)
     # features of a few documents tell nothing: they keep weight 0
     pairs = np.unique(of[sentence] * np.int64(len(words)) + ids)
-    docs_with = np.bincount(np.unique((pairs // len(words))[:, None] * np.int64(len(word)) + column[pairs % len(words)]) % len(word), minlength=len(word))
+    with_doc, with_word = pairs // len(words), pairs % len(words)
+    docs_with = np.zeros(len(word), dtype=np.int64)
+    for i in range(column.shape[1]):  # a length of stem at a time, which bounds memory; each has its own features
+        docs_with += np.bincount(np.unique(with_doc * len(word) + column[with_word, i]) % len(word), minlength=len(word))
+    del pairs, with_doc, with_word, coded
     often = (docs_with >= min(5, max(1, n // 50))) & (word > 0)
     w = np.zeros(len(word))
     share = np.clip((weight * y).sum() / weight.sum(), 1e-3, 0.999)
@@ -86,12 +95,13 @@ def solve(of: np.ndarray, sentence: np.ndarray, ids: np.ndarray, words: list[str
     m, v = np.zeros(len(word) + 1), np.zeros(len(word) + 1)
     total = weight.sum()
     for step in range(1, rounds + 1):
-        z = b[0] + np.bincount(sentence, weights=w[column].sum(axis=1)[ids], minlength=len(of))
+        z = b[0] + np.bincount(sentence, weights=sum(w[column[:, i]] for i in range(column.shape[1]))[ids], minlength=len(of))
         s = np.bincount(of, weights=softplus(z), minlength=n)
         g = np.where(y == 1, -1 / np.maximum(np.expm1(np.minimum(s, 50)), 1e-9), 1.0) * weight / total
         gz = g[of] * np.exp(-softplus(-z))
         by_word = np.bincount(ids, weights=gz[sentence], minlength=len(words))
-        grad = np.concatenate([np.bincount(column.ravel(), weights=np.repeat(by_word, column.shape[1]), minlength=len(word)) * often + ridge * w, [gz.sum()]])
+        by_feature = sum(np.bincount(column[:, i], weights=by_word, minlength=len(word)) for i in range(column.shape[1]))
+        grad = np.concatenate([by_feature * often + ridge * w, [gz.sum()]])
         m, v = 0.9 * m + 0.1 * grad, 0.99 * v + 0.01 * grad * grad
         move = 0.1 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
         w -= move[:-1]
@@ -127,17 +137,21 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, holdout: int =
     got = met.mapInPandas(of, "doc_id long, toxic int, s array<int>, w array<int>, u array<string>").toArrow().combine_chunks().sort_by([("doc_id", "ascending"), ("toxic", "ascending")])
     if len(pc.unique(got["toxic"])) < 2:
         return one
-    column = lambda c: got[c].combine_chunks()
-    s, w, u = column("s"), column("w"), column("u")
-    y, rows_of = column("toxic").to_numpy(), lambda x: np.repeat(np.arange(len(x)), pc.list_value_length(x))
-    sentence = s.flatten().to_numpy().astype(np.int64)
+    s, w, u = (got[c].combine_chunks() for c in "swu")
+    y = got["toxic"].to_numpy()
+    del got
+    rows_of = lambda x: np.repeat(np.arange(len(x), dtype=np.int32), pc.list_value_length(x))
+    sentence = s.flatten().to_numpy().copy()
     of_word = rows_of(s)
     n = np.zeros(len(y), dtype=np.int64)
     np.maximum.at(n, of_word, sentence + 1)
-    start, first = np.concatenate([[0], np.cumsum(n)[:-1]]), np.concatenate([[0], np.cumsum(pc.list_value_length(u).to_numpy())[:-1]])
+    start, first = np.concatenate([[0], np.cumsum(n)[:-1]]).astype(np.int32), np.concatenate([[0], np.cumsum(pc.list_value_length(u).to_numpy())[:-1]]).astype(np.int32)
+    sentence += start[of_word]
     coded = u.flatten().dictionary_encode()
-    ids = coded.indices.to_numpy()[w.flatten().to_numpy() + first[rows_of(w)]]
-    return solve(np.repeat(np.arange(len(y)), n), sentence + start[of_word], ids, coded.dictionary.to_pylist(), y, np.where(y == 1, 1 / rate[1], 1 / rate[0]))
+    ids = coded.indices.to_numpy()[w.flatten().to_numpy() + first[of_word]]
+    words = coded.dictionary.to_pylist()
+    del s, w, u, coded, of_word
+    return solve(np.repeat(np.arange(len(y)), n), sentence, ids, words, y, np.where(y == 1, 1 / rate[1], 1 / rate[0]))
 
 
 def score(docs: DataFrame, model: NoisyOr, *keep: str, locate: bool = True) -> DataFrame:
