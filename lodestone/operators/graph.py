@@ -58,3 +58,19 @@ def propagate(edges: DataFrame, origin: str, shock: float, hops: int = 3, transm
 
 def stats(edges: DataFrame) -> DataFrame:
     return edges.groupBy("kind").agg(F.count(F.lit(1)).alias("edges"), F.countDistinct("source").alias("sources"), F.countDistinct("target").alias("targets"))
+
+
+# fixed values: how an edge is read along its direction, and against it
+VERBS = {
+    "supplies": ("supplies", "is supplied by"), "manufactures": ("manufactures for", "is manufactured by"), "customer_of": ("buys from", "sells to"),
+    "depends_on": ("depends on", "is depended on by"), "produces": ("produces", "is produced by"), "uses": ("uses", "is used by"), "deploys": ("deploys", "is deployed by"),
+    "partners_with": ("partners with", "partners with"), "invests_in": ("invests in", "is backed by"), "competes_with": ("competes with", "competes with"),
+    "acquired": ("acquired", "was acquired by"), "operates": ("operates", "is operated by"), "located_in": ("located in", "hosts"),
+}
+
+
+def phrases(steps: DataFrame) -> DataFrame:
+    """Steps (here, there, forward, kind, ...) with ``phrase``, which reads the edge in the direction travelled."""
+    table = F.create_map(*[x for k, (a, b) in VERBS.items() for x in (F.lit(k), F.array(F.lit(a), F.lit(b)))])
+    verb = F.coalesce(F.get(table[F.col("kind")], F.when(F.col("forward"), 0).otherwise(1)), F.col("kind"))
+    return steps.withColumn("phrase", F.concat("here", F.lit(" → "), verb, F.lit(" → "), "there"))

@@ -134,3 +134,22 @@ def features(bars: DataFrame, benchmark: str) -> DataFrame:
         out = out.join(part, key)
     exact = lambda c: F.bround(F.when(~F.isnan(c) & (F.abs(c) < 1e13), F.col(c)).cast("decimal(32,18)"), 6).cast("decimal(20,6)").alias(c)
     return out.select(*key, *[exact(c) for c in out.columns if c not in key])
+
+
+#: Sessions that an update writes again, those before them that warm the indicators up, and bars that a symbol needs.
+REWRITE, WARM_UP, LEAST_BARS = 40, 260, 5
+
+
+def updates(bars: DataFrame, benchmark: str, full_history: bool = False) -> DataFrame:
+    """Feature rows to write: of each symbol with 5 completed bars the last 40 sessions, computed from the last 300.
+
+    ``full_history``: all sessions, from all bars. Bars that are provisional don't count.
+    """
+    newest = Window.partitionBy("symbol").orderBy(F.desc("session"))
+    done = bars.where(~F.col("is_provisional")).drop("is_provisional")
+    enough = done.groupBy("symbol").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= LEAST_BARS).select("symbol")
+    done = done.join(enough, "symbol", "left_semi")
+    if full_history:
+        return features(done, benchmark)
+    read = done.withColumn("__n", F.row_number().over(newest)).where(F.col("__n") <= REWRITE + WARM_UP).drop("__n")
+    return features(read, benchmark).withColumn("__n", F.row_number().over(newest)).where(F.col("__n") <= REWRITE).drop("__n")

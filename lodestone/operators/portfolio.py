@@ -17,3 +17,9 @@ def totals(valued: DataFrame) -> DataFrame:
     """A portfolio's cost and value; the value is null as soon as one position is unpriced."""
     every = F.count("market_value") == F.count(F.lit(1))
     return valued.groupBy("user").agg(F.round(F.sum("cost"), 2).alias("cost"), F.when(every, F.round(F.sum("market_value"), 2)).alias("market_value"), F.count(F.lit(1)).alias("positions"))
+
+
+def with_default(lists: DataFrame) -> DataFrame:
+    """Lists (user, name, created_at) with is_default: a user's first is the default one."""
+    first = lists.groupBy("user").agg(F.min(F.struct("created_at", "name")).alias("f"))
+    return lists.join(first, "user").withColumn("is_default", (F.col("created_at") == F.col("f.created_at")) & (F.col("name") == F.col("f.name"))).drop("f")

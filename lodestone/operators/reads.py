@@ -83,3 +83,18 @@ def consensus(df: DataFrame, counts: list[str]) -> DataFrame:
     mean = F.try_divide(sum((F.col(c) * (i + 1) for i, c in enumerate(counts)), F.lit(0)), n)
     label: Column = F.when(mean <= 1.5, "strong_buy").when(mean <= 2.5, "buy").when(mean <= 3.5, "hold").when(mean <= 4.5, "sell").when(mean.isNotNull(), "strong_sell")
     return df.withColumn("mean", F.round(mean, 6)).withColumn("label", label)
+
+
+# fixed values: days of a chart's window, and what its bars are cut to
+CHARTS = {"1D": (1, "5 minutes"), "5D": (5, "30 minutes"), "1M": (31, "day"), "3M": (93, "day"), "6M": (186, "day"), "1Y": (366, "day"), "5Y": (1827, "week"), "MAX": (7305, "month")}
+
+
+def candles(bars: DataFrame, chart: str, end: date | str, at: str = "session") -> DataFrame:
+    """Bars (symbol, start, open, high, low, close, volume) of a chart's window up to ``end``, at the interval it is drawn at."""
+    if chart not in CHARTS:
+        raise ValueError(f"a chart is one of {', '.join(CHARTS)}")
+    days, every = CHARTS[chart]
+    until = F.lit(str(end)).cast("date")
+    start = F.window(at, every)["start"] if " " in every else F.date_trunc(every, at)
+    inside = bars.where((F.to_date(at) > F.date_sub(until, days)) & (F.to_date(at) <= until))
+    return inside.groupBy("symbol", start.alias("start")).agg(F.min_by("open", at).alias("open"), F.max("high").alias("high"), F.min("low").alias("low"), F.max_by("close", at).alias("close"), F.sum("volume").alias("volume"))

@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.functions import text
-from lodestone.operators import anomaly, graph, indicators, merge, portfolio, reads, search
+from lodestone.functions import display, tagging, text
+from lodestone.operators import anomaly, evidence, graph, indicators, merge, portfolio, proposals, reads, search
 from lodestone.sources import feeds, shared
 from lodestone.streaming import quotes
 
@@ -411,3 +411,93 @@ def stream_distinct(spark: SparkSession, d: str) -> DataFrame:
 @query("select event_type as symbol, event_id, value as price from events qualify lag(value) over (partition by event_type order by ts, event_id) is distinct from value")
 def stream_changes(spark: SparkSession, d: str) -> DataFrame:
     return shared.finished(quotes.changes(quotes.source(spark, d, "events.parquet")))
+
+
+@query("with b as (select o_custkey % 50 as question, o_orderkey as source, 'Order ' || o_orderkey as title, o_orderdate as published_at, o_orderpriority as text, (o_orderkey % 40) / 1000.0 as score, case when o_orderkey % 3 = 0 then 'keyword+vector' else 'vector' end as matched_by, case when o_orderkey % 5 <> 0 then (o_orderkey % 100) / 100.0 end as similarity from orders where o_orderkey % 7 = 0), e as (select * from b where score >= 0.015), ok as (select question from e group by question having max(similarity) >= 0.97) select question, count(*) as pieces, round(least(0.95, 0.4 * least(count(*) / 6, 1.0) + 0.35 * least(max(score) / 0.03, 1.0) + 0.25 * (count(*) filter (where contains(matched_by, '+'))) / count(*)), 3) as confidence from e join ok using (question) group by question")
+def evidence_confidence(spark: SparkSession, d: str) -> DataFrame:
+    return evidence.confidence(evidence.supported(pieces(spark, d), 0.97))
+
+
+def pieces(spark: SparkSession, d: str) -> DataFrame:
+    k = F.col("o_orderkey")
+    o = table(spark, d, "orders").where("o_orderkey % 7 = 0")
+    return o.select((F.col("o_custkey") % 50).alias("question"), k.alias("source"), F.concat(F.lit("Order "), k.cast("string")).alias("title"), F.col("o_orderdate").alias("published_at"), F.col("o_orderpriority").alias("text"), ((k % 40) / 1000).alias("score"), F.when(k % 3 == 0, "keyword+vector").otherwise("vector").alias("matched_by"), F.when(k % 5 != 0, (k % 100) / 100).alias("similarity"))
+
+
+@query("with b as (select o_custkey % 50 as question, *, row_number() over (partition by o_custkey % 50 order by o_orderkey % 40 desc, o_orderkey) as i from orders where o_orderkey % 7 = 0) select question, string_agg('[' || i || '] Order ' || o_orderkey || ' (' || strftime(o_orderdate, '%Y-%m-%d') || ')' || chr(10) || o_orderpriority, chr(10) || chr(10) order by i) as context from b where i <= 8 group by question")
+def evidence_context(spark: SparkSession, d: str) -> DataFrame:
+    return evidence.context(pieces(spark, d))
+
+
+@query("select conv_id, turn, case when regexp_matches(text, '(?i)\\b(it|its|that|this|they|them|those|the company|the stock|same)\\b') and before is not null then before || ' ' || text else text end as resolved from (select *, lag(text) over (partition by conv_id order by turn, text) as before from conversations where role = 'user')")
+def follow_ups(spark: SparkSession, d: str) -> DataFrame:
+    return evidence.resolved(table(spark, d, "conversations"))
+
+
+@query("with q as (select vec_id, embedding::double[] as q from embeddings where vec_id < 6), t as (select q.vec_id, max(list_cosine_similarity(e.embedding::double[], q.q)) as m from embeddings e, q where e.vec_id >= 6 group by q.vec_id), m as (select min(m) filter (where vec_id < 3) as a, max(m) filter (where vec_id >= 3) as b from t) select round(a, 6) as lowest_on, round(b, 6) as highest_off, case when a > b then round((a + b) / 2, 3) end as floor from m")
+def relevance_floor(spark: SparkSession, d: str) -> DataFrame:
+    e = table(spark, d, "embeddings").select("vec_id", "embedding")
+    six = [list(r["embedding"]) for r in e.where("vec_id < 6").orderBy("vec_id").collect()]  # the stated questions
+    return evidence.relevance_floor(e.where("vec_id >= 6"), "embedding", six[:3], six[3:])
+
+
+TAGS = {"companies": {"zeta": ["stupid", "trash"], "acme": ["clown"]}, "segments": {"north": ["moron", "idiot"], "south": ["garbage"]}, "symbols": {"acme": ["ACM"], "zeta": ["ZTA", "ZTB"]}}
+
+
+@query(r"""with t as (select doc_id, lower(coalesce(text, '')) as t from documents), h as (select doc_id, regexp_matches(t, '\b(clown)\b') as a, regexp_matches(t, '\b(stupid|trash)\b') as z, regexp_matches(t, '\b(moron|idiot)\b') as n, regexp_matches(t, '\b(garbage)\b') as s, regexp_extract_all(t, '\b(stupid|trash|clown|moron|idiot|garbage)\b') as k from t)
+ select doc_id, concat_ws(',', case when a then 'acme' end, case when z then 'zeta' end) as companies, concat_ws(',', case when n then 'north' end, case when s then 'south' end) as tags, cast(len(list_distinct(k)) as int) as keywords, concat_ws(',', case when a then 'ACM' end, case when z then 'ZTA,ZTB' end) as tickers, a or z or n or s as relevant from h""")
+def article_tags(spark: SparkSession, d: str) -> DataFrame:
+    t = tagging.tag(table(spark, d, "documents").select("doc_id", "text"), "text", **TAGS)
+    return t.select("doc_id", F.array_join("companies", ",").alias("companies"), F.array_join("tags", ",").alias("tags"), F.size("keywords").alias("keywords"), F.array_join("tagged_tickers", ",").alias("tickers"), "relevant")
+
+
+@query("""with p as (select doc_id, text, split_part(text, ' ', 1) as source, split_part(text, ' ', 2) as target, case doc_id % 4 when 0 then 'supplies' when 1 then 'uses' when 2 then 'acquired' else 'owns' end as relation, case when doc_id % 5 = 0 then 'a sentence that the text has not' else substr(text, 1, 60) end as quote from documents),
+ n as (select distinct lower(split_part(text, ' ', 1)) as name from documents where doc_id % 2 = 0), c as (select *, lower(trim(quote)) as q, lower(trim(source)) as s, lower(trim(target)) as t from p where not regexp_matches(substr(text, 1, 200), '[^ -~]') and doc_id % 2 = 0)
+ select case when s not in (select name from n) or t not in (select name from n) then 'unknown_entity' when s = t then 'self_relationship' when relation = 'owns' then 'unknown_relation' when relation = 'uses' then 'relation_not_extractable' when length(trim(quote)) < 25 or not contains(lower(text), q) then 'quote_not_in_source' when not (contains(q, s) and contains(q, t)) then 'quote_missing_an_entity'
+ when not (case when relation = 'supplies' then regexp_matches(q, 'suppl|provide|ship|deliver|sell') else regexp_matches(q, 'acqui|buyout|takeover|purchase of|merg') end) then 'quote_lacks_relational_cue' else 'accepted' end as reason, count(*) as n from c group by reason""")
+def proposal_causes(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents").select("doc_id", "text").where("doc_id % 2 = 0")
+    word = lambda i: F.split_part("text", F.lit(" "), F.lit(i))
+    names = docs.select(F.lower(word(1)).alias("name")).distinct().select("name", F.col("name").alias("slug"))
+    k = F.col("doc_id")
+    plain = docs.where(~F.substring("text", 1, 200).rlike("[^ -~]"))
+    made = plain.select("doc_id", word(1).alias("source"), word(2).alias("target"), F.when(k % 4 == 0, "supplies").when(k % 4 == 1, "uses").when(k % 4 == 2, "acquired").otherwise("owns").alias("relation"), F.when(k % 5 == 0, "a sentence that the text has not").otherwise(F.substring("text", 1, 60)).alias("quote"))
+    return proposals.causes(proposals.validate(made, plain, names))
+
+
+@query(f"with {EDGES}, {BOTH} select here, there, forward, here || ' → ' || case when forward then 'supplies' else 'is supplied by' end || ' → ' || there as phrase from both_ways")
+def graph_phrases(spark: SparkSession, d: str) -> DataFrame:
+    return graph.phrases(graph.both_ways(edges(spark, d))).select("here", "there", "forward", "phrase")
+
+
+@query(f"with {BARS} select symbol, date_trunc('month', session)::timestamptz as start, arg_min(open, session) as open, max(high) as high, min(low) as low, arg_max(close, session) as close, cast(sum(volume) as bigint) as volume from bars where session > date '1998-06-30' - 7305 and session <= date '1998-06-30' group by all")
+def chart_all(spark: SparkSession, d: str) -> DataFrame:
+    return reads.candles(bars(spark, d), "MAX", "1998-06-30").withColumn("start", F.col("start").cast("timestamp"))
+
+
+@query(f"with {BARS}, done as (select * from bars where session < (select max(session) from bars) qualify row_number() over (partition by symbol order by session desc) <= 300 and count(*) over (partition by symbol) >= 5), f as (select symbol, session, round((adjusted_close - lag(adjusted_close) over w) / nullif(lag(adjusted_close) over w, 0), 6) as daily_return, case when row_number() over w >= 20 then round(avg(adjusted_close) over (partition by symbol order by session rows 19 preceding), 6) end as sma_20 from done window w as (partition by symbol order by session)) select * from f qualify row_number() over (partition by symbol order by session desc) <= 40")
+def feature_updates(spark: SparkSession, d: str) -> DataFrame:
+    out = indicators.updates(flagged(bars(spark, d)), BENCHMARK)
+    return out.select("symbol", "session", *[F.col(c).cast("double").alias(c) for c in ("daily_return", "sma_20")])
+
+
+FACTS = """select c_custkey, array_to_string([ '[' || i || '] ' || x for x, i in list_filter([ 'Name: ' || c_name, case when c_acctbal >= 0 then 'Balance: ' || case when c_acctbal * 1e6 >= 1e9 then format('{:,.2f} billion USD', c_acctbal * 1e6 / 1e9) when c_acctbal * 1e6 >= 1e6 then format('{:,.2f} million USD', c_acctbal * 1e6 / 1e6) else format('{:,.2f} USD', c_acctbal * 1e6) end end, 'Segment: ' || nullif(c_mktsegment, ''), 'Nation: ' || format('{:,}', c_nationkey)], lambda x: x is not null)], chr(10)) as lines from customer"""
+
+
+@query(FACTS)
+def report_lines(spark: SparkSession, d: str) -> DataFrame:
+    c = table(spark, d, "customer")
+    worth = F.when(F.col("c_acctbal") >= 0, display.money(display.absolute("c_acctbal")))
+    facts = [("Name", F.col("c_name")), ("Balance", worth), ("Segment", display.shown(c, "c_mktsegment")), ("Nation", display.shown(c, "c_nationkey"))]
+    return c.select("c_custkey", display.fact_lines(c, facts).alias("lines"))
+
+
+@query("with l as (select distinct o_custkey as user, o_orderpriority as name, min(o_orderdate) over (partition by o_custkey, o_orderpriority) as created_at from orders) select user, name, created_at, row_number() over (partition by user order by created_at, name) = 1 as is_default from l")
+def watchlists(spark: SparkSession, d: str) -> DataFrame:
+    lists = table(spark, d, "orders").groupBy(F.col("o_custkey").alias("user"), F.col("o_orderpriority").alias("name")).agg(F.min("o_orderdate").alias("created_at"))
+    return portfolio.with_default(lists)
+
+
+@query("select s_nationkey as capability, arg_min(s_name, s_suppkey) as provider from supplier group by s_nationkey")
+def provider_registry(spark: SparkSession, d: str) -> DataFrame:
+    return feeds.resolve(table(spark, d, "supplier").select(F.col("s_nationkey").alias("capability"), F.col("s_name").alias("provider"), F.col("s_suppkey").alias("priority")))

@@ -30,7 +30,7 @@ def rss_items(spark: SparkSession, path: str, since: str | None = None) -> DataF
 def filings(df: DataFrame) -> DataFrame:
     """Filings (cik, arrays form, date, accession) as rows; a row whose date can't be read goes."""
     rows = df.select(F.lpad(F.col("cik").cast("string"), 10, "0").alias("cik"), F.explode(F.arrays_zip("form", "date", "accession")).alias("f")).select("cik", "f.*")
-    return rows.withColumn("date", F.try_to_date("date", F.lit("yyyy-MM-dd"))).where("date is not null").withColumn("url", F.concat(F.lit("https://filings.example/"), "cik", F.lit("/"), F.replace("accession", F.lit("-"), F.lit(""))))
+    return rows.withColumn("date", F.try_to_date("date", "yyyy-MM-dd")).where("date is not null").withColumn("url", F.concat(F.lit("https://filings.example/"), "cik", F.lit("/"), F.replace("accession", F.lit("-"), F.lit(""))))
 
 
 def valid_bars(bars: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -44,3 +44,32 @@ def merged_by_url(articles: DataFrame) -> DataFrame:
     key = F.sha2(F.lower(F.trim("url")), 256)
     first = F.min_by(F.struct("url", "title", "published_at"), F.struct("published_at", "title"))
     return articles.groupBy(key.alias("url_hash")).agg(first.alias("a"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("tickers")))).alias("tickers")).select("url_hash", "a.*", "tickers")
+
+
+CANDLES = "code int, message string, status string, meta struct<symbol: string>, values array<struct<datetime: string, open: string, high: string, low: string, close: string, volume: string>>"
+
+
+def json_candles(spark: SparkSession, path: str) -> DataFrame:
+    """Bars of a time series' response, oldest first in each symbol's order; an error's body and bars that can't be read give no row."""
+    raw = spark.read.schema(CANDLES).option("multiLine", True).json(path).where("coalesce(status, 'ok') <> 'error'")
+    one = raw.select(F.col("meta.symbol").alias("symbol"), F.explode("values").alias("v"))
+    price = lambda c: F.col(f"v.{c}").try_cast("decimal(20,6)").alias(c)
+    out = one.select("symbol", F.col("v.datetime").try_cast("timestamp").alias("at"), *map(price, ("open", "high", "low", "close")), F.coalesce(F.col("v.volume").try_cast("double").cast("long"), F.lit(0)).alias("volume"))
+    return out.dropna(subset=["at", "open", "high", "low", "close"])
+
+
+def json_quotes(spark: SparkSession, path: str) -> DataFrame:
+    """Quotes of a provider (c, d, dp, h, l, o, pc, t: epoch seconds); one that is all zeros is of no known symbol and goes."""
+    raw = spark.read.schema("c double, d double, dp double, h double, l double, o double, pc double, t long").option("multiLine", True).json(path)
+    return raw.where("coalesce(c, 0) <> 0 or coalesce(pc, 0) <> 0").select(F.col("c").alias("price"), F.col("d").alias("change"), F.col("dp").alias("change_percent"), F.col("h").alias("high"), F.col("l").alias("low"), F.col("o").alias("open"), F.col("pc").alias("previous_close"), F.timestamp_seconds("t").alias("at"))
+
+
+def json_profiles(spark: SparkSession, path: str) -> DataFrame:
+    """Company profiles; market value and shares come in millions and are whole units here. An empty profile gives no row."""
+    raw = spark.read.schema("ticker string, name string, country string, currency string, exchange string, ipo string, marketCapitalization double, shareOutstanding double, finnhubIndustry string, weburl string").option("multiLine", True).json(path)
+    return raw.where("ticker <> ''").select("ticker", "name", "country", "currency", "exchange", F.try_to_date("ipo", "yyyy-MM-dd").alias("ipo"), (F.col("marketCapitalization") * 1_000_000).alias("market_value"), (F.col("shareOutstanding") * 1_000_000).alias("shares"), F.col("finnhubIndustry").alias("industry"), F.col("weburl").alias("url"))
+
+
+def resolve(catalogue: DataFrame) -> DataFrame:
+    """(capability, provider): of a catalogue (capability, provider, priority), the first that declares each capability."""
+    return catalogue.groupBy("capability").agg(F.min_by("provider", F.struct("priority", "provider")).alias("provider"))
