@@ -63,15 +63,15 @@ def range_join(left: DataFrame, right: DataFrame, at: str, low: str, high: str)
 
 
 def correlate(events: DataFrame, news: DataFrame, candidates: int = 40, top: int = 3) -> DataFrame:
-    """For each event (event_id, symbol, close_at, direction) its best news (article, published_at, body, label, tagged).
+    """For each event (event_id, symbol, close_at, direction) its best news (article, a key; published_at, body, label, tagged).
 
     Candidates are the newest in the window from 72 hours before to 24 after the close. Score: 0.30 the symbol is
     named, 0.25 recency, 0.20 sentiment agrees, 0.05 has tags; those neither named nor tagged go.
     """
     window = events.withColumn("low", F.col("close_at") - F.expr("interval 72 hours")).withColumn("high", F.col("close_at") + F.expr("interval 24 hours"))
-    met = range_join(window, news, "published_at", "low", "high")
+    met = range_join(window, news.drop("body"), "published_at", "low", "high")
     newest = Window.partitionBy("event_id").orderBy(F.desc("published_at"), "article")
-    met = met.withColumn("nth", F.row_number().over(newest)).where(F.col("nth") <= candidates)
+    met = met.withColumn("nth", F.row_number().over(newest)).where(F.col("nth") <= candidates).join(news.select("article", "body"), "article")  # texts meet candidates only
     hours = (F.unix_timestamp("close_at") - F.unix_timestamp("published_at")) / 3600
     recency = F.when(hours >= 0, F.greatest(F.lit(0.0), 1 - hours / 72)).otherwise(0.5 * F.greatest(F.lit(0.0), 1 + hours / 72))
     named = F.contains(F.lower("body"), F.lower("symbol"))
