@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import langid, mixing, pieces, simhash, substrings
+from lodestone.llm import langid, mixing, pieces, shingles, substrings
 from lodestone.llm.common import WORD, saved
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -18,8 +18,8 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of SimHash near-duplicates (operator 7)."""
-    return simhash.keep_one(docs, radius=4).select(*COLUMNS)
+    """One document of each group that pairs with a Jaccard similarity of 0.8 or more in five-word shingles link."""
+    return shingles.keep_one(docs).select(*COLUMNS)
 
 
 def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

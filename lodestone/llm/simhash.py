@@ -124,13 +124,3 @@ def with_components(prints: DataFrame, radius: int, key: str) -> DataFrame:
     low = rooted.groupBy("__root").agg(F.min("__low").alias("component_id"))
     named = rooted.join(low, "__root").select("__fp", "component_id")
     return prints.join(named, "__fp").select(key, F.lower(F.lpad(F.hex("__fp"), 16, "0")).alias("fingerprint"), "component_id")
-
-
-def keep_one(docs: DataFrame, radius: int = 4) -> DataFrame:
-    """``docs`` with one document of each group: the one with the smallest doc_id. Columns stay as they are.
-
-    A document with a null doc_id is kept only where no other of its group has an id; repeated rows of the kept id
-    stay repeated.
-    """
-    marked = simhash_groups(docs, radius).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__keep")).distinct()
-    return docs.join(marked, docs["doc_id"].eqNullSafe(marked["__keep"]), "left_semi").select(*docs.columns)

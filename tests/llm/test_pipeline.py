@@ -1,5 +1,7 @@
 """The pipeline end to end on a small table."""
 
+import random
+
 import corpus_pipeline
 
 
@@ -13,3 +15,31 @@ def test_stages_apply_in_order(spark, tmp_path):
     assert [n for n, _ in corpus_pipeline.STAGES] == ["language", "near_copies", "passages", "mixture", "encoded"]
     assert not {100, 101, 102} & set(got["doc_id"].dropna().astype(int))
     assert len(got) and got["same"].all() and (got["n_tokens"] == got["ids"].map(len)).all()
+
+
+def test_near_copies_go_from_similarity_four_fifths(spark):
+    rng = random.Random(11)
+    texts = []
+    for _ in range(40):
+        base = [f"v{rng.randrange(5000)}" for _ in range(rng.choice([30, 120, 248]))]
+        texts.append(base)
+        for _ in range(rng.randint(0, 5)):
+            copy = list(base)
+            for i in rng.sample(range(len(copy)), rng.randint(0, max(1, len(copy) // 25))):
+                copy[i] = f"x{rng.randrange(10**6)}"
+            texts.append(copy)
+    texts = [" ".join(t) for t in texts] + [None, "", " \n", "a b", "A  b", "a b c", texts and " ".join(texts[0]).upper()]
+    sets = []
+    for t in texts:
+        w = (t or "").lower().split()
+        sets.append({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set())
+    root = list(range(len(texts)))
+    links = [(i, j) for i in range(len(texts)) for j in range(i) if sets[i] == sets[j] or 9 * len(sets[i] & sets[j]) >= 4 * (len(sets[i]) + len(sets[j])) > 0]
+    for _ in range(20):
+        for i, j in links:
+            root[i] = root[j] = min(root[i], root[j])
+    rows = [(i, t, "en", "s", 1) for i, t in enumerate(texts)] + [(None, texts[0], "en", "s", 1), (0, texts[0], "en", "s", 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    got = sorted(r["doc_id"] for r in corpus_pipeline.near_copies(spark, docs, "").collect())
+    assert got == sorted([*set(root), 0])
+    assert corpus_pipeline.near_copies(spark, docs.limit(0), "").count() == 0
