@@ -19,6 +19,12 @@ ORDER = 4
 SAMPLE = 1500
 #: Characters at most in a word that is scored; longer ones are cut into words.
 LONGEST = 40
+#: Limits go by length: a column for each power of two of scored characters, up to 2 ** (LENGTHS - 1) and more.
+LENGTHS = 15
+#: Entropies of a language's own texts up to this quantile are its normal ones, those of unlearned languages from the other.
+OWN, FOREIGN = 0.99, 0.05
+#: Calibration texts of a language and length that a quantile of their own needs; else those of all languages are pooled.
+LEAST = 50
 
 
 def words_of(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -57,7 +63,7 @@ class Models:
     tables: dict[int, tuple[np.ndarray, np.ndarray]]
     backs: dict[int, tuple[np.ndarray, np.ndarray]]
     beta: float
-    limit: np.ndarray
+    limit: np.ndarray  # a row a language, a column a length
 
     def look(self, key: np.ndarray, n: int = ORDER) -> np.ndarray:
         """log2 probability of each n-gram's last character after the others, a column a language."""
@@ -102,7 +108,51 @@ class Models:
         e = np.exp(-self.beta * (h - h.min(axis=1, keepdims=True)))
         low = h[np.arange(len(h)), best]
         und = length == 0
-        return np.where(und, -1, best), np.where(und, 0.0, 1 / e.sum(axis=1)), np.where(und, np.nan, low), und | (low > self.limit[best])
+        return np.where(und, -1, best), np.where(und, 0.0, 1 / e.sum(axis=1)), np.where(und, np.nan, low), und | (low > self.limit[best, size_of(length)])
+
+
+def size_of(length: np.ndarray) -> np.ndarray:
+    """Column of the limits for texts of so many scored characters."""
+    return np.clip(np.rint(np.log2(np.maximum(length, 1))), 0, LENGTHS - 1).astype(int)
+
+
+def cuts(text: str) -> list[str]:
+    """The text, and its beginnings of about 1, 2, 4 ... scored characters in whole words."""
+    words = LETTERS.findall(text.lower())
+    ends = np.cumsum([len(w) + 1 for w in words])
+    upto = np.unique(np.searchsorted(ends, 2.0 ** np.arange(LENGTHS)) + 1)
+    return [text, *[" ".join(words[:n]) for n in upto if n < len(words)]]
+
+
+def limits(h: np.ndarray, y: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """Largest entropy that passes, by language and length, from entropies of calibration texts ``y`` and their beginnings.
+
+    The OWN quantile of a language's texts of a length, plus half of what unlearned languages are beyond it: each
+    language in turn counts as unlearned, its texts score under the best of the others, and the nearest language's
+    FOREIGN quantile is taken. With one language alone the quantile's distance from the median stands for that half.
+    Lengths without texts take the next shorter one's limit, or else the next longer one's; none is stricter than a longer one.
+    """
+    langs, size = h.shape[1], size_of(length)
+    own = h[np.arange(len(h)), y]
+    all_typical = np.median(own)
+    typical = np.array([np.median(own[y == i]) if (y == i).any() else all_typical for i in range(langs)])
+    best = np.where(np.arange(langs) == y[:, None], np.inf, h).argmin(axis=1)
+    away = h[np.arange(len(h)), best]
+    out = np.full((langs, LENGTHS), np.nan)
+    for b in range(LENGTHS):
+        at = size == b
+        if not at.any():
+            continue
+        pooled = np.quantile((own - typical[y])[at], OWN)
+        high = np.array([np.quantile(own[at & (y == i)], OWN) if (at & (y == i)).sum() >= LEAST else typical[i] + pooled for i in range(langs)])
+        if langs > 1:
+            margin = max(0.0, min(np.quantile((away - high[best])[at & (y == i)], FOREIGN) for i in np.unique(y[at]))) / 2
+        else:
+            margin = high - np.minimum(high, typical)
+        out[:, b] = high + margin
+    have = np.nonzero(~np.isnan(out[0]))[0]
+    out = out[:, have[np.maximum(np.searchsorted(have, np.arange(LENGTHS), side="right") - 1, 0)]]
+    return np.maximum.accumulate(out[:, ::-1], axis=1)[:, ::-1]
 
 
 def kneser_ney(counts: pd.DataFrame, langs: list[str]) -> tuple[dict, dict]:
@@ -147,14 +197,15 @@ def fit(docs: DataFrame, sample: int = SAMPLE, holdout: int = 3) -> Models:
     About ``sample`` whole documents of each language are taken (by a hash of their id, at the rate sample / count), so
     what the driver gathers is bounded; their n-grams are counted by Spark. A fifth of them is left out of the counts
     and calibrates: ``beta`` (a grid of powers of two, by likelihood) makes scores of entropies, and a document is
-    rejected beyond 1.25 times the largest cross-entropy that its language has there (4 bits more at least). Without
-    any labelled document with a letter the models have no language, and every text is ``und``.
+    rejected beyond its best language's limit for its length (``limits``). Where no language has 50 documents none is
+    left out, and only texts without a letter are rejected. Without any labelled document with a letter the models
+    have no language, and every text is ``und``.
     """
     spark = docs.sparkSession
     rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (crc_mod("doc_id", holdout) != 1)).select("lang", "text", F.pmod(F.xxhash64(F.lit("langid"), "doc_id"), F.lit(1_000_000)).alias("u"))
     many = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}  # one row a language
     langs = sorted(many)
-    none = Models([], {}, {}, 1.0, np.zeros(0))
+    none = Models([], {}, {}, 1.0, np.zeros((0, LENGTHS)))
     if not langs:
         return none
     rate = spark.createDataFrame([(x, int(1_000_000 * min(1, sample / many[x]))) for x in langs], "lang string, __rate int")
@@ -175,27 +226,28 @@ def fit(docs: DataFrame, sample: int = SAMPLE, holdout: int = 3) -> Models:
     if not len(counts):
         return none
     tables, backs = kneser_ney(counts, langs)
-    models = Models(langs, tables, backs, 1.0, np.full(len(langs), np.inf))
+    models = Models(langs, tables, backs, 1.0, np.full((len(langs), LENGTHS), np.inf))
     shared = spark.sparkContext.broadcast(models)
 
     def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            h, length = shared.value.entropies(list(b["text"]))
-            yield pd.DataFrame({"lang": b["lang"], "h": list(h), "length": length})
+            parts = [cuts(t) for t in b["text"]]
+            h, length = shared.value.entropies([c for p in parts for c in p])
+            whole = np.concatenate([np.arange(len(p)) == 0 for p in parts])
+            yield pd.DataFrame({"lang": np.repeat(b["lang"].to_numpy(), [len(p) for p in parts]), "h": list(h), "length": length, "whole": whole})
 
-    seen = chosen.where(fold == 0).select("lang", "text").mapInPandas(measure, "lang string, h array<double>, length double").where("length > 0").toArrow().to_pandas()
+    seen = chosen.where(fold == 0).select("lang", "text").mapInPandas(measure, "lang string, h array<double>, length double, whole boolean").where("length > 0").toArrow().to_pandas()
     if len(seen):
-        h, y = np.stack(seen["h"].to_list()), seen["lang"].map({x: i for i, x in enumerate(langs)}).to_numpy()
+        every, y = np.stack(seen["h"].to_list()), seen["lang"].map({x: i for i, x in enumerate(langs)}).to_numpy()
+        models.limit = limits(every, y, seen["length"].to_numpy())
+        whole = seen["whole"].to_numpy()
+        h, y = every[whole], y[whole]
         best = -np.inf
         for beta in 2.0 ** np.arange(-2, 7):
             z = -beta * h
             fitness = (z[np.arange(len(z)), y] - np.log(np.exp(z - z.max(axis=1, keepdims=True)).sum(axis=1)) - z.max(axis=1)).sum()
             if fitness > best:
                 best, models.beta = fitness, float(beta)
-        for i in range(len(langs)):
-            own = h[(y == i) & (h.argmin(axis=1) == i), i]
-            if len(own) >= 5:
-                models.limit[i] = max(1.25 * own.max(), own.max() + 4)
     return models
 
 

@@ -137,6 +137,23 @@ def test_language_of_unseen_documents(docs, empty):
     assert set(langid.identify(docs, none, "doc_id").toPandas()["lang_pred"]) == {"und"}
 
 
+def test_unlearned_languages_of_the_same_script_are_rejected(spark):
+    rng = random.Random(5)
+    vocabulary = {
+        "en": "the of and to in that it was for on with as house river water people through between never always thought mother which would should there where night light",
+        "fr": "le la de et les des une dans pour sur avec maison rivière eau gens toujours jamais entre pensée mère lequel voudrait nuit lumière beaucoup aujourd chose temps",
+        "de": "der die das und zu in dass es war für auf mit als haus fluss wasser leute durch zwischen niemals immer gedanke mutter welche würde sollte dort nacht licht",
+        "fi": "ja on että hän oli joki talo vesi ihmiset läpi välillä koskaan aina ajatus äiti joka pitäisi siellä missä yö valo kaikki kuitenkin sitten nyt",
+    }
+    text = lambda k, n: " ".join(rng.choice(vocabulary[k].split()) for _ in range(n))
+    learned = [(i, text(k, rng.choice([8, 40, 200])), k) for i, k in enumerate(["en", "fr", "de"] * 200)]
+    other = [(10_000 + i, text("fi", 60), None) for i in range(100)]
+    docs = spark.createDataFrame([*learned, *other], "doc_id long, text string, lang string").repartition(3)
+    got = langid.identify(docs, langid.fit(docs), "doc_id", "lang").toPandas()
+    assert got[got["lang"].isna()]["rejected"].mean() >= 0.95
+    assert got[got["lang"].notna()]["rejected"].mean() <= 0.02
+
+
 def test_toxic_sentences_are_learned_and_found(spark, docs, empty):
     labels = spark.createDataFrame([(i, int(i % 5 == 0)) for i in range(120)] + [(None, 1), (7, None)], "doc_id long, toxic int")
     got = toxicity.score(docs, toxicity.fit(docs, labels), "doc_id", "text").toPandas()
