@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -19,7 +20,7 @@ SHINGLE = 5
 NUM, DEN = 4, 5
 MULTIPLIERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD], dtype=np.uint64)
 #: Characters that are cut into shingles at once.
-CHARS = 4_000_000
+CHARS = 1_000_000
 
 
 def shingles(text: str | None) -> np.ndarray:
@@ -59,16 +60,16 @@ def common_counts(docs: DataFrame) -> DataFrame:
 
     c may be too large, as hashes of under 64 bits stand for the shingles, but never too small.
 
-    Shingles travel as packed arrays of 32 bits, dealt by the rest of their hash, and are sorted a bucket at a time.
+    Shingles travel as packed arrays of 32 bits, dealt by the rest of their hash, and are sorted a bucket at a time: a task's buckets come one after the other.
     """
-    spread = partitions(docs.sparkSession)
+    spread = 2 * partitions(docs.sparkSession)
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch["text"].to_pylist()
-            part = np.cumsum([len(t or "") for t in texts]) // CHARS if texts else np.zeros(0, int)
+            part = np.cumsum(pc.fill_null(pc.binary_length(batch["text"]), 0).to_numpy(zero_copy_only=False)) // CHARS
             for k in np.unique(part):
-                sets = [g for t, p in zip(texts, part, strict=True) if p == k and len(g := shingles(t))]
+                first, end = np.searchsorted(part, [k, k + 1])
+                sets = [g for t in batch["text"][first:end] if len(g := shingles(t.as_py()))]
                 if not sets:
                     continue
                 h, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), [len(g) for g in sets])
@@ -84,26 +85,31 @@ def common_counts(docs: DataFrame) -> DataFrame:
                     rows.append((int(b), low[own].tobytes(), sid[who].tobytes(), times.astype(np.uint32).tobytes()))
                 yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), *[pa.array([r[i] for r in rows], pa.binary()) for i in (1, 2, 3)]], names=["bucket", "low", "sid", "times"])
 
+    def shared(low: list[np.ndarray], sid: list[np.ndarray]) -> pa.RecordBatch:
+        key, own = np.concatenate(low), np.concatenate(sid)
+        order = np.argsort(key)
+        key, own = key[order], own[order]
+        at = np.nonzero(np.concatenate([[True], key[1:] != key[:-1]]))[0]
+        several = np.minimum.reduceat(own, at) < np.maximum.reduceat(own, at)
+        who, c = np.unique(own[np.repeat(several, np.diff(at, append=len(key)))], return_counts=True)
+        return pa.RecordBatch.from_arrays([pa.array(who, pa.int64()), pa.array(c.astype(np.int64), pa.int64())], names=["sid", "c"])
+
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, sids = [], []
+        now, lows, sids = None, [], []
         for batch in batches:
-            for b, low, sid, times in zip(*[batch[c].to_pylist() for c in ("bucket", "low", "sid", "times")], strict=True):
-                keys.append(np.frombuffer(low, np.uint32).astype(np.int64) | (b << 32))
+            for row in range(batch.num_rows):
+                b, low, sid, times = (batch[c][row].as_py() for c in ("bucket", "low", "sid", "times"))
+                if b != now and lows:
+                    yield shared(lows, sids)
+                    lows, sids = [], []
+                now = b
+                lows.append(np.frombuffer(low, np.uint32))
                 sids.append(np.repeat(np.frombuffer(sid, np.int64), np.frombuffer(times, np.uint32)))
-        if keys:
-            key, sid = np.concatenate(keys), np.concatenate(sids)
-            order = np.lexsort((sid, key))
-            key, sid = key[order], sid[order]
-            start = np.ones(len(key), dtype=bool)
-            start[1:] = key[1:] != key[:-1]
-            group = np.cumsum(start) - 1
-            other = np.zeros(group[-1] + 1, dtype=bool)  # groups that hold two sets
-            other[group[1:][~start[1:] & (sid[1:] != sid[:-1])]] = True
-            who, c = np.unique(sid[other[group]], return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(who, pa.int64()), pa.array(c.astype(np.int64), pa.int64())], names=["sid", "c"])
+        if lows:
+            yield shared(lows, sids)
 
     packed = docs.select("text").mapInArrow(pack, "bucket int, low binary, sid binary, times binary")
-    return packed.repartition(spread, "bucket").mapInArrow(count, "sid long, c long").groupBy("sid").agg(F.sum("c").alias("c"))
+    return packed.repartition(spread, "bucket").sortWithinPartitions("bucket").mapInArrow(count, "sid long, c long").groupBy("sid").agg(F.sum("c").alias("c"))
 
 
 def candidates(docs: DataFrame, printed: DataFrame) -> DataFrame:
