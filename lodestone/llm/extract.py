@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 from itertools import chain
 
@@ -16,20 +17,21 @@ from pyspark.sql import functions as F
 
 from .common import partitions, saved
 
-#: What a line may be: dropped by its markup, kept unless the paired page has it too, kept.
+#: What a line may be: dropped by its markup, outside an article, inside one.
 CHROME, LOOSE, BODY = 0, 1, 2
-TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>""", re.DOTALL)
 RAW = {t: re.compile(rf"</{t}\s*>", re.IGNORECASE) for t in ("script", "style", "textarea", "title", "iframe", "noscript", "xmp", "noembed", "template")}
 BLOCK = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol option p pre section summary table tbody tfoot thead title tr ul".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 DROP = frozenset("aside button canvas datalist dialog embed footer form head iframe input label math menu nav noscript object option script select style svg template textarea title audio video".split())
+INLINE = frozenset("p b i em strong span a font u".split())
 HEADING = re.compile(r"h[1-6]$")
+NAME = re.compile(r"/?([a-zA-Z][^\s/>]*)")
+QUOTE = re.compile("[>\"']")
 ATTRIBUTE = re.compile(r"""([^\s=/"']+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
+HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.IGNORECASE)
 ROLES = frozenset("alert alertdialog banner complementary contentinfo dialog form menu menubar navigation search status toolbar".split())
-#: Names in class or id that mark what is no article.
-NAMES = frozenset("ad ads advert adverts advertisement advertisements advertising adsbygoogle alert banner breadcrumb breadcrumbs byline-social comment commentlist comments comments-area consent cookie cookies copyright discussion disqus dropdown footer form gdpr legal login masthead menu modal nav navbar navigation newsletter notice notices notification overlay pager pagination paywall popup promo promotion recommended recommendations related replies reply respond search share sharing sidebar signup site-footer site-header skip skip-link social sponsor sponsored subscribe subscription tags toolbar topbar widget widgets".split())
-#: With these before it, a name tells of a page's layout, not of the element.
-LAYOUT = frozenset(("has", "with", "no", "without", "is", "show"))
+#: Whole names in class or id that stand for an element HTML has, or for an advert, a notice or reader comments.
+NAMES = frozenset("ad ads advert advertisement aside banner breadcrumbs comments cookie-banner cookie-notice footer header menu nav navbar navigation newsletter notice sidebar site-footer site-header sponsored".split())
 
 
 def attributes(text: str) -> dict[str, str]:
@@ -41,22 +43,56 @@ def marked(name: str, text: str) -> bool:
     if not text or name in ("html", "body", "main", "article"):
         return False
     at = attributes(text)
-    if "hidden" in at or at.get("aria-hidden", "").lower() == "true" or at.get("role", "").lower() in ROLES or re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", at.get("style", ""), re.IGNORECASE):
+    if "hidden" in at or at.get("aria-hidden", "").lower() == "true" or at.get("role", "").lower() in ROLES or HIDDEN.search(at.get("style", "")):
         return True
-    for word in f"{at.get('class', '')} {at.get('id', '')}".lower().split():
-        if word in NAMES:
-            return True
-        parts = re.split(r"[-_]+", word)
-        if parts[0] not in LAYOUT and len(parts) > 1 and (parts[0] in NAMES or parts[-1] in NAMES):
-            return True
-    return False
+    return not NAMES.isdisjoint(f"{at.get('class', '')} {at.get('id', '')}".lower().split())
+
+
+class Scanner:
+    """Finds a page's tags. A character is looked at a fixed number of times, however malformed the page is.
+
+    A quote that never ends, or one that swallows the page's last tag end, makes the rest be read without quotes. What
+    follows the last tag end is text.
+    """
+
+    def __init__(self, page: str):
+        self.page, self.quotes, self.last = page, True, page.rfind(">")
+
+    def after(self, at: int) -> tuple[int, int, str, bool, str] | None:
+        """(start, end, name, whether it closes, attributes) of the next tag; comments and declarations have no name."""
+        page = self.page
+        while (start := page.find("<", at)) >= 0:
+            if page.startswith("<!--", start):
+                end = page.find("-->", start + 4)
+                return start, len(page) if end < 0 else end + 3, "", False, ""
+            if start > self.last:
+                return None
+            if page[start + 1] in "!?":
+                return start, page.find(">", start) + 1, "", False, ""
+            if (m := NAME.match(page, start + 1)) is None:
+                at = start + 1
+                continue
+            end = m.end()
+            while self.quotes:
+                q = QUOTE.search(page, end)
+                if q is not None and q[0] == ">":
+                    end = q.end()
+                    break
+                close = -1 if q is None else page.find(q[0], q.end())
+                self.quotes = close >= 0
+                end = close + 1
+            if not self.quotes:
+                end = page.find(">", m.end()) + 1
+            return start, end, m[1].lower(), page[start + 1] == "/", page[m.end() : end - 1]
+        return None
 
 
 def lines(page: str | None) -> tuple[list[str], list[int]]:
-    """The page's lines of text, one a block, character references decoded and white space made single, and their kinds."""
+    """The page's lines of text, one a block, with character references decoded and white space made single, and their kinds."""
     texts: list[str] = []
     kinds: list[int] = []
-    stack: list[tuple[str, bool, bool]] = []  # open elements: name, whether dropped, whether inside an article
+    stack: list[tuple[str, bool | str, bool]] = []  # open elements: name, whether dropped, whether inside an article
+    opened: Counter[str] = Counter()
     buffer: list[str] = []
     linked = [0]
     heading = False
@@ -71,28 +107,29 @@ def lines(page: str | None) -> tuple[list[str], list[int]]:
         buffer.clear()
         linked[0] = 0
 
+    def pop() -> str:
+        name = stack.pop()[0]
+        opened[name] -= 1
+        return name
+
     page, at, link = page or "", 0, 0
-    while at < len(page):
-        m = TAG.search(page, at)
-        if m is None:
-            buffer.append(page[at:])
-            break
-        if m.start() > at:
-            buffer.append(page[at : m.start()])
-            linked[0] += (m.start() - at) * (link > 0)
-        at = m.end()
-        name = (m[2] or m[5] or "").lower()
+    scanner = Scanner(page)
+    while (tag := scanner.after(at)) is not None:
+        start, end, name, close, given = tag
+        if start > at:
+            buffer.append(page[at:start])
+            linked[0] += (start - at) * (link > 0)
+        at = end
         if not name:
             continue
-        close = bool(m[1] or m[4])
         if name == "br":
             buffer.append(" ")
             continue
         if name in ("td", "th"):
             buffer.append(" ")
         if not close and name in RAW:
-            end = RAW[name].search(page, at)
-            at = end.end() if end else len(page)
+            ended = RAW[name].search(page, at)
+            at = ended.end() if ended else len(page)
             continue
         block = name in BLOCK
         if block:
@@ -100,30 +137,32 @@ def lines(page: str | None) -> tuple[list[str], list[int]]:
         if name == "a":
             link = 0 if close else 1
         if close:
-            if any(x[0] == name for x in stack):
-                while stack.pop()[0] != name:
+            if opened[name]:
+                while pop() != name:
                     pass
             heading = heading and not HEADING.match(name)
             continue
-        if name in VOID or not (block or name in DROP or m[3] or m[6]):
+        if name in VOID or not (block or name in DROP or given.strip("/ ")):
             continue  # void, or an inline element that changes nothing
         if name == "p" or HEADING.match(name):  # these end an open paragraph
-            while stack and stack[-1][0] in ("p", "b", "i", "em", "strong", "span", "a", "font", "u"):
-                stack.pop()
+            while stack and stack[-1][0] in INLINE:
+                pop()
             heading = bool(HEADING.match(name))
         elif name == "li":
             while stack and stack[-1][0] == "li":
-                stack.pop()
+                pop()
         dropped, inside = (stack[-1][1], stack[-1][2]) if stack else (False, False)
-        if (name in ("article", "main") and dropped in (False, "open")) or (not dropped and "articleBody" in (m[3] or m[6] or "")):
+        if (name in ("article", "main") and not dropped) or (not dropped and "articleBody" in given):
             dropped, inside = False, True
-        elif not dropped and (name in DROP or marked(name, m[3] or m[6] or "")):
+        elif not dropped and (name in DROP or marked(name, given)):
             dropped = True
         elif not dropped and name == "header":
             dropped = "header"
-        if (m[3] or m[6] or "").endswith("/") and not block:
+        if given.endswith("/") and not block:
             continue
         stack.append((name, dropped, inside))
+        opened[name] += 1
+    buffer.append(page[at:])
     flush()
     return texts, kinds
 
@@ -180,25 +219,39 @@ def near(a: Page, b: Page | None) -> int:
     return next((i for i, (p, q) in enumerate(zip(x, y, strict=False)) if p != q), min(len(x), len(y)))
 
 
+def alike(bodies: list[list[int]]) -> tuple[int, int]:
+    """How many lines all the bodies begin with alike, and how many they end with alike."""
+    count = lambda rows: next((i for i, x in enumerate(zip(*rows, strict=False)) if len(set(x)) > 1), min(map(len, rows)))
+    return count(bodies), count([b[::-1] for b in bodies])
+
+
 def repeated(page: Page, before: Page | None, after: Page | None) -> list[int]:
-    """Numbers of the lines that a page loses, between its neighbours in the order of paths.
+    """Numbers of the lines that a page loses, between its neighbours in the order of paths, whose texts differ from its.
 
-    The neighbour with the longer common path is the pair, the one before on a tie. If over nine tenths of its characters
-    are shared with it, the pair is a copy of the article and tells nothing of the template: the other one is taken.
-    Shared lines inside an article or main element stay: an article may quote a line that another has too.
+    The neighbour with the longer common path is the pair, the one before on a tie. A line outside an article goes if a
+    longest common subsequence with the pair has it. Articles quote each other and come in edited copies, so inside one
+    a line goes only if it's part of a template: it stands in a run of lines with which all three articles begin, or
+    end, while neither neighbour shares half of the page's article.
     """
     _, _, own, sizes, kinds = page
-    for pair in sorted((x for x in (before, after) if near(page, x) >= 0), key=lambda x: -near(page, x)):
-        same = shared(own, pair[2])
-        if 10 * sum(sizes[i] for i in same) <= 9 * sum(sizes):
-            return [i for i in same if kinds[i] == LOOSE]
-    return []
+    by = sorted((x for x in (before, after) if near(page, x) >= 0), key=lambda x: -near(page, x))
+    if not by:
+        return []
+    same = [shared(own, x[2]) for x in by]
+    out = [i for i in same[0] if kinds[i] == LOOSE]
+    body = [i for i, k in enumerate(kinds) if k == BODY]
+    half = sum(sizes[i] for i in body) / 2
+    if len(by) == 2 and all(sum(sizes[i] for i in x if kinds[i] == BODY) < half for x in same):
+        first, last = alike([[m for m, k in zip(x[2], x[4], strict=True) if k == BODY] for x in (page, *by)])
+        out += body[:first] + body[max(first, len(body) - last) :]
+    return sorted(out)
 
 
 def article(page: str | None) -> tuple[list[str], list[int]]:
-    """Lines that markup alone leaves, and their kinds."""
+    """Lines that markup alone leaves, and their kinds: those inside articles where there are any, else all but chrome."""
     texts, kinds = lines(page)
-    return [t for t, k in zip(texts, kinds, strict=True) if k], [k for k in kinds if k]
+    least = BODY if BODY in kinds else LOOSE
+    return [t for t, k in zip(texts, kinds, strict=True) if k >= least], [k for k in kinds if k >= least]
 
 
 def extract(pages: DataFrame, key: str = "page_id") -> DataFrame:
@@ -206,9 +259,10 @@ def extract(pages: DataFrame, key: str = "page_id") -> DataFrame:
 
     Digests of the pages' lines are sorted by host and path over all partitions, so that the nearest page by path is a
     neighbour; the first and last page of each partition are handed to the partitions around it, so a host may span any
-    number of them. Only numbers of deleted lines come back to the texts. Null or empty html gives an empty text. Null
-    url: the page has no pair, and markup alone decides. Equal URLs are each other's pair. Repeated rows give a row
-    each, of one text. Other columns are ignored.
+    number of them. Pages of one host with the same lines are one there, at the first of their paths, so that a page is
+    paired with one whose text differs. Only numbers of deleted lines come back to the texts. Null or empty html gives
+    an empty text. Null url: the page has no pair, and markup alone decides. Equal URLs are each other's pair. Repeated
+    rows give a row each, of one text. Other columns are ignored.
     """
     spark = pages.sparkSession
     n = partitions(spark)
@@ -223,20 +277,28 @@ def extract(pages: DataFrame, key: str = "page_id") -> DataFrame:
                 part = batch.slice(i, 256)
                 each = [article(x) for x in part["html"].to_pylist()]
                 marks = [[xxhash.xxh3_64_intdigest(t.encode("utf-8", "surrogatepass")) >> 1 for t in texts] for texts, _ in each]
-                yield pa.RecordBatch.from_arrays([*[part[c] for c in ("row", "host", "path")], pa.array(marks, pa.list_(pa.int64())), pa.array([[len(t) for t in texts] for texts, _ in each], pa.list_(pa.int32())), pa.array([k for _, k in each], pa.list_(pa.int8()))], names=["row", "host", "path", "marks", "sizes", "kinds"])
+                lists = [
+                    pa.array(marks, pa.list_(pa.int64())),
+                    pa.array([[len(t) for t in texts] for texts, _ in each], pa.list_(pa.int32())),
+                    pa.array([k for _, k in each], pa.list_(pa.int8())),
+                ]
+                yield pa.RecordBatch.from_arrays([*[part[c] for c in ("row", "host", "path")], *lists], names=["row", "host", "path", "marks", "sizes", "kinds"])
 
     hosted = keyed.select("row", F.nullif(host, F.lit("")).alias("host"), path.alias("path"), "html").where("host is not null and html is not null")
-    columns = ["row", "host", "path", "marks", "sizes", "kinds"]
-    digests = saved(hosted.mapInArrow(digest, "row long, host string, path string, marks array<long>, sizes array<int>, kinds array<tinyint>"), "digests")
-    order = ["host", "path", "row"]
-    placed = saved(digests.repartitionByRange(n, *order).withColumn("part", F.spark_partition_id()), "pages")
-    # one row a partition: its first and last page go to the nearest partitions that have any
+    read = hosted.mapInArrow(digest, "row long, host string, path string, marks array<long>, sizes array<int>, kinds array<tinyint>")
+    digests = saved(read.withColumn("page", F.xxhash64("host", "marks", "kinds")), "digests")
+    columns = ["page", "host", "path", "marks", "sizes", "kinds"]
     one = F.struct(*columns)
+    single = digests.groupBy("page").agg(F.min_by(one, "path").alias("p")).select("p.*")
+    order = ["host", "path", "page"]
+    placed = saved(single.repartitionByRange(n, *order).withColumn("part", F.spark_partition_id()), "pages")
+    # one row a partition: its first and last page go to the nearest partitions that have any
     edge = saved(placed.groupBy("part").agg(F.min_by(one, F.struct(*order)).alias("first"), F.max_by(one, F.struct(*order)).alias("last")), "edges")
     parts = [r["part"] for r in edge.select("part").orderBy("part").collect()]  # as many as partitions
     step = spark.createDataFrame([(p, b, a) for p, b, a in zip(parts, [None, *parts], [*parts[1:], None], strict=False)], "part int, before int, after int")
-    ends = edge.join(F.broadcast(step), "part")
-    extra = ends.select(F.col("after").alias("part"), F.lit(0).alias("side"), F.col("last").alias("p")).unionByName(ends.select(F.col("before").alias("part"), F.lit(2).alias("side"), F.col("first").alias("p"))).where("part is not null")
+    outer = edge.join(F.broadcast(step), "part")
+    extra = outer.select(F.col("after").alias("part"), F.lit(0).alias("side"), F.col("last").alias("p"))
+    extra = extra.unionByName(outer.select(F.col("before").alias("part"), F.lit(2).alias("side"), F.col("first").alias("p"))).where("part is not null")
     every = placed.select("part", F.lit(1).alias("side"), *columns).unionByName(extra.select("part", "side", *[F.col(f"p.{c}").alias(c) for c in columns]))
     every = every.repartition(n, "part").sortWithinPartitions("part", "side", *order)
 
@@ -255,10 +317,12 @@ def extract(pages: DataFrame, key: str = "page_id") -> DataFrame:
                     out.append((now[2], gone))
             before, now = now, after
             if len(out) >= 4096 or out and after is None:
-                yield pa.RecordBatch.from_arrays([pa.array([r for r, _ in out], pa.int64()), pa.array([g for _, g in out], pa.list_(pa.int32()))], names=["row", "gone"])
+                yield pa.RecordBatch.from_arrays([pa.array([r for r, _ in out], pa.int64()), pa.array([g for _, g in out], pa.list_(pa.int32()))], names=["page", "gone"])
                 out = []
 
-    gone = saved(every.mapInArrow(walk, "row long, gone array<int>").groupBy("row").agg(F.max("gone").alias("gone")), "gone")
+    gone = saved(every.mapInArrow(walk, "page long, gone array<int>"), "gone")
+    # rows that are equal have one digest each, all the same
+    gone = saved(digests.select("row", "page").join(gone, "page").groupBy("row").agg(F.max("gone").alias("gone")), "gone")
 
     @F.pandas_udf("text string, n_chars long, n_shared int")
     def text_of(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:

@@ -1,6 +1,7 @@
 """Each operator against brute force or an exact round trip, and on nulls, empty and repeated rows, and empty tables."""
 
 import random
+import time
 import zlib
 
 import numpy as np
@@ -228,6 +229,49 @@ def test_pages_lose_what_neighbours_share(spark):
     assert extract.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_templates_inside_articles_go_and_quotes_and_copies_stay(spark):
+    body = lambda *own: "<article><p>By our staff</p>" + "".join(f"<p>{x} {LONG}</p>" for x in own) + "<p>Subscribe to our newsletter</p></article>"
+    quote = "a quote"
+    rows = [(i, f"http://a.example/n/{i}", body(f"own {i}", quote, f"more {i}", f"still {i}")) for i in range(6)]
+    # copies at neighbouring paths are one page for the pairing; edited copies keep what they share
+    rows += [(10 + i, f"http://b.example/n/{i}", f"<div><p>Top line</p></div><p>same text {LONG}</p>") for i in range(4)] + [(19, "http://b.example/n/9", f"<div><p>Top line</p></div><p>other {LONG}</p>")]
+    rows += [(20 + i, f"http://c.example/n/{i}", body("one", "two", "three", f"edit {i}", "four")) for i in range(3)]
+    rows += [(30 + i, "http://d.example/same", f"<p>Shared head</p><p>text {i // 2}</p>") for i in range(4)]
+    rows += [rows[0]]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(7)
+    got = {r["page_id"]: r["text"].split("\n\n") for r in extract.extract(pages).collect()}
+    line = lambda x: f"{x} {LONG}".strip()
+    for i in range(1, 5):
+        assert got[i] == [line(f"own {i}"), line(quote), line(f"more {i}"), line(f"still {i}")]
+    for i in range(10, 14):
+        assert got[i] == [line("same text")]
+    assert got[19] == [line("other")]
+    for i in range(20, 23):
+        assert got[i] == ["By our staff", line("one"), line("two"), line("three"), line(f"edit {i - 20}"), line("four"), "Subscribe to our newsletter"]
+    for i in range(30, 34):
+        assert got[i] == [f"text {(i - 30) // 2}"]
+    assert extract.extract(pages).count() == len(rows)
+
+
+def test_a_host_over_several_partitions(spark):
+    rows = [(i, f"http://a.example/{i:03d}", f"<p>Menu line</p><p>text {i}</p>") for i in range(60)]
+    got = extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(5)).collect()
+    assert {r["page_id"]: r["text"] for r in got} == {i: f"text {i}" for i in range(60)}
+
+
+def test_names_that_only_contain_a_marked_word_stay():
+    page = "<article><div class='ad-hoc'>one</div><p class='notice-period'>two</p><section id='legal-history'>three</section><div class='ad'>gone</div><p hidden>gone</p></article>"
+    assert extract.article(page)[0] == ["one", "two", "three"]
+
+
+@pytest.mark.parametrize("unit", ["<a ", "<a \"x' ", "<div><div></span>", "<!-- ", '<a href="', "<", "<p a='\"", "<script>", "<p>x", "<li x", "&#"])
+def test_long_malformed_pages_take_linear_time(unit):
+    began = time.process_time()
+    for end in ("", ">"):
+        extract.lines(unit * (1_000_000 // len(unit)) + end)
+    assert time.process_time() - began < 15
+
+
 def test_common_lines_are_a_longest_common_subsequence():
     rng = random.Random(1)
 
