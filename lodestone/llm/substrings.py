@@ -1,61 +1,161 @@
-"""Repeated lines and passages: units of text are hashed, digests are grouped globally, later occurrences are removed."""
+"""Repeated passages: paragraphs of hashed units are grouped globally by digest, later occurrences are removed."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import re
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import saved
+from .common import WORD, saved
+
+#: Words that a paragraph of units has at least, so that a passage of over 50 words has one wherever it stands.
+MIN_WORDS = 25
+#: One word of so many, by its hash, ends a unit: units are in step again soon after an edit or a passage's beginning.
+ANCHOR = 8
+#: Characters that are hashed at once.
+BLOCK = 1_000_000
+GAP = re.compile(r"\s+")
+MARKS = np.array([ord(c) for c in ".!?\u2026\u3002\uff01\uff1f\u0964\u061f"], dtype=np.uint32)
+SPACE = np.array([chr(c).isspace() for c in range(0x3001)])
+#: Scripts without spaces between words: each of their characters is a word.
+ALONE = ((0x0E00, 0x0EFF), (0x1780, 0x17FF), (0x3040, 0x30FF), (0x3400, 0x9FFF), (0xF900, 0xFAFF), (0x20000, 0x3FFFF))
+BASE = np.uint64(0x9E3779B97F4A7C15)
+INVERSE = np.uint64(pow(int(BASE), -1, 1 << 64))
+#: Factors of a word's characters by their place in it.
+FACTORS = np.random.default_rng(20).integers(0, 1 << 63, 4096, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def mix(h: np.ndarray) -> np.ndarray:
+    """A finaliser of 64 bits: each bit of the result depends on all of ``h``."""
+    h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    h = (h ^ (h >> np.uint64(29))) * np.uint64(0xFF51AFD7ED558CCD)
+    return h ^ (h >> np.uint64(32))
+
+
+def lower(text: str) -> str:
+    """Lower case of the same length: characters whose lower case has several stay."""
+    low = text.lower()
+    return low if len(low) == len(text) else "".join(c if len(c.lower()) != 1 else c.lower() for c in text)
 
-#: Where a unit ends: after a line break; after white space that follows . ! ? or that a capital letter follows. The
-#: pieces joined give the text again.
-BOUNDARY = r"(?<=\n)|(?<=[.!?]\s)(?=\S)|(?<=[^\S\n])(?=\p{Lu})"
-#: Words that a run of repeated units needs to be removed.
-MIN_WORDS = 10
 
+def words(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each word: where it starts, its hash, and whether it ends a unit."""
+    parts, at = [], 0
+    while at < len(text):
+        cut = GAP.search(text, min(len(text), at + BLOCK))  # a block ends before a word, or where the text does
+        end = cut.end() if cut else len(text)
+        code = np.frombuffer(text[at:end].encode("utf-32-le", "surrogatepass"), dtype="<u4")
+        space = SPACE[np.minimum(code, 0x3000)] & (code <= 0x3000)
+        alone = np.zeros(len(code), dtype=bool)
+        for a, b in ALONE:
+            alone |= (code >= a) & (code <= b)
+        fresh = np.concatenate([[True], space[:-1] | alone[:-1]]) | alone
+        start = np.nonzero(~space & fresh)[0]
+        if len(start):
+            letters = np.nonzero(~space)[0]
+            first = np.searchsorted(letters, start)
+            size = np.diff(first, append=len(letters))
+            place = letters - np.repeat(start, size)
+            low = code[letters].astype(np.uint64) + np.uint64(1)
+            h = mix(np.add.reduceat(low * FACTORS[place % 4096], first) + size.astype(np.uint64))
+            last = letters[first + size - 1]
+            breaks = np.concatenate([[0], np.cumsum(code == 10)])
+            line = breaks[np.append(start[1:], len(code))] > breaks[last + 1]
+            parts.append((start + at, h, line | np.isin(code[last], MARKS) | (h % np.uint64(ANCHOR) == 0)))
+        at = end
+    if not parts:
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, bool)
+    return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
 
-def split_units(text: Column) -> Column:
-    return F.split(text, BOUNDARY, -1)
 
+def paragraphs(texts: list[str], min_words: int) -> tuple[np.ndarray, ...]:
+    """(document, start, end, d1, d2) of each paragraph, the fewest units with ``min_words`` words from a unit on, or up to one.
 
-def repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """Rows (__rid, runs): of each document that has any, its runs of removed units, array<struct<a, b>> of positions."""
-    units = docs.select("__rid", "doc_id", F.posexplode(split_units(F.col("text"))).alias("pos", "unit"))
-    norm = F.lower(F.trim(F.regexp_replace("unit", r"\s+", " ")))
-    units = units.select("__rid", "doc_id", "pos", norm.alias("norm")).where("norm <> ''")
-    words = F.char_length("norm") - F.char_length(F.translate("norm", " ", "")) + 1
-    # two hashes of 64 bits with different seeds make the digest
-    units = saved(units.select("__rid", "doc_id", "pos", words.alias("words"), F.xxhash64("norm").alias("d1"), F.xxhash64(F.lit("unit"), "norm").alias("d2")), "units")
-    place = F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("id"), F.col("__rid").alias("rid"), F.col("pos").alias("pos"))
-    first = units.groupBy("d1", "d2").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("times")).where("times > 1").select("d1", "d2", F.col("first.rid").alias("rid"), F.col("first.pos").alias("at"))
-    # written, so that the join has plain exchanges on both sides and a very common unit's rows can be split over tasks
-    first = saved(first, "first")
-    later = units.join(first, ["d1", "d2"]).where((F.col("rid") != F.col("__rid")) | (F.col("at") != F.col("pos"))).select("__rid", "pos", "words")
-    # a document's own units: neighbouring positions make a run
-    order = Window.partitionBy("__rid").orderBy("pos")  # equal rows give equal positions: ranked as one, counted once
-    again = F.coalesce(F.lag("pos").over(order) == F.col("pos"), F.lit(False))
-    later = later.select("__rid", "pos", F.when(again, 0).otherwise(F.col("words")).alias("words"), (F.col("pos") - F.dense_rank().over(order)).alias("run"))
-    runs = later.groupBy("__rid", "run").agg(F.min("pos").alias("a"), F.max("pos").alias("b"), F.sum("words").alias("words")).where(F.col("words") >= min_words)
-    return runs.groupBy("__rid").agg(F.sort_array(F.collect_list(F.struct("a", "b"))).alias("runs"))
+    Offsets are code points, with the white space after the last word. The digest, two hashes of 64 bits, is that of
+    the words in lower case, whatever white space is between them.
+    """
+    start, h, ends = words("\n".join(map(lower, texts)))
+    base = np.concatenate([[0], np.cumsum([len(t) + 1 for t in texts])])
+    doc = np.searchsorted(base, start, side="right") - 1
+    stop = np.nonzero(ends)[0]  # a document's last word is one: a line break follows it, or nothing
+    if len(start) and (not len(stop) or stop[-1] != len(start) - 1):
+        stop = np.append(stop, len(start) - 1)
+    begin = np.concatenate([[0], stop[:-1] + 1]) if len(stop) else stop
+    on = np.searchsorted(stop, begin + min_words - 1)
+    s, e = begin[on < len(stop)], stop[on[on < len(stop)]]
+    # those up to units that no shortest paragraph ends with
+    rest = np.setdiff1d(stop[stop >= min_words - 1], e)
+    s = np.concatenate([s, begin[np.searchsorted(begin, rest - min_words + 1, side="right") - 1]]) if len(rest) else s
+    e = np.concatenate([e, rest])
+    s, e = s[same := doc[s] == doc[e]], e[same]
+    power = np.concatenate([[np.uint64(1)], np.cumprod(np.full(len(h), BASE))]).astype(np.uint64)
+    back = np.concatenate([[np.uint64(1)], np.cumprod(np.full(len(h), INVERSE))]).astype(np.uint64)
+    digests = []
+    for x in (h, mix(h + BASE)):
+        sums = np.concatenate([[np.uint64(0)], np.cumsum(x * power[:-1], dtype=np.uint64)])
+        digests.append(mix((sums[e + 1] - sums[s]) * back[s] + (e - s).astype(np.uint64)).view(np.int64))
+    after = np.append(start, base[-1] - 1)[e + 1]
+    end = np.minimum(after - base[doc[s]], base[doc[s] + 1] - 1 - base[doc[s]])
+    return doc[s], start[s] - base[doc[s]], end, *digests
+
+
+def repeated_spans(docs: DataFrame, min_words: int) -> DataFrame:
+    """Rows (__rid, __spans): of each document that loses any, the spans that go, array<struct<start, end>>, apart and in order."""
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = [t or "" for t in batch["text"].to_pylist()]
+            heavy = np.cumsum([len(t) for t in texts]) // BLOCK if texts else np.zeros(0, int)
+            for part in np.unique(heavy):
+                first, n = int(np.searchsorted(heavy, part)), int((heavy == part).sum())
+                doc, start, end, d1, d2 = paragraphs(texts[first : first + n], min_words)
+                own = pa.array(doc + first)
+                columns = [batch["__rid"].take(own), batch["__id"].take(own), *[pa.array(x.astype(np.int32)) for x in (start, end)], pa.array(d1), pa.array(d2)]
+                yield pa.RecordBatch.from_arrays(columns, names=["__rid", "__id", "start", "end", "d1", "d2"])
+
+    kind = docs.select("__id").schema[0].dataType.simpleString()
+    units = docs.select("__rid", "__id", "text").mapInArrow(cut, f"__rid long, __id {kind}, start int, end int, d1 long, d2 long")
+    units = saved(units, "units")
+    place = F.struct(F.col("__id").isNull().alias("void"), F.col("__id").alias("id"), F.col("__rid").alias("rid"), F.col("start").alias("at"))
+    first = units.groupBy("d1", "d2").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("times")).where("times > 1")
+    # written, so that the join has plain exchanges on both sides and a very common paragraph's rows can be split over tasks
+    first = saved(first.select("d1", "d2", F.col("first.rid").alias("rid"), F.col("first.at").alias("at")), "first")
+    later = units.join(first, ["d1", "d2"]).where((F.col("rid") != F.col("__rid")) | (F.col("at") != F.col("start"))).select("__rid", "start", "end")
+    # a document's own spans: those that meet are one
+    order = Window.partitionBy("__rid").orderBy("start", "end")
+    before = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    island = F.sum(F.when(F.col("start") <= before, 0).otherwise(1)).over(order)
+    apart = later.withColumn("island", island).groupBy("__rid", "island").agg(F.min("start").alias("start"), F.max("end").alias("end"))
+    return apart.groupBy("__rid").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("__spans"))
 
 
 def drop_repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """``docs`` with ``text`` less its repeated units, and ``removed`` array<struct<start, end>>: their code point offsets.
-
-    A unit is a line, or a piece of one that ends with a sentence or before a capital letter, so that a passage is found
-    where it stands amid other words of a line. Units are compared without case and by single spaces. The occurrence
-    that comes first by (doc_id, position), null ids last, stays wherever it is; others go when they stand in a run of
-    repeated units of ``min_words`` words or more, short units of the run included. Shorter repeats stay. Repeats
-    inside one document count like those in another. Null text stays null and empty text empty, ``removed`` is
-    then empty. Rows that are equal in doc_id and text are one document: they keep or lose the same. Other columns
-    stay; an input column ``removed`` is replaced.
+    """``docs`` with ``text`` less its repeated passages, and ``removed`` array<struct<start, end>>: their code point offsets.
+
+    A unit ends at a line's or a sentence's end, or after a word that its hash chooses; a paragraph is the fewest units
+    with ``min_words`` words, from each unit on and up to each unit. Paragraphs are compared in lower case and by single spaces. The one that
+    comes first by (doc_id, position), null ids last, stays; all later ones go. Shorter repeats stay. Repeats inside
+    one document count like those in another. So a removed word always stands, amid the same paragraph, in an earlier
+    place that stays. Null text stays null and empty text empty, ``removed`` is then empty. Of rows that are equal in
+    doc_id and text one is the first, and the others lose all of their text if it has ``min_words`` words. Other
+    columns stay; an input column ``removed`` is replaced.
     """
-    keyed = docs.drop("removed").withColumn("__rid", F.xxhash64(F.col("doc_id").isNull(), "doc_id", "text"))
-    runs = repeated_runs(keyed, min_words)
-    joined = keyed.join(runs, "__rid", "left").withColumn("__units", F.when(F.col("runs").isNotNull(), split_units(F.col("text"))))
-    kept = F.array_join(F.filter("__units", lambda u, i: ~F.exists("runs", lambda r: i.between(r["a"], r["b"]))), "")
-    length = lambda start, n: F.aggregate(F.slice("__units", start, n), F.lit(0), lambda s, u: s + F.char_length(u))
-    spans = F.transform("runs", lambda r: F.struct(length(F.lit(1), r["a"]).alias("start"), length(F.lit(1), r["b"] + 1).alias("end")))
-    empty = F.array().cast("array<struct<start:int,end:int>>")
-    out = joined.withColumn("removed", F.coalesce(spans, empty)).withColumn("text", F.when(F.col("runs").isNotNull(), kept).otherwise(F.col("text")))
-    return out.select(*[c for c in docs.columns if c != "removed"], "removed")
+    keep = [c for c in docs.columns if c != "removed"]
+    key = F.xxhash64(F.col("doc_id").isNull(), "doc_id", "text")
+    spans = repeated_spans(docs.select(key.alias("__rid"), F.col("doc_id").alias("__id"), "text"), min_words)
+    met = docs.select(*keep, key.alias("__rid")).join(spans, "__rid", "left")
+    nth = F.row_number().over(Window.partitionBy("__rid").orderBy("__rid"))
+    again = (nth > 1) & (F.regexp_count("text", F.lit(WORD)) >= min_words)
+    met = met.withColumn("__again", again)
+    whole = F.array(F.struct(F.lit(0).alias("start"), F.char_length("text").alias("end")))
+    removed = F.when(F.col("__again"), whole).otherwise(F.coalesce("__spans", F.array().cast("array<struct<start:int,end:int>>")))
+    met = met.withColumn("__gone", removed)
+    starts = F.concat(F.array(F.lit(0)), F.col("__gone.end"))
+    ends = F.concat(F.col("__gone.start"), F.array(F.char_length("text")))
+    left = F.array_join(F.zip_with(starts, ends, lambda a, b: F.substring(F.col("text"), a + 1, b - a)), "")
+    text = F.when(F.size("__gone") > 0, left).otherwise(F.col("text")).alias("text")
+    return met.select(*[text if c == "text" else F.col(c) for c in keep], F.col("__gone").alias("removed"))

@@ -59,18 +59,78 @@ def test_mixing_meets_targets(docs, empty, rows):
     assert mixing.mixed(docs).count() == got["copies"].sum()
 
 
-def test_units_keep_their_first_occurrence(spark, docs, empty):
-    passage = "This passage of many words stands in two documents and should stay in the first of them only."
-    d = spark.createDataFrame([(1, f"Alpha one. {passage} Beta two."), (2, f"Gamma three.\n{passage}\nDelta four."), (3, passage), (4, None), (5, "")], "doc_id long, text string")
-    got = {r["doc_id"]: r for r in substrings.drop_repeats(d).collect()}
+def naive_spans(rows, min_words):
+    """Spans that each (doc_id, text) loses, with every paragraph as a tuple of words."""
+    import re
+
+    out, seen = {}, set()
+    for nth, (key, text) in enumerate(rows):
+        low = substrings.lower(text)
+        found = list(re.finditer(r"\S+", low))
+        ends = [bool(substrings.words(m[0])[2][-1]) or "\n" in low[m.end() : (found[i + 1].start() if i + 1 < len(found) else len(low))] for i, m in enumerate(found)]
+        if found:
+            ends[-1] = True
+        begins = [i for i in range(len(found)) if i == 0 or ends[i - 1]]
+        stops = [i for i in range(len(found)) if ends[i]]
+        pairs = {(i, min(e for e in stops if e >= i + min_words - 1)) for i in begins if any(e >= i + min_words - 1 for e in stops)}
+        pairs |= {(max(i for i in begins if i <= e - min_words + 1), e) for e in stops if any(i <= e - min_words + 1 for i in begins)}
+        for i, e in sorted(pairs):
+            words_of = tuple(m[0] for m in found[i : e + 1])
+            if words_of in seen:
+                out.setdefault(nth, []).append((found[i].start(), found[e + 1].start() if e + 1 < len(found) else len(text)))
+            seen.add(words_of)
+    merged = {}
+    for nth, spans in out.items():
+        for x, y in sorted(spans):
+            if merged.get(nth) and x <= merged[nth][-1][1]:
+                merged[nth][-1] = (merged[nth][-1][0], max(y, merged[nth][-1][1]))
+            else:
+                merged.setdefault(nth, []).append((x, y))
+    return merged
+
+
+def test_passages_against_brute_force(spark):
+    rng = random.Random(11)
+    vocabulary = [f"w{i}" for i in range(40)]
+    sentence = lambda: " ".join(rng.choice(vocabulary) for _ in range(rng.randint(3, 12))) + rng.choice([". ", "! ", "\n", " ", "  \n "])
+    passages = ["".join(sentence() for _ in range(4)) for _ in range(6)]
+    rows = []
+    for i in range(60):
+        text = "".join(rng.choice(passages) if rng.random() < 0.4 else sentence() for _ in range(rng.randint(0, 6)))
+        rows.append((i, text.upper() if i % 9 == 0 else text))
+    got = {r["doc_id"]: r for r in substrings.drop_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), 10).collect()}
+    want = naive_spans(rows, 10)
+    assert sum(map(len, want.values())) > 20
+    for i, text in rows:
+        spans = want.get(i, [])
+        assert [(r.start, r.end) for r in got[i]["removed"]] == spans
+        assert got[i]["text"] == "".join(text[x:y] for x, y in zip([0, *[e for _, e in spans]], [*[b for b, _ in spans], len(text)]))
+
+
+def test_passages_keep_their_first_occurrence(spark, docs, empty):
+    passage = "This passage of many words stands in two documents, and should stay in the first of them only; " * 2 + "in the others it goes."
+    d = spark.createDataFrame([(1, f"Alpha one. {passage} Beta two.", 1), (2, f"Gamma three.\n{passage}\nDelta four.", 2), (3, passage, 3), (3, passage, 4), (4, None, 5), (5, "", 6), (6, "Few words repeat.", 7), (7, "Few words repeat.", 8)], "doc_id long, text string, start int")
+    rows = substrings.drop_repeats(d).collect()
+    got = {r["doc_id"]: r for r in rows if r["doc_id"] != 3}
     assert got[1]["text"] == f"Alpha one. {passage} Beta two." and got[1]["removed"] == []
     assert got[2]["text"] == "Gamma three.\nDelta four."
     assert [(s.start, s.end) for s in got[2]["removed"]] == [(13, 13 + len(passage) + 1)]
-    assert got[3]["text"] == "" and got[4]["text"] is None and got[5]["text"] == ""
+    assert [r["text"] for r in rows if r["doc_id"] == 3] == ["", ""]
+    assert got[4]["text"] is None and got[5]["text"] == "" and got[7]["text"] == got[6]["text"] == "Few words repeat."
+    # equal rows: one keeps its text
+    twice = substrings.drop_repeats(spark.createDataFrame([(1, passage, 0), (1, passage, 0), (1, "short", 0), (1, "short", 0)], "doc_id long, text string, runs int")).collect()
+    assert sorted(r["text"] for r in twice) == ["", passage, "short", "short"] and "runs" in twice[0].asDict()
     assert substrings.drop_repeats(docs).count() == docs.count()
     assert substrings.drop_repeats(empty).count() == 0
 
 
+def test_words_do_not_depend_on_blocks(monkeypatch):
+    text = "One two. \n three 日本語 four? " * 50
+    whole = substrings.words(text)
+    monkeypatch.setattr(substrings, "BLOCK", 37)
+    assert all((x == y).all() for x, y in zip(whole, substrings.words(text)))
+
+
 def test_pieces_match_the_library_and_decode(docs, rows):
     import sentencepiece
 
