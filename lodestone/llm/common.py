@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: A word, and its complement, as the contracts have them: anything but space and the controls 9 to 13.
@@ -14,10 +16,13 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named in ``spark.checkpoint.dir``; a temporary one only where the session names none (local tests)."""
+    """The folder named in ``spark.checkpoint.dir``; a temporary one only where a local session names none (tests)."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lodestone-"))
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if named is None and not (sc.master or "").startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="lodestone-"))
     return sc.getCheckpointDir()
 
 
@@ -42,43 +47,80 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """Connected components of undirected ``edges`` (a, b): one row (node, root) for each node, root its smallest.
 
     Each round every node hands the smallest of its neighbours to its larger neighbours, then to its smaller ones
-    (alternating star contraction: logarithmically many rounds). Minima are pre-aggregated on the map side and joined
-    back, so that a hub's neighbours are never gathered in one task. Every round's edges are saved.
+    (alternating star contraction: logarithmically many rounds). Minima are pre-aggregated on the map side. A node with
+    over a thousandth of all edges is a hub; at most 2,000 nodes are, so theirs are broadcast, and no task gets a hub's
+    edges. Every round's edges are saved.
     """
     edges = saved(edges.select(F.least("a", "b").alias("v"), F.greatest("a", "b").alias("u")).where("u <> v").distinct(), "edges")
     before = None
     for _ in range(max_rounds):
-        both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        # larger neighbours point to the smallest node around
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        # of a node's smaller neighbours, all point to the smallest
-        small = large.join(low, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v").where("u <> v").distinct()
-        edges = saved(small, "edges")
         now = edges.agg(F.count(F.lit(1)), F.countDistinct("u"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
         if now == before and now[0] == now[1]:
             break
-        before = now
+        before, many = now, max(1000, now[0] // 1000)
+        both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        # larger neighbours point to the smallest node around
+        large = with_least(both, many, F.least("u", "m")).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        # of a node's smaller neighbours, all point to the smallest
+        met = with_least(saved(large, "edges"), many, F.col("m"))
+        two = F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))
+        edges = saved(met.select(F.explode(two).alias("e")).select("e.u", "e.v").where("u <> v").distinct(), "edges")
     else:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("root"))).distinct()
 
 
-def tile_pairs(tiles: DataFrame, offsets: list[tuple[int, ...]], payload: list[str], spread: int) -> DataFrame:
-    """Pairs of pieces whose integer cells are equal or differ by one of ``offsets`` (a half space).
+def with_least(edges: DataFrame, many: int, value: Column) -> DataFrame:
+    """``edges`` (u, v) with m, of u and its least v; those of nodes with over ``many`` edges get it by a broadcast."""
+    least = saved(edges.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n")).select("u", value.alias("m"), (F.col("n") > many).alias("hub")), "least")
+    hubs = edges.join(F.broadcast(least.where("hub").select(F.col("u").alias("h"), F.col("m").alias("hm"))), F.col("u") == F.col("h"), "left")
+    hubs = hubs.select("u", "v", "h", "hm")
+    rest = hubs.where("h is null").select("u", "v").join(least.where("not hub").select("u", "m"), "u").select("u", "v", "m")
+    return hubs.where("h is not null").select("u", "v", F.col("hm").alias("m")).unionByName(rest)
+
+
+#: Right tiles that go with one copy of a left tile, and rows of tiles in a task, about.
+TOGETHER, ROWS = 16, 64
+
+
+def tile_pairs(tiles: DataFrame, offsets: list[tuple[int, ...]], payload: list[str], name: str) -> DataFrame:
+    """Pairs of pieces whose integer cells are equal or differ by one of ``offsets`` (a half space), for ``met``.
 
-    ``tiles``: rows (space, cell array<int>, piece, *payload), a piece holding a bounded number of items. Each row of
-    the result has a left and a right payload (``l_``, ``r_``); a piece meets itself, and each other piece once.
+    ``tiles``: rows (space, cell array<int>, piece, *payload), a piece holding a bounded number of items. Which pieces
+    meet is told by their numbers alone. A left piece then travels once with up to TOGETHER right ones: each group's
+    rows (side, own, *payload) stand together in one partition, the left piece (side 0) first; ``own``: it meets itself.
     """
+    tiles = saved(tiles.withColumn("tile", F.monotonically_increasing_id()), name)
+    ids = tiles.select("space", "cell", "piece", "tile")
     zero = [0] * len(offsets[0])
     far = F.array(*[F.array(*[F.lit(int(x)) for x in o]) for o in [zero, *offsets]])
-    left = tiles.select("space", "cell", F.col("piece").alias("l_piece"), *[F.col(c).alias(f"l_{c}") for c in payload], F.explode(far).alias("__o"))
-    left = left.select("space", F.zip_with("cell", "__o", lambda a, b: a + b).alias("__to"), "l_piece", *[f"l_{c}" for c in payload], F.exists("__o", lambda x: x != 0).alias("__other"))
-    right = tiles.select("space", F.col("cell").alias("__to"), F.col("piece").alias("r_piece"), *[F.col(c).alias(f"r_{c}") for c in payload])
-    met = left.join(right, ["space", "__to"]).where(F.col("__other") | (F.col("r_piece") >= F.col("l_piece")))
-    same = ~F.col("__other") & (F.col("r_piece") == F.col("l_piece"))
-    return met.select("l_piece", "r_piece", "__to", "__other", *[f"{s}_{c}" for s in "lr" for c in payload], same.alias("same")).repartition(spread, "__to", "__other", "l_piece", "r_piece")
+    left = ids.select("space", "cell", "piece", F.col("tile").alias("l"), F.explode(far).alias("o"))
+    left = left.select("space", F.zip_with("cell", "o", lambda a, b: a + b).alias("to"), F.col("piece").alias("l_piece"), "l", F.exists("o", lambda x: x != 0).alias("other"))
+    right = ids.select("space", F.col("cell").alias("to"), F.col("piece").alias("r_piece"), F.col("tile").alias("r"))
+    pairs = left.join(right, ["space", "to"]).where(F.col("other") | (F.col("r_piece") >= F.col("l_piece"))).select("l", "r")
+    nth = F.row_number().over(Window.partitionBy("l").orderBy("r")) - 1
+    pairs = saved(pairs.withColumn("chunk", F.floor(nth / TOGETHER)), f"{name}-pairs")
+    spread = max(partitions(tiles.sparkSession), pairs.count() // ROWS)
+    lefts = pairs.groupBy("l", "chunk").agg(F.max(F.col("l") == F.col("r")).alias("own"))
+    rows = lefts.select("l", "chunk", F.lit(0).alias("side"), "own", F.col("l").alias("tile"))
+    rows = rows.unionByName(pairs.where("l <> r").select("l", "chunk", F.lit(1).alias("side"), F.lit(False).alias("own"), F.col("r").alias("tile")))
+    full = rows.join(tiles.select("tile", *payload), "tile")
+    return full.repartition(spread, "l", "chunk").sortWithinPartitions("l", "chunk", "side", "tile").select("side", "own", *payload)
+
+
+def met(batches: Iterator[pa.RecordBatch], payload: list[str]) -> Iterator[tuple[tuple, tuple, bool]]:
+    """(left, right, whether they are one piece) of each pair of pieces, in the rows that ``tile_pairs`` gives."""
+    left: tuple = ()
+    for batch in batches:
+        side, own = batch["side"].to_pylist(), batch["own"].to_pylist()
+        for i in range(len(batch)):
+            row = tuple(batch[c][i] for c in payload)
+            if side[i]:
+                yield left, row, False
+            else:
+                left = row
+                if own[i]:
+                    yield left, left, True
 
 
 def half_space(dims: int, reach: int, within) -> list[tuple[int, ...]]:

@@ -1,4 +1,4 @@
-"""Near copies by exact Jaccard similarity of five-word shingle sets: rarest-first prefixes meet, each met pair is counted."""
+"""Near copies of five-word shingle sets: wide SimHash fingerprints are compared tile by tile, each pair found is counted exactly."""
 
 from __future__ import annotations
 
@@ -12,13 +12,18 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, partitions, saved
-from .simhash import SEED
+from .common import components, half_space, met, partitions, saved, tile_pairs
+from .simhash import SEED, near_wide, wide
 
 SHINGLE = 5
 #: Sets link at a Jaccard similarity of 4 / 5: a set of n shares 4 n / 5 at least with any that it links with.
 NUM, DEN = 4, 5
 MULTIPLIERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD], dtype=np.uint64)
+#: Words of 64 bits of a fingerprint, and the radius. Sets at 4 / 5 differ in 15 % of the bits: 78 of 512, give or take
+#: 8, so that one pair in some ten million lies beyond; of sets of 4 and 5 shingles 96 differ, and one in 300 does.
+WORDS, RADIUS = 8, 120
+#: Fingerprints in one piece of a tile: 512 kB.
+PIECE = 8192
 #: Characters that are cut into shingles at once.
 CHARS = 1_000_000
 
@@ -113,7 +118,10 @@ def common_counts(docs: DataFrame) -> DataFrame:
 
 
 def candidates(docs: DataFrame, printed: DataFrame) -> DataFrame:
-    """(sid, n, grams array<long>): a row for each distinct set that shares 4 / 5 of its shingles with other sets together."""
+    """(sid, n, grams array<long>, fp array<long>): each distinct set that shares 4 / 5 of its shingles with other sets together.
+
+    A set that links with another does so, so that all others can be left out of the comparison.
+    """
     nodes = printed.where("n > 0").groupBy("sid").agg(F.sum("n").alias("all"), F.min("doc_id").alias("doc_id"))
     some = saved(nodes.join(common_counts(docs), "sid").where(DEN * F.col("c") >= NUM * F.col("all")).select("sid", "doc_id"), "some")
 
@@ -121,27 +129,14 @@ def candidates(docs: DataFrame, printed: DataFrame) -> DataFrame:
         for batch in batches:
             for t in batch["text"]:
                 if len(g := shingles(t.as_py())):
-                    yield pa.RecordBatch.from_arrays([pa.array([set_id(g)], pa.int64()), pa.array([len(g)], pa.int32()), pa.array([g.view(np.int64)], pa.list_(pa.int64()))], names=["sid", "n", "grams"])
+                    yield pa.RecordBatch.from_arrays([pa.array([set_id(g)], pa.int64()), pa.array([len(g)], pa.int32()), *[pa.array([x.view(np.int64)], pa.list_(pa.int64())) for x in (g, wide(g, WORDS))]], names=["sid", "n", "grams", "fp"])
 
     wanted = some.select(F.col("doc_id").alias("__id")).distinct()
     own = docs.select("doc_id", "text").join(wanted, F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi")
-    found = own.select("text").mapInArrow(sets, "sid long, n int, grams array<long>").join(some.select("sid"), "sid", "left_semi")
+    found = own.select("text").mapInArrow(sets, "sid long, n int, grams array<long>, fp array<long>").join(some.select("sid"), "sid", "left_semi")
     return saved(found.dropDuplicates(["sid"]), "candidates")
 
 
-def prefixes(sets: DataFrame) -> DataFrame:
-    """(sid, n, h): the shingles of a set, rarest first, of which it shares one at least with each set that it links with.
-
-    A set of n that shares 4 n / 5 with another can leave out all but the first s - 4 n / 5 + 1 of the s shingles that
-    some other candidate has too.
-    """
-    each = sets.select("sid", "n", F.explode("grams").alias("h"))
-    df = each.groupBy("h").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
-    ranked = each.join(df, "h").groupBy("sid", "n").agg(F.sort_array(F.collect_list(F.struct("df", "h"))).alias("all"))
-    many = F.size("all") - F.ceil(F.lit(NUM) * F.col("n") / DEN).cast("int") + 1
-    return saved(ranked.where(many > 0).select("sid", "n", F.explode(F.slice("all", F.lit(1), many)).alias("x")).select("sid", "n", "x.h"), "prefixes")
-
-
 def linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """Those of the distinct pairs (a, b) of sets whose Jaccard similarity is 4 / 5 or more."""
     of = lambda c: sets.select(F.col("sid").alias(c), F.col("n").alias(f"n_{c}"), F.col("grams").alias(f"grams_{c}"))
@@ -150,33 +145,72 @@ def linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return saved(both.where((DEN + NUM) * shared >= NUM * (F.col("n_a") + F.col("n_b"))).select("a", "b"), "linked")
 
 
+def close(sets: DataFrame, nearest: bool) -> DataFrame:
+    """Distinct pairs (a, b) of sets (sid, n, fp, root) within the radius whose roots differ; ``nearest``: one a set at most.
+
+    Sets in a cell have about the same size, so that those of over 5 / 4 of a set's size don't meet it.
+    """
+    cells = sets.select("sid", "n", "fp", "root", F.array(F.floor(F.log("n") / F.log(F.lit(1.26))).cast("int")).alias("cell"))
+    # a cell for each power of 1.26: under 200 of them, so their sizes may be broadcast
+    pieces = F.broadcast(cells.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / PIECE).cast("int").alias("__n")))
+    piece = F.pmod(F.xxhash64("sid"), "__n").alias("piece")
+    payload = ["sid", "n", "root", "fp"]
+    items = F.collect_list(F.struct(*payload))
+    tiles = cells.join(pieces, "cell").groupBy("cell", piece).agg(items.alias("x")).select("cell", "piece", *[F.col(f"x.{c}").alias(c) for c in payload[:3]], F.flatten("x.fp").alias("fp"))
+    pairs = tile_pairs(tiles.withColumn("space", F.lit(0)), half_space(1, 1, lambda o: True), payload, "set-tiles")
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for left, right, same in met(batches, payload):
+            (sid, n, root, fp), (sid2, n2, root2, fp2) = ([x.values.to_numpy(zero_copy_only=False) for x in row] for row in (left, right))
+            found = []
+            for i, j, bits in near_wide(fp.view("<u8").reshape(-1, WORDS), fp2.view("<u8").reshape(-1, WORDS), RADIUS):
+                ok = (root[i] != root2[j]) & (DEN * n[i] >= NUM * n2[j]) & (DEN * n2[j] >= NUM * n[i])
+                found.append((i[ok], j[ok], bits[ok]))
+            i, j, bits = (np.concatenate(x) for x in zip(*found, strict=True))
+            if nearest:
+                far = np.concatenate([sid[i], sid2[j]]), np.concatenate([sid2[j], sid[i]]), np.concatenate([bits, bits])
+                order = np.lexsort((far[1], far[2], far[0]))
+                a, b, d = (x[order] for x in far)
+                first = np.concatenate([[True], a[1:] != a[:-1]])[: len(a)]
+                a, b, d = a[first], b[first], d[first]
+            else:
+                a, b, d = np.minimum(sid[i], sid2[j]), np.maximum(sid[i], sid2[j]), bits
+                a, b, d = (a[i < j], b[i < j], d[i < j]) if same else (a, b, d)
+            if len(a):
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(d.astype(np.int32))], names=["a", "b", "bits"])
+
+    found = pairs.mapInArrow(compare, "a long, b long, bits int")
+    if nearest:
+        found = found.groupBy("a").agg(F.min_by("b", F.struct("bits", "b")).alias("b"))
+    return saved(found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "close")
+
+
 def links(sets: DataFrame) -> DataFrame:
-    """Edges (a, b) that connect all sets (sid, n, grams) which chains of pairs with a similarity of 4 / 5 connect.
+    """Edges (a, b) that connect all sets (sid, n, grams, fp) which chains of pairs with a similarity of 4 / 5 connect.
 
-    First each set meets the least set of every prefix shingle, which joins most of a large group without its pairs;
-    then all sets that share a prefix shingle and are not connected yet.
+    First each set is counted against its nearest one, twice, which joins most of a large group without its pairs; then
+    against all sets within the radius that are not connected yet.
     """
-    prefix = prefixes(sets)
-    sized = lambda x, y: (DEN * F.col(x) >= NUM * F.col(y)) & (DEN * F.col(y) >= NUM * F.col(x))
-    least = prefix.groupBy("h").agg(F.min(F.struct("sid", "n")).alias("l"))
-    star = prefix.join(least, "h").where(F.col("sid") != F.col("l.sid")).where(sized("n", "l.n")).select(F.col("l.sid").alias("a"), F.col("sid").alias("b")).distinct()
-    first = linked(star, sets)
-    roots = components(first)
-    placed = prefix.join(roots, prefix["sid"] == roots["node"], "left").select("h", "sid", "n", F.coalesce("root", "sid").alias("root"))
-    several = placed.groupBy("h").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x < y").select("h")
-    rest = saved(placed.join(several, "h", "left_semi"), "rest")
-    left, right = (rest.select("h", *[F.col(c).alias(f"{s}_{c}") for c in ("sid", "n", "root")]) for s in "lr")
-    met = left.join(right, "h").where((F.col("l_sid") < F.col("r_sid")) & (F.col("l_root") != F.col("r_root"))).where(sized("l_n", "r_n"))
-    # pairs that the first step has counted are not counted again
-    more = met.select(F.col("l_sid").alias("a"), F.col("r_sid").alias("b")).distinct().join(star, ["a", "b"], "left_anti")
-    return first.unionByName(linked(more, sets))
+    edges, tried = None, None
+    for nearest in (True, True, False):
+        if edges is None:
+            rooted = sets.withColumn("root", F.col("sid"))
+        else:
+            roots = components(edges)
+            rooted = sets.join(roots, sets["sid"] == roots["node"], "left").select("sid", "n", "fp", F.coalesce("root", "sid").alias("root"))
+        pairs = close(rooted, nearest)
+        # pairs that were counted are not counted again
+        found = linked(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"), sets)
+        edges = found if edges is None else edges.unionByName(found)
+        tried = pairs if tried is None else tried.unionByName(pairs)
+    return edges
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
     """``docs`` with one document of each group: the one with the smallest doc_id. Columns stay as they are.
 
     Documents link when the Jaccard similarity of their sets of five-word shingles is 0.8 or more, without case of A-Z
-    and by words between ASCII white space; a group is what links reach. Equal sets are one node. Null, empty and blank
+    and by words between ASCII white space, and their fingerprints are within the radius; a group is what links reach. Equal sets are one node. Null, empty and blank
     texts are one group. A document with a null doc_id is kept only where no other of its group has an id; repeated
     rows of the kept id stay repeated.
     """

@@ -11,11 +11,11 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, forest, half_space, partitions, saved, tile_pairs
+from .common import components, forest, half_space, met, saved, tile_pairs
 
 SEED = 42
-#: Fingerprints in one piece of a tile: 128 kB.
-PIECE = 16_384
+#: Fingerprints in one piece of a tile: 512 kB.
+PIECE = 65_536
 #: Pairs that are compared at once.
 BLOCK = 1 << 20
 
@@ -81,28 +81,53 @@ def near(a: np.ndarray, b: np.ndarray, radius: int, same: bool, parts: int = 2)
 
 
 def links(prints: DataFrame, radius: int) -> DataFrame:
-    """Edges (a, b) between distinct fingerprints ``__fp`` that span each group linked at ``radius`` differing bits."""
-    spark = prints.sparkSession
-    halves = F.array(F.bit_count(F.shiftrightunsigned("__fp", 32)), F.bit_count(F.col("__fp").bitwiseAND(F.lit(0xFFFFFFFF))))
-    cells = prints.select("__fp", halves.alias("cell"))
-    # population counts of two halves: 33 x 33 cells at most, so their sizes may be broadcast
+    """Edges (a, b) between distinct fingerprints ``__fp`` that span each group linked at ``radius`` differing bits.
+
+    Tiles hold one population count each, so that those within the radius of each other meet; ``near`` cuts them finer.
+    """
+    cells = prints.select("__fp", F.array(F.bit_count("__fp").cast("int")).alias("cell"))
+    # population counts of 64 bits: 65 cells at most, so their sizes may be broadcast
     pieces = F.broadcast(cells.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / PIECE).cast("int").alias("__n")))
     tiles = cells.join(pieces, "cell").groupBy("cell", F.pmod(F.xxhash64("__fp"), "__n").alias("piece")).agg(F.collect_list("__fp").alias("fps"))
-    tiles = tiles.withColumn("space", F.lit(0))
-    offsets = half_space(2, radius, lambda o: np.abs(o).sum() <= radius)
-    pairs = tile_pairs(tiles, offsets, ["fps"], partitions(spark))
+    pairs = tile_pairs(tiles.withColumn("space", F.lit(0)), half_space(1, radius, lambda o: True), ["fps"], "tiles")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = []
-            for left, right, same in zip(batch["l_fps"], batch["r_fps"], batch["same"].to_pylist(), strict=True):
-                a, b = (x.values.to_numpy(zero_copy_only=False).view("<u8") for x in (left, right))
-                if links := near(a, b, radius, same):
-                    found.append(forest(np.concatenate([x for x, _ in links]), np.concatenate([y for _, y in links])))
-            for x, y in found:
+        for left, right, same in met(batches, ["fps"]):
+            a, b = (x[0].values.to_numpy(zero_copy_only=False).view("<u8") for x in (left, right))
+            if found := near(a, b, radius, same):
+                x, y = forest(np.concatenate([x for x, _ in found]), np.concatenate([y for _, y in found]))
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()), pa.array(y, pa.int64())], names=["a", "b"])
 
-    return pairs.select("l_fps", "r_fps", "same").mapInArrow(compare, "a long, b long")
+    return pairs.mapInArrow(compare, "a long, b long")
+
+
+def wide(hashes: np.ndarray, words: int) -> np.ndarray:
+    """A fingerprint of ``words`` times 64 bits from distinct 64-bit hashes, mixed anew for each 64 bits."""
+    out = np.zeros(words, dtype=np.uint64)
+    for k in range(words):
+        h = (hashes ^ np.uint64((2 * k + 1) * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)) * np.uint64(0xD6E8FEB86659FD93)
+        h = (h ^ (h >> np.uint64(32))) * np.uint64(0xFF51AFD7ED558CCD)
+        h ^= h >> np.uint64(29)
+        ones = np.zeros(64, dtype=np.int64)
+        for i in range(0, len(h), 65_536):
+            ones += np.unpackbits(h[i : i + 65_536].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.uint32)
+        out[k] = np.packbits(2 * ones > len(h), bitorder="little").view("<u8")[0]
+    return out
+
+
+def near_wide(a: np.ndarray, b: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(i, j, differing bits) of the rows of ``a`` and ``b``, fingerprints of several words, within the radius.
+
+    The first half of the words alone exceeds it for most pairs.
+    """
+    half = max(1, a.shape[1] // 2)
+    step = max(1, BLOCK // max(1, len(b)))
+    for at in range(0, len(a), step):
+        bits = sum(np.bitwise_count(a[at : at + step, None, k] ^ b[None, :, k]).astype(np.uint16) for k in range(half))
+        i, j = np.nonzero(bits <= radius)
+        bits = bits[i, j] + np.bitwise_count(a[at + i, half:] ^ b[j, half:]).sum(axis=1, dtype=np.uint16)
+        ok = bits <= radius
+        yield at + i[ok], j[ok], bits[ok]
 
 
 def simhash_groups(docs: DataFrame, radius: int = 4, shingle: int = 4, key: str = "doc_id") -> DataFrame:
@@ -113,7 +138,7 @@ def simhash_groups(docs: DataFrame, radius: int = 4, shingle: int = 4, key: str
     fingerprint zero and link like any other. A null key takes part in links but names no component, unless all of its
     component have null keys (then component_id is null). Repeated rows each give a row. Other columns are ignored.
     """
-    prints = saved(fingerprints(docs.select(F.col(key), "text")).select(key, "__fp") if shingle == 4 else fingerprints(docs.select(F.col(key), "text"), shingle).select(key, "__fp"), "fingerprints")
+    prints = saved(fingerprints(docs.select(key, "text"), shingle).select(key, "__fp"), "fingerprints")
     return with_components(prints, radius, key)
 
 

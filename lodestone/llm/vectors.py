@@ -12,10 +12,10 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, forest, half_space, partitions, saved, tile_pairs
+from .common import components, forest, half_space, met, saved, tile_pairs
 
 #: Vectors in one piece of a grid cell at most, about: it bounds what a task holds.
-PIECE = 4096
+PIECE = 16_384
 #: Sequence intervals of at most so many vectors are compared by one matrix product.
 LEAF = 512
 #: Principal dimensions that make the grid, and those that bound intervals.
@@ -133,7 +133,7 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.9, key: str = "vec_id", c
     # cells of unit vectors: (2 / width + 2) ^ grid at most for a vector length, so their sizes may be broadcast
     sizes = F.broadcast(cells.groupBy("space", "cell").agg(F.ceil(F.count(F.lit(1)) / PIECE).cast("int").alias("__n")))
     tiles = cells.join(sizes, ["space", "cell"]).groupBy("space", "cell", F.pmod(F.xxhash64("node"), "__n").alias("piece")).agg(F.collect_list(F.struct("node", "n", "vec")).alias("rows"))
-    pairs = tile_pairs(tiles, half_space(grid, 1, lambda o: True), ["rows"], partitions(spark))
+    pairs = tile_pairs(tiles, half_space(grid, 1, lambda o: True), ["rows"], "tiles")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def sequence(rows: pa.StructArray) -> Sequence:
@@ -141,31 +141,32 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.9, key: str = "vec_id", c
             x = units(vec.flatten().to_numpy(zero_copy_only=False).reshape(len(rows), -1))
             return Sequence(rows.field("node").to_numpy(), rows.field("n").to_numpy(), x, axes.value.get(x.shape[1]), width)
 
-        for batch in batches:
-            lists = {s: batch[f"{s}_rows"] for s in "lr"}
-            for k, same in enumerate(batch["same"].to_pylist()):
-                left = sequence(lists["l"][k].values)
-                right = left if same else sequence(lists["r"][k].values)
-                one, two = np.zeros(len(left.node), dtype=np.int64), np.zeros(len(right.node), dtype=np.int64)
-                a, b = [], []
-                for i, j in join(left, right, cosine, same):
-                    np.add.at(one, i, right.n[j])
-                    np.add.at(two, j, left.n[i])
-                    x, y = forest(left.node[i], right.node[j]) if len(i) else (i, j)
-                    a.append(x)
-                    b.append(y)
-                if not a:
-                    continue
-                x, y = forest(np.concatenate(a), np.concatenate(b))
-                if same:
-                    one, two = one + two, np.zeros(0, dtype=np.int64)
-                node, links = np.concatenate([left.node, right.node[: len(two)]]), np.concatenate([one, two])
-                on = links > 0
-                void = pa.nulls(int(on.sum()), pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array(node[on]), pa.array(links[on]), void], names=["node", "links", "other"])
-                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()), pa.nulls(len(x), pa.int64()), pa.array(y, pa.int64())], names=["node", "links", "other"])
-
-    found = saved(pairs.select("l_rows", "r_rows", "same").mapInArrow(compare, "node long, links long, other long"), "links")
+        known: tuple = ()
+        for l_row, r_row, same in met(batches, ["rows"]):
+            if not known or known[0] is not l_row:
+                known = l_row, sequence(l_row[0].values)
+            left = known[1]
+            right = left if same else sequence(r_row[0].values)
+            one, two = np.zeros(len(left.node), dtype=np.int64), np.zeros(len(right.node), dtype=np.int64)
+            a, b = [], []
+            for i, j in join(left, right, cosine, same):
+                np.add.at(one, i, right.n[j])
+                np.add.at(two, j, left.n[i])
+                x, y = forest(left.node[i], right.node[j]) if len(i) else (i, j)
+                a.append(x)
+                b.append(y)
+            if not a:
+                continue
+            x, y = forest(np.concatenate(a), np.concatenate(b))
+            if same:
+                one, two = one + two, np.zeros(0, dtype=np.int64)
+            node, links = np.concatenate([left.node, right.node[: len(two)]]), np.concatenate([one, two])
+            on = links > 0
+            void = pa.nulls(int(on.sum()), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(node[on]), pa.array(links[on]), void], names=["node", "links", "other"])
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()), pa.nulls(len(x), pa.int64()), pa.array(y, pa.int64())], names=["node", "links", "other"])
+
+    found = saved(pairs.mapInArrow(compare, "node long, links long, other long"), "links")
     roots = components(found.where("other is not null").select(F.col("node").alias("a"), F.col("other").alias("b")))
     links = found.where("other is null").groupBy("node").agg(F.sum("links").alias("links"))
     rooted = groups.select("node", "d1", "d2", "low", "n").join(roots, "node", "left").join(links, "node", "left")
