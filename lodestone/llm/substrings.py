@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, saved
+from .common import WORD, partitions
 
 #: Words that a paragraph of units has at least, so that a passage of over 50 words has one wherever it stands.
 MIN_WORDS = 25
@@ -103,28 +103,93 @@ def paragraphs(texts: list[str], min_words: int) -> tuple[np.ndarray, ...]:
     return doc[s], start[s] - base[doc[s]], end, *digests
 
 
-def repeated_spans(docs: DataFrame, min_words: int) -> DataFrame:
-    """Rows (__rid, __spans): of each document that loses any, the spans that go, array<struct<start, end>>, apart and in order."""
+#: What is known of a paragraph, and its bytes in a row.
+KINDS = {"d1": "<i8", "d2": "<i4", "start": "<i4", "end": "<i4"}
+
+
+def later(d1: np.ndarray, d2: np.ndarray, void: np.ndarray, key: np.ndarray, rid: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """Whether each paragraph has the digest of one that comes before it by (void, key, rid, start)."""
+    out = np.zeros(len(d1), dtype=bool)
+    order = np.argsort(d1, kind="stable")
+    twin = np.zeros(len(d1) + 1, dtype=bool)
+    twin[1:-1] = d1[order][1:] == d1[order][:-1]
+    own = order[twin[1:] | twin[:-1]]  # few have a twin: only those are put in full order
+    own = own[np.lexsort((start[own], rid[own], key[own], void[own], d2[own], d1[own]))]
+    if len(own):
+        fresh = np.concatenate([[True], (d1[own][1:] != d1[own][:-1]) | (d2[own][1:] != d2[own][:-1])])
+        first = own[np.maximum.accumulate(np.where(fresh, np.arange(len(own)), 0))]
+        out[own] = (rid[own] != rid[first]) | (start[own] != start[first]) | (key[own] != key[first]) | (void[own] != void[first])
+    return out
+
+
+def repeated(docs: DataFrame, min_words: int) -> DataFrame:
+    """Rows (__rid, start, end), the paragraphs of ``docs`` (__rid, __key, __void, text) that come later than their like.
+
+    Those that come later in the same block of texts are told at once, so that of a passage in any share of all
+    documents one row a block goes on. Digests travel packed, dealt by their rest, a bucket of them to a row for each
+    block, and a bucket is compared at a time.
+    """
+    spread = 2 * partitions(docs.sparkSession)
+    names = [*KINDS, "docs", "times"]
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = [t or "" for t in batch["text"].to_pylist()]
+            rid, key, void = (batch[c].to_numpy(zero_copy_only=False) for c in ("__rid", "__key", "__void"))
             heavy = np.cumsum([len(t) for t in texts]) // BLOCK if texts else np.zeros(0, int)
             for part in np.unique(heavy):
                 first, n = int(np.searchsorted(heavy, part)), int((heavy == part).sum())
                 doc, start, end, d1, d2 = paragraphs(texts[first : first + n], min_words)
-                own = pa.array(doc + first)
-                columns = [batch["__rid"].take(own), batch["__id"].take(own), *[pa.array(x.astype(np.int32)) for x in (start, end)], pa.array(d1), pa.array(d2)]
-                yield pa.RecordBatch.from_arrays(columns, names=["__rid", "__id", "start", "end", "d1", "d2"])
-
-    kind = docs.select("__id").schema[0].dataType.simpleString()
-    units = docs.select("__rid", "__id", "text").mapInArrow(cut, f"__rid long, __id {kind}, start int, end int, d1 long, d2 long")
-    units = saved(units, "units")
-    place = F.struct(F.col("__id").isNull().alias("void"), F.col("__id").alias("id"), F.col("__rid").alias("rid"), F.col("start").alias("at"))
-    first = units.groupBy("d1", "d2").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("times")).where("times > 1")
-    # written, so that the join has plain exchanges on both sides and a very common paragraph's rows can be split over tasks
-    first = saved(first.select("d1", "d2", F.col("first.rid").alias("rid"), F.col("first.at").alias("at")), "first")
-    later = units.join(first, ["d1", "d2"]).where((F.col("rid") != F.col("__rid")) | (F.col("at") != F.col("start"))).select("__rid", "start", "end")
+                if not len(doc):
+                    continue
+                doc = doc + first
+                sure = later(d1, d2 >> np.int64(32), void[doc], key[doc], rid[doc], start)
+                bucket = np.where(sure, spread, (d1.view(np.uint64) % np.uint64(spread)).astype(np.int64))
+                order = np.lexsort((doc, bucket))
+                doc, columns = doc[order], [x[order].astype(t) for x, t in zip((d1, d2 >> np.int64(32), start, end), KINDS.values(), strict=True)]
+                at = np.searchsorted(bucket[order], np.arange(spread + 2))
+                rows = []
+                for b in np.nonzero(np.diff(at))[0]:
+                    own = slice(at[b], at[b + 1])
+                    who, times = np.unique(doc[own], return_counts=True)
+                    packed = np.stack([rid[who], key[who], void[who].astype(np.int64)], axis=1).astype("<i8")
+                    # what is sure goes to any bucket
+                    rows.append((int(b) if b < spread else int(d1[0] % spread), b == spread, *[x[own].tobytes() for x in columns], packed.tobytes(), times.astype("<u4").tobytes()))
+                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([bool(r[1]) for r in rows], pa.bool_()), *[pa.array([r[i] for r in rows], pa.binary()) for i in range(2, 8)]], names=["bucket", "sure", *names])
+
+    def unpacked(row: dict) -> list[np.ndarray]:
+        out = [np.frombuffer(row[c], t) for c, t in KINDS.items()]
+        of = np.repeat(np.frombuffer(row["docs"], "<i8").reshape(-1, 3), np.frombuffer(row["times"], "<u4"), axis=0)
+        return [*out, of[:, 0], of[:, 1], of[:, 2]]
+
+    def spans(rows: list[list[np.ndarray]], sure: bool) -> pa.RecordBatch:
+        d1, d2, start, end, rid, key, void = (np.concatenate(x) for x in zip(*rows, strict=True))
+        on = slice(None) if sure else later(d1, d2, void, key, rid, start)
+        return pa.RecordBatch.from_arrays([pa.array(x[on]) for x in (rid, start, end)], names=["__rid", "start", "end"])
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, rows = None, []
+        for batch in batches:
+            for i in range(len(batch)):
+                row = {c: batch[c][i].as_py() for c in ("bucket", "sure", *names)}
+                if row["sure"]:
+                    yield spans([unpacked(row)], True)
+                    continue
+                if row["bucket"] != now and rows:
+                    yield spans(rows, False)
+                    rows = []
+                now = row["bucket"]
+                rows.append(unpacked(row))
+        if rows:
+            yield spans(rows, False)
+
+    packed = docs.mapInArrow(cut, "bucket int, sure boolean, " + ", ".join(f"{c} binary" for c in names))
+    return packed.repartition(spread, "bucket").sortWithinPartitions("bucket").mapInArrow(compare, "__rid long, start int, end int")
+
+
+def repeated_spans(docs: DataFrame, min_words: int) -> DataFrame:
+    """Rows (__rid, __spans): of each document that loses any, the spans that go, array<struct<start, end>>, apart and in order."""
+    later = repeated(docs, min_words)
     # a document's own spans: those that meet are one
     order = Window.partitionBy("__rid").orderBy("start", "end")
     before = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
@@ -138,7 +203,7 @@ def drop_repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
 
     A unit ends at a line's or a sentence's end, or after a word that its hash chooses; a paragraph is the fewest units
     with ``min_words`` words, from each unit on and up to each unit. Paragraphs are compared in lower case and by single spaces. The one that
-    comes first by (doc_id, position), null ids last, stays; all later ones go. Shorter repeats stay. Repeats inside
+    comes first by (doc_id, position), null ids last, stays; all later ones go. Ids that are no integers rank by hash. Shorter repeats stay. Repeats inside
     one document count like those in another. So a removed word always stands, amid the same paragraph, in an earlier
     place that stays. Null text stays null and empty text empty, ``removed`` is then empty. Of rows that are equal in
     doc_id and text one is the first, and the others lose all of their text if it has ``min_words`` words. Other
@@ -146,7 +211,10 @@ def drop_repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """
     keep = [c for c in docs.columns if c != "removed"]
     key = F.xxhash64(F.col("doc_id").isNull(), "doc_id", "text")
-    spans = repeated_spans(docs.select(key.alias("__rid"), F.col("doc_id").alias("__id"), "text"), min_words)
+    rank = F.col("doc_id").cast("long") if dict(docs.dtypes)["doc_id"] in ("tinyint", "smallint", "int", "bigint") else F.xxhash64("doc_id")
+    void = F.col("doc_id").isNull()
+    ranked = docs.select(key.alias("__rid"), F.coalesce(rank, F.lit(0)).alias("__key"), void.alias("__void"), "text")
+    spans = repeated_spans(ranked, min_words)
     met = docs.select(*keep, key.alias("__rid")).join(spans, "__rid", "left")
     nth = F.row_number().over(Window.partitionBy("__rid").orderBy("__rid"))
     again = (nth > 1) & (F.regexp_count("text", F.lit(WORD)) >= min_words)
