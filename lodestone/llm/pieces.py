@@ -15,8 +15,6 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 #: Base of the substring hashes, which are polynomials in it modulo 2^64.
 BASE = 0x9E3779B97F4A7C15
-#: Words of BPE models longer than this are merged one by one with a heap, which is exact too.
-LONG = 64
 #: Pair verdicts that a Python worker remembers; beyond it, it forgets them all.
 REMEMBERED = 2_000_000
 
@@ -26,7 +24,8 @@ class Pieces:
 
     A unigram model's words get the segmentation of the largest sum of scores. A BPE model's must be those that its
     merges make, which no sum of scores gives; but a sequence is that of the merges exactly when each two neighbours
-    are, so the same search runs with 0 for pairs that merges leave apart and minus infinity for all others.
+    are, so the same search runs with 0 for pairs that merges leave apart and minus infinity for all others. Whether
+    they do is found by merging the two pieces' text alone (``merges``), once for each pair of pieces.
     """
 
     def __init__(self, pieces: list[tuple[str, float, int]], bpe: bool, prefix: bool = True):
@@ -186,11 +185,7 @@ class Pieces:
             step = max(1, 400_000 // (n * min(n, self.longest)))
             for k in range(0, len(all_at), step):
                 at = np.array(all_at[k : k + step])
-                if self.bpe and n > LONG:
-                    each = [[t for s in self.merged(words[i]) for t in ([self.ids[s]] if s in self.ids else self.spell(s))] for i in at]
-                    length, ids = np.array([len(x) for x in each]), np.array([t for x in each for t in x])
-                else:
-                    length, ids = self.follow([words[i] for i in at], n)
+                length, ids = self.follow([words[i] for i in at], n)
                 count[at] = length
                 parts.append((at, length, ids))
         start = np.concatenate([[0], np.cumsum(count)])
