@@ -78,7 +78,7 @@ def balance(classes: DataFrame, goals: DataFrame, most: int = MOST, tolerance: f
         state = saved(new.drop("taken", "slope"), "tilts")
         if state.where("not done").isEmpty():
             return state
-    return state
+    raise RuntimeError(f"tilts did not settle in {rounds} rounds")
 
 
 def whole_copies(classes: DataFrame, state: DataFrame, most: int = MOST, near: float = 5e-4, rounds: int = 40) -> DataFrame:
@@ -105,7 +105,7 @@ def whole_copies(classes: DataFrame, state: DataFrame, most: int = MOST, near: f
             return now
         hit = F.col("c.source").eqNullSafe(F.col("g.source")) & (F.col("c.size") == F.col("g.size"))
         now = saved(now.alias("c").join(move.alias("g"), hit, "left").select("c.source", "c.size", "c.n", "c.target", (F.col("c.copies") + F.coalesce("g.by", F.lit(0))).alias("copies")), "copies")
-    return now
+    raise RuntimeError(f"copies did not come near their targets in {rounds} rounds")
 
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST) -> DataFrame:
@@ -144,10 +144,12 @@ def mixed(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST)
     Rows that are equal in doc_id, source and size share their copies: as many in all as the mix gives them together.
     """
     sizes_of = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
-    taken = mix(docs, weights, most).groupBy("doc_id", "source", "size").agg(F.sum("copies").alias("sum"), F.count(F.lit(1)).alias("rows")).select(F.col("doc_id").alias("__id"), F.col("source").alias("__source"), F.col("size").alias("__of"), "sum", "rows")
+    taken = mix(docs.select("doc_id", "source", "text"), weights, most).groupBy("doc_id", "source", "size").agg(F.sum("copies").alias("__sum"), F.count(F.lit(1)).alias("__rows"))
+    taken = taken.select(F.col("doc_id").alias("__id"), F.col("source").alias("__source"), F.col("size").alias("__of"), "__sum", "__rows")
     keyed = docs.withColumn("__size", sizes_of)
     met = keyed.join(taken, F.col("doc_id").eqNullSafe(F.col("__id")) & F.col("source").eqNullSafe(F.col("__source")) & (F.col("__size") == F.col("__of")))
-    alone = met.where("rows = 1").select(*docs.columns, F.col("sum").alias("__copies"))
+    alone = met.where("__rows = 1").select(*docs.columns, F.col("__sum").alias("__copies"))
     nth = F.row_number().over(Window.partitionBy("__id", "__source", "__of").orderBy("text"))
-    again = met.where("rows > 1").withColumn("__copies", F.floor((nth * F.col("sum")) / F.col("rows")) - F.floor(((nth - 1) * F.col("sum")) / F.col("rows"))).select(*docs.columns, "__copies")
+    upto = lambda n: F.floor((n * F.col("__sum")) / F.col("__rows"))
+    again = met.where("__rows > 1").withColumn("__copies", upto(nth) - upto(nth - 1)).select(*docs.columns, "__copies")
     return alone.unionByName(again).select(*docs.columns, F.explode(F.array_repeat(F.lit(0), F.col("__copies").cast("int"))).alias("__again")).select(*docs.columns)
