@@ -67,4 +67,52 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_pages, op2_mixing, op3_ratings, op4_passages, op5_pieces, op6_toxicity, op7_simhash, op8_vectors, op9_language, op10_rules)
 }
 
-ORACLE_SQL: dict[str, str] = {}
+WORDS = r"list_filter(regexp_split_to_array(t, '[\x20\x09-\x0D]+'), lambda w: w <> '')"
+MEASURES = {"word_length": "word_chars / n_words", "symbol_share": "n_symbols / word_chars", "line_share": "n_dup_lines / n_lines", "repeat_share": "n_repeat_words / n_words", "n_words": "n_words", "word_chars": "word_chars", "n_lines": "n_lines"}
+
+
+def quartiles_sql(by: str) -> str:
+    """Quartiles of the sketches merged by ``by`` (columns with a comma after each, or nothing)."""
+    value = f"case when bin > -1000000 then 2 * pow({rules.GAMMA}, bin) / {1 + rules.GAMMA} else 0 end"
+    merged = f"(select {by} measure, bin, sum(n) n from sketch group by all)"
+    ranked = f"(select *, sum(n) over (partition by {by} measure order by bin) upto, sum(n) over (partition by {by} measure) docs from {merged})"
+    return f"select {by} measure, docs, " + ", ".join(f"min(case when 4 * upto >= {q} * docs then {value} end) q{q}" for q in (1, 2, 3)) + f" from {ranked} group by all"
+
+
+def shrunk_sql(own: str, wider: str, by: str) -> str:
+    on = "".join(f" and o.{c} is not distinct from x.{c}" for c in by.split())
+    drawn = ", ".join(f"(o.docs * o.q{q} + {rules.SHRINK} * x.q{q}) / (o.docs + {rules.SHRINK}) q{q}" for q in (1, 2, 3))
+    return f"select o.* exclude (q1, q2, q3), {drawn} from {own} o join {wider} x on o.measure = x.measure{on}"
+
+
+def fence_sql(k: str) -> str:
+    x, y, step = rules.SHARES[k]
+    spread = f"greatest(q3_{k} - q1_{k}, {step} / least(q2_{y}, {y}))"
+    return f"{x} / {y} <= q3_{k} + {rules.FENCE} * {spread}"
+
+
+WIDE = f"(q3_word_length - q1_word_length) * sqrt(greatest(1, q2_n_words / n_words)) * {rules.FENCE}"
+
+ORACLE_SQL: dict[str, str] = {
+    "op10_rules": rf"""
+with d as (select row_number() over () rid, doc_id, lang, source, coalesce(text, '') t from documents),
+w as (select *, {WORDS} words, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^ 	-]')) lines from d),
+wins as (select rid, i, array_to_string(words[i:i + {rules.WINDOW - 1}], ' ') win
+         from (select rid, words, unnest(range(1, len(words) - {rules.WINDOW - 2})) i from w)),
+again as (select rid, i from (select *, count(*) over (partition by rid, win) n from wins) where n > 1),
+covered as (select rid, count(distinct i + k) n from again, range({rules.WINDOW}) r(k) group by rid),
+m as (select w.rid, doc_id, lang, source, len(words) n_words, coalesce(list_sum(list_transform(words, lambda x: length(x))), 0)::bigint word_chars,
+      length(t) - length(translate(t, '{rules.SYMBOLS}', '')) n_symbols, len(lines) n_lines,
+      len(lines) - len(list_distinct(lines)) n_dup_lines, coalesce(c.n, 0) n_repeat_words
+      from w left join covered c on w.rid = c.rid),
+each as (select lang, source, unnest([{", ".join(f"struct_pack(measure := '{k}', x := ({v})::double)" for k, v in MEASURES.items())}], recursive := true) from m),
+sketch as (select lang, source, measure, case when x > 0 then ceil(ln(x) / ln({rules.GAMMA})) else -1000000 end bin, count(*) n
+           from each where x is not null and not isnan(x) group by all),
+own as ({quartiles_sql("lang, source,")}), of_lang as ({quartiles_sql("lang,")}), of_all as ({quartiles_sql("")}),
+lang_drawn as ({shrunk_sql("of_lang", "of_all", "")}), drawn as ({shrunk_sql("own", "lang_drawn", "lang")}),
+wide as (select lang, source, {", ".join(f"max(case when measure = '{k}' then q{q} end) q{q}_{k}" for k in MEASURES for q in (1, 2, 3))} from drawn group by all)
+select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 20 or 100 * n_repeat_words > 30 * n_words base_failed,
+  not (n_words < 20 or 100 * n_repeat_words > 30 * n_words) and coalesce(word_chars / n_words between q1_word_length - {WIDE} and q3_word_length + {WIDE}
+    and {" and ".join(fence_sql(k) for k in rules.SHARES)}, false) kept
+from m left join wide x on m.lang is not distinct from x.lang and m.source is not distinct from x.source""",
+}

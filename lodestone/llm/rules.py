@@ -10,18 +10,19 @@ from .common import saved
 SPACES = r"[\x20\x09-\x0D]+"
 SYMBOLS = "#*$%&|<>"
 WINDOW = 8
-#: Relative width of a sketch's bins: quantiles are right within 1 %.
-GAMMA = 1.02
-#: Documents that a group needs for thresholds of its own; smaller ones use their language's, then all documents'.
-LEAST = 100
-#: A value passes up to FENCE times the spread of the middle half beyond its quartile.
+#: Width of a sketch's bins: quantiles are right within a quarter of a percent.
+GAMMA = 1.005
+#: A group's quantiles count as its documents do, those of all documents of its language as this many.
+SHRINK = 30
+#: A value passes up to FENCE times the spread beyond its quartile.
 FENCE = 3.0
-#: measure: (spread at least, whether low values fail too)
-MEASURES = {"word_length": (1.0, True), "symbol_share": (0.05, False), "line_share": (0.02, False), "repeat_share": (0.10, False)}
+#: measure: (numerator, denominator, steps in which the numerator grows). Its values are sketched, and its denominators.
+SHARES = {"symbol_share": ("n_symbols", "word_chars", 1), "line_share": ("n_dup_lines", "n_lines", 1), "repeat_share": ("n_repeat_words", "n_words", WINDOW)}
+SKETCHED = ("word_length", *SHARES, "n_words", "word_chars", "n_lines")
 
 
 def measure(docs: DataFrame) -> DataFrame:
-    """(doc_id, lang, source, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed) of whole texts."""
+    """(doc_id, lang, source, n_words, word_chars, n_symbols, n_lines, n_dup_lines, n_repeat_words, base_failed) of whole texts."""
     text = F.coalesce("text", F.lit(""))
     step = docs.select("doc_id", "lang", "source", text.alias("t"))
     lines = F.filter(F.split("t", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
@@ -33,7 +34,9 @@ def measure(docs: DataFrame) -> DataFrame:
         F.transform(F.filter(F.split("t", SPACES), lambda w: w != ""), lambda w: F.xxhash64(w)).alias("words"),
     )
     wins = F.when(F.size("words") >= WINDOW, F.transform(F.sequence(F.lit(1), F.size("words") - WINDOW + 1), lambda i: F.xxhash64(F.slice("words", i, WINDOW))))
-    step = step.select("doc_id", "lang", "source", "word_chars", "n_symbols", F.size("words").cast("long").alias("n_words"), (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"), wins.alias("wins"))
+    again = F.size("lines") - F.size(F.array_distinct("lines"))
+    counts = [F.size("words").cast("long").alias("n_words"), F.size("lines").cast("long").alias("n_lines"), again.cast("long").alias("n_dup_lines")]
+    step = step.select("doc_id", "lang", "source", "word_chars", "n_symbols", *counts, wins.alias("wins"))
     # few texts repeat a window: only those sort theirs
     placed = F.when(F.size(F.array_distinct("wins")) < F.size("wins"), F.sort_array(F.transform("wins", lambda h, i: F.struct(h.alias("h"), i.alias("i")))))
     step = step.withColumn("placed", placed).drop("wins")
@@ -45,12 +48,12 @@ def measure(docs: DataFrame) -> DataFrame:
     covered = F.coalesce(F.aggregate(spread, F.lit(0), lambda s, x: s + x), F.lit(0)).cast("long")
     step = step.withColumn("n_repeat_words", covered).drop("at")
     failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
-    return step.select("doc_id", "lang", "source", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"))
+    return step.select("doc_id", "lang", "source", "n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"))
 
 
 def values() -> dict[str, Column]:
-    words = F.nullif(F.col("n_words"), F.lit(0))
-    return {"word_length": F.col("word_chars") / words, "symbol_share": F.col("n_symbols") / words, "line_share": F.col("n_dup_lines") / words, "repeat_share": F.col("n_repeat_words") / words}
+    of = lambda x, y: F.col(x) / F.nullif(F.col(y), F.lit(0))
+    return {"word_length": of("word_chars", "n_words"), **{k: of(x, y) for k, (x, y, _) in SHARES.items()}, **{c: F.col(c).cast("double") for c in ("n_words", "word_chars", "n_lines")}}
 
 
 def sketches(measured: DataFrame) -> DataFrame:
@@ -64,46 +67,62 @@ def sketches(measured: DataFrame) -> DataFrame:
     return each.groupBy("lang", "source", "measure", bin_of.alias("bin")).agg(F.count(F.lit(1)).alias("n"))
 
 
-def fences(sketch: DataFrame, by: list[str]) -> DataFrame:
-    """Sketches merged by the columns ``by``, to one row a group: docs, and low and high of each measure."""
+def quartiles(sketch: DataFrame, by: list[str]) -> DataFrame:
+    """Sketches merged by the columns ``by``: docs, and q1, q2 and q3 of each measure, a row for each group and measure."""
     merged = sketch.groupBy(*by, "measure", "bin").agg(F.sum("n").alias("n"))
     group = Window.partitionBy(*by, "measure")
     ranked = merged.withColumn("upto", F.sum("n").over(group.orderBy("bin"))).withColumn("all", F.sum("n").over(group))
     value = F.when(F.col("bin") > -1_000_000, 2 * F.pow(F.lit(GAMMA), F.col("bin")) / (1 + GAMMA)).otherwise(F.lit(0.0))
-    quartile = lambda q: F.min(F.when(4 * F.col("upto") >= q * F.col("all"), value))
-    four = ranked.groupBy(*by, "measure").agg(F.max("all").alias("docs"), quartile(1).alias("q1"), quartile(3).alias("q3"))
-    least = F.create_map(*[F.lit(y) for k, (s, _) in MEASURES.items() for y in (k, s)])
-    spread = F.greatest(F.col("q3") - F.col("q1"), least[F.col("measure")])
-    four = four.withColumn("low", F.col("q1") - FENCE * spread).withColumn("high", F.col("q3") + FENCE * spread)
-    of = lambda k, c: F.max(F.when(F.col("measure") == k, F.col(c)))
-    return four.groupBy(*by).agg(F.max("docs").alias("docs"), *[of(k, c).alias(f"{c}_{k}") for k in MEASURES for c in ("low", "high")])
+    return ranked.groupBy(*by, "measure").agg(F.max("all").alias("docs"), *[F.min(F.when(4 * F.col("upto") >= q * F.col("all"), value)).alias(f"q{q}") for q in (1, 2, 3)])
+
+
+def shrunk(own: DataFrame, wider: DataFrame, on: list[str]) -> DataFrame:
+    """``own`` with its quartiles drawn to those of the wider group: weights docs and SHRINK."""
+    names = [c for c in own.columns if c not in ("q1", "q2", "q3")]
+    right = wider.select(*[F.col(c).alias(f"__{c}") for c in on], *[F.col(q).alias(f"__{q}") for q in ("q1", "q2", "q3")])
+    same = F.lit(True)
+    for c in on:
+        same = same & F.col(c).eqNullSafe(F.col(f"__{c}"))
+    drawn = [((F.col("docs") * F.col(q) + SHRINK * F.col(f"__{q}")) / (F.col("docs") + SHRINK)).alias(q) for q in ("q1", "q2", "q3")]
+    return own.join(right, same).select(*names, *drawn)
 
 
 def thresholds(sketch: DataFrame) -> DataFrame:
-    """One row for each language and source; groups under ``LEAST`` documents get their language's, or all documents'."""
-    names = [f"{c}_{k}" for k in MEASURES for c in ("low", "high")]
-    own, lang, every = fences(sketch, ["lang", "source"]), fences(sketch, ["lang"]), fences(sketch, [])
-    lang, every = lang.select(F.col("lang").alias("__lang"), F.struct("docs", *names).alias("l")), every.select(F.struct(*names).alias("e"))
-    met = own.join(lang, F.col("lang").eqNullSafe(F.col("__lang"))).join(F.broadcast(every))  # one row
-    pick = lambda c: F.when(F.col("docs") >= LEAST, F.col(c)).when(F.col("l.docs") >= LEAST, F.col(f"l.{c}")).otherwise(F.col(f"e.{c}")).alias(c)
-    return met.select(F.col("lang").alias("__lang"), F.col("source").alias("__source"), *[pick(c) for c in names])
+    """One row for each language and source: q1, q2 and q3 of each measure, drawn to its language's, and these to all's."""
+    by_lang = shrunk(quartiles(sketch, ["lang"]), quartiles(sketch, []), ["measure"])
+    both = shrunk(quartiles(sketch, ["lang", "source"]), by_lang, ["lang", "measure"])
+    of = lambda k, q: F.max(F.when(F.col("measure") == k, F.col(q))).alias(f"{q}_{k}")
+    wide = both.groupBy("lang", "source").agg(*[of(k, q) for k in SKETCHED for q in ("q1", "q2", "q3")])
+    return wide.withColumnsRenamed({"lang": "__lang", "source": "__source"})
+
+
+def passes() -> Column:
+    """Whether a document that has words lies within the fences of its group.
+
+    A fence is FENCE spreads beyond a quartile. The spread of the mean length of words is that between the quartiles,
+    for texts shorter than the median one wider by the root of how much; that of a share is the same, or a step of its
+    numerator in the median text, or in the text itself if that is shorter.
+    """
+    length = values()["word_length"]
+    wide = (F.col("q3_word_length") - F.col("q1_word_length")) * F.sqrt(F.greatest(F.lit(1.0), F.try_divide(F.col("q2_n_words"), F.col("n_words").cast("double"))))
+    good = length.between(F.col("q1_word_length") - FENCE * wide, F.col("q3_word_length") + FENCE * wide)
+    for k, (_, y, step) in SHARES.items():
+        spread = F.greatest(F.col(f"q3_{k}") - F.col(f"q1_{k}"), F.try_divide(F.lit(float(step)), F.least(F.col(f"q2_{y}"), F.col(y).cast("double"))))
+        good = good & (values()[k] <= F.col(f"q3_{k}") + FENCE * spread)
+    return good
 
 
 def judge(docs: DataFrame) -> DataFrame:
     """One row for each row of ``docs``: doc_id, lang, source, the base counts, base_failed, kept.
 
-    kept is false where base_failed is true, and else where a measure (characters a word; symbols, repeated lines and
-    repeated words for each word) lies beyond the fences that the quartiles of its language and source set. Null lang
-    and null source are groups of their own. Null, empty and blank texts have no words and fail. Repeated rows count and
-    are judged each. An empty table gives no rows. Other columns are ignored.
+    kept is false where base_failed is true, and else where a measure (characters a word; symbols for each character;
+    repeated lines of all; repeated words of all) lies beyond the fences that the sketches of its language and source
+    set. A small group's are drawn to its language's, by how few its documents are. Null lang and null source are groups
+    of their own. Null, empty and blank texts have no words and fail. Repeated rows count and are judged each. An empty
+    table gives no rows. Other columns are ignored.
     """
     measured = saved(measure(docs), "measured")
     limits = thresholds(saved(sketches(measured), "sketches"))
     met = measured.join(limits, F.col("lang").eqNullSafe(F.col("__lang")) & F.col("source").eqNullSafe(F.col("__source")), "left")
-    good = F.lit(True)
-    for k, v in values().items():
-        good = good & (v <= F.col(f"high_{k}"))
-        if MEASURES[k][1]:
-            good = good & (v >= F.col(f"low_{k}"))
-    kept = ~F.col("base_failed") & F.coalesce(good, F.lit(False))
+    kept = ~F.col("base_failed") & F.coalesce(passes(), F.lit(False))
     return met.select("doc_id", "lang", "source", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", kept.alias("kept"))

@@ -57,6 +57,43 @@ def test_mixing_meets_targets(docs, empty, rows):
     assert sorted(map(tuple, got.fillna(-1).astype(str).to_numpy())) == sorted(map(tuple, again.fillna(-1).astype(str).to_numpy()))
     assert mixing.mix(empty).count() == 0
     assert mixing.mixed(docs).count() == got["copies"].sum()
+    named = docs.withColumnsRenamed({"copies": "rows", "score": "sum"})
+    assert mixing.mixed(named).columns == named.columns
+    with pytest.raises(RuntimeError):
+        mixing.balance(mixing.sizes(docs).groupBy("source", "size").count().withColumnRenamed("count", "n"), mixing.targets(mixing.sizes(docs)), rounds=1)
+
+
+def test_targets_and_tilts_against_brute_force(docs, rows):
+    by = {}
+    for r in rows:
+        by.setdefault(r[3], []).append(len(words(r[1])))
+    order = sorted(by, key=lambda s: (s is None, s or ""))
+    weight = {s: (5, 2, 1)[i % 3] for i, s in enumerate(order)}
+    target, full = {}, set()
+    while True:  # share again what is above three times a source
+        left = sum(map(sum, by.values())) - sum(target[s] for s in full)
+        open_ = sum(weight[s] for s in order if s not in full)
+        target |= {s: left * weight[s] / open_ for s in order if s not in full}
+        over = {s for s in order if s not in full and target[s] > 3 * sum(by[s])}
+        if not over:
+            break
+        target |= {s: 3 * sum(by[s]) for s in over}
+        full |= over
+    sized = mixing.sizes(docs)
+    goals = mixing.targets(sized)
+    got = {r["source"]: r for r in goals.collect()}
+    assert {s: (got[s]["source_size"], round(got[s]["target"], 6)) for s in by} == {s: (sum(by[s]), round(target[s], 6)) for s in by}
+    tilts = mixing.balance(sized.groupBy("source", "size").count().withColumnRenamed("count", "n"), goals).collect()
+    for r in tilts:
+        x = np.array([n for n in by[r["source"]] if n], dtype=float)
+        if r["source"] in full or not len(x):
+            continue
+        lo, hi = -50.0, 50.0  # words taken grow with the tilt: bisection
+        for _ in range(200):
+            mid = (lo + hi) / 2
+            taken = (np.minimum(3, np.exp(np.minimum(50, mid * x / x.mean()))) * x).sum()
+            lo, hi = (mid, hi) if taken < target[r["source"]] else (lo, mid)
+        assert abs((np.minimum(3, np.exp(np.minimum(50, r["tilt"] * x / x.mean()))) * x).sum() - target[r["source"]]) < 1 and abs(r["tilt"] - lo) < 0.05
 
 
 def naive_spans(rows, min_words):
@@ -135,7 +172,7 @@ def test_pieces_match_the_library_and_decode(docs, rows):
     import sentencepiece
 
     sp = sentencepiece.SentencePieceProcessor(model_file=pieces.MODEL)
-    texts = [r[1] or "" for r in rows] + ["  two  spaces ", "naïve 日本語 \U0001f600 x\ty\r\n", "a" * 300, "\n\n", "1234567890 == [] {}"]
+    texts = [r[1] or "" for r in rows] + ["  two  spaces ", "naïve 日本語 \U0001f600 x\ty\r\n", "a" * 300, "".join(random.Random(5).choice("thecation") for _ in range(3000)), "\n\n", "1234567890 == [] {}"]
     model = pieces.Pieces.load()
     ids, at = model.encode(texts)
     for i, t in enumerate(texts):
@@ -270,12 +307,31 @@ def test_rules_count_as_told(docs, empty, rows):
         many = {x for x in wins if wins.count(x) > 1} if len(wins) < 1000 else set(wins)
         covered = {i + k for i, x in enumerate(wins) if x in many for k in range(8)}
         assert (g["n_words"], g["word_chars"], g["n_repeat_words"]) == (len(w), sum(map(len, w)), len(covered))
+        lines = [x for x in (r[1] or "").split("\n") if words(x)]
+        assert (g["n_symbols"], g["n_dup_lines"]) == (sum(c in "#*$%&|<>" for c in r[1] or ""), len(lines) - len(set(lines)))
         assert g["base_failed"] == (len(w) < 20 or 100 * len(covered) > 30 * len(w))
         assert not (g["base_failed"] and g["kept"])
     assert sum(got[i]["kept"] for i in range(120)) >= 115
     assert rules.judge(empty).count() == 0
 
 
+def test_each_measure_rejects_an_outlier_that_passes_the_base_rules(spark):
+    rng = random.Random(3)
+    vocabulary = ["".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 9))) for _ in range(400)]
+    text = lambda n: "\n".join(" ".join(rng.choice(vocabulary) for _ in range(12)) for _ in range(n // 12))
+    rows = [(i, text(240), "en", f"s{i % 3}") for i in range(300)]
+    rows += [(1000, text(240) + " # $ % #" * 3, "en", "s0"), (1001, "\n".join([text(12)] * 5 + [text(12) for _ in range(5)]).replace(" ", "  "), "en", "s1")]
+    line = text(12)
+    rows += [(1002, "\n".join([text(24), line, text(24), line, text(24), line, text(24), line, text(96)]), "en", "s0")]
+    window = text(36).replace("\n", " ")
+    rows += [(1003, f"{window} x {window} " + text(180).replace("\n", " "), "en", "s1"), (1004, " ".join(w * 3 for w in text(240).split()), "en", "s2"), (1005, text(240), "fi", None), (1006, text(24), "en", "s2")]
+    got = {r["doc_id"]: r for r in rules.judge(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
+    assert sum(got[i]["kept"] for i in range(300)) >= 297
+    for i in (1000, 1002, 1003, 1004):
+        assert not got[i]["base_failed"] and not got[i]["kept"], i
+    assert got[1005]["kept"] and got[1006]["kept"]
+
+
 PAGE = "<html><body class='has-sidebar'><nav><a href='/'>Home</a></nav><div><p>Breaking every day</p><div><h2>Title {0}</h2><p>Body&nbsp;{0}  text &amp; more<br>of it</p></div><p>Read our terms</p></div><div class='comments'><p>nice</p></div><script>x='</p>'</script><footer>(c)</footer></body></html>"
 
 
