@@ -8,7 +8,7 @@ import time
 
 from pyspark.sql import SparkSession
 
-from lodestone.plans.queries import QUERIES
+from lodestone.plans.catalogue import QUERIES
 
 HEADLINE = ["bars_weekly", "recent_bars", "returns", "moving_averages", "bollinger_bands", "volatility_and_volume", "recursive_indicators", "zscore_anomalies", "trading_calendar", "lexicon_sentiment", "keyword_topk", "vector_topk", "hybrid_rrf", "news_correlation", "graph_reachable", "position_values", "upsert_merge", "stream_tumbling"]
 

@@ -153,3 +153,8 @@ def updates(bars: DataFrame, benchmark: str, full_history: bool = False) -> Data
         return features(done, benchmark)
     read = done.withColumn("__n", F.row_number().over(newest)).where(F.col("__n") <= REWRITE + WARM_UP).drop("__n")
     return features(read, benchmark).withColumn("__n", F.row_number().over(newest)).where(F.col("__n") <= REWRITE).drop("__n")
+
+
+def window_start(last: Column, today: Column, first_load: int = 730, overlap: int = 5) -> Column:
+    """The day that a load begins at: some days before the last session that is there, two years back without any."""
+    return F.when(last.isNull(), F.date_sub(today, first_load)).otherwise(F.date_sub(last, overlap))

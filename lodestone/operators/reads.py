@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from datetime import date
+from datetime import date, timedelta
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -98,3 +98,138 @@ def candles(bars: DataFrame, chart: str, end: date | str, at: str = "session") -
     start = F.window(at, every)["start"] if " " in every else F.date_trunc(every, at)
     inside = bars.where((F.to_date(at) > F.date_sub(until, days)) & (F.to_date(at) <= until))
     return inside.groupBy("symbol", start.alias("start")).agg(F.min_by("open", at).alias("open"), F.max("high").alias("high"), F.min("low").alias("low"), F.max_by("close", at).alias("close"), F.sum("volume").alias("volume"))
+
+
+def normal(value: Column, upper: bool = True) -> Column:
+    """A symbol (upper case) or an address (lower case) as it is stored: trimmed, in one case."""
+    return F.upper(F.trim(value)) if upper else F.lower(F.trim(value))
+
+
+def lookup(df: DataFrame, column: str, wanted: list[str], upper: bool = True) -> DataFrame:
+    """Rows whose ``column`` is one of ``wanted``, however these are written."""
+    values = sorted({w.strip().upper() if upper else w.strip().lower() for w in wanted})
+    return df.where(F.col(column).isin(values))
+
+
+def exists(df: DataFrame, condition: Column) -> DataFrame:
+    """One row (found): whether any row meets the condition."""
+    return df.agg(F.coalesce(F.bool_or(condition), F.lit(False)).alias("found"))
+
+
+def named_like(df: DataFrame, text: str, columns: list[str], order: list[Column | str], limit: int = 20) -> DataFrame:
+    """Rows with ``text`` in one of the columns, whatever its case."""
+    hit = F.lit(False)
+    for c in columns:
+        hit = hit | F.coalesce(F.contains(F.lower(c), F.lit(text.strip().lower())), F.lit(False))
+    return df.where(hit).orderBy(*order).limit(limit)
+
+
+def stale(df: DataFrame, before: str, active: str = "is_active", last: str = "last_session") -> DataFrame:
+    """Active rows that have no last session, or one before a day."""
+    return df.where(F.col(active) & (F.col(last).isNull() | (F.col(last) < F.lit(before).cast("date"))))
+
+
+# fixed values: severities from the least to the worst
+LADDER = ["low", "medium", "high", "extreme"]
+
+
+def at_least(df: DataFrame, severity: str, column: str = "severity") -> DataFrame:
+    """Rows of a severity or a worse one."""
+    if severity not in LADDER:
+        raise ValueError(f"a severity is one of {', '.join(LADDER)}")
+    return df.where(F.col(column).isin(LADDER[LADDER.index(severity) :]))
+
+
+def newest(df: DataFrame, order: list[Column | str], limit: int) -> DataFrame:
+    if limit < 1:
+        raise ValueError("limit must be 1 or more")
+    return df.orderBy(*order).limit(limit)
+
+
+def news_window(news: DataFrame, since: str | None = None, until: str | None = None, tickers: list[str] | None = None, tags: list[str] | None = None, limit: int | None = None) -> DataFrame:
+    """Articles of a window that have any of the tickers and any of the tags, newest first; no bound or list means any."""
+    if since is not None:
+        news = news.where(F.col("published_at") >= F.lit(since).cast("timestamp_ntz"))
+    if until is not None:
+        news = news.where(F.col("published_at") <= F.lit(until).cast("timestamp_ntz"))
+    if tickers:
+        news = news.where(F.arrays_overlap(F.transform("tickers", F.upper), F.array(*[F.lit(t.strip().upper()) for t in tickers])))
+    if tags:
+        news = news.where(F.arrays_overlap("tags", F.array(*map(F.lit, tags))))
+    return news if limit is None else newest(news, [F.desc("published_at"), "article"], limit)
+
+
+def unscored(news: DataFrame, since: str, limit: int | None = None) -> DataFrame:
+    """Articles without a sentiment from a time on, oldest first: a queue that is empty once all are scored."""
+    queue = news.where(F.col("sentiment").isNull() & (F.col("published_at") >= F.lit(since).cast("timestamp_ntz")))
+    return queue if limit is None else newest(queue, ["published_at", "article"], limit)
+
+
+def window(start: date | None, end: date | None, today: date, default: int = 180, most: int = 730) -> tuple[date, date]:
+    """The window that is asked for, by default the last ``default`` days; inverted ones and longer ones than ``most`` days are errors."""
+    end = end or today
+    start = start or end - timedelta(days=default)
+    if start > end:
+        raise ValueError("the window ends before it starts")
+    if (end - start).days > most:
+        raise ValueError(f"a window has {most} days at most")
+    return start, end
+
+
+def trading_state(days: DataFrame, calendar: DataFrame) -> DataFrame:
+    """``days`` (exchange, day) with is_trading_day: true, false, or null where the calendar doesn't tell."""
+    return days.join(calendar.select("exchange", "day", "is_trading_day"), ["exchange", "day"], "left")
+
+
+def trading_day_before(days: DataFrame, calendar: DataFrame) -> DataFrame:
+    """``days`` (exchange, day) with the last trading day up to each: all days of an exchange are walked once, in order."""
+    marks = calendar.where("is_trading_day").select("exchange", "day", F.col("day").alias("open"), F.lit(0).alias("asked"))
+    asked = days.select("exchange", "day", F.lit(None).cast("date").alias("open"), F.lit(1).alias("asked"))
+    order = Window.partitionBy("exchange").orderBy("day", "asked")
+    return marks.unionByName(asked).withColumn("last_open", F.max("open").over(order)).where("asked = 1").select("exchange", "day", "last_open")
+
+
+def in_calendar(rows: DataFrame, calendar: DataFrame) -> DataFrame:
+    """Rows (exchange, session) of trading days; those of exchanges without a calendar all stay."""
+    has = calendar.select("exchange", F.lit(True).alias("__has")).distinct()
+    opens = calendar.where("is_trading_day").select("exchange", F.col("day").alias("session"), F.lit(True).alias("__open")).distinct()
+    met = rows.join(F.broadcast(has), "exchange", "left").join(opens, ["exchange", "session"], "left")  # a row an exchange
+    return met.where("__has is null or __open").drop("__has", "__open")
+
+
+def age_seconds(df: DataFrame, order: str, today: str) -> DataFrame:
+    """One row: the last completed ``order`` and its age in seconds, by whole days."""
+    return df.agg(F.max(order).alias("last")).select("last", (F.datediff(F.lit(today).cast("date"), "last") * 86_400).cast("long").alias("age_seconds"))
+
+
+def flag(df: DataFrame, members: DataFrame, key: str, name: str) -> DataFrame:
+    """``df`` with a column that tells whether ``members`` has the row's key."""
+    return df.join(members.select(key, F.lit(True).alias(name)).distinct(), key, "left").withColumn(name, F.coalesce(name, F.lit(False)))
+
+
+def breadth(quotes: DataFrame) -> DataFrame:
+    """One row: how many advance, decline and stay, the mean return, and what the market is called then.
+
+    ``up``: six in ten of those that move advance; ``down``: four in ten or fewer; else ``mixed``; ``flat`` if none moves.
+    """
+    r = F.col("daily_return")
+    counts = quotes.agg(F.count_if(r > 0).alias("advancers"), F.count_if(r < 0).alias("decliners"), F.count_if(r == 0).alias("unchanged"), F.round(F.avg(r), 6).alias("average_return"))
+    share = F.try_divide(F.col("advancers"), F.col("advancers") + F.col("decliners"))
+    return counts.withColumn("regime", F.when(share.isNull(), "flat").when(share >= 0.6, "up").when(share <= 0.4, "down").otherwise("mixed"))
+
+
+def next_position(items: DataFrame, lists: DataFrame, key: str) -> DataFrame:
+    """(key, next_position): one more than a list's last position, 0 for an empty list."""
+    last = items.groupBy(key).agg(F.max("position").alias("__last"))
+    return lists.join(last, key, "left").select(key, F.coalesce(F.col("__last") + 1, F.lit(0)).alias("next_position"))
+
+
+def recent_conversations(chat: DataFrame, limit: int) -> DataFrame:
+    """The conversations with the newest turns: (conv_id, last_turn, last_question)."""
+    by = chat.groupBy("conv_id").agg(F.max("turn").alias("last_turn"), F.max_by(F.when(F.col("role") == "user", F.col("text")), F.when(F.col("role") == "user", F.col("turn"))).alias("last_question"))
+    return by.orderBy(F.desc("last_turn"), "conv_id").limit(limit)
+
+
+def report(runs: DataFrame) -> DataFrame:
+    """Of runs (outcome, written): how many had each outcome, and what they wrote."""
+    return runs.groupBy("outcome").agg(F.count(F.lit(1)).alias("n"), F.sum("written").alias("written"))

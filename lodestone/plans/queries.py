@@ -285,11 +285,6 @@ def graph_subgraph(spark: SparkSession, d: str) -> DataFrame:
     return graph.subgraph(edges(spark, d), "Brand#1", 2, 0.9)
 
 
-@query()
-def graph_impact(spark: SparkSession, d: str) -> DataFrame:
-    return graph.propagate(edges(spark, d), "Brand#1", 1.0, hops=2, transmission=0.9, least=0.001)
-
-
 @query(f"with {EDGES} select kind, count(*) as edges, count(distinct source) as sources, count(distinct target) as targets from edges group by kind")
 def graph_stats(spark: SparkSession, d: str) -> DataFrame:
     return graph.stats(edges(spark, d))
