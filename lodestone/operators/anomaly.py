@@ -7,6 +7,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .reads import in_calendar
+
 #: Deviations of a normal distribution in one median absolute deviation.
 SCALE = 1.4826
 THRESHOLD = 3.0
@@ -17,10 +19,10 @@ FEATURES = {"daily_return": True, "volume_ratio": False, "volatility_20": True}
 
 def robust_z(df: DataFrame, value: str, *by: str) -> DataFrame:
     """``df`` with median, mad and z = (x - median) / (1.4826 mad) of each group, by exact medians; null where mad is 0."""
-    stats = df.groupBy(*by).agg(F.percentile(value, F.lit(0.5)).alias("median"), F.count(value).alias("n"))
-    near = df.join(stats, list(by)).withColumn("__off", F.abs(F.col(value) - F.col("median")))
-    mad = near.groupBy(*by).agg(F.percentile("__off", F.lit(0.5)).alias("mad"))
-    return near.drop("__off").join(mad, list(by)).withColumn("z", F.try_divide(F.col(value) - F.col("median"), SCALE * F.col("mad")))
+    group = Window.partitionBy(*by)  # both medians and the rows' own values share one shuffle
+    near = df.withColumn("median", F.percentile(value, F.lit(0.5)).over(group)).withColumn("n", F.count(value).over(group))
+    mad = F.percentile(F.abs(F.col(value) - F.col("median")), F.lit(0.5)).over(group)
+    return near.withColumn("mad", mad).withColumn("z", F.try_divide(F.col(value) - F.col("median"), SCALE * F.col("mad")))
 
 
 def severity(score: Column) -> Column:
@@ -31,10 +33,11 @@ def confidence(score: Column, threshold: float = THRESHOLD) -> Column:
     return F.when(score <= threshold, F.lit(0.0)).otherwise(1 - F.exp(-(score - threshold) / 2))
 
 
-def detect(observations: DataFrame, threshold: float = THRESHOLD, least: int = LEAST) -> DataFrame:
+def detect(observations: DataFrame, threshold: float = THRESHOLD, least: int = LEAST, context: bool = False) -> DataFrame:
     """Rows (symbol, session, feature, value, score, direction, severity, confidence) of |z| of ``threshold`` or more.
 
     Symbols with fewer than ``least`` observations of a feature have no baseline. The volume ratio counts upwards alone.
+    ``context``: with the median, the deviation and the number of observations as JSON.
     """
     names = list(FEATURES)
     long = observations.unpivot(["symbol", "session"], names, "feature", "value").where("value is not null")
@@ -43,7 +46,49 @@ def detect(observations: DataFrame, threshold: float = THRESHOLD, least: int = L
     out = scored.where((F.abs("z") >= threshold) & (signed | (F.col("z") > 0)))
     way = F.when(F.col("value") > 0, "up").when(signed & (F.col("value") < 0), "down").otherwise("neutral")
     score = F.abs("z")
-    return out.select("symbol", "session", "feature", F.round("value", 6).alias("value"), F.round(score, 6).alias("score"), way.alias("direction"), severity(score).alias("severity"), F.round(confidence(score), 6).alias("confidence"))
+    told = F.to_json(F.struct(F.round("median", 6).alias("median"), F.round("mad", 6).alias("mad"), F.col("n").alias("observations")))
+    return out.select(
+        "symbol", "session", "feature", F.round("value", 6).alias("value"), F.round(score, 6).alias("score"), way.alias("direction"),
+        severity(score).alias("severity"), F.round(confidence(score), 6).alias("confidence"), *([told.alias("context")] if context else []),
+    )
+
+
+#: Feature rows of a symbol that a run reads, and sessions that it reports.
+READ, LOOKBACK = 500, 30
+
+
+def prepared(observations: DataFrame, calendar: DataFrame, read: int = READ, least: int = LEAST, lookback: int = LOOKBACK) -> DataFrame:
+    """What a run works on: each symbol's last ``read`` rows, of trading days where its exchange has a calendar, with
+    ``reported``: whether a row is one of the last ``lookback``. Symbols with fewer than ``least`` rows, before or after
+    the calendar is asked, are left out. ``observations`` have a column exchange."""
+    newest = Window.partitionBy("symbol").orderBy(F.desc("session"))
+    every = Window.partitionBy("symbol")
+    some = observations.withColumn("__n", F.row_number().over(newest)).where(F.col("__n") <= read).withColumn("__all", F.count(F.lit(1)).over(every)).where(F.col("__all") >= least).drop("__n", "__all")
+    traded = in_calendar(some, calendar)
+    ranked = traded.withColumn("__n", F.row_number().over(newest)).withColumn("__all", F.count(F.lit(1)).over(every)).where(F.col("__all") >= least)
+    return ranked.withColumn("reported", F.col("__n") <= lookback).drop("__n", "__all")
+
+
+def run(observations: DataFrame, calendar: DataFrame, forest: bool = True, lookback: int = LOOKBACK) -> DataFrame:
+    """Findings of both detectors (method: zscore, isolation_forest) in the last ``lookback`` sessions; baselines are whole."""
+    read = prepared(observations, calendar, lookback=lookback)
+    recent = read.where("reported").select("symbol", "session")
+    found = detect(read).withColumn("method", F.lit("zscore"))
+    if forest:
+        lone = isolation_forest(read, ["daily_return", "volume_ratio", "volatility_20", "relative_strength"])
+        missing = {c: F.lit(None).cast(t) for c, t in found.dtypes if c not in lone.columns and c != "method"}
+        found = found.unionByName(lone.withColumns(missing).withColumns({"feature": F.lit("return"), "score": F.abs("decision"), "method": F.lit("isolation_forest")}).select(*found.columns))
+    return found.join(recent, ["symbol", "session"], "left_semi")
+
+
+def default_since(today: Column, sessions: Column) -> Column:
+    """The day from which so many sessions surely lie: weekends and holidays are allowed for."""
+    return F.date_sub(today, F.floor(sessions * 1.6).cast("int") + 7)
+
+
+def valid_anomalies(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    good = F.coalesce(F.col("confidence").between(0, 1), F.lit(False))
+    return rows.where(good), rows.where(~good)
 
 
 def depth(n: np.ndarray | float) -> np.ndarray:

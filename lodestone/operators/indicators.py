@@ -126,12 +126,52 @@ def smoothed(bars: DataFrame) -> DataFrame:
     return done.select("symbol", "session", *[F.nanvl(n, F.lit(None).cast("double")).alias(n) for n in names])
 
 
+def observations(bars: DataFrame) -> DataFrame:
+    """(symbol, session, daily_return, volume_ratio, volatility_20): one scan, and windows over one shuffle."""
+    r = bars.select("symbol", "session", "volume", change("adjusted_close", 1).alias("daily_return"))
+    every = F.count("daily_return").over(last(20)) == 20
+    ratio = full(F.try_divide(F.col("volume"), F.avg("volume").over(last(20))), 20).alias("volume_ratio")
+    return r.select("symbol", "session", "daily_return", ratio, F.when(every, F.stddev_samp("daily_return").over(last(20)) * F.sqrt(F.lit(float(YEAR)))).alias("volatility_20"))
+
+
+def windowed(bars: DataFrame) -> DataFrame:
+    """The bars' columns that ``smoothed`` reads, and all indicators that windows give, over one shuffle."""
+    moves = [change("adjusted_close", k).alias(n) for n, k in (("daily_return", 1), ("weekly_return", 5), ("monthly_return", 21))]
+    means = [full(F.avg("adjusted_close").over(last(p)), p).alias(f"sma_{p}") for p in (20, 50, 200)]
+    mean, spread = F.avg("adjusted_close").over(last(20)), F.stddev_pop("adjusted_close").over(last(20))
+    bands = [full(v, 20).alias(f"bollinger_{n}") for n, v in (("upper", mean + 2 * spread), ("middle", mean), ("lower", mean - 2 * spread))]
+    volumes = [full(F.avg("volume").over(last(20)), 20).alias("volume_sma_20"), full(F.try_divide(F.col("volume"), F.avg("volume").over(last(20))), 20).alias("volume_ratio")]
+    out = bars.select("symbol", "session", "adjusted_close", "high", "low", "close", *moves, *means, *bands, *volumes)
+    every = F.count("daily_return").over(last(20)) == 20
+    return out.withColumn("volatility_20", F.when(every, F.stddev_samp("daily_return").over(last(20)) * F.sqrt(F.lit(float(YEAR)))))
+
+
+def unrounded(bars: DataFrame, benchmark: str) -> DataFrame:
+    """All indicators of each session.
+
+    Windows and the grouped function for the recursive ones share the partitioning by symbol; the benchmark's returns
+    (a row a session) are the only join.
+    """
+    key = ["symbol", "session"]
+    wide = windowed(bars)
+    names = [c for c in wide.columns if c not in (*key, "adjusted_close", "high", "low", "close")]
+
+    def smooth_too(g: pd.DataFrame) -> pd.DataFrame:
+        g = g.sort_values("session")
+        return pd.concat([g[[*key, *names]].reset_index(drop=True), smooth(g).drop(columns=key).reset_index(drop=True)], axis=1)
+
+    more = ["ema_12", "ema_26", "macd", "macd_signal", "macd_histogram", "rsi_14", "atr_14"]
+    out = wide.groupBy("symbol").applyInPandas(smooth_too, "symbol string, session date, " + ", ".join(f"{n} double" for n in [*names, *more]))
+    out = out.select(*key, *[F.nanvl(c, F.lit(None).cast("double")).alias(c) for c in [*names, *more]])
+    other = returns(bars.where(F.col("symbol") == benchmark)).select("session", F.col("daily_return").alias("__b"))
+    out = out.join(other, "session", "left").withColumn("relative_strength", F.col("daily_return") - F.col("__b")).drop("__b")
+    return out
+
+
 def features(bars: DataFrame, benchmark: str) -> DataFrame:
     """All indicators of each session, as decimals of 6 places, rounded half to even; what is not finite is null."""
     key = ["symbol", "session"]
-    out = returns(bars)
-    for part in (averages(bars), bollinger(bars), volatility(bars), volume_ratio(bars), relative_strength(bars, benchmark), smoothed(bars)):
-        out = out.join(part, key)
+    out = unrounded(bars, benchmark)
     exact = lambda c: F.bround(F.when(~F.isnan(c) & (F.abs(c) < 1e13), F.col(c)).cast("decimal(32,18)"), 6).cast("decimal(20,6)").alias(c)
     return out.select(*key, *[exact(c) for c in out.columns if c not in key])
 

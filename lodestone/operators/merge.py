@@ -15,9 +15,16 @@ def upsert(old: DataFrame, new: DataFrame, keys: list[str], order: str | None =
     return old.alias("o").join(new.alias("n"), same, "left_anti").select(*old.columns).unionByName(new.select(*old.columns))
 
 
+def one_a_key(new: DataFrame, keys: list[str]) -> DataFrame:
+    """The first of the rows with the same keys, by all their columns in order."""
+    return new.groupBy(*[F.col(k).alias(f"__{k}") for k in keys]).agg(F.min(F.struct(*new.columns)).alias("__r")).select("__r.*")
+
+
 def insert_only(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
-    """``old`` and those ``new`` rows whose keys it hasn't; what is there wins."""
-    return old.unionByName(new.join(old.select(*keys), keys, "left_anti").select(*old.columns))
+    """``old`` and those ``new`` rows whose keys it hasn't; what is there wins, and of new rows with the same keys the first."""
+    same = [F.col(f"n.{k}").eqNullSafe(F.col(f"o.{k}")) for k in keys]
+    fresh = one_a_key(new.select(*old.columns), keys).alias("n").join(old.select(*keys).alias("o"), same, "left_anti")
+    return old.unionByName(fresh.select(*old.columns))
 
 
 def replace_for(old: DataFrame, new: DataFrame, source: str) -> DataFrame:
@@ -47,6 +54,35 @@ def delete_after(rows: DataFrame, limit: DataFrame, key: str, order: str) -> Dat
 
 
 def coalesce_set(old: DataFrame, new: DataFrame, key: str, column: str) -> DataFrame:
-    """``column`` set from ``new`` where it has a value, else as it was."""
-    met = old.alias("o").join(new.select(key, F.col(column).alias("__new")), key, "left")
+    """``column`` set from ``new`` where it has a value, else as it was; of several values of a key the largest."""
+    values = new.groupBy(key).agg(F.max(column).alias("__new"))
+    met = old.alias("o").join(values, key, "left")
     return met.select(*[F.coalesce("__new", F.col(f"o.{c}")).alias(c) if c == column else F.col(c) for c in old.columns])
+
+
+def without_model(chunks: DataFrame, model: str) -> DataFrame:
+    """Chunks less those of a retired model."""
+    return chunks.where(~F.col("embedding_model").eqNullSafe(F.lit(model)))
+
+
+def attach(anomalies: DataFrame, told: DataFrame, key: str = "id") -> DataFrame:
+    """``anomalies`` with explanation and documents of ``told`` (key, explanation, documents) where it has the key."""
+    met = anomalies.alias("a").join(told.select(key, F.col("explanation").alias("__e"), F.col("documents").alias("__d")), key, "left")
+    new = {"explanation": F.coalesce("__e", "a.explanation"), "documents": F.coalesce("__d", "a.documents")}
+    return met.select(*[new[c].alias(c) if c in new else F.col(c) for c in anomalies.columns])
+
+
+def append(old: DataFrame, new: DataFrame) -> DataFrame:
+    return old.unionByName(new.select(*old.columns))
+
+
+def lacking(rows: DataFrame, chunks: DataFrame, model: str, key: str = "article") -> DataFrame:
+    """Rows that have no chunk of a model (chunks: source_id, embedding_model): a queue that its own results empty."""
+    done = chunks.where(F.col("embedding_model") == model).select(F.col("source_id").alias(key)).distinct()
+    return rows.join(done, key, "left_anti")
+
+
+def newer(new: DataFrame, old: DataFrame, keys: list[str], order: str) -> DataFrame:
+    """Those ``new`` rows that come after the ``old`` row of their keys, or have none."""
+    met = new.join(old.select(*keys, F.col(order).alias("__old")), keys, "left")
+    return met.where(F.col("__old").isNull() | (F.col(order) > F.col("__old"))).select(*new.columns)

@@ -109,8 +109,7 @@ def bollinger_bands(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"with {OBSERVED} select symbol, session, round(volatility_20, 6) as volatility_20, round(volume_ratio, 6) as volume_ratio from obs")
 def volatility_and_volume(spark: SparkSession, d: str) -> DataFrame:
-    b = bars(spark, d)
-    return rounded(indicators.volatility(b).join(indicators.volume_ratio(b), ["symbol", "session"]), "volatility_20", "volume_ratio")
+    return rounded(indicators.observations(bars(spark, d)).drop("daily_return"), "volatility_20", "volume_ratio")
 
 
 @query(f"with {BARS}, {RETURNS} select a.symbol, a.session, round(a.daily_return - b.daily_return, 6) as relative_strength from rets a left join (select * from rets where symbol = '{BENCHMARK}') b using (session)")
@@ -134,19 +133,42 @@ def wilder_sql(name: str, value: str) -> str:
     return f"{name}_seed as (select symbol, 15 as n, avg({value}) as e from steps where n between 2 and 15 group by symbol having count(*) = 14), {name} as (select symbol, n, e from {name}_seed union all select b.symbol, b.n, (r.e * 13 + b.{value}) / 14 from {name} r join steps b on b.symbol = r.symbol and b.n = r.n + 1)"
 
 
-@query(
+RECURSIVE = (
     f"with recursive {BARS}, {NUMBERED}, steps as (select symbol, n, greatest(adjusted_close - lag(adjusted_close) over w, 0) as gain, greatest(lag(adjusted_close) over w - adjusted_close, 0) as loss, greatest(high - low, abs(high - lag(close) over w), abs(low - lag(close) over w)) as reach from numbered window w as (partition by symbol order by session)), "
-    + f"{ema_sql('fast', 'numbered', 'adjusted_close', 12)}, {ema_sql('slow', 'numbered', 'adjusted_close', 26)}, macds as (select symbol, n - 25 as n, f.e - s.e as m from fast f join slow s using (symbol, n)), {ema_sql('signal', 'macds', 'm', 9)}, {wilder_sql('gains', 'gain')}, {wilder_sql('losses', 'loss')}, {wilder_sql('atr', 'reach')} "
-    + "select b.symbol, b.session, round(f.e, 3) as ema_12, round(s.e, 3) as ema_26, round(f.e - s.e, 3) as macd, round(g.e, 3) as macd_signal, round(f.e - s.e - g.e, 3) as macd_histogram, round(case when l.e = 0 then case when u.e > 0 then 100.0 else 50.0 end else 100 - 100 / (1 + u.e / l.e) end, 4) as rsi_14, round(a.e, 3) as atr_14 from numbered b left join fast f using (symbol, n) left join slow s using (symbol, n) left join signal g on g.symbol = b.symbol and g.n = b.n - 25 left join gains u on u.symbol = b.symbol and u.n = b.n left join losses l on l.symbol = b.symbol and l.n = b.n left join atr a on a.symbol = b.symbol and a.n = b.n"
+    f"{ema_sql('fast', 'numbered', 'adjusted_close', 12)}, {ema_sql('slow', 'numbered', 'adjusted_close', 26)}, macds as (select symbol, n - 25 as n, f.e - s.e as m from fast f join slow s using (symbol, n)), {ema_sql('signal', 'macds', 'm', 9)}, {wilder_sql('gains', 'gain')}, {wilder_sql('losses', 'loss')}, {wilder_sql('atr', 'reach')}"
 )
+SMOOTHED_SQL = (
+    "select b.symbol, b.session, round(f.e, 3) as ema_12, round(s.e, 3) as ema_26, round(f.e - s.e, 3) as macd, round(g.e, 3) as macd_signal, round(f.e - s.e - g.e, 3) as macd_histogram, round(case when l.e = 0 then case when u.e > 0 then 100.0 else 50.0 end else 100 - 100 / (1 + u.e / l.e) end, 4) as rsi_14, round(a.e, 3) as atr_14 from numbered b left join fast f using (symbol, n) left join slow s using (symbol, n) left join signal g on g.symbol = b.symbol and g.n = b.n - 25 left join gains u on u.symbol = b.symbol and u.n = b.n left join losses l on l.symbol = b.symbol and l.n = b.n left join atr a on a.symbol = b.symbol and a.n = b.n"
+)
+
+
+@query(f"{RECURSIVE} {SMOOTHED_SQL}")
 def recursive_indicators(spark: SparkSession, d: str) -> DataFrame:
     out = indicators.smoothed(bars(spark, d))
     return out.select("symbol", "session", *[F.round(c, 4 if c == "rsi_14" else 3).alias(c) for c in SMOOTHED])
 
 
-@query()
+UNROUNDED = SMOOTHED_SQL.replace(", 3) as", ", 12) as").replace(", 4) as", ", 12) as")
+SHARES = ["daily_return", "weekly_return", "monthly_return", "volume_ratio", "volatility_20", "relative_strength", "rsi_14"]
+PRICES = ["sma_20", "sma_50", "sma_200", "bollinger_upper", "bollinger_middle", "bollinger_lower", "volume_sma_20", "ema_12", "ema_26", "macd", "macd_signal", "macd_histogram", "atr_14"]
+THIRD = ", ".join(f"round({c}, {4 if c in SHARES else 3}) as {c}" for c in SHARES + PRICES)
+
+
+@query(f"""{RECURSIVE}, sm as ({UNROUNDED}), w as (select symbol, session, row_number() over w as n,
+ (adjusted_close - lag(adjusted_close) over w) / nullif(lag(adjusted_close) over w, 0) as d1, (adjusted_close - lag(adjusted_close, 5) over w) / nullif(lag(adjusted_close, 5) over w, 0) as d5,
+ (adjusted_close - lag(adjusted_close, 21) over w) / nullif(lag(adjusted_close, 21) over w, 0) as d21, avg(adjusted_close) over m20 as a20, stddev_pop(adjusted_close) over m20 as s20,
+ avg(adjusted_close) over (partition by symbol order by session rows 49 preceding) as a50, avg(adjusted_close) over (partition by symbol order by session rows 199 preceding) as a200, avg(volume) over m20 as v20, volume
+ from bars window w as (partition by symbol order by session), m20 as (partition by symbol order by session rows 19 preceding)),
+ v as (select symbol, session, case when count(d1) over m = 20 then stddev_samp(d1) over m * sqrt(252) end as vol from w window m as (partition by symbol order by session rows 19 preceding)),
+ b as (select session, d1 as bd from w where symbol = '{BENCHMARK}'),
+ raw as (select w.symbol, w.session, round(d1, 12) as daily_return, round(d5, 12) as weekly_return, round(d21, 12) as monthly_return, case when n >= 20 then round(a20, 6) end as sma_20, case when n >= 50 then round(a50, 6) end as sma_50,
+ case when n >= 200 then round(a200, 6) end as sma_200, case when n >= 20 then round(a20 + 2 * s20, 6) end as bollinger_upper, case when n >= 20 then round(a20, 6) end as bollinger_middle, case when n >= 20 then round(a20 - 2 * s20, 6) end as bollinger_lower,
+ case when n >= 20 then round(v20, 6) end as volume_sma_20, case when n >= 20 then round(volume / v20, 6) end as volume_ratio, round(vol, 12) as volatility_20, round(d1 - bd, 12) as relative_strength,
+ ema_12, ema_26, macd, macd_signal, macd_histogram, rsi_14, atr_14 from w join v using (symbol, session) join sm using (symbol, session) left join b using (session))
+ select symbol, session, {THIRD} from raw""")
 def feature_rows(spark: SparkSession, d: str) -> DataFrame:
-    return indicators.features(bars(spark, d), BENCHMARK)
+    out = indicators.unrounded(bars(spark, d), BENCHMARK)
+    return out.select("symbol", "session", *[F.round(F.col(c), 4 if c in SHARES else 3).alias(c) for c in SHARES + PRICES])
 
 
 @query("with s as (select n_name as exchange, cast(o_orderdate as date) as session from orders join customer on o_custkey = c_custkey join nation on c_nationkey = n_nationkey group by all), span as (select exchange, unnest(generate_series(min(session)::timestamp, max(session)::timestamp, interval 1 day))::date as day from s group by exchange) select span.exchange, span.day, s.session is not null as is_trading_day, case when s.session is not null then null when isodow(span.day) >= 6 then 'weekend' else 'no session observed' end as note from span left join s on s.exchange = span.exchange and s.session = span.day")
@@ -163,9 +185,7 @@ def robust_z(spark: SparkSession, d: str) -> DataFrame:
 
 
 def observations(spark: SparkSession, d: str) -> DataFrame:
-    b, key = bars(spark, d), ["symbol", "session"]
-    r = indicators.returns(b).select("symbol", "session", "daily_return")
-    return r.join(indicators.volume_ratio(b), key).join(indicators.volatility(b), key)
+    return indicators.observations(bars(spark, d))
 
 
 @query(f"with {ZED} select * from found")
@@ -311,10 +331,11 @@ def widen_watermarks(spark: SparkSession, d: str) -> DataFrame:
     return merge.widen(old, o.where("o_orderkey % 2 = 1"), "key")
 
 
-@query("select page_id, url from pages where page_id % 2 = 0 union all select page_id, url from pages where page_id % 2 = 1 and url not in (select url from pages where page_id % 2 = 0)")
+@query("select page_id, url from pages where page_id % 2 = 0 union all select min(page_id), split_part(url, '/', 3) from pages where page_id % 2 = 1 and split_part(url, '/', 3) not in (select url from pages where page_id % 2 = 0) group by 2")
 def insert_only(spark: SparkSession, d: str) -> DataFrame:
     p = table(spark, d, "pages").select("page_id", "url")
-    return merge.insert_only(p.where("page_id % 2 = 0"), p.where("page_id % 2 = 1"), ["url"])
+    new = p.where("page_id % 2 = 1").withColumn("url", F.split_part("url", F.lit("/"), F.lit(3)))
+    return merge.insert_only(p.where("page_id % 2 = 0"), new, ["url"])
 
 
 @query("select s_name as symbol, n_name as name from supplier join nation on s_nationkey = n_nationkey where contains(upper(s_name), '00001') or contains(upper(n_name), '00001') order by (upper(s_name) <> '00001')::int, (not starts_with(upper(s_name), '00001'))::int, length(s_name), s_name, n_name limit 10")

@@ -121,17 +121,17 @@ def trading_days(spark: SparkSession, d: str) -> DataFrame:
     return reads.between(trading_calendar(spark, d), "day", "1996-01-01", "1996-03-31").where("is_trading_day").select("exchange", "day")
 
 
-@query("select p_partkey, p_name from part where contains(lower(p_name), '12') or contains(lower(p_brand), '12') or p_type = 'SMALL TIN' order by length(p_name), p_name, p_partkey limit 25")
+@query("select p_partkey, p_name from part where contains(lower(p_name), '12') or contains(lower(p_brand), '12') or p_type = 'SMALL' order by length(p_name), p_name, p_partkey limit 25")
 def entity_search(spark: SparkSession, d: str) -> DataFrame:
     p = table(spark, d, "part")
-    hit = F.contains(F.lower("p_name"), F.lit("12")) | F.contains(F.lower("p_brand"), F.lit("12")) | (F.col("p_type") == "SMALL TIN")
+    hit = F.contains(F.lower("p_name"), F.lit("12")) | F.contains(F.lower("p_brand"), F.lit("12")) | (F.col("p_type") == "SMALL")
     return p.where(hit).orderBy(F.length("p_name"), "p_name", "p_partkey").limit(25).select("p_partkey", "p_name")
 
 
-@query("select p_partkey, p_type from part where p_brand in ('Brand#3', 'Brand#8') and list_has_any(string_split(p_type, ' '), ['TIN', 'STEEL'])")
+@query("select p_partkey, p_type from part where p_brand in ('Brand#3', 'Brand#8') and list_has_any(string_split(p_type, ' '), ['SMALL', 'PROMO'])")
 def entities_by_kind(spark: SparkSession, d: str) -> DataFrame:
     p = table(spark, d, "part").where(F.col("p_brand").isin("Brand#3", "Brand#8")).withColumn("tags", F.split("p_type", " "))
-    return reads.with_tags(p, "tags", ["TIN", "STEEL"]).select("p_partkey", "p_type")
+    return reads.with_tags(p, "tags", ["SMALL", "PROMO"]).select("p_partkey", "p_type")
 
 
 @query(f"with {BARS}, {RETURNS} select symbol, session, round(daily_return, 6) as daily_return from rets where session between date '1996-06-30' - 180 and date '1996-06-30'")

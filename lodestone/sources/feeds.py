@@ -73,3 +73,28 @@ def json_profiles(spark: SparkSession, path: str) -> DataFrame:
 def resolve(catalogue: DataFrame) -> DataFrame:
     """(capability, provider): of a catalogue (capability, provider, priority), the first that declares each capability."""
     return catalogue.groupBy("capability").agg(F.min_by("provider", F.struct("priority", "provider")).alias("provider"))
+
+
+def split(rows: DataFrame, reason: F.Column) -> tuple[DataFrame, DataFrame]:
+    """(rows without a reason against them, rejects with it)."""
+    told = rows.withColumn("reason", reason)
+    return told.where("reason is null").drop("reason"), told.where("reason is not null")
+
+
+def valid_articles(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(articles, rejects): url and title are there, and the time of publication has a zone."""
+    empty = lambda c: F.coalesce(F.trim(c), F.lit("")) == ""
+    zoned = F.coalesce(F.col("published_at").rlike(r"(Z|[+-]\d\d:?\d\d)$") & when(F.col("published_at")).isNotNull(), F.lit(False))
+    return split(raw, F.when(empty("url"), "no url").when(empty("title"), "no title").when(~zoned, "no time zone"))
+
+
+def valid_sentiments(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    good = F.coalesce(F.col("confidence").between(0, 1) & F.col("polarity").between(-1, 1), F.lit(False))
+    return rows.where(good), rows.where(~good)
+
+
+def with_reason(rows: DataFrame) -> DataFrame:
+    """Rows (asset_type, company, quantity, average_cost, confidence) with why they are refused, or ``accepted``."""
+    reason = F.when((F.col("asset_type") == "equity") & F.col("company").isNull(), "equity without company")
+    reason = reason.when((F.col("quantity") < 0) | (F.col("average_cost") < 0), "negative position")
+    return rows.withColumn("reason", reason.when(~F.col("confidence").between(0, 1), "confidence out of range").otherwise("accepted"))

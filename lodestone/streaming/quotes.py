@@ -51,3 +51,9 @@ def changes(ticks: DataFrame) -> DataFrame:
         yield pd.DataFrame({"symbol": key[0], "event_id": sent["event_id"], "price": sent["price"]})
 
     return ticks.groupBy("symbol").applyInPandasWithState(of, "symbol string, event_id long, price double", "last double", "append", GroupStateTimeout.NoTimeout)
+
+
+def payload(quotes: DataFrame) -> DataFrame:
+    """Messages of quotes: prices and the change in percent as text, and always whether the bar is provisional."""
+    percent = F.format_string("%.4f", F.round("change_percent", 4))
+    return quotes.select("symbol", F.format_string("%.2f", "close").alias("close"), percent.alias("change_percent"), F.coalesce("is_provisional", F.lit(False)).alias("is_provisional"))
