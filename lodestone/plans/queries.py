@@ -161,9 +161,9 @@ THIRD = ", ".join(f"round({c}, {4 if c in SHARES else 3}) as {c}" for c in SHARE
  from bars window w as (partition by symbol order by session), m20 as (partition by symbol order by session rows 19 preceding)),
  v as (select symbol, session, case when count(d1) over m = 20 then stddev_samp(d1) over m * sqrt(252) end as vol from w window m as (partition by symbol order by session rows 19 preceding)),
  b as (select session, d1 as bd from w where symbol = '{BENCHMARK}'),
- raw as (select w.symbol, w.session, round(d1, 12) as daily_return, round(d5, 12) as weekly_return, round(d21, 12) as monthly_return, case when n >= 20 then round(a20, 6) end as sma_20, case when n >= 50 then round(a50, 6) end as sma_50,
- case when n >= 200 then round(a200, 6) end as sma_200, case when n >= 20 then round(a20 + 2 * s20, 6) end as bollinger_upper, case when n >= 20 then round(a20, 6) end as bollinger_middle, case when n >= 20 then round(a20 - 2 * s20, 6) end as bollinger_lower,
- case when n >= 20 then round(v20, 6) end as volume_sma_20, case when n >= 20 then round(volume / v20, 6) end as volume_ratio, round(vol, 12) as volatility_20, round(d1 - bd, 12) as relative_strength,
+ raw as (select w.symbol, w.session, round(d1, 12) as daily_return, round(d5, 12) as weekly_return, round(d21, 12) as monthly_return, case when n >= 20 then round(a20, 12) end as sma_20, case when n >= 50 then round(a50, 12) end as sma_50,
+ case when n >= 200 then round(a200, 12) end as sma_200, case when n >= 20 then round(a20 + 2 * s20, 12) end as bollinger_upper, case when n >= 20 then round(a20, 12) end as bollinger_middle, case when n >= 20 then round(a20 - 2 * s20, 12) end as bollinger_lower,
+ case when n >= 20 then round(v20, 12) end as volume_sma_20, case when n >= 20 then round(volume / v20, 12) end as volume_ratio, round(vol, 12) as volatility_20, round(d1 - bd, 12) as relative_strength,
  ema_12, ema_26, macd, macd_signal, macd_histogram, rsi_14, atr_14 from w join v using (symbol, session) join sm using (symbol, session) left join b using (session))
  select symbol, session, {THIRD} from raw""")
 def feature_rows(spark: SparkSession, d: str) -> DataFrame:
@@ -490,7 +490,7 @@ def chart_all(spark: SparkSession, d: str) -> DataFrame:
     return reads.candles(bars(spark, d), "MAX", "1998-06-30").withColumn("start", F.col("start").cast("timestamp"))
 
 
-@query(f"with {BARS}, done as (select * from bars where session < (select max(session) from bars) qualify row_number() over (partition by symbol order by session desc) <= 300 and count(*) over (partition by symbol) >= 5), f as (select symbol, session, round((adjusted_close - lag(adjusted_close) over w) / nullif(lag(adjusted_close) over w, 0), 6) as daily_return, case when row_number() over w >= 20 then round(avg(adjusted_close) over (partition by symbol order by session rows 19 preceding), 6) end as sma_20 from done window w as (partition by symbol order by session)) select * from f qualify row_number() over (partition by symbol order by session desc) <= 40")
+@query(f"with {BARS}, done as (select * from bars where session < (select max(session) from bars) qualify row_number() over (partition by symbol order by session desc) <= 300 and count(*) over (partition by symbol) >= 5), f as (select symbol, session, round((adjusted_close - lag(adjusted_close) over w) / nullif(lag(adjusted_close) over w, 0), 6) as daily_return, case when row_number() over w >= 20 then round(avg(adjusted_close) over (partition by symbol order by session rows 19 preceding), 12) end as sma_20 from done window w as (partition by symbol order by session)) select * from f qualify row_number() over (partition by symbol order by session desc) <= 40")
 def feature_updates(spark: SparkSession, d: str) -> DataFrame:
     out = indicators.updates(flagged(bars(spark, d)), BENCHMARK)
     return out.select("symbol", "session", *[F.col(c).cast("double").alias(c) for c in ("daily_return", "sma_20")])
