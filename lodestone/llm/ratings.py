@@ -9,10 +9,12 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import crc_mod
+from .fitting import minimise, sampled, total
 
 BITS = 18
 #: Rated documents of each grade, about, that a model is fitted on: the classifier's documented sample.
@@ -26,11 +28,12 @@ def bucket(feature: str) -> int:
 
 def shape(word: str) -> str:
     """A word's character classes, runs of one class as one character: letters x and X, digits 9, others themselves."""
-    out = ""
-    for c in word[:64].translate(SHAPES):
+    out: list[str] = []
+    for c in word.translate(SHAPES):
         c = "x" if c.isalpha() and c not in "xX" else c
-        out += "" if out.endswith(c) else c
-    return out
+        if out[-1:] != [c]:
+            out.append(c)
+    return "".join(out)
 
 
 def features(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -69,71 +72,86 @@ class Ordinal:
         return sigmoid(np.bincount(doc, weights=self.weights[feature] * value, minlength=n)[:, None] - self.thresholds)
 
 
-def solve(doc: np.ndarray, feature: np.ndarray, value: np.ndarray, y: np.ndarray, weight: np.ndarray, grades: list[int], rounds: int = 200, ridge: float = 2e-4) -> Ordinal:
-    """Maximum penalised likelihood of the cumulative-link model, by Adam on all rows. Thresholds are sums of positive steps."""
-    k, n = len(grades), len(y)
-    used, f = np.unique(feature, return_inverse=True)
-    share = np.array([weight[y >= j].sum() / weight.sum() for j in range(1, k)]).clip(1e-3, 1 - 1e-3)
-    first = -np.log(share / (1 - share))
-    w, t = np.zeros(len(used)), np.concatenate([first[:1], np.log(np.maximum(np.diff(first), 1e-2))])
-    state = [np.zeros(len(used)), np.zeros(len(used)), np.zeros(k - 1), np.zeros(k - 1)]
-    total = weight.sum()
-    for step in range(1, rounds + 1):
-        cuts = np.cumsum(np.concatenate([t[:1], np.exp(t[1:])]))
-        z = np.bincount(doc, weights=w[f] * value, minlength=n)
-        tail = np.concatenate([np.ones((n, 1)), sigmoid(z[:, None] - cuts), np.zeros((n, 1))], axis=1)
-        upper, under = tail[np.arange(n), y], tail[np.arange(n), y + 1]
-        p = np.maximum(upper - under, 1e-9)
-        du, dv = upper * (1 - upper), under * (1 - under)  # 0 at both ends
-        gz = -(du - dv) / p * weight / total
-        gc = np.zeros(k - 1)
-        np.add.at(gc, np.maximum(y - 1, 0), np.where(y > 0, du / p, 0) * weight / total)
-        np.add.at(gc, np.minimum(y, k - 2), -np.where(y < k - 1, dv / p, 0) * weight / total)
-        later = np.cumsum(gc[::-1])[::-1]
-        gt = later * np.concatenate([[1.0], np.exp(t[1:])])
-        gw = np.bincount(f, weights=gz[doc] * value, minlength=len(used)) + ridge * w
-        for x, g, i in ((w, gw, 0), (t, gt, 2)):
-            state[i] = 0.9 * state[i] + 0.1 * g
-            state[i + 1] = 0.99 * state[i + 1] + 0.01 * g * g
-            x -= 0.15 * (state[i] / (1 - 0.9**step)) / (np.sqrt(state[i + 1] / (1 - 0.99**step)) + 1e-8)
-    weights = np.zeros(1 << BITS)
-    weights[used] = w
-    return Ordinal(grades, weights, np.cumsum(np.concatenate([t[:1], np.exp(t[1:])])))
+RIDGE = 2e-5
+
+
+def part(batch: pa.RecordBatch, x: np.ndarray, place: np.ndarray, kinds: int) -> tuple[float, np.ndarray]:
+    """Weighted negative log likelihood of a batch (y, weight, f, v), and its gradient.
+
+    ``x``: the weights, the first threshold, and the logarithms of the steps to the others. ``place``: of each hashed
+    feature, its place in ``x``.
+    """
+    y, weight = batch["y"].to_numpy(), batch["weight"].to_numpy()
+    n, k, d = len(y), kinds, len(x) - kinds + 1
+    doc = np.repeat(np.arange(n), pc.list_value_length(batch["f"]).to_numpy())
+    f, value = place[batch["f"].flatten().to_numpy()], batch["v"].flatten().to_numpy().astype(float)
+    t = x[d:]
+    cuts = np.cumsum(np.concatenate([t[:1], np.exp(t[1:])]))
+    z = np.bincount(doc, weights=x[f] * value, minlength=n)
+    tail = np.concatenate([np.ones((n, 1)), sigmoid(z[:, None] - cuts), np.zeros((n, 1))], axis=1)
+    upper, under = tail[np.arange(n), y], tail[np.arange(n), y + 1]
+    p = np.maximum(upper - under, 1e-12)
+    du, dv = upper * (1 - upper), under * (1 - under)  # 0 at both ends
+    gz = -(du - dv) / p * weight
+    gc = np.zeros(k - 1)
+    np.add.at(gc, np.maximum(y - 1, 0), np.where(y > 0, du / p, 0) * weight)
+    np.add.at(gc, np.minimum(y, k - 2), -np.where(y < k - 1, dv / p, 0) * weight)
+    gt = np.cumsum(gc[::-1])[::-1] * np.concatenate([[1.0], np.exp(t[1:])])
+    return float(-np.log(p) @ weight), np.concatenate([np.bincount(f, weights=gz[doc] * value, minlength=d), gt])
 
 
 def fit(docs: DataFrame, ratings: DataFrame, sample: int = SAMPLE, holdout: int = 5) -> Ordinal:
     """A model of ``ratings`` (doc_id, grade) whose crc32(doc_id as text) mod ``holdout`` is not 0, on whole texts.
 
     About ``sample`` documents of each grade are taken (by a hash of their id, at the rate sample / count), weighted by
-    the inverse of the rate; their features, made by Spark, are what the driver gathers. Null grades and texts are left out.
-    Ratings of fewer than two grades give a model that always tells the one there is (0 if none) and keeps every row.
+    the inverse of the rate, and saved as hashed features. Tasks sum the gradients; the driver gets one vector of the
+    weights from each partition in a step. Null grades and texts are left out; a document with several grades counts
+    with each. Ratings of fewer than two grades give a model that always tells the one there is (0 if none) and keeps
+    every row.
     """
-    spark = docs.sparkSession
     rows = ratings.where(F.col("grade").isNotNull() & F.col("doc_id").isNotNull() & (crc_mod("doc_id", holdout) != 0)).select("doc_id", "grade")
     many = {r["grade"]: r["n"] for r in rows.groupBy("grade").agg(F.count(F.lit(1)).alias("n")).collect()}  # one row a grade
     grades = sorted(many)
     if len(grades) < 2:
         return Ordinal(grades or [0], np.zeros(1 << BITS), np.zeros(0))
-    rate = F.create_map(*[F.lit(x) for g in grades for x in (g, min(1.0, sample / many[g]))])
-    chosen = rows.where(F.pmod(F.xxhash64(F.lit("ratings"), "doc_id"), F.lit(1_000_000)) < rate[F.col("grade")] * 1_000_000)
+    lookup = lambda x: F.create_map(*[F.lit(v) for g in grades for v in (g, x[g])])[F.col("grade")]
+    rate = lookup({g: min(1.0, sample / many[g]) for g in grades})
+    chosen = rows.where(F.pmod(F.xxhash64(F.lit("ratings"), "doc_id"), F.lit(1_000_000)) < rate * 1_000_000)
     # a bounded sample, so it may be broadcast
-    met = docs.where("text is not null").select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", "grade")
+    met = docs.where("text is not null").select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    met = met.select("doc_id", "text", lookup({g: i for i, g in enumerate(grades)}).alias("y"), (1 / rate).alias("weight"))
+
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(0, len(batch), 64):
+                own = batch.slice(i, 64)
+                doc, f, v = features(own["text"].to_pylist())
+                order = np.argsort(doc, kind="stable")
+                ends = np.cumsum(np.bincount(doc, minlength=len(own)))[:-1]
+                lists = [pa.array(np.split(x[order].astype(t), ends), pa.list_(k)) for x, t, k in ((f, np.int32, pa.int32()), (v, np.float32, pa.float32()))]
+                yield pa.RecordBatch.from_arrays([own["y"], own["weight"], *lists], names=["y", "weight", "f", "v"])
+
+    taken = sampled(met, F.col("doc_id"), encode, "y int, weight double, f array<int>, v array<float>", "graded-sample")
+    seen = {r["y"]: r["w"] for r in taken.groupBy("y").agg(F.sum("weight").alias("w")).collect()}  # one row a grade
+    if not seen:
+        return Ordinal(grades[:1], np.zeros(1 << BITS), np.zeros(0))
+    used = np.sort(taken.select(F.explode("f").alias("f")).distinct().toArrow()["f"].to_numpy())  # 2 ** BITS at most
+    place = np.zeros(1 << BITS, dtype=np.int32)
+    place[used] = np.arange(len(used))
+    places, k, weight = docs.sparkSession.sparkContext.broadcast(place), len(grades), sum(seen.values())
+    share = np.array([sum(w for y, w in seen.items() if y >= j) / weight for j in range(1, k)]).clip(1e-3, 1 - 1e-3)
+    first = -np.log(share / (1 - share))
+    start = np.concatenate([np.zeros(len(used)), first[:1], np.log(np.maximum(np.diff(first), 1e-2))])
 
-    def of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            doc, f, v = features(list(b["text"]))
-            order = np.argsort(doc, kind="stable")
-            ends = np.cumsum(np.bincount(doc, minlength=len(b)))[:-1]
-            yield pd.DataFrame({"grade": b["grade"].to_numpy(), "f": np.split(f[order].astype(np.int32), ends), "v": np.split(v[order].astype(np.float32), ends)})
+    def loss(x: np.ndarray) -> tuple[float, np.ndarray]:
+        value, grad = total(taken, lambda batch, at: part(batch, at, places.value, k), x)
+        penalty = np.concatenate([RIDGE * x[: len(used)], np.zeros(k - 1)])
+        return value / weight + 0.5 * (penalty @ x), grad / weight + penalty
 
-    got = met.mapInPandas(of, "grade int, f array<int>, v array<float>").toArrow().to_pandas()
-    if not len(got):
-        return Ordinal(grades[:1], np.zeros(1 << BITS), np.zeros(0))
-    got = got.sort_values("grade", kind="stable")
-    doc = np.repeat(np.arange(len(got)), got["f"].map(len).to_numpy())
-    y = got["grade"].map({g: i for i, g in enumerate(grades)}).to_numpy()
-    weight = got["grade"].map({g: 1 / min(1.0, sample / many[g]) for g in grades}).to_numpy(dtype=float)
-    return solve(doc, np.concatenate(got["f"].to_list()).astype(np.int64), np.concatenate(got["v"].to_list()).astype(float), y, weight, grades)
+    x = minimise(loss, start)
+    weights = np.zeros(1 << BITS)
+    weights[used] = x[: len(used)]
+    return Ordinal(grades, weights, np.cumsum(np.concatenate([x[len(used)], np.exp(x[len(used) + 1 :])], axis=None)))
 
 
 def grade(docs: DataFrame, model: Ordinal, *keep: str, at_least: int | None = None, odds: float = 0.5) -> DataFrame:

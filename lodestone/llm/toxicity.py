@@ -9,11 +9,13 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import crc_mod
+from .fitting import minimise, sampled, total
 
 BITS = 20
 #: Lengths of the word beginnings that are features beside the whole word: they tell rare words of one stem.
@@ -75,48 +77,51 @@ class NoisyOr:
         return -np.expm1(-total), worst, np.exp(-softplus(-best))
 
 
-def solve(of: np.ndarray, sentence: np.ndarray, ids: np.ndarray, words: list[str], y: np.ndarray, weight: np.ndarray, rounds: int = 250, ridge: float = 3e-5) -> NoisyOr:
-    """Weights of the largest penalised likelihood of the documents' labels, by Adam on all rows."""
-    n = len(y)
-    coded = features(words)
-    word = np.unique(coded)
-    column = np.searchsorted(word, coded).astype(np.int32)
-    # features of a few documents tell nothing: they keep weight 0
-    pairs = np.unique(of[sentence] * np.int64(len(words)) + ids)
-    with_doc, with_word = pairs // len(words), pairs % len(words)
-    docs_with = np.zeros(len(word), dtype=np.int64)
-    for i in range(column.shape[1]):  # a length of stem at a time, which bounds memory; each has its own features
-        docs_with += np.bincount(np.unique(with_doc * len(word) + column[with_word, i]) % len(word), minlength=len(word))
-    del pairs, with_doc, with_word, coded
-    often = (docs_with >= min(5, max(1, n // 50))) & (word > 0)
-    w = np.zeros(len(word))
-    share = np.clip((weight * y).sum() / weight.sum(), 1e-3, 0.999)
-    b = np.array([np.log(share * n / max(1, len(of)))])
-    m, v = np.zeros(len(word) + 1), np.zeros(len(word) + 1)
-    total = weight.sum()
-    for step in range(1, rounds + 1):
-        z = b[0] + np.bincount(sentence, weights=sum(w[column[:, i]] for i in range(column.shape[1]))[ids], minlength=len(of))
-        s = np.bincount(of, weights=softplus(z), minlength=n)
-        g = np.where(y == 1, -1 / np.maximum(np.expm1(np.minimum(s, 50)), 1e-9), 1.0) * weight / total
-        gz = g[of] * np.exp(-softplus(-z))
-        by_word = np.bincount(ids, weights=gz[sentence], minlength=len(words))
-        by_feature = sum(np.bincount(column[:, i], weights=by_word, minlength=len(word)) for i in range(column.shape[1]))
-        grad = np.concatenate([by_feature * often + ridge * w, [gz.sum()]])
-        m, v = 0.9 * m + 0.1 * grad, 0.99 * v + 0.01 * grad * grad
-        move = 0.1 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
-        w -= move[:-1]
-        b -= move[-1:]
-    weights = np.zeros(1 << BITS)
-    weights[word] = w
-    return NoisyOr(weights, float(b[0]))
+RIDGE = 3e-5
+
+
+def encoded(texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Of each text, its words' sentences and the hashed features of each word (one row a word)."""
+    out = []
+    for t in texts:
+        _, sentence, ids, words = sentences([t])
+        out.append((sentence.astype(np.int32), features(list(words))[ids] if len(ids) else np.zeros((0, 1 + len(STEMS)), np.int32)))
+    return out
+
+
+def part(batch: pa.RecordBatch, x: np.ndarray, place: np.ndarray) -> tuple[float, np.ndarray]:
+    """Weighted loss of noisy-or over a batch (toxic, weight, s, f), and its gradient. ``x``: weights, then the bias.
+
+    ``place``: of each hashed feature, its place in ``x``, or that of the bias for one that has no weight.
+    """
+    y, weight = batch["toxic"].to_numpy(), batch["weight"].to_numpy()
+    words = pc.list_value_length(batch["s"]).to_numpy()
+    sentence = batch["s"].flatten().to_numpy().astype(np.int64)
+    column = place[batch["f"].flatten().to_numpy()].reshape(-1, 1 + len(STEMS))
+    doc = np.repeat(np.arange(len(y)), words)
+    n = np.zeros(len(y), dtype=np.int64)
+    np.maximum.at(n, doc, sentence + 1)
+    sentence = sentence + (np.cumsum(n) - n)[doc]
+    of = np.repeat(np.arange(len(y)), n)
+    w = np.append(x[:-1], 0.0)
+    z = x[-1] + np.bincount(sentence, weights=w[column].sum(axis=1), minlength=len(of))
+    s = np.bincount(of, weights=softplus(z), minlength=len(y))
+    loss = np.where(y == 1, -np.log(np.maximum(-np.expm1(-s), 1e-12)), s) @ weight
+    g = np.where(y == 1, -1 / np.maximum(np.expm1(np.minimum(s, 50)), 1e-12), 1.0) * weight
+    gz = g[of] * np.exp(-softplus(-z))
+    grad = np.bincount(column.ravel(), weights=np.repeat(gz[sentence], column.shape[1]), minlength=len(x))
+    grad[-1] = gz.sum()
+    return float(loss), grad
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, holdout: int = 5) -> NoisyOr:
     """A model from ``labels`` (doc_id, toxic 0/1) whose crc32(doc_id as text) mod ``holdout`` is not 0, on whole texts.
 
     About ``sample`` documents of each label are taken (by a hash of their id, at the rate sample / count), weighted by
-    the inverse of the rate; their words, made by Spark, are what the driver gathers. Null labels and texts are
-    left out. Labels of one kind alone give a model that always tells that label, no labels one that tells 0.
+    the inverse of the rate, and saved as hashed features. Tasks sum the gradients; the driver gets one vector of the
+    weights from each partition in a step. Features of under 5 documents (of fewer in small samples) have no weight.
+    Null labels and texts are left out; a document with several labels counts with each. Labels of one kind alone give a
+    model that always tells that label, no labels one that tells 0.
     """
     rows = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & (crc_mod("doc_id", holdout) != 0)).select("doc_id", F.col("toxic").cast("int").alias("toxic"))
     many = {r["toxic"]: r["n"] for r in rows.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}  # two rows
@@ -124,34 +129,52 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, holdout: int =
     if len(many) < 2:
         return one
     rate = {k: min(1.0, sample / many[k]) for k in many}
-    chosen = rows.where(F.pmod(F.xxhash64(F.lit("toxicity"), "doc_id"), F.lit(1_000_000)) < F.when(F.col("toxic") == 1, rate[1]).otherwise(rate[0]) * 1_000_000)
+    of = lambda x: F.when(F.col("toxic") == 1, x[1]).otherwise(x[0])
+    chosen = rows.where(F.pmod(F.xxhash64(F.lit("toxicity"), "doc_id"), F.lit(1_000_000)) < of(rate) * 1_000_000)
     # a bounded sample, so it may be broadcast
-    met = docs.where("text is not null").select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "toxic")
-
-    def of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            for key, toxic, text in zip(b["doc_id"], b["toxic"], b["text"], strict=True):
-                _, sentence, ids, tokens = sentences([text])
-                yield pd.DataFrame({"doc_id": [key], "toxic": [toxic], "s": [sentence.astype(np.int32)], "w": [ids.astype(np.int32)], "u": [tokens]})
-
-    got = met.mapInPandas(of, "doc_id long, toxic int, s array<int>, w array<int>, u array<string>").toArrow().combine_chunks().sort_by([("doc_id", "ascending"), ("toxic", "ascending")])
-    if len(pc.unique(got["toxic"])) < 2:
+    met = docs.where("text is not null").select("doc_id", "text").join(F.broadcast(chosen), "doc_id").withColumn("weight", 1 / of(rate))
+
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(0, len(batch), 64):
+                own = batch.slice(i, 64)
+                pairs = encoded(own["text"].to_pylist())
+                lists = [pa.array([s for s, _ in pairs], pa.list_(pa.int32())), pa.array([f.ravel() for _, f in pairs], pa.list_(pa.int32()))]
+                yield pa.RecordBatch.from_arrays([own["toxic"], own["weight"], *lists], names=["toxic", "weight", "s", "f"])
+
+    taken = sampled(met, F.col("doc_id"), encode, "toxic int, weight double, s array<int>, f array<int>", "toxic-sample")
+    sums = taken.groupBy("toxic").agg(F.count(F.lit(1)).alias("n"), F.sum("weight").alias("w"), F.sum(F.coalesce(F.array_max("s") + 1, F.lit(0))).alias("sentences"))
+    seen = {r["toxic"]: r for r in sums.collect()}  # two rows
+    if len(seen) < 2:
         return one
-    s, w, u = (got[c].combine_chunks() for c in "swu")
-    y = got["toxic"].to_numpy()
-    del got
-    rows_of = lambda x: np.repeat(np.arange(len(x), dtype=np.int32), pc.list_value_length(x))
-    sentence = s.flatten().to_numpy().copy()
-    of_word = rows_of(s)
-    n = np.zeros(len(y), dtype=np.int64)
-    np.maximum.at(n, of_word, sentence + 1)
-    start, first = np.concatenate([[0], np.cumsum(n)[:-1]]).astype(np.int32), np.concatenate([[0], np.cumsum(pc.list_value_length(u).to_numpy())[:-1]]).astype(np.int32)
-    sentence += start[of_word]
-    coded = u.flatten().dictionary_encode()
-    ids = coded.indices.to_numpy()[w.flatten().to_numpy() + first[of_word]]
-    words = coded.dictionary.to_pylist()
-    del s, w, u, coded, of_word
-    return solve(np.repeat(np.arange(len(y)), n), sentence, ids, words, y, np.where(y == 1, 1 / rate[1], 1 / rate[0]))
+    n = sum(r["n"] for r in seen.values())
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        times = np.zeros(1 << BITS, dtype=np.int64)
+        for batch in batches:
+            for f in batch["f"]:
+                times[np.unique(f.values.to_numpy())] += 1
+        on = np.nonzero(times)[0]
+        yield pa.RecordBatch.from_arrays([pa.array(on.astype(np.int32)), pa.array(times[on])], names=["f", "n"])
+
+    often = taken.select("f").mapInArrow(count, "f int, n long").groupBy("f").agg(F.sum("n").alias("n")).where((F.col("n") >= min(5, max(1, n // 50))) & (F.col("f") > 0))
+    used = np.sort(often.select("f").toArrow()["f"].to_numpy())  # hashed features: 2 ** BITS at most
+    place = np.full(1 << BITS, len(used), dtype=np.int32)
+    place[used] = np.arange(len(used))
+    places = docs.sparkSession.sparkContext.broadcast(place)
+    weight = sum(r["w"] for r in seen.values())
+    share = np.clip(seen[1]["w"] / weight, 1e-3, 0.999)
+    start = np.append(np.zeros(len(used)), np.log(share * n / max(1, sum(r["sentences"] for r in seen.values()))))
+
+    def loss(x: np.ndarray) -> tuple[float, np.ndarray]:
+        value, grad = total(taken, lambda batch, at: part(batch, at, places.value), x)
+        penalty = np.append(RIDGE * x[:-1], 0.0)
+        return value / weight + 0.5 * (penalty @ x), grad / weight + penalty
+
+    x = minimise(loss, start)
+    weights = np.zeros(1 << BITS)
+    weights[used] = x[:-1]
+    return NoisyOr(weights, float(x[-1]))
 
 
 def score(docs: DataFrame, model: NoisyOr, *keep: str, locate: bool = True) -> DataFrame:
