@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.functions import display, tagging, text
-from lodestone.operators import anomaly, evidence, graph, indicators, merge, portfolio, proposals, reads, search
+from lodestone.operators import anomaly, evidence, graph, indicators, merge, portfolio, proposals, reads
 from lodestone.sources import feeds, shared
 from lodestone.streaming import quotes
 
@@ -216,80 +216,6 @@ def text_counts(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", F.size(text.sentences(t)).alias("sentences"), F.size(text.tokens(t)).alias("words"), text.phrase_count(t, " the ").alias("the"))
 
 
-@query("""with w as (select doc_id, regexp_extract_all(lower(text), '[a-z'']+') as w from documents), s as (select doc_id,
- greatest(0, coalesce(list_sum([case when list_contains(['the', 'that'], x) then case when i > 1 and list_has_any(w[greatest(1, i - 3):i - 1], ['of', 'to']) then -1 else 1 end else 0 end for x, i in w]), 0)) as bull,
- greatest(0, coalesce(list_sum([case when list_contains(['in', 'and'], x) then case when i > 1 and list_has_any(w[greatest(1, i - 3):i - 1], ['of', 'to']) then -1 else 1 end else 0 end for x, i in w]), 0)) as bear from w),
- p as (select doc_id, cast(bull as int) as bull, cast(bear as int) as bear, coalesce(round((bull - bear) / nullif(bull + bear, 0), 6), 0.0) as polarity from s)
- select doc_id, bull, bear, polarity, case when polarity > 0.15 then 'bullish' when polarity < -0.15 then 'bearish' else 'neutral' end as label,
- round(case when bull + bear = 0 then 0.35 else least(0.95, 0.4 + 0.55 * abs(polarity) * least((bull + bear) / 6, 1.0)) end, 6) as confidence from p""")
-def lexicon_sentiment(spark: SparkSession, d: str) -> DataFrame:
-    return text.sentiment(table(spark, d, "documents").select("doc_id", "text"), "text", ["the", "that"], ["in", "and"], ["of", "to"]).drop("text")
-
-
-@query("with t as (select doc_id, regexp_extract_all(lower(text), '[a-z0-9]+') as w from documents), e as (select doc_id, unnest(w) as word, unnest(range(len(w))) as pos from t) select doc_id, word as entity, cast(min(pos) as int) as first from e where word in ('stupid', 'trash', 'clown', 'moron') group by all")
-def entity_mentions(spark: SparkSession, d: str) -> DataFrame:
-    names = spark.createDataFrame([(w, w) for w in ("stupid", "trash", "clown", "moron")], "word string, entity string")
-    return text.mentions(table(spark, d, "documents"), "doc_id", "text", names)
-
-
-@query()
-def chunks(spark: SparkSession, d: str) -> DataFrame:
-    return text.chunks(table(spark, d, "documents"), "doc_id", "text")
-
-
-@query()
-def hash_embeddings(spark: SparkSession, d: str) -> DataFrame:
-    return text.embeddings(table(spark, d, "benchmark"), "text").select("item_id", "embedding")
-
-
-@query("with q as (select embedding::double[] as q from embeddings where vec_id = 0) select vec_id, round(list_cosine_similarity(embedding::double[], q), 6) as similarity from embeddings, q order by similarity desc, vec_id limit 20")
-def vector_topk(spark: SparkSession, d: str) -> DataFrame:
-    e = table(spark, d, "embeddings")
-    first = e.where("vec_id = 0").select("embedding").first()
-    return search.vector_topk(e, "vec_id", "embedding", list(first[0]), 20)
-
-
-WORDS = ["stupid", "trash", "clown"]
-KEYWORD = "hits as (select doc_id, word, count(*) as tf from (select doc_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) as word from documents) where word in ('stupid', 'trash', 'clown') group by all), scored as (select doc_id, round(sum((1 + ln(tf)) * ln(1 + (select count(*) from documents) / df)), 6) as score from hits join (select word, count(*) as df from hits group by word) using (word) group by doc_id)"
-
-
-@query(f"with {KEYWORD} select doc_id, score from scored order by score desc, doc_id limit 20")
-def keyword_topk(spark: SparkSession, d: str) -> DataFrame:
-    return search.keyword_topk(table(spark, d, "documents"), "doc_id", "text", WORDS, 20)
-
-
-@query(f"with {KEYWORD}, k as (select doc_id, row_number() over (order by score desc, doc_id) as rank from scored qualify rank <= 100), q as (select embedding::double[] as q from embeddings where vec_id = 0), v as (select vec_id as doc_id, row_number() over (order by s desc, vec_id) as rank from (select vec_id, round(list_cosine_similarity(embedding::double[], q), 6) as s from embeddings, q) qualify rank <= 200), b as (select doc_id, rank, 'keyword' as side from k union all select doc_id, rank, 'vector' from v) select doc_id, round(sum(1 / (60 + rank)), 6) as score, string_agg(side, '+' order by side) as matched_by from b group by doc_id order by score desc, doc_id limit 20")
-def hybrid_rrf(spark: SparkSession, d: str) -> DataFrame:
-    e = table(spark, d, "embeddings")
-    first = e.where("vec_id = 0").select("embedding").first()
-    k = search.ranked(search.keyword_topk(table(spark, d, "documents"), "doc_id", "text", WORDS, 100), "score", "doc_id")
-    v = search.ranked(search.vector_topk(e, "vec_id", "embedding", list(first[0]), 200).withColumnRenamed("vec_id", "doc_id"), "similarity", "doc_id")
-    return search.fuse(k, v, "doc_id", 20)
-
-
-@query("with s as (select doc_id, string_split_regex(regexp_replace(text, '([.!?])\\s+', '\\1\x01', 'g'), '\x01') as s from documents), e as (select doc_id, unnest(s) as sentence, cast(unnest(range(len(s))) as int) as place from s) select doc_id, place, round(len(list_intersect(['stupid', 'trash', 'clown'], regexp_extract_all(lower(sentence), '[a-z0-9'']+'))) / 3, 6) as score from e where length(sentence) >= 30 and score > 0 order by score desc, doc_id, place limit 5")
-def extractive_answer(spark: SparkSession, d: str) -> DataFrame:
-    return search.answer_sentences(table(spark, d, "documents"), "doc_id", "text", WORDS)
-
-
-def news(spark: SparkSession, d: str) -> DataFrame:
-    at = F.expr("timestamp_ntz '1996-01-01 00:00:00' + make_dt_interval(0, cast(doc_id as int))")
-    docs = table(spark, d, "documents").select(F.col("doc_id").alias("article"), at.alias("published_at"), F.col("text").alias("body"), "lang")
-    return docs.select("article", "published_at", "body", F.when(F.col("lang") == "en", "bullish").otherwise("bearish").alias("label"), (F.col("article") % 3 == 0).alias("tagged"))
-
-
-@query("""with e as (select o_orderkey as event_id, 'the' as symbol, date_trunc('day', o_orderdate) + interval 21 hour as close_at, case when o_orderkey % 2 = 0 then 'up' else 'down' end as direction from orders),
- n as (select doc_id as article, timestamp '1996-01-01' + doc_id * interval 1 hour as published_at, text as body, case when lang = 'en' then 'bullish' else 'bearish' end as label, doc_id % 3 = 0 as tagged from documents),
- c as (select *, epoch(close_at - published_at) / 3600 as h from e join n on published_at between close_at - interval 72 hour and close_at + interval 24 hour qualify row_number() over (partition by event_id order by published_at desc, article) <= 40),
- s as (select event_id, article, round(0.30 * contains(lower(body), symbol)::int + 0.25 * case when h >= 0 then greatest(0, 1 - h / 72) else 0.5 * greatest(0, 1 + h / 72) end + 0.20 * ((direction = 'up' and label = 'bullish') or (direction = 'down' and label = 'bearish'))::int + 0.05 * tagged::int, 4) as score from c where contains(lower(body), symbol) or tagged)
- select event_id, article, score, cast(row_number() over (partition by event_id order by score desc, article) as int) as place from s qualify place <= 3""")
-def news_correlation(spark: SparkSession, d: str) -> DataFrame:
-    o = table(spark, d, "orders").select("o_orderkey", "o_orderdate")
-    close = F.expr("cast(date_trunc('day', o_orderdate) as timestamp_ntz) + interval 21 hours")
-    events = o.select(F.col("o_orderkey").alias("event_id"), F.lit("the").alias("symbol"), close.alias("close_at"), F.when(F.col("o_orderkey") % 2 == 0, "up").otherwise("down").alias("direction"))
-    return search.correlate(events, news(spark, d))
-
-
 @query(f"with {EDGES}, {BOTH} select * from both_ways where here = 'Brand#1' and confidence >= 0.5")
 def graph_neighbours(spark: SparkSession, d: str) -> DataFrame:
     return graph.neighbours(edges(spark, d), "Brand#1", 0.5).drop("kind")

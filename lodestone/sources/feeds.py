@@ -9,7 +9,23 @@ ARTICLES = "articles array<struct<source: struct<name: string>, author: string,
 
 
 def when(text: F.Column | str) -> F.Column:
-    return F.try_to_timestamp(F.regexp_replace(text, r"Z$", "+00:00"), F.lit("yyyy-MM-dd'T'HH:mm:ssXXX"))
+    """A time with a zone, with or without parts of a second; null for anything else."""
+    zoned = F.regexp_replace(text, r"Z$", "+00:00")
+    return F.coalesce(*[F.try_to_timestamp(zoned, F.lit(f"yyyy-MM-dd'T'HH:mm:ss{part}XXX")) for part in ("", "[.SSSSSS]", "[.SSS]")])
+
+
+def number(text: str) -> F.Column:
+    """A number of any form, null for what is none or not finite."""
+    n = F.trim(text).try_cast("double")
+    return F.when(~F.isnan(n) & (F.abs(n) < F.lit(float("inf"))), n)
+
+
+def whole(text: str) -> F.Column:
+    return F.floor(number(text)).cast("long")
+
+
+def day(text: str) -> F.Column:
+    return F.try_to_date(F.substring(text, 1, 10), "yyyy-MM-dd")
 
 
 def json_articles(spark: SparkSession, path: str) -> DataFrame:
@@ -27,6 +43,19 @@ def rss_items(spark: SparkSession, path: str, since: str | None = None) -> DataF
     return out if since is None else out.where(F.col("published_at") >= F.lit(since).cast("timestamp"))
 
 
+def atom_entries(spark: SparkSession, path: str, since: str | None = None) -> DataFrame:
+    """Entries of an Atom feed, dated by when they were published, else updated, else created; undated ones go."""
+    schema = "title string, link struct<_href: string>, summary string, published string, updated string, created string"
+    raw = spark.read.format("xml").option("rowTag", "entry").schema(schema).load(path)
+    date = F.coalesce(when(F.col("published")), when(F.col("updated")), when(F.col("created")))
+    out = raw.select(F.col("link._href").alias("url"), "title", "summary", date.alias("published_at")).where("published_at is not null")
+    return out if since is None else out.where(F.col("published_at") >= F.lit(since).cast("timestamp"))
+
+
+def latest(items: DataFrame, limit: int) -> DataFrame:
+    return items.orderBy(F.desc("published_at"), "url").limit(limit)
+
+
 def filings(df: DataFrame) -> DataFrame:
     """Filings (cik, arrays form, date, accession) as rows; a row whose date can't be read goes."""
     rows = df.select(F.lpad(F.col("cik").cast("string"), 10, "0").alias("cik"), F.explode(F.arrays_zip("form", "date", "accession")).alias("f")).select("cik", "f.*")
@@ -98,3 +127,43 @@ def with_reason(rows: DataFrame) -> DataFrame:
     reason = F.when((F.col("asset_type") == "equity") & F.col("company").isNull(), "equity without company")
     reason = reason.when((F.col("quantity") < 0) | (F.col("average_cost") < 0), "negative position")
     return rows.withColumn("reason", reason.when(~F.col("confidence").between(0, 1), "confidence out of range").otherwise("accepted"))
+
+
+def json_metrics(spark: SparkSession, path: str) -> DataFrame:
+    """(symbol, metric, value) of the metrics that have one."""
+    raw = spark.read.schema("symbol string, metric map<string,double>").option("multiLine", True).json(path)
+    return raw.select("symbol", F.explode("metric").alias("metric", "value")).where("value is not null")
+
+
+def json_earnings(spark: SparkSession, path: str) -> DataFrame:
+    raw = spark.read.schema("symbol string, period string, actual double, estimate double").option("multiLine", True).json(path)
+    return raw.select("symbol", day("period").alias("period"), "actual", "estimate").where("period is not null")
+
+
+def json_insiders(spark: SparkSession, path: str) -> DataFrame:
+    """Trades of insiders; those without a price or a day that can be read go."""
+    schema = "symbol string, data array<struct<name: string, change: double, transactionPrice: double, transactionDate: string>>"
+    one = spark.read.schema(schema).option("multiLine", True).json(path).select("symbol", F.explode("data").alias("d"))
+    out = one.select("symbol", "d.name", "d.change", F.col("d.transactionPrice").alias("price"), day("d.transactionDate").alias("traded_on"))
+    return out.where("price is not null and traded_on is not null")
+
+
+def json_universe(spark: SparkSession, path: str, mics: list[str]) -> DataFrame:
+    """Listings of the markets named, those without a symbol left out."""
+    raw = spark.read.schema("symbol string, description string, mic string, type string").option("multiLine", True).json(path)
+    some = raw.where(F.col("mic").isin(mics) & (F.trim("symbol") != ""))
+    return some.select("symbol", F.col("description").alias("name"), "mic", F.col("type").alias("security_type"))
+
+
+# fixed values: sections of reported statements
+SECTIONS = {"ic": "income", "bs": "balance", "cf": "cash flow"}
+
+
+def json_statements(spark: SparkSession, path: str) -> DataFrame:
+    """(symbol, year, section, concept, value) of reported statements."""
+    lines = "array<struct<concept: string, value: double>>"
+    schema = f"symbol string, data array<struct<year: int, report: struct<{', '.join(f'{k}: {lines}' for k in SECTIONS)}>>>"
+    one = spark.read.schema(schema).option("multiLine", True).json(path).select("symbol", F.explode("data").alias("d"))
+    sections = F.array(*[F.struct(F.lit(v).alias("section"), F.col(f"d.report.{k}").alias("lines")) for k, v in SECTIONS.items()])
+    each = one.select("symbol", "d.year", F.explode(sections).alias("s")).select("symbol", "year", "s.section", F.explode("s.lines").alias("l"))
+    return each.select("symbol", "year", "section", "l.concept", "l.value").where("value is not null")
