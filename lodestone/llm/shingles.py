@@ -9,7 +9,7 @@ import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import components, half_space, met, partitions, saved, tile_pairs
@@ -22,8 +22,8 @@ MULTIPLIERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779
 #: Words of 64 bits of a fingerprint, and the radius. Sets at 4 / 5 differ in 15 % of the bits: 78 of 512, give or take
 #: 8, so that one pair in some ten million lies beyond; of sets of 4 and 5 shingles 96 differ, and one in 300 does.
 WORDS, RADIUS = 8, 120
-#: Fingerprints in one piece of a tile: 512 kB.
-PIECE = 8192
+#: Fingerprints in one piece of a tile, 512 kB, and shingles in one piece where sets are compared, about 2 MB.
+PIECE, HEAVY = 8192, 1 << 18
 #: Characters that are cut into shingles at once.
 CHARS = 1_000_000
 
@@ -138,72 +138,136 @@ def candidates(docs: DataFrame, printed: DataFrame) -> DataFrame:
 
 
 def linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Those of the distinct pairs (a, b) of sets whose Jaccard similarity is 4 / 5 or more."""
+    """Those of the pairs (a, b) of sets, a few a set, whose Jaccard similarity is 4 / 5 or more."""
     of = lambda c: sets.select(F.col("sid").alias(c), F.col("n").alias(f"n_{c}"), F.col("grams").alias(f"grams_{c}"))
     both = pairs.join(of("a"), "a").join(of("b"), "b")
     shared = F.size(F.array_intersect("grams_a", "grams_b"))
     return saved(both.where((DEN + NUM) * shared >= NUM * (F.col("n_a") + F.col("n_b"))).select("a", "b"), "linked")
 
 
-def close(sets: DataFrame, nearest: bool) -> DataFrame:
-    """Distinct pairs (a, b) of sets (sid, n, fp, root) within the radius whose roots differ; ``nearest``: one a set at most.
+def pieces_of(sets: DataFrame, payload: list[str], most: Column, name: str) -> DataFrame:
+    """Pairs of pieces of ``sets``, for ``met``, that hold sets of about the same size; ``most``: sets in a piece, by cell.
 
-    Sets in a cell have about the same size, so that those of over 5 / 4 of a set's size don't meet it.
+    A cell's sets differ by a factor of 1.26 at most, so that only neighbouring cells have sets within 5 / 4 of another.
     """
-    cells = sets.select("sid", "n", "fp", "root", F.array(F.floor(F.log("n") / F.log(F.lit(1.26))).cast("int")).alias("cell"))
+    cell = F.floor(F.log("n") / F.log(F.lit(1.26))).cast("int")
+    cells = sets.select(*payload, F.array(cell).alias("cell"))
     # a cell for each power of 1.26: under 200 of them, so their sizes may be broadcast
-    pieces = F.broadcast(cells.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / PIECE).cast("int").alias("__n")))
-    piece = F.pmod(F.xxhash64("sid"), "__n").alias("piece")
-    payload = ["sid", "n", "root", "fp"]
-    items = F.collect_list(F.struct(*payload))
-    tiles = cells.join(pieces, "cell").groupBy("cell", piece).agg(items.alias("x")).select("cell", "piece", *[F.col(f"x.{c}").alias(c) for c in payload[:3]], F.flatten("x.fp").alias("fp"))
-    pairs = tile_pairs(tiles.withColumn("space", F.lit(0)), half_space(1, 1, lambda o: True), payload, "set-tiles")
+    pieces = F.broadcast(cells.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / most).cast("int").alias("__n")))
+    items = F.collect_list(F.struct(*payload)).alias("x")
+    tiles = cells.join(pieces, "cell").groupBy("cell", F.pmod(F.xxhash64("sid"), "__n").alias("piece")).agg(items)
+    flat = [F.flatten(f"x.{c}").alias(c) if c in ("fp", "grams") else F.col(f"x.{c}").alias(c) for c in payload]
+    return tile_pairs(tiles.select(F.lit(0).alias("space"), "cell", "piece", *flat), half_space(1, 1, lambda o: True), payload, name)
+
+
+def close(left: tuple, right: tuple) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(i, j, differing bits) of two pieces (sid, n, root, fp) within the radius, of sizes that can link and of two roots."""
+    (_, n, root, fp), (_, n2, root2, fp2) = left, right
+    for i, j, bits in near_wide(fp.view("<u8").reshape(-1, WORDS), fp2.view("<u8").reshape(-1, WORDS), RADIUS):
+        ok = (root[i] != root2[j]) & (DEN * n[i] >= NUM * n2[j]) & (DEN * n2[j] >= NUM * n[i])
+        yield i[ok], j[ok], bits[ok]
+
+
+def arrays(row: tuple) -> tuple:
+    return tuple(x.values.to_numpy(zero_copy_only=False) for x in row)
+
+
+CLOSE = ["sid", "n", "root", "fp"]
+
+
+def nearest(sets: DataFrame) -> DataFrame:
+    """(a, b): each set with the nearest one within the radius whose root is another, at most a pair a set."""
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for left, right, same in met(batches, payload):
-            (sid, n, root, fp), (sid2, n2, root2, fp2) = ([x.values.to_numpy(zero_copy_only=False) for x in row] for row in (left, right))
-            found = []
-            for i, j, bits in near_wide(fp.view("<u8").reshape(-1, WORDS), fp2.view("<u8").reshape(-1, WORDS), RADIUS):
-                ok = (root[i] != root2[j]) & (DEN * n[i] >= NUM * n2[j]) & (DEN * n2[j] >= NUM * n[i])
-                found.append((i[ok], j[ok], bits[ok]))
-            i, j, bits = (np.concatenate(x) for x in zip(*found, strict=True))
-            if nearest:
-                far = np.concatenate([sid[i], sid2[j]]), np.concatenate([sid2[j], sid[i]]), np.concatenate([bits, bits])
-                order = np.lexsort((far[1], far[2], far[0]))
-                a, b, d = (x[order] for x in far)
+        for left, right, _ in met(batches, CLOSE):
+            one, two = arrays(left), arrays(right)
+            best: dict[int, tuple[int, int]] = {}
+            for i, j, bits in close(one, two):
+                a, b, d = np.concatenate([one[0][i], two[0][j]]), np.concatenate([two[0][j], one[0][i]]), np.concatenate([bits, bits])
+                order = np.lexsort((b, d, a))
+                a, b, d = a[order], b[order], d[order]
                 first = np.concatenate([[True], a[1:] != a[:-1]])[: len(a)]
-                a, b, d = a[first], b[first], d[first]
-            else:
-                a, b, d = np.minimum(sid[i], sid2[j]), np.maximum(sid[i], sid2[j]), bits
-                a, b, d = (a[i < j], b[i < j], d[i < j]) if same else (a, b, d)
-            if len(a):
-                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(d.astype(np.int32))], names=["a", "b", "bits"])
+                for x, y, z in zip(a[first].tolist(), b[first].tolist(), d[first].tolist(), strict=True):
+                    best[x] = min(best.get(x, (1 << 20, 0)), (z, y))
+            if best:
+                yield pa.RecordBatch.from_arrays([pa.array(list(best), pa.int64()), pa.array([y for _, y in best.values()], pa.int64()), pa.array([z for z, _ in best.values()], pa.int32())], names=["a", "b", "bits"])
+
+    found = pieces_of(sets, CLOSE, F.lit(PIECE), "near-tiles").mapInArrow(compare, "a long, b long, bits int")
+    one = found.groupBy("a").agg(F.min_by("b", F.struct("bits", "b")).alias("b"))
+    return saved(one.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "nearest")
 
-    found = pairs.mapInArrow(compare, "a long, b long, bits int")
-    if nearest:
-        found = found.groupBy("a").agg(F.min_by("b", F.struct("bits", "b")).alias("b"))
-    return saved(found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "close")
+
+def open_sets(sets: DataFrame) -> DataFrame:
+    """(sid) of the sets that have another within the radius whose root is another."""
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for left, right, _ in met(batches, CLOSE):
+            one, two = arrays(left), arrays(right)
+            hit, hit2 = np.zeros(len(one[0]), dtype=bool), np.zeros(len(two[0]), dtype=bool)
+            for i, j, _ in close(one, two):
+                hit[i], hit2[j] = True, True
+            sid = np.unique(np.concatenate([one[0][hit], two[0][hit2]]))
+            if len(sid):
+                yield pa.RecordBatch.from_arrays([pa.array(sid)], names=["sid"])
+
+    return saved(pieces_of(sets, CLOSE, F.lit(PIECE), "open-tiles").mapInArrow(compare, "sid long").distinct(), "open")
+
+
+def counted(sets: DataFrame) -> DataFrame:
+    """(a, b): pairs of ``sets`` (sid, n, root, fp, grams) that link their roots: shingles are counted piece by piece.
+
+    Pairs stay inside a task, and those whose roots it has joined already are not counted, so that a group gives few rows.
+    """
+    payload = [*CLOSE, "grams"]
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for left, right, _ in met(batches, payload):
+            one, two = arrays(left), arrays(right)
+            at, at2 = (np.concatenate([[0], np.cumsum(x[1], dtype=np.int64)]) for x in (one, two))
+            parent: dict[int, int] = {}
+
+            def top(x: int, parent: dict[int, int] = parent) -> int:
+                while (y := parent.get(x, x)) != x:
+                    parent[x] = parent.get(y, y)
+                    x = y
+                return x
+
+            found = []
+            for i, j, bits in close(one[:4], two[:4]):
+                for k in np.argsort(bits, kind="stable").tolist():
+                    x, y = int(i[k]), int(j[k])
+                    r, r2 = top(int(one[2][x])), top(int(two[2][y]))
+                    if r == r2:
+                        continue
+                    g, g2 = one[4][at[x] : at[x + 1]].view(np.uint64), two[4][at2[y] : at2[y + 1]].view(np.uint64)
+                    shared = int((g2[np.minimum(np.searchsorted(g2, g), len(g2) - 1)] == g).sum())
+                    if (DEN + NUM) * shared >= NUM * (len(g) + len(g2)):
+                        parent[max(r, r2)] = min(r, r2)
+                        found.append((int(one[0][x]), int(two[0][y])))
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([y for _, y in found], pa.int64())], names=["a", "b"])
+
+    most = F.greatest(F.lit(1.0), HEAVY / F.pow(F.lit(1.26), F.element_at("cell", 1) + 1))
+    return saved(pieces_of(sets, payload, most, "set-tiles").mapInArrow(compare, "a long, b long"), "counted")
 
 
 def links(sets: DataFrame) -> DataFrame:
     """Edges (a, b) that connect all sets (sid, n, grams, fp) which chains of pairs with a similarity of 4 / 5 connect.
 
-    First each set is counted against its nearest one, twice, which joins most of a large group without its pairs; then
-    against all sets within the radius that are not connected yet.
+    First each set is counted against its nearest one, which joins most of a large group without its pairs. Sets that
+    still have one within the radius that is not connected to them then meet with their shingles.
     """
-    edges, tried = None, None
-    for nearest in (True, True, False):
-        if edges is None:
-            rooted = sets.withColumn("root", F.col("sid"))
-        else:
-            roots = components(edges)
-            rooted = sets.join(roots, sets["sid"] == roots["node"], "left").select("sid", "n", "fp", F.coalesce("root", "sid").alias("root"))
-        pairs = close(rooted, nearest)
-        # pairs that were counted are not counted again
-        found = linked(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"), sets)
-        edges = found if edges is None else edges.unionByName(found)
-        tried = pairs if tried is None else tried.unionByName(pairs)
-    return edges
+
+    def rooted(edges: DataFrame, *more: str) -> DataFrame:
+        roots = components(edges)
+        return sets.join(roots, sets["sid"] == roots["node"], "left").select("sid", "n", "fp", F.coalesce("root", "sid").alias("root"), *more)
+
+    first = linked(nearest(sets.select("sid", "n", "fp", F.col("sid").alias("root"))), sets)
+    placed = saved(rooted(first), "placed")
+    second = first.unionByName(linked(nearest(placed), sets))
+    placed = saved(rooted(second, "grams"), "placed")
+    rest = placed.join(open_sets(placed.drop("grams")), "sid", "left_semi")
+    return second.unionByName(counted(rest))
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
