@@ -18,7 +18,8 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group that pairs with a Jaccard similarity of 0.8 or more in five-word shingles link."""
+    """One document of each group that pairs with a similarity of 0.8 or more in five-word shingles link (operator 7):
+    wide SimHash fingerprints are compared tile by tile, and what they find is counted exactly."""
     return shingles.keep_one(docs).select(*COLUMNS)
 
 
