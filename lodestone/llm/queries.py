@@ -94,9 +94,18 @@ def fence_sql(k: str) -> str:
 WIDE = f"(q3_word_length - q1_word_length) * sqrt(greatest(1, q2_n_words / n_words)) * {rules.FENCE}"
 
 ORACLE_SQL: dict[str, str] = {
+    "op8_vectors": """
+with recursive v as (select vec_id, embedding::double[] e from embeddings),
+ok as (select * from v where len(e) > 0 and not list_bool_or([x is null or isnan(x) or isinf(x) for x in e]) and list_bool_or([x <> 0 for x in e])),
+links as (select a.vec_id a, b.vec_id b from ok a join ok b on a.vec_id <> b.vec_id and len(a.e) = len(b.e) where list_cosine_similarity(a.e, b.e) >= 0.9),
+reach as (select vec_id node, vec_id root from ok union select b, root from reach join links on a = node),
+low as (select node, min(root) root from reach group by node), many as (select a, count(*) n from links group by a)
+select vec_id, coalesce(n, 0) n_links, coalesce(root, vec_id) component_id, vec_id = coalesce(root, vec_id) kept
+from v left join low on node = vec_id left join many on a = vec_id""",
     "op10_rules": rf"""
 with d as (select row_number() over () rid, doc_id, lang, source, coalesce(text, '') t from documents),
-w as (select *, {WORDS} words, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^ 	-]')) lines from d),
+w as (select *, {WORDS} words, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^ 	-
+]')) lines from d),
 wins as (select rid, i, array_to_string(words[i:i + {rules.WINDOW - 1}], ' ') win
          from (select rid, words, unnest(range(1, len(words) - {rules.WINDOW - 2})) i from w)),
 again as (select rid, i from (select *, count(*) over (partition by rid, win) n from wins) where n > 1),

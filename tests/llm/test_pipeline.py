@@ -43,3 +43,51 @@ def test_near_copies_go_from_similarity_four_fifths(spark):
     got = sorted(r["doc_id"] for r in corpus_pipeline.near_copies(spark, docs, "").collect())
     assert got == sorted([*set(root), 0])
     assert corpus_pipeline.near_copies(spark, docs.limit(0), "").count() == 0
+
+
+COLUMNS = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def odd_docs(spark):
+    long = "many words of a passage that stands here and there in the table and is long enough to be found again by its hashes as it has over thirty words in all and ends here. "
+    rows = [(None, None, None, None, None), (1, "", "en", "s", 0), (2, "  \n", None, None, 3), (3, long, "en", "s", 1), (3, long, "en", "s", 1), (None, long, "en", None, 1), (4, "x" * 50_000, "en", "s", 1), (5, "one two " * 5000, None, "t", 1), (6, f"own words. {long}\nmore own words", "en", "t", 1)]
+    return spark.createDataFrame(rows, COLUMNS).repartition(4)
+
+
+def test_each_stage_on_odd_rows_and_an_empty_table(spark):
+    odd = odd_docs(spark)
+    for name, stage in corpus_pipeline.STAGES:
+        got = stage(spark, odd, "")
+        assert got.count() <= 3 * odd.count(), name
+        assert stage(spark, odd.limit(0), "").count() == 0
+        if name != "encoded":
+            assert got.columns == corpus_pipeline.COLUMNS
+
+
+def test_mixture_takes_repeated_rows_together(spark):
+    rows = [(i % 5, "word " * (3 + i % 4), "en", f"s{i % 3}", 1) for i in range(60)] + [(None, "word word", "en", None, 1)] * 3
+    docs = spark.createDataFrame(rows, COLUMNS).repartition(3)
+    got = corpus_pipeline.mixture(spark, docs, "").toPandas()
+    size = lambda t: len(t.split())
+    total = sum(size(r[1]) for r in rows)
+    assert abs(got["text"].map(size).sum() - total) <= 0.1 * total
+    again = corpus_pipeline.mixture(spark, docs, "").toPandas()
+    assert sorted(map(str, got.to_numpy().tolist())) == sorted(map(str, again.to_numpy().tolist()))
+
+
+def test_a_family_under_the_similarity_stays_and_one_over_it_goes(spark):
+    rng = random.Random(2)
+    base = [f"b{i}" for i in range(200)]
+
+    def edited(n):
+        words = list(base)
+        for i in rng.sample(range(200), n):
+            words[i] = f"e{rng.randrange(10**6)}"
+        return " ".join(words)
+
+    far = [(i, edited(14), "en", "s", 1) for i in range(60)]  # each pair shares about half of its shingles
+    docs = spark.createDataFrame(far, COLUMNS).repartition(3)
+    assert corpus_pipeline.near_copies(spark, docs, "").count() == 60
+    near = [(100 + i, edited(2), "en", "s", 1) for i in range(60)]
+    kept = corpus_pipeline.near_copies(spark, spark.createDataFrame(far + near, COLUMNS).repartition(3), "").collect()
+    assert 100 in {r["doc_id"] for r in kept} and sum(r["doc_id"] >= 100 for r in kept) == 1 and len(kept) == 61
