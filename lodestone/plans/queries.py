@@ -352,7 +352,7 @@ def stream_distinct(spark: SparkSession, d: str) -> DataFrame:
 
 @query("select event_type as symbol, event_id, value as price from events qualify lag(value) over (partition by event_type order by ts, event_id) is distinct from value")
 def stream_changes(spark: SparkSession, d: str) -> DataFrame:
-    return shared.finished(quotes.changes(quotes.source(spark, d, "events.parquet")))
+    return shared.stateful(quotes.source(spark, d, "events.parquet"), quotes.changes, quotes.CHANGES, quotes.LAST)
 
 
 @query("with b as (select o_custkey % 50 as question, o_orderkey as source, 'Order ' || o_orderkey as title, o_orderdate as published_at, o_orderpriority as text, (o_orderkey % 40) / 1000.0 as score, case when o_orderkey % 3 = 0 then 'keyword+vector' else 'vector' end as matched_by, case when o_orderkey % 5 <> 0 then (o_orderkey % 100) / 100.0 end as similarity from orders), e as (select * from b where score >= 0.015), ok as (select question from e group by question having max(similarity) >= 0.97) select question, count(*) as pieces, round(least(0.95, 0.4 * least(count(*) / 6, 1.0) + 0.35 * least(max(score) / 0.03, 1.0) + 0.25 * (count(*) filter (where contains(matched_by, '+'))) / count(*)), 3) as confidence from e join ok using (question) group by question")

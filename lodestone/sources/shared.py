@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -40,6 +41,23 @@ def finished(stream: DataFrame, mode: str = "append") -> DataFrame:
     return spark.read.schema(stream.schema).parquet(f"{path}/rows").select(*stream.columns)
 
 
+def stateful(stream: DataFrame, step: Callable[[DataFrame, DataFrame], tuple[DataFrame, DataFrame]], rows: str, state: str) -> DataFrame:
+    """All rows that ``step`` gives for a stream's batches, in order: it gets a batch and the state before it, and gives
+    rows and the state after. Both are written by batch, so one that is tried again writes the same."""
+    spark = stream.sparkSession
+    path = f"{folder(spark)}/stateful-{uuid.uuid4().hex}"
+
+    def put(batch: DataFrame, number: int) -> None:
+        before = spark.read.schema(state).parquet(f"{path}/state/{number - 1}") if number else spark.createDataFrame([], state)
+        found, after = step(batch, before)
+        found.write.mode("overwrite").parquet(f"{path}/rows/batch={number}")
+        after.write.mode("overwrite").parquet(f"{path}/state/{number}")
+
+    stream.writeStream.trigger(availableNow=True).option("checkpointLocation", f"{path}/offsets").foreachBatch(put).start().awaitTermination()
+    out = spark.read.schema(rows).parquet(f"{path}/rows")
+    return out.drop("batch")
+
+
 def merged(stream: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """The last row by ``order`` of each key, after all that a stream has now: late rows correct what is there.
 

@@ -2,12 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
 def source(spark: SparkSession, path: str, glob: str | None = None) -> DataFrame:
@@ -37,20 +33,28 @@ def distinct(ticks: DataFrame, keys: list[str], late: str = "1 day") -> DataFram
     return ticks.withWatermark("ts", late).dropDuplicatesWithinWatermark(keys)
 
 
-def changes(ticks: DataFrame) -> DataFrame:
-    """Ticks of each symbol whose price is not that of the one before: the state is the last price sent."""
-
-    def of(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last = state.get[0] if state.exists else None
-        rows = pd.concat(list(batches)).sort_values(["ts", "event_id"])
-        before = rows["price"].shift(1)
-        before.iloc[:1] = last
-        if len(rows):
-            state.update((float(rows["price"].iloc[-1]),))
-        sent = rows[rows["price"] != before]
-        yield pd.DataFrame({"symbol": key[0], "event_id": sent["event_id"], "price": sent["price"]})
-
-    return ticks.groupBy("symbol").applyInPandasWithState(of, "symbol string, event_id long, price double", "last double", "append", GroupStateTimeout.NoTimeout)
+#: What ``changes`` gives, and what it keeps from batch to batch: one row a symbol.
+CHANGES, LAST = "symbol string, event_id long, price double", "symbol string, last double"
+
+
+def changes(ticks: DataFrame, state: DataFrame, bucket: str = "hour") -> tuple[DataFrame, DataFrame]:
+    """(ticks whose price is not that of their symbol's one before, last prices) of a batch and the last prices so far.
+
+    Ticks are compared inside each symbol and hour, so a symbol with any share of the ticks goes to many tasks; the hours
+    are stitched by their last prices, a row each.
+    """
+    turn = F.struct("ts", "event_id")
+    order = Window.partitionBy("symbol", "bucket").orderBy("ts", "event_id")
+    inner = ticks.withColumn("bucket", F.date_trunc(bucket, "ts")).withColumn("before", F.lag("price").over(order)).withColumn("nth", F.row_number().over(order))
+    lasts = inner.groupBy("symbol", "bucket").agg(F.max_by("price", turn).alias("last"))
+    earlier = F.lag("last").over(Window.partitionBy("symbol").orderBy("bucket"))
+    stitched = lasts.withColumn("earlier", earlier).join(state.withColumnRenamed("last", "sent"), "symbol", "left")
+    stitched = stitched.select("symbol", "bucket", F.coalesce("earlier", "sent").alias("earlier"))
+    met = inner.join(stitched, ["symbol", "bucket"])
+    before = F.when(F.col("nth") == 1, F.col("earlier")).otherwise(F.col("before"))
+    sent = met.where(~before.eqNullSafe(F.col("price"))).select("symbol", "event_id", "price")
+    now = lasts.groupBy("symbol").agg(F.max_by("last", "bucket").alias("last"))
+    return sent, now.unionByName(state.join(now, "symbol", "left_anti"))
 
 
 def payload(quotes: DataFrame) -> DataFrame:

@@ -162,6 +162,22 @@ def test_values_of_repeated_keys_multiply_nothing(spark):
     assert sorted(r["v"] for r in merge.insert_only(old.limit(0), fresh, ["k"]).collect()) == ["a", "m"]
 
 
+def test_changes_go_on_from_batch_to_batch(spark):
+    from datetime import datetime
+
+    from lodestone.streaming import quotes
+
+    at = lambda h, m: datetime(2020, 1, 1, h, m)
+    first = [(1, "a", at(1, 0), 1.0), (2, "a", at(1, 5), 1.0), (3, "a", at(2, 0), 1.0), (4, "a", at(2, 1), 2.0), (5, "b", at(1, 0), 7.0)]
+    second = [(6, "a", at(3, 0), 2.0), (7, "a", at(5, 0), 3.0), (8, "c", at(3, 0), 1.0)]
+    schema = "event_id long, symbol string, ts timestamp, price double"
+    sent, state = quotes.changes(spark.createDataFrame(first, schema), spark.createDataFrame([], quotes.LAST))
+    assert sorted(r["event_id"] for r in sent.collect()) == [1, 4, 5]
+    sent, state = quotes.changes(spark.createDataFrame(second, schema), state)
+    assert sorted(r["event_id"] for r in sent.collect()) == [7, 8]
+    assert {r["symbol"]: r["last"] for r in state.collect()} == {"a": 3.0, "b": 7.0, "c": 1.0}
+
+
 def test_windows_have_guards():
     from datetime import date
 
