@@ -13,8 +13,8 @@ MOST_KEYWORDS = 20
 
 
 def named(aliases: list[str]) -> str:
-    """A pattern of whole words, for lower-cased texts."""
-    return r"\b(" + "|".join(re.escape(a.lower()) for a in aliases) + r")\b"
+    """A pattern of whole words, for lower-cased texts; longer aliases come first, so that the whole of one is found."""
+    return r"\b(" + "|".join(re.escape(a) for a in sorted({a.lower() for a in aliases}, key=lambda a: (-len(a), a))) + r")\b"
 
 
 def hits(text: Column, groups: dict[str, list[str]]) -> Column:

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .merge import insert_only
+
 # fixed values: confidence of a kind, and the stems of which its quote must have one
 KINDS = {
     "supplies": (0.55, ["suppl", "provide", "ship", "deliver", "sell"]),
@@ -18,6 +20,7 @@ KINDS = {
 # fixed values: kinds that are known but stated by no news sentence
 OTHER_KINDS = ["depends_on", "produces", "uses", "deploys", "operates", "located_in"]
 LEAST_QUOTE = 25
+# fixed values: characters of typography and what stands for them
 TYPOGRAPHY = ("\u2019\u2018\u201c\u201d\u2014\u2013\u00a0", "''\"\"-- ")
 
 
@@ -61,3 +64,31 @@ def validate(proposals: DataFrame, documents: DataFrame, names: DataFrame) -> Da
 def causes(checked: DataFrame) -> DataFrame:
     """How many proposals each cause turned away; ``accepted`` for the rest."""
     return checked.groupBy(F.coalesce("reject_reason", F.lit("accepted")).alias("reason")).agg(F.count(F.lit(1)).alias("n"))
+
+
+#: Entities that a document must name to be asked for relations, and proposals that are taken from one.
+LEAST_ENTITIES, MOST_PROPOSALS = 2, 4
+
+
+def askable(documents: DataFrame, mentions: DataFrame, key: str = "doc_id") -> DataFrame:
+    """Documents that name two entities or more (mentions: key, entity)."""
+    enough = mentions.groupBy(key).agg(F.countDistinct("entity").alias("n")).where(F.col("n") >= LEAST_ENTITIES)
+    return documents.join(enough.select(key), key, "left_semi")
+
+
+def taken(checked: DataFrame) -> DataFrame:
+    """Accepted proposals, each relation of two entities once, four of a document at most, the surest first."""
+    relation = ["source_slug", "target_slug", "relation"]
+    good = checked.where(F.col("reject_reason").isNull())
+    rank = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.desc("confidence"), *relation))
+    some = good.dropDuplicates(["doc_id", *relation]).withColumn("__n", rank).where(F.col("__n") <= MOST_PROPOSALS)
+    best = F.max_by(F.struct("doc_id", "confidence"), F.struct("confidence", -F.col("doc_id"))).alias("b")
+    return some.groupBy(*relation).agg(best).select(*relation, "b.doc_id", "b.confidence")
+
+
+def extract(documents: DataFrame, proposals: DataFrame, names: DataFrame, mentions: DataFrame, stored: DataFrame, limit: int) -> DataFrame:
+    """``stored`` proposals (source_slug, target_slug, relation, doc_id, confidence, status) and new ones, pending, of the
+    newest ``limit`` documents; those that are stored stay as they were reviewed."""
+    newest = askable(documents.orderBy(F.desc("doc_id")).limit(limit), mentions)
+    found = taken(validate(proposals.join(newest.select("doc_id"), "doc_id", "left_semi"), newest, names))
+    return insert_only(stored, found.withColumn("status", F.lit("pending")), ["source_slug", "target_slug", "relation"])

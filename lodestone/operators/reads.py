@@ -73,7 +73,7 @@ def calendar(sessions: DataFrame, exchange: str = "exchange", day: str = "sessio
     span = sessions.groupBy(exchange).agg(F.min(day).alias("a"), F.max(day).alias("b"))
     days = span.select(exchange, F.explode(F.sequence("a", "b")).alias("day"))
     met = days.join(sessions.select(exchange, F.col(day).alias("day"), F.lit(True).alias("open")).distinct(), [exchange, "day"], "left")
-    note = F.when(F.col("open"), None).when(F.weekday("day") >= 5, "weekend").otherwise("no session observed")
+    note = F.when(F.col("open"), None).when(F.weekday("day") >= 5, "weekend").otherwise(F.concat(F.lit("no session observed on "), exchange, F.lit("; probable holiday")))
     return met.select(exchange, "day", F.coalesce("open", F.lit(False)).alias("is_trading_day"), note.alias("note"))
 
 

@@ -171,7 +171,7 @@ def feature_rows(spark: SparkSession, d: str) -> DataFrame:
     return out.select("symbol", "session", *[F.round(F.col(c), 4 if c in SHARES else 3).alias(c) for c in SHARES + PRICES])
 
 
-@query("with s as (select n_name as exchange, cast(o_orderdate as date) as session from orders join customer on o_custkey = c_custkey join nation on c_nationkey = n_nationkey group by all), span as (select exchange, unnest(generate_series(min(session)::timestamp, max(session)::timestamp, interval 1 day))::date as day from s group by exchange) select span.exchange, span.day, s.session is not null as is_trading_day, case when s.session is not null then null when isodow(span.day) >= 6 then 'weekend' else 'no session observed' end as note from span left join s on s.exchange = span.exchange and s.session = span.day")
+@query("with s as (select n_name as exchange, cast(o_orderdate as date) as session from orders join customer on o_custkey = c_custkey join nation on c_nationkey = n_nationkey group by all), span as (select exchange, unnest(generate_series(min(session)::timestamp, max(session)::timestamp, interval 1 day))::date as day from s group by exchange) select span.exchange, span.day, s.session is not null as is_trading_day, case when s.session is not null then null when isodow(span.day) >= 6 then 'weekend' else 'no session observed on ' || span.exchange || '; probable holiday' end as note from span left join s on s.exchange = span.exchange and s.session = span.day")
 def trading_calendar(spark: SparkSession, d: str) -> DataFrame:
     o, c, n = table(spark, d, "orders"), table(spark, d, "customer"), table(spark, d, "nation")
     met = o.join(c, F.col("o_custkey") == F.col("c_custkey")).join(F.broadcast(n), F.col("c_nationkey") == F.col("n_nationkey"))

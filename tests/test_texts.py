@@ -76,3 +76,26 @@ def test_payloads(spark, tmp_path):
     (tmp_path / "f.xml").write_text("<rss><channel><item><title>A</title><link>a</link><pubDate>Wed, 01 May 2024 10:00:00 GMT</pubDate></item><item><title>B</title><link>b</link><pubDate>?</pubDate></item></channel></rss>")
     assert [(r["url"], str(r["published_at"])) for r in feeds.rss_items(spark, str(tmp_path / "f.xml")).collect()] == [("a", "2024-05-01 10:00:00")]
     assert feeds.rss_items(spark, str(tmp_path / "f.xml"), "2024-06-01").count() == 0
+
+
+def test_extraction_takes_four_of_a_document_and_keeps_reviews(spark):
+    from lodestone.operators import proposals
+
+    ends = ["acme", "bolt", "corp", "dune", "echo"]
+    names = spark.createDataFrame([(n, n) for n in ends], "name string, slug string")
+    text = "acme supplies parts to bolt, to corp, to dune and to echo each year"
+    docs = spark.createDataFrame([(1, text), (2, text), (3, "acme alone supplies no one here at all"), (4, text)], "doc_id long, text string")
+    made = [(d, a, b, "supplies", text) for d in (1, 2, 4) for a in ends for b in ends if a < b] + [(3, "acme", "bolt", "supplies", "acme alone supplies no one here")]
+    asked = spark.createDataFrame(made, "doc_id long, source string, target string, relation string, quote string")
+    mentions = spark.createDataFrame([(d, e) for d in (1, 2, 4) for e in ends] + [(3, "acme")], "doc_id long, entity string")
+    stored = spark.createDataFrame([("acme", "bolt", "supplies", 9, 0.5, "refused")], "source_slug string, target_slug string, relation string, doc_id long, confidence double, status string")
+    got = {(r["source_slug"], r["target_slug"]): (r["doc_id"], r["status"]) for r in proposals.extract(docs, asked, names, mentions, stored, 3).collect()}
+    assert got == {("acme", "bolt"): (9, "refused"), ("acme", "corp"): (2, "pending"), ("acme", "dune"): (2, "pending"), ("acme", "echo"): (2, "pending")}
+
+
+def test_longer_aliases_are_found_whole(spark):
+    from lodestone.functions import tagging
+
+    d = spark.createDataFrame([("the acme steel works",)], "t string")
+    out = tagging.tag(d, "t", {"a": ["acme", "acme steel"]}, {}, {}).first()
+    assert list(out["keywords"]) == ["acme steel"]
