@@ -29,11 +29,25 @@ def shared_dir(spark: SparkSession) -> str:
 def saved(df: DataFrame, name: str) -> DataFrame:
     """``df`` written once to the shared folder and read back: cuts its lineage, and a lost executor costs no rerun."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{run_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Saved tables of one driver stand in a folder of their own.
+RUN = f"lodestone-{uuid.uuid4().hex}"
+
+
+def run_dir(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/{RUN}"
+
+
+def release(spark: SparkSession) -> None:
+    """Deletes the tables that this driver's operators have saved; results that were not written yet need them."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(run_dir(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def partitions(spark: SparkSession) -> int:
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
 

@@ -118,3 +118,17 @@ def test_kneser_ney_against_the_formula():
             assert np.allclose(got, [p(h + s) if s != "￿" else p(h + s) for s in symbols], rtol=1e-9)
             # over all symbols and an unseen one, probabilities add to 1
             assert abs(got.sum() - 1) < 1e-9
+
+
+def test_saved_tables_can_be_released(spark):
+    import glob
+
+    from lodestone.llm import common
+
+    kept = common.saved(spark.range(5), "some")
+    assert kept.count() == 5
+    where = common.run_dir(spark).removeprefix("file:")
+    assert glob.glob(f"{where}/some-*")
+    common.release(spark)
+    assert not glob.glob(f"{where}/*")
+    assert common.saved(spark.range(3), "some").count() == 3
