@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import extract, langid, mixing, pieces, ratings, rules, simhash, substrings, toxicity, vectors
+from . import extract, langid, merkle, mixing, pieces, ratings, rules, simhash, substrings, toxicity, vectors
 from .common import crc_mod
 
 
@@ -63,8 +63,13 @@ def op10_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.judge(table(spark, sf_dir, "documents")).drop("lang", "source")
 
 
+def op12_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tampered = F.when(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 0, merkle.lowered(F.col("text")))
+    return merkle.proofs(table(spark, sf_dir, "documents"), claimed=tampered)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_pages, op2_mixing, op3_ratings, op4_passages, op5_pieces, op6_toxicity, op7_simhash, op8_vectors, op9_language, op10_rules)
+    f.__name__: f for f in (op1_pages, op2_mixing, op3_ratings, op4_passages, op5_pieces, op6_toxicity, op7_simhash, op8_vectors, op9_language, op10_rules, op12_manifest)
 }
 
 WORDS = r"list_filter(regexp_split_to_array(t, '[\x20\x09-\x0D]+'), lambda w: w <> '')"
@@ -93,7 +98,43 @@ def fence_sql(k: str) -> str:
 
 WIDE = f"(q3_word_length - q1_word_length) * sqrt(greatest(1, q2_n_words / n_words)) * {rules.FENCE}"
 
+def crc_sql(text: str) -> str:
+    """crc32 of ascii text, unsigned: a byte is taken in, then eight bits go out (marked by -1)."""
+    bits = f"flatten(list_transform(string_split({text}, ''), lambda c: [ascii(c), -1, -1, -1, -1, -1, -1, -1, -1]::bigint[]))"
+    return f"xor(4294967295, list_reduce(list_prepend(4294967295::bigint, {bits}), lambda a, x: case when x >= 0 then xor(a, x) else xor(a >> 1, (a & 1) * 3988292384) end))"
+
+
+def digest_sql(text: str) -> str:
+    return "sha256(" + " || ".join(f"coalesce(strlen({c}) || ':' || {c}, '-')" for c in ("doc_id::varchar", "source", "lang", "n_chars::varchar", text)) + ")"
+
+
+def tree_sql(name: str, leaves: str, deep: int = 8) -> str:
+    """Tables <name>0, <name>1 ... of trees up to 8 ** deep leaves (tree, i, node) and <name>_path (tree, i, steps), <name>_root."""
+    out = [f"{name}0 as (select *, count(*) over (partition by tree) as n from ({leaves}))"]
+    for k in range(deep):
+        up = f"select tree, i // 8 as i, list(node order by i) as nodes, any_value(n) as n from {name}{k} where n > 1 group by tree, i // 8"
+        out.append(f"{name}r{k} as ({up})")
+        out.append(f"{name}{k + 1} as (select tree, i, sha256(array_to_string(nodes, '')) as node, (n + 7) // 8 as n from {name}r{k})")
+    step = "struct_pack(l := nodes[1:(x.i // {0}) % 8], r := nodes[(x.i // {0}) % 8 + 2:])"
+    steps = ", ".join(f"case when r{k}.nodes is null then [] else [{step.format(8**k).replace('nodes', f'r{k}.nodes')}] end" for k in range(deep))
+    joins = " ".join(f"left join {name}r{k} r{k} on r{k}.tree = x.tree and r{k}.i = x.i // {8 ** (k + 1)}" for k in range(deep))
+    out.append(f"{name}_path as (select x.tree, x.i, flatten([{steps}]) as steps from {name}0 x {joins})")
+    out.append(f"{name}_root as ({' union all '.join(f'select tree, node from {name}{k} where n = 1' for k in range(deep + 1))})")
+    return ",\n".join(out)
+
+
+FOLD = "list_reduce(list_prepend({0}, list_transform(steps, lambda s: array_to_string(s.l, '') || '@' || array_to_string(s.r, ''))), lambda a, s: sha256(replace(s, '@', a)))"
+
 ORACLE_SQL: dict[str, str] = {
+    "op12_manifest": f"""
+with d as (select *, {digest_sql("text")} as leaf, case when {crc_sql("doc_id::varchar")} % 3 = 0 then {digest_sql("translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} else {digest_sql("text")} end as handed from documents),
+g as (select lang, row_number() over (order by lang nulls first) - 1 as g from (select distinct lang from d)),
+placed as (select d.*, g, row_number() over (partition by d.lang order by doc_id nulls first, leaf) - 1 as i from d join g on d.lang is not distinct from g.lang),
+{tree_sql("t", "select g as tree, i, leaf as node from placed")},
+{tree_sql("u", "select 0 as tree, tree as i, node from t_root")},
+whole as (select placed.*, list_concat(t.steps, u.steps) as steps, t_root.node as subroot, u_root.node as root from placed join t_path t on t.tree = g and t.i = placed.i join u_path u on u.i = g join t_root on t_root.tree = g cross join u_root),
+done as (select *, {FOLD.format("handed")} as folded_root from whole)
+select doc_id, leaf, subroot, root, sha256(array_to_string(list_transform(steps, lambda s: array_to_string(s.l, '') || array_to_string(s.r, '')), '')) as proof_sha256, folded_root, folded_root = root as verified from done""",
     "op8_vectors": """
 with recursive v as (select vec_id, embedding::double[] e from embeddings),
 ok as (select * from v where len(e) > 0 and not list_bool_or([x is null or isnan(x) or isinf(x) for x in e]) and list_bool_or([x <> 0 for x in e])),
