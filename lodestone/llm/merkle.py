@@ -99,7 +99,7 @@ def proofs(rows: DataFrame, tree: str = "lang", order: str = "doc_id", fields: t
     mine = digest(own)
     other = mine if claimed is None else F.when(claimed.isNull(), mine).otherwise(digest([*own[:-1], claimed]))
     read = rows.select(F.col(tree).alias("tree_key"), F.col(order).alias("key"), mine.alias("leaf"), other.alias("handed"))
-    leaves = numbered(read, ["tree_key"], ["key", "leaf"], "leaves")
+    leaves = numbered(saved(read, "digests"), ["tree_key"], ["key", "leaf"], "leaves")  # the range sort reads its input twice
     # trees by number: their keys in order
     trees = saved(numbered(leaves.groupBy("tree_key").agg(F.any_value("size").alias("leaves")), [], ["tree_key"], "trees").select("tree_key", F.col("index").alias("tree"), F.col("size").alias("many")), "numbers")
     leaves = leaves.alias("a").join(trees.alias("b"), F.col("a.tree_key").eqNullSafe(F.col("b.tree_key"))).select("key", "leaf", "handed", "index", "tree", levels(F.col("size")).alias("levels"))
