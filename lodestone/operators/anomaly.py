@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import functools
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestone.sources.shared import kept
+
 from .reads import in_calendar
 
 #: Deviations of a normal distribution in one median absolute deviation.
@@ -17,12 +21,47 @@ LEAST = 60
 FEATURES = {"daily_return": True, "volume_ratio": False, "volatility_20": True}
 
 
+#: Ranks that the sketch of a median may be off, as a share of the rows: 1 in so many.
+SKETCH = 2000
+
+
+def exact_median(df: DataFrame, value: str, *by: str) -> DataFrame:
+    """(by, median, n): the exact median of each group's values (the mean of the middle two), and how many there are.
+
+    A mergeable quantile sketch brackets the median, by twice what it may be off; a second pass counts the values below
+    the bracket and, by value, those in it, and picks the middle ones by their running count. No group is gathered: a
+    window sees one row for each value in the bracket, a thousandth or so of a large group.
+    """
+    some = df.where(F.col(value).isNotNull())
+    near = F.approx_percentile(value, F.array(F.lit(0.5 - 2 / SKETCH), F.lit(0.5 + 2 / SKETCH)), F.lit(SKETCH))
+    about = some.groupBy(*by).agg(near.alias("near"), F.count(F.lit(1)).alias("n")).select(*by, F.col("near")[0].alias("low"), F.col("near")[1].alias("high"), "n")
+    same = functools.reduce(Column.__and__, [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in by], F.lit(True))
+    met = some.alias("a").join(about.alias("b"), same).where(F.col(f"a.{value}") <= F.col("b.high"))
+    spot = F.when(F.col(f"a.{value}") >= F.col("b.low"), F.col(f"a.{value}"))  # null: below the bracket
+    counts = met.groupBy(*[F.col(f"a.{c}").alias(c) for c in by], F.col("b.n").alias("n"), spot.alias("spot")).agg(F.count(F.lit(1)).alias("k"))
+    order = Window.partitionBy(*by).orderBy(F.col("spot").asc_nulls_first())
+    upto = counts.withColumn("upto", F.sum("k").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    pick = lambda rank: F.min(F.when(F.col("upto") >= rank, F.col("spot")))
+    middle = (pick(F.floor((F.col("n") + 1) / 2)) + pick(F.floor(F.col("n") / 2) + 1)) / 2
+    below = F.coalesce(F.max(F.when(F.col("spot").isNull(), F.col("upto"))), F.lit(0))
+    ends = upto.groupBy(*by).agg(middle.alias("middle"), F.max("n").alias("n"), below.alias("below"))
+    held = F.when((F.col("below") < F.floor((F.col("n") + 1) / 2)) & F.col("middle").isNotNull(), F.col("middle")).otherwise(F.raise_error(F.lit("a sketch was off by more than its bound")))
+    return ends.select(*by, held.alias("median"), "n")
+
+
 def robust_z(df: DataFrame, value: str, *by: str) -> DataFrame:
-    """``df`` with median, mad and z = (x - median) / (1.4826 mad) of each group, by exact medians; null where mad is 0."""
-    group = Window.partitionBy(*by)  # both medians and the rows' own values share one shuffle
-    near = df.withColumn("median", F.percentile(value, F.lit(0.5)).over(group)).withColumn("n", F.count(value).over(group))
-    mad = F.percentile(F.abs(F.col(value) - F.col("median")), F.lit(0.5)).over(group)
-    return near.withColumn("mad", mad).withColumn("z", F.try_divide(F.col(value) - F.col("median"), SCALE * F.col("mad")))
+    """``df`` with median, n, mad and z = (x - median) / (1.4826 mad) of each group, by exact medians; null where mad is 0."""
+    rows = kept(df, "values")
+    with_median = on_group(rows, exact_median(rows, value, *by), *by)
+    off = with_median.select(*by, F.abs(F.col(value) - F.col("median")).alias("off"))
+    mads = exact_median(off, "off", *by).select(*by, F.col("median").alias("mad"))
+    return on_group(with_median, mads, *by).withColumn("z", F.try_divide(F.col(value) - F.col("median"), SCALE * F.col("mad")))
+
+
+def on_group(rows: DataFrame, groups: DataFrame, *by: str) -> DataFrame:
+    """``rows`` with the columns that ``groups`` has beside ``by``; nulls are a group."""
+    same = functools.reduce(Column.__and__, [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in by], F.lit(True))
+    return rows.alias("a").join(groups.alias("b"), same, "left").select("a.*", *[F.col(f"b.{c}") for c in groups.columns if c not in by])
 
 
 def severity(score: Column) -> Column:

@@ -78,6 +78,20 @@ SYMMETRIC = ["partners_with", "competes_with"]
 FLOOR = 0.05
 
 
+#: Paths of a node that are told.
+TOLD = 3
+
+
+def states(hop: DataFrame) -> DataFrame:
+    """Paths that are at one node with one way, score and confidence as one row: how many they are (``n``), and the first
+    TOLD of their texts. They go on alike, so nothing tells them apart from here."""
+    key = ["node", "way", "score", "confidence", "on"]
+    few = F.row_number().over(Window.partitionBy(*key).orderBy("path"))
+    texts = hop.select(*key, F.explode("paths").alias("path")).withColumn("__nth", few).where(F.col("__nth") <= TOLD)
+    told = texts.groupBy(*key).agg(F.sort_array(F.collect_list("path")).alias("paths"))  # TOLD rows at most
+    return hop.groupBy(*key).agg(F.sum("n").alias("n")).join(told, key)
+
+
 def propagate(edges: DataFrame, origin: str, shock: float = 1.0, hops: int = 3, least: float = 0.5, floor: float = FLOOR) -> DataFrame:
     """(node, score, confidence, direction, paths): what a shock at ``origin`` does to others, hop by hop.
 
@@ -86,7 +100,12 @@ def propagate(edges: DataFrame, origin: str, shock: float = 1.0, hops: int = 3,
     went up or down the chain doesn't turn; steps across it are free. None comes back to the origin. A step that turns
     the sign counts and ends its path; a node hands on what arrives at the first depth where something can go on from
     it. Scores of paths add up, the confidence is that of the surest path (its weakest edge), and ``paths`` has the
-    three strongest. Edges and each hop's paths are written once.
+    three strongest.
+
+    What goes on is a state, not a path: all paths that are at a node with the same way, score and confidence are one
+    row with their number and three texts. (The floor is asked of each path's score, so states of unequal scores can't
+    be added up before the end.) A step that ends its path, and the last hop, is not kept for another; sums and
+    maxima are pre-aggregated, and the three strongest are cut in each task before a node's rows meet.
     """
     rules = F.create_map(*[x for k, (t, w) in TRANSMISSION.items() for x in (F.lit(k), F.struct(F.lit(t).alias("t"), F.lit(w).alias("way")))])
     step = both_ways(edges.where(F.col("confidence") >= least)).withColumn("rule", rules[F.col("kind")]).where("rule is not null")
@@ -94,24 +113,26 @@ def propagate(edges: DataFrame, origin: str, shock: float = 1.0, hops: int = 3,
     way = F.when(F.col("forward"), F.col("rule.way")).otherwise(-F.col("rule.way"))
     step = step.select(F.col("here").alias("node"), "there", "weight", F.col("confidence").alias("c"), F.col("rule.t").alias("t"), way.alias("step_way"), F.split_part("phrase", F.lit(" → "), F.lit(2)).alias("verb"))
     step = kept(step, "steps")
-    front = edges.sparkSession.createDataFrame([(origin, float(shock), 1.0, 0, origin)], "node string, score double, confidence double, way int, path string")
+    kinds = "node string, way int, score double, confidence double, n long, paths array<string>"
+    front = edges.sparkSession.createDataFrame([(origin, 0, float(shock), 1.0, 1, [origin])], kinds)
     settled = front.select("node")
     found = front.limit(0)
     for _ in range(hops):
         hop = front.join(step, "node").where((F.col("there") != origin) & ((F.col("step_way") == 0) | (F.col("way") == 0) | (F.col("way") == F.col("step_way"))))
         hop = hop.select(
-            F.col("there").alias("node"), (F.col("score") * F.col("t") * F.col("weight")).alias("score"), F.least("confidence", "c").alias("confidence"),
-            F.when(F.col("step_way") == 0, F.col("way")).otherwise(F.col("step_way")).alias("way"),
-            F.concat("path", F.lit(" → "), "verb", F.lit(" "), "there").alias("path"), (F.col("t") > 0).alias("on"),
+            F.col("there").alias("node"), F.when(F.col("step_way") == 0, F.col("way")).otherwise(F.col("step_way")).alias("way"), (F.col("score") * F.col("t") * F.col("weight")).alias("score"),
+            F.least("confidence", "c").alias("confidence"), "n", F.transform("paths", lambda p: F.concat(p, F.lit(" → "), "verb", F.lit(" "), "there")).alias("paths"), (F.col("t") > 0).alias("on"),
         ).where(F.abs("score") >= floor)
-        hop = kept(hop, "hop")
+        hop = kept(states(hop), "hop")
         found = found.unionByName(hop.drop("on"))
         front = hop.where("on").drop("on").join(settled, "node", "left_anti")
         settled = settled.unionByName(front.select("node").distinct())
-    strongest = F.slice(F.sort_array(F.collect_list(F.struct((-F.abs("score")).alias("o"), "path"))), 1, 3)["path"]
-    out = found.groupBy("node").agg(F.round(F.sum("score"), 4).alias("score"), F.round(F.max("confidence"), 3).alias("confidence"), F.array_join(strongest, "; ").alias("paths"))
+    out = found.groupBy("node").agg(F.round(F.sum(F.col("n") * F.col("score")), 4).alias("score"), F.round(F.max("confidence"), 3).alias("confidence"))
+    strongest = F.row_number().over(Window.partitionBy("node").orderBy(F.desc(F.abs("score")), "path"))
+    best = found.select("node", "score", F.explode("paths").alias("path")).withColumn("nth", strongest).where(F.col("nth") <= TOLD)
+    texts = best.groupBy("node").agg(F.array_join(F.sort_array(F.collect_list(F.struct("nth", "path")))["path"], "; ").alias("paths"))
     direction = F.when(F.col("score") > 0, "benefits").when(F.col("score") < 0, "at_risk").otherwise("neutral")
-    return out.withColumn("direction", direction)
+    return out.join(texts, "node").select("node", "score", "confidence", "paths").withColumn("direction", direction)
 
 
 def winners_and_losers(impact: DataFrame, limit: int) -> DataFrame:

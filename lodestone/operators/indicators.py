@@ -1,15 +1,17 @@
-"""Technical indicators of price bars: built-in windows over one shuffle, and one grouped function for recursive smoothing.
+"""Technical indicators of price bars: built-in windows over one shuffle, and scans for recursive smoothing.
 
 All are aligned to the bars of their symbol, oldest first, and null until enough sessions are there.
 """
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestone.sources.shared import kept
+
+from . import recursion
+
 #: Sessions in a year.
 YEAR = 252
 
@@ -78,52 +80,33 @@ def quotes(bars: DataFrame) -> DataFrame:
     return both.withColumn("change_percent", F.round(F.try_divide(F.col("close") - F.col("previous_close"), F.col("previous_close")) * 100, 6))
 
 
-def ema(x: np.ndarray, period: int) -> np.ndarray:
-    """Exponential average seeded by the mean of the first ``period`` values."""
-    out = np.full(len(x), np.nan)
-    if len(x) >= period:
-        e, k = x[:period].mean(), 2 / (period + 1)
-        out[period - 1] = e
-        for i in range(period, len(x)):
-            e += (x[i] - e) * k
-            out[i] = e
-    return out
+SMOOTHED = ["ema_12", "ema_26", "macd", "macd_signal", "macd_histogram", "rsi_14", "atr_14"]
 
 
-def wilder(x: np.ndarray, period: int) -> np.ndarray:
-    """Wilder's smoothing of values that begin at place 1, seeded at place ``period``."""
-    out = np.full(len(x), np.nan)
-    if len(x) > period:
-        a = x[1 : period + 1].mean()
-        out[period] = a
-        for i in range(period + 1, len(x)):
-            a = (a * (period - 1) + x[i]) / period
-            out[i] = a
-    return out
-
+def with_smoothed(rows: DataFrame) -> DataFrame:
+    """``rows`` (symbol, session, adjusted_close, high, low, close, ...) with EMA 12 and 26, MACD, RSI 14 and ATR 14.
 
-def smooth(g: pd.DataFrame) -> pd.DataFrame:
-    g = g.sort_values("session")
-    x, h, low, c = (g[k].to_numpy(dtype=float) for k in ("adjusted_close", "high", "low", "close"))
-    fast, slow = ema(x, 12), ema(x, 26)
-    macd = fast - slow
-    signal = np.full(len(x), np.nan)
-    signal[25:] = ema(macd[25:], 9)
-    step = np.diff(x, prepend=x[:1])
-    gain, loss = wilder(np.maximum(step, 0), 14), wilder(np.maximum(-step, 0), 14)
-    with np.errstate(divide="ignore", invalid="ignore"):
-        rsi = np.where(loss == 0, np.where(gain > 0, 100.0, 50.0), 100 - 100 / (1 + gain / loss))
-    rsi[np.isnan(gain)] = np.nan
-    prior = np.concatenate([c[:1], c[:-1]])
-    reach = np.maximum(h - low, np.maximum(np.abs(h - prior), np.abs(low - prior)))
-    return pd.DataFrame({"symbol": g["symbol"], "session": g["session"], "ema_12": fast, "ema_26": slow, "macd": macd, "macd_signal": signal, "macd_histogram": macd - signal, "rsi_14": rsi, "atr_14": wilder(reach, 14)})
+    EMAs are seeded by the mean of their first values, the signal by that of the first nine MACDs; RSI and ATR smooth
+    what a bar makes of the one before it by Wilder's factor, from the second bar on. All run as scans over blocks of days.
+    """
+    at = recursion.placed(rows, ("adjusted_close", "close"))
+    x, step = F.col("adjusted_close"), F.col("adjusted_close") - F.col("previous_adjusted_close")
+    prior, of = F.col("previous_close"), lambda *v: F.when(sum((c.isNull().cast("int") for c in v), F.lit(0)) == 0, F.greatest(*v))
+    reach = of(F.col("high") - F.col("low"), F.abs(F.col("high") - prior), F.abs(F.col("low") - prior))
+    zero = F.lit(0.0)
+    out = recursion.smoothed(at, {
+        "ema_12": recursion.exponential(x, 12), "ema_26": recursion.exponential(x, 26), "gain": recursion.wilder(of(step, zero), 14), "loss": recursion.wilder(of(-step, zero), 14), "atr_14": recursion.wilder(reach, 14),
+    }).withColumn("macd", F.col("ema_12") - F.col("ema_26"))
+    out = recursion.smoothed(out, {"macd_signal": recursion.exponential(F.col("macd"), 9, first=26)})
+    rsi = F.when(F.col("loss") == 0, F.when(F.col("gain") > 0, 100.0).otherwise(50.0)).otherwise(100 - 100 / (1 + F.try_divide("gain", "loss")))
+    out = out.withColumn("macd_histogram", F.col("macd") - F.col("macd_signal")).withColumn("rsi_14", F.when(F.col("gain").isNotNull(), rsi))
+    return out.select(*rows.columns, *SMOOTHED)
 
 
 def smoothed(bars: DataFrame) -> DataFrame:
-    """EMA 12 and 26, MACD, RSI 14 and ATR 14: recursive, so each symbol's series goes through one grouped function once."""
-    names = ["ema_12", "ema_26", "macd", "macd_signal", "macd_histogram", "rsi_14", "atr_14"]
-    done = bars.select("symbol", "session", "adjusted_close", "high", "low", "close").groupBy("symbol").applyInPandas(smooth, "symbol string, session date, " + ", ".join(f"{n} double" for n in names))
-    return done.select("symbol", "session", *[F.nanvl(n, F.lit(None).cast("double")).alias(n) for n in names])
+    """EMA 12 and 26, MACD, RSI 14 and ATR 14 of each session."""
+    rows = bars.select("symbol", "session", *[F.col(c).cast("double").alias(c) for c in ("adjusted_close", "high", "low", "close")])
+    return with_smoothed(kept(rows, "bars")).select("symbol", "session", *SMOOTHED)
 
 
 def observations(bars: DataFrame) -> DataFrame:
@@ -147,22 +130,13 @@ def windowed(bars: DataFrame) -> DataFrame:
 
 
 def unrounded(bars: DataFrame, benchmark: str) -> DataFrame:
-    """All indicators of each session.
-
-    Windows and the grouped function for the recursive ones share the partitioning by symbol; the benchmark's returns
-    (a row a session) are the only join.
-    """
+    """All indicators of each session: windows over one shuffle, written once, and scans for the recursive ones; the
+    benchmark's returns (a row a session) are joined."""
     key = ["symbol", "session"]
     wide = windowed(bars)
     names = [c for c in wide.columns if c not in (*key, "adjusted_close", "high", "low", "close")]
-
-    def smooth_too(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values("session")
-        return pd.concat([g[[*key, *names]].reset_index(drop=True), smooth(g).drop(columns=key).reset_index(drop=True)], axis=1)
-
-    more = ["ema_12", "ema_26", "macd", "macd_signal", "macd_histogram", "rsi_14", "atr_14"]
-    out = wide.groupBy("symbol").applyInPandas(smooth_too, "symbol string, session date, " + ", ".join(f"{n} double" for n in [*names, *more]))
-    out = out.select(*key, *[F.nanvl(c, F.lit(None).cast("double")).alias(c) for c in [*names, *more]])
+    wide = wide.select(*key, *[F.col(c).cast("double").alias(c) for c in wide.columns if c not in key])
+    out = with_smoothed(kept(wide, "indicators")).select(*key, *names, *SMOOTHED)
     other = returns(bars.where(F.col("symbol") == benchmark)).select("session", F.col("daily_return").alias("__b"))
     out = out.join(other, "session", "left").withColumn("relative_strength", F.col("daily_return") - F.col("__b")).drop("__b")
     return out

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.functions import text
-from lodestone.operators import merge, reads, search
+from lodestone.operators import keyword_index, merge, reads, search, vector_index
+from lodestone.sources.shared import folder
 
 from .domain import anomalies, articles, bars, table
 from .queries import BARS, query
@@ -103,22 +106,113 @@ def vector_topk(spark: SparkSession, d: str) -> DataFrame:
     return search.vector_topk(table(spark, d, "embeddings"), question_vectors(spark, d), "vec_id", "embedding", 20)
 
 
+def embedding_index(spark: SparkSession, d: str) -> vector_index.Index:
+    at = (spark.sparkContext.applicationId, d, "vectors")
+    if at not in INDEXES:
+        INDEXES[at] = vector_index.write(table(spark, d, "embeddings"), "vec_id", "embedding", f"{folder(spark)}/vectors-{uuid.uuid4().hex}", keep=("label",))
+    return INDEXES[at]
+
+
+@query(f"with {NEAREST} select query_id, vec_id, similarity, rank from near where rank <= 20")
+def vector_exact(spark: SparkSession, d: str) -> DataFrame:
+    """The nearest rows from the index: cells are read on until no other can hold one."""
+    return vector_index.search(embedding_index(spark, d), question_vectors(spark, d), 20, exact=True).withColumnRenamed("key", "vec_id")
+
+
+@query(f"""with q as (select vec_id as query_id, embedding as query from embeddings where vec_id % 50 = 0),
+ s as (select query_id, vec_id, coalesce(round(list_cosine_similarity(query::double[], embedding::double[]), 6), 0) as similarity from q join embeddings on label in (1, 3) and len(embedding) = len(query))
+ select query_id, vec_id, similarity, row_number() over (partition by query_id order by similarity desc, vec_id) as rank from s qualify rank <= 10""")
+def vector_filtered(spark: SparkSession, d: str) -> DataFrame:
+    """Rows of two labels alone: the condition goes into the scan of the cells."""
+    found = vector_index.search(embedding_index(spark, d), question_vectors(spark, d), 10, where=F.col("label").isin(1, 3), exact=True)
+    return found.withColumnRenamed("key", "vec_id")
+
+
+@query()
+def vector_recall(spark: SparkSession, d: str) -> DataFrame:
+    """(queries, recall, probes, share_read): what probing finds of each query's 20 nearest, and how much of the index it reads."""
+    index, asked = embedding_index(spark, d), question_vectors(spark, d)
+    near = vector_index.search(index, asked, 20).select("query_id", F.col("key").alias("vec_id"))
+    exact = search.vector_topk(table(spark, d, "embeddings"), asked, "vec_id", "embedding", 20).select("query_id", "vec_id", F.lit(1).alias("hit"))
+    met = exact.join(near.withColumn("found", F.lit(1)), ["query_id", "vec_id"], "left")
+    share = vector_index.share_read(index, asked)
+    return met.agg(F.countDistinct("query_id").alias("queries"), (F.sum("found") / F.count("hit")).alias("recall")).select("queries", "recall", F.lit(index.probes).alias("probes"), F.lit(share).alias("share_read"))
+
+
 WORDS = ["stupid", "trash", "clown"]
 HITS = "hits as (select doc_id, word, count(*) as tf from (select doc_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) as word from documents) where word in ('stupid', 'trash', 'clown') group by all)"
 SCORED = f"{HITS}, scored as (select doc_id, round(sum((1 + ln(tf)) * ln(1 + (select count(*) from documents) / df)), 6) as score from hits join (select word, count(*) as df from hits group by word) using (word) group by doc_id)"
 
 
+#: Indexes of this driver, by application and table folder: written by the first query that asks, read by the others.
+INDEXES: dict[tuple[str, str, str], keyword_index.Index | vector_index.Index] = {}
+
+
+def document_index(spark: SparkSession, d: str) -> keyword_index.Index:
+    at = (spark.sparkContext.applicationId, d, "keywords")
+    if at not in INDEXES:
+        index = keyword_index.Index(f"{folder(spark)}/keywords-{uuid.uuid4().hex}")
+        keyword_index.write(index, table(spark, d, "documents"), "doc_id", "text")
+        INDEXES[at] = index
+    return INDEXES[at]
+
+
+def asking(spark: SparkSession, *questions: list[str]) -> DataFrame:
+    return spark.createDataFrame(list(enumerate(questions)), "query_id long, words array<string>")
+
+
+@query("""with t as (select doc_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) as term from documents)
+ select term, count(distinct doc_id) as df, count(*) as occurrences from t group by term""")
+def keyword_terms(spark: SparkSession, d: str) -> DataFrame:
+    """The index's vocabulary, from its postings."""
+    rows = document_index(spark, d).postings(spark)
+    return rows.groupBy("term").agg(F.sum("n").alias("df"), F.sum(F.aggregate("entries", F.lit(0).cast("long"), lambda a, e: a + e["tf"])).alias("occurrences"))
+
+
 @query(f"with {SCORED} select doc_id, score from scored order by score desc, doc_id limit 20")
 def keyword_topk(spark: SparkSession, d: str) -> DataFrame:
+    found = keyword_index.search(document_index(spark, d), asking(spark, WORDS), 20)
+    return found.select(F.col("key").alias("doc_id"), "score")
+
+
+@query(f"with {SCORED} select doc_id, score from scored order by score desc, doc_id limit 20")
+def keyword_scan(spark: SparkSession, d: str) -> DataFrame:
+    """The same without an index: one scan of the texts."""
     return search.keyword_topk(table(spark, d, "documents"), "doc_id", "text", WORDS, 20)
 
 
 @query(f"with {SCORED}, {ARTICLES} select doc_id, score from scored join articles on article = doc_id where published_at >= timestamp '1996-01-06' and list_has_any(tickers, ['Brand#2', 'Brand#4', 'Brand#6', 'Brand#8']) order by score desc, doc_id limit 10")
 def keyword_search(spark: SparkSession, d: str) -> DataFrame:
-    found = search.keyword_scores(table(spark, d, "documents"), "doc_id", "text", WORDS)
-    met = found.join(articles(spark, d).select(F.col("article").alias("doc_id"), F.transform("tickers", lambda t: F.upper(t)).alias("tickers"), "published_at"), "doc_id")
-    kept = search.passing(met, ["brand#2", "brand#4", "brand#6", "brand#8"], "1996-01-06")
-    return kept.orderBy(F.desc("score"), "doc_id").limit(10).select("doc_id", "score")
+    some = articles(spark, d).select(F.col("article").alias("key"), F.transform("tickers", lambda t: F.upper(t)).alias("tickers"), "published_at")
+    allowed = search.passing(some, ["brand#2", "brand#4", "brand#6", "brand#8"], "1996-01-06").select("key")
+    found = keyword_index.search(document_index(spark, d), asking(spark, WORDS), 10, allowed)
+    return found.select(F.col("key").alias("doc_id"), "score")
+
+
+ALL_HITS = "hits as (select doc_id, word, count(*) as tf from (select doc_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) as word from {0}) group by all)"
+
+
+@query(f"""with {ALL_HITS.format("documents")}, q as (select doc_id as query_id, unnest(list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+')[1:8])) as word from documents where doc_id % 50 = 0),
+ w as (select query_id, word, ln(1 + (select count(*) from documents) / df) as idf from q join (select word, count(*) as df from hits group by word) using (word)),
+ s as (select query_id, doc_id, round(sum((1 + ln(tf)) * idf), 6) as score from w join hits using (word) group by all)
+ select query_id, doc_id, score, row_number() over (partition by query_id order by score desc, doc_id) as rank from s qualify rank <= 10""")
+def keyword_questions(spark: SparkSession, d: str) -> DataFrame:
+    """Many questions in one pass: the first words of every fiftieth document."""
+    asked = table(spark, d, "documents").where("doc_id % 50 = 0").select(F.col("doc_id").alias("query_id"), F.slice(keyword_index.terms(F.col("text")), 1, 8).alias("words"))
+    return keyword_index.search(document_index(spark, d), asked, 10).withColumnRenamed("key", "doc_id")
+
+
+@query(f"""with now as (select doc_id, case when doc_id % 5 = 0 then coalesce(text, '') || ' stupid trash' else text end as text from documents where doc_id % 5 = 0 or doc_id % 7 <> 3),
+ {ALL_HITS.format("now")}, s as (select doc_id, round(sum((1 + ln(tf)) * ln(1 + (select count(*) from now) / df)), 6) as score from hits join (select word, count(*) as df from hits group by word) using (word) where word in ('stupid', 'trash', 'clown') group by doc_id)
+ select doc_id, score from s order by score desc, doc_id limit 20""")
+def keyword_updates(spark: SparkSession, d: str) -> DataFrame:
+    """An index of all documents, then a second segment that replaces some and deletes others."""
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    index = keyword_index.Index(f"{folder(spark)}/keywords-{uuid.uuid4().hex}")
+    keyword_index.write(index, docs, "doc_id", "text")
+    new = docs.where("doc_id % 5 = 0").withColumn("text", F.concat(F.coalesce("text", F.lit("")), F.lit(" stupid trash")))
+    keyword_index.update(index, new, "doc_id", "text", docs.where("doc_id % 7 = 3").select("doc_id"))
+    return keyword_index.search(index, asking(spark, WORDS), 20).select(F.col("key").alias("doc_id"), "score")
 
 
 @query(f"""with {NEAREST}, {HITS}, one as (select word, doc_id, round((1 + ln(tf)) * ln(1 + (select count(*) from documents) / df), 6) as score from hits join (select word, count(*) as df from hits group by word) using (word)),
@@ -130,13 +224,9 @@ def keyword_search(spark: SparkSession, d: str) -> DataFrame:
 def hybrid_rrf(spark: SparkSession, d: str) -> DataFrame:
     questions = question_vectors(spark, d)
     vector = search.vector_topk(table(spark, d, "embeddings"), questions, "vec_id", "embedding", 200).withColumnRenamed("vec_id", "doc_id")
-    docs = table(spark, d, "documents")
     asked = questions.select("query_id", F.element_at(F.array(*map(F.lit, WORDS)), (F.floor(F.col("query_id") / 50) % 3 + 1).cast("int")).alias("word"))
-    each = None
-    for w in WORDS:  # three questions: the top of each is small
-        own = search.keyword_topk(docs, "doc_id", "text", [w], 100).withColumn("word", F.lit(w))
-        each = own if each is None else each.unionByName(own)
-    ranked = each.withColumn("rank", F.row_number().over(search.Window.partitionBy("word").orderBy(F.desc("score"), "doc_id")))
+    ranked = keyword_index.search(document_index(spark, d), asking(spark, *[[w] for w in WORDS]), 100)
+    ranked = ranked.select(F.element_at(F.array(*map(F.lit, WORDS)), (F.col("query_id") + 1).cast("int")).alias("word"), F.col("key").alias("doc_id"), "rank")
     keyword = asked.join(F.broadcast(ranked), "word").select("query_id", "doc_id", "rank")  # 300 rows at most
     fused = search.fuse(keyword, vector, "doc_id", 20)
     return fused.withColumns({c: F.coalesce(c, F.lit(0)) for c in ("keyword_rank", "vector_rank")})

@@ -42,17 +42,6 @@ def test_same_rows_as_sql(spark, db, name):
     assert plain(got) == plain(want)
 
 
-def test_smoothing_has_its_warm_up():
-    x = np.arange(1.0, 40.0)
-    assert np.isnan(indicators.ema(x, 12)[:11]).all() and indicators.ema(x, 12)[11] == x[:12].mean()
-    assert len(indicators.wilder(x[:5], 14)) == 5 and np.isnan(indicators.wilder(x[:14], 14)).all()
-    flat = pd.DataFrame({"symbol": "a", "session": range(40), "adjusted_close": 5.0, "high": 5.0, "low": 5.0, "close": 5.0})
-    out = indicators.smooth(flat)
-    assert (out["rsi_14"].iloc[14:] == 50).all() and out["rsi_14"].iloc[:14].isna().all() and (out["atr_14"].iloc[14:] == 0).all()
-    with pytest.raises(ValueError):
-        indicators.full(None, 0)
-
-
 def test_forest_finds_the_far_point():
     rng = np.random.default_rng(0)
     x = np.concatenate([rng.normal(size=(300, 3)), [[9.0, 9.0, 9.0]]])
