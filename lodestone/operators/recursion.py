@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -15,13 +16,15 @@ BLOCK = 512
 
 @dataclass(frozen=True)
 class Smoothing:
-    """y = keep * y before + (1 - keep) * value. The first y is the mean of the ``period`` values from place ``first`` (1, 2
-    ...) on, and stands where the last of them does; it is null before, and from a null value on."""
+    """y = keep * y before + (1 - keep) * value, as ``turn`` (y before, value) has it. The first y is the mean of the
+    ``period`` values from place ``first`` (1, 2 ...) on, and stands where the last of them does; it is null before, and
+    from a null value on."""
 
     value: Column
     first: int
     period: int
     keep: float
+    turn: Callable[[Column, Column], Column]
 
     @property
     def seed(self) -> int:
@@ -29,11 +32,12 @@ class Smoothing:
 
 
 def exponential(value: Column, period: int, first: int = 1) -> Smoothing:
-    return Smoothing(value, first, period, 1 - 2 / (period + 1))
+    k = 2 / (period + 1)
+    return Smoothing(value, first, period, 1 - k, lambda y, x: y + (x - y) * k)
 
 
 def wilder(value: Column, period: int, first: int = 2) -> Smoothing:
-    return Smoothing(value, first, period, (period - 1) / period)
+    return Smoothing(value, first, period, (period - 1) / period, lambda y, x: (y * (period - 1) + x) / period)
 
 
 def placed(rows: DataFrame, previous: tuple[str, ...]) -> DataFrame:
@@ -54,6 +58,7 @@ def smoothed(rows: DataFrame, how: dict[str, Smoothing]) -> DataFrame:
 
     Within a block y is keep^k * (y before the block + the sum of (1 - keep) * value * keep^-j): a running sum. A block as a
     whole is x -> a x + b; a symbol's blocks, a row each, are folded in order from its seed, and each gets the y before it.
+    The last step to each y is made as written, so that the first of a series are what one step after the other gives.
     """
     own = Window.partitionBy("symbol", "block").orderBy("session").rowsBetween(Window.unboundedPreceding, 0)
     more: dict[str, Column] = {}
@@ -79,5 +84,8 @@ def smoothed(rows: DataFrame, how: dict[str, Smoothing]) -> DataFrame:
     step = f"named_struct('out', array_append(acc.out, {state}), " + ", ".join(f"'y_{n}', s.a_{n} * acc.y_{n} + s.b_{n}" for n in how) + ")"
     before = ins.select("symbol", F.inline(F.expr(f"aggregate(all, {start}, (acc, s) -> {step}, acc -> acc.out)")))
     met = each.join(before, ["symbol", "block"])
-    out = {name: F.when(F.col("nth") >= s.seed, F.pow(F.lit(s.keep), f"k_{name}") * (F.col(f"y_{name}") + F.col(f"run_{name}"))) for name, s in how.items()}
-    return met.withColumns(out).drop(*[f"{p}_{name}" for name in how for p in ("k", "run", "v", "y")])
+    near = met.withColumns({f"n_{name}": F.pow(F.lit(s.keep), f"k_{name}") * (F.col(f"y_{name}") + F.col(f"run_{name}")) for name, s in how.items()})
+    order = Window.partitionBy("symbol", "block").orderBy("session")
+    prior = {name: F.when(F.col("nth") == F.col("before") + 1, F.col(f"y_{name}")).otherwise(F.lag(f"n_{name}").over(order)) for name in how}
+    out = {name: F.when(F.col("nth") == s.seed, F.col(f"y_{name}")).when(F.col("nth") > s.seed, s.turn(prior[name], F.col(f"v_{name}"))) for name, s in how.items()}
+    return near.withColumns(out).drop(*[f"{p}_{name}" for name in how for p in ("k", "run", "v", "y", "n")])

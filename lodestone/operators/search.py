@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -10,7 +11,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestone.functions.text import content_words, name_tokens
+from lodestone.functions.text import content_words, mentions, name_tokens
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -157,21 +158,31 @@ def correlate(events: DataFrame, news: DataFrame, most: int = 40, top: int = 3)
     window of the close. Score: 0.20 the source files it under the symbol, 0.30 title or summary name the symbol or a
     word of the name, 0.25 recency, 0.20 the sentiment agrees, 0.05 it has tags; articles without the first two and
     without tags go.
+
+    Events that are alike in close, symbol, name and direction are scored once. Names are looked for once in each
+    article, all in one pass; pairs of event and article carry no text, and titles join the three that stay.
     """
-    cut = candidates(events, news, most).join(news, "article")
-    met = events.withColumn("names", name_tokens(F.col("name"))).join(cut, "close_at")
+    kinds = ["close_at", "symbol", "name", "direction"]
+    asked = events.select(*kinds).distinct()
+    told = F.array_compact(F.concat(F.array(F.lower("symbol")), F.coalesce(name_tokens(F.col("name")), F.array().cast("array<string>"))))
+    surfaces = asked.select("symbol", "name").distinct().select(F.explode(told).alias("surface")).distinct()
+    said = news.select("article", F.concat("title", F.lit(" "), F.coalesce("summary", F.lit(""))).alias("said"))
+    hits = mentions(said, "article", "said", surfaces.select("surface", F.col("surface").alias("entity")), whole=False).groupBy("article").agg(F.collect_set("entity").alias("hits"))
+    own = news.select("article", "published_at", F.transform("tickers", lambda t: F.upper(t)).alias("tickers"), (F.size("tags") > 0).alias("tagged"), "label").join(hits, "article", "left")
+    met = asked.withColumn("told", told).join(candidates(events, news, most).join(own, "article"), "close_at")
     hours = (F.unix_timestamp("close_at") - F.unix_timestamp("published_at")) / 3600
     recency = F.when(hours >= 0, F.greatest(F.lit(0.0), 1 - hours / BEFORE)).otherwise(0.5 * F.greatest(F.lit(0.0), 1 + hours / BEFORE))
-    said = F.lower(F.concat("title", F.lit(" "), F.coalesce("summary", F.lit(""))))
-    named = F.coalesce(F.contains(said, F.lower("symbol")) | F.exists("names", lambda n: F.contains(said, n)), F.lit(False))
-    filed = F.exists("tickers", lambda t: F.upper(t) == F.upper("symbol"))
+    named = F.coalesce(F.arrays_overlap("hits", "told"), F.lit(False))
+    filed = F.coalesce(F.array_contains("tickers", F.upper("symbol")), F.lit(False))
     agrees = F.coalesce(((F.col("direction") == "up") & (F.col("label") == "bullish")) | ((F.col("direction") == "down") & (F.col("label") == "bearish")), F.lit(False))
-    tagged = F.size("tags") > 0
+    tagged = F.coalesce("tagged", F.lit(False))
     one = lambda c: c.cast("int")
     score = F.round(0.20 * one(filed) + 0.30 * one(named) + 0.25 * recency + 0.20 * one(agrees) + 0.05 * one(tagged), 4)
-    out = met.where(filed | named | tagged).select("event_id", "article", score.alias("score"), filed.alias("source_attributed"), named.alias("named_in_text"), agrees.alias("sentiment_agrees"), F.round(hours, 1).alias("hours_before"), "title")
-    best = Window.partitionBy("event_id").orderBy(F.desc("score"), "article")
-    return out.withColumn("place", F.row_number().over(best)).where(F.col("place") <= top)
+    out = met.where(filed | named | tagged).select(*kinds, "article", score.alias("score"), filed.alias("source_attributed"), named.alias("named_in_text"), agrees.alias("sentiment_agrees"), F.round(hours, 1).alias("hours_before"))
+    best = Window.partitionBy(*kinds).orderBy(F.desc("score"), "article")
+    few = out.withColumn("place", F.row_number().over(best)).where(F.col("place") <= top).join(news.select("article", "title"), "article")
+    same = functools.reduce(Column.__and__, [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in kinds])
+    return events.select("event_id", *kinds).alias("a").join(few.alias("b"), same).select("event_id", *[F.col(f"b.{c}") for c in few.columns if c not in kinds])
 
 
 def move(feature: Column, direction: Column, value: Column) -> Column:
