@@ -4,10 +4,10 @@ from __future__ import annotations
 
 import functools
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import partitions, saved
+from .common import numbered, saved
 
 #: Consecutive nodes that become one.
 FAN, BITS = 8, 3
@@ -26,27 +26,6 @@ def lowered(c: Column) -> Column:
     return F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
-def numbered(rows: DataFrame, group: list[str], order: list[str], name: str) -> DataFrame:
-    """``rows`` with ``index``, a row's place from 0 among its group in ``order``, and ``size``, the group's rows; saved.
-
-    Rows are range sorted by group and order, whatever share one group holds; what a partition has of a group is
-    counted, and the places begin where the partitions before it end. Rows that are equal in all of these may stand in
-    any order; they are spread over partitions like others.
-    """
-    keys = [F.col(c) for c in [*group, *order]] + [F.col("__row")]
-    laid = rows.withColumn("__row", F.monotonically_increasing_id()).repartitionByRange(partitions(rows.sparkSession), *keys).sortWithinPartitions(*keys)
-    laid = saved(laid.drop("__row").withColumn("__at", F.monotonically_increasing_id()), name)
-    part = F.shiftrightunsigned("__at", 33).alias("__part")
-    of = Window.partitionBy(*group)  # a row for each partition that has rows of the group
-    firsts = laid.groupBy(*group, part).agg(F.count(F.lit(1)).alias("n"), F.min("__at").alias("first"))
-    firsts = firsts.withColumn("size", F.sum("n").over(of)).withColumn("first", F.col("first") - F.coalesce(F.sum("n").over(of.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    same = F.col("a.__part") == F.col("b.__part")
-    for c in group:
-        same &= F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}"))
-    met = laid.withColumn("__part", part).alias("a").join(firsts.alias("b"), same)
-    return met.select(*[F.col(f"a.{c}") for c in rows.columns], (F.col("a.__at") - F.col("b.first")).alias("index"), "b.size")
-
-
 def levels(size: Column) -> Column:
     """Levels of a tree below its top: how often FAN nodes become one until one is left."""
     return sum(((size > FAN**k).cast("int") for k in range(1, 21)), (size > 1).cast("int"))

@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, saved
+from .common import WORD, numbered, saved
 
 #: A source's target, and a document's rate, stop at so many times the source or document.
 MOST = 3
@@ -23,26 +23,28 @@ def sizes(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
 
 
-def targets(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST) -> DataFrame:
+def targets(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, rounds: int = 100) -> DataFrame:
     """One row a source: source_size and target.
 
     Sources in code point order, null last, weigh ``weights``, repeating, and share all words. A target stops at
-    ``most`` times its source's size; the excess is shared again by weight until none is above: with sources in the
-    order of most * size / weight, the first k are full, for the smallest k whose water level is under the next one's.
+    ``most`` times its source's size; the excess is shared again by weight until none is above. A source's target is
+    the less of that cap and weight * level; the level rises, an aggregate over the sources a round, until those under
+    it are full. Sources may be as many as hosts are: their places are told by a range sort, and no window has them all.
     """
-    by = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
-    order = Window.orderBy(F.col("source").isNull(), "source")  # a row a source, not a document
-    nth = F.row_number().over(order) - 1
-    weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (nth % len(weights) + 1).cast("int"))
-    rows = by.withColumn("w", weight).withColumn("cap", F.lit(float(most)) * F.col("source_size")).withColumn("r", F.col("cap") / F.col("w"))
-    fill = Window.orderBy("r", F.col("source").isNull(), "source")
-    to_here, before = fill.rowsBetween(Window.unboundedPreceding, 0), fill.rowsBetween(Window.unboundedPreceding, -1)
-    everything = Window.partitionBy()
-    rows = rows.withColumn("level", (F.sum("source_size").over(everything) - F.coalesce(F.sum("cap").over(before), F.lit(0.0))) / (F.sum("w").over(everything) - F.coalesce(F.sum("w").over(before), F.lit(0.0))))
-    # full: the level with all before it full is still above this one's
-    rows = rows.withColumn("full", F.min((F.col("level") > F.col("r")).cast("int")).over(to_here) == 1)
-    level = F.min(F.when(~F.col("full"), F.struct("r", "level"))).over(everything)["level"]
-    return rows.select("source", "source_size", F.when(F.col("full"), F.col("cap")).otherwise(F.least("cap", F.col("w") * level)).alias("target"))
+    by = sized.groupBy("source").agg(F.sum("size").alias("source_size")).withColumn("none", F.col("source").isNull())
+    nth = numbered(by, [], ["none", "source"], "sources").drop("size")
+    weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.col("index") % len(weights) + 1).cast("int"))
+    rows = saved(nth.select("source", "source_size", weight.alias("w"), (F.lit(float(most)) * F.col("source_size")).alias("cap")), "weights")
+    level, full = 0.0, -1
+    for _ in range(rounds):
+        under = F.col("cap") <= F.lit(level) * F.col("w")
+        sums = rows.agg(F.sum("source_size").alias("all"), F.count_if(under).alias("n"), F.sum(F.when(under, F.col("cap"))).alias("cap"), F.sum(F.when(~under, F.col("w"))).alias("w")).first()
+        if sums["n"] == full or not sums["w"]:
+            break
+        full, level = sums["n"], (sums["all"] - (sums["cap"] or 0.0)) / sums["w"]
+    else:
+        raise RuntimeError(f"the level of targets did not settle in {rounds} rounds")
+    return rows.select("source", "source_size", F.least("cap", F.col("w") * F.lit(level)).alias("target"))
 
 
 def rate(tilt: Column, size: Column, mean: Column, most: int) -> Column:
@@ -81,18 +83,22 @@ def balance(classes: DataFrame, goals: DataFrame, most: int = MOST, tolerance: f
     raise RuntimeError(f"tilts did not settle in {rounds} rounds")
 
 
-def whole_copies(classes: DataFrame, state: DataFrame, most: int = MOST, near: float = 5e-4, rounds: int = 40) -> DataFrame:
+def whole_copies(classes: DataFrame, state: DataFrame, most: int = MOST, near: float = 5e-4, rounds: int = 8) -> DataFrame:
     """Copies of each class (source, size, n, copies), whole numbers whose words come near each source's target.
 
-    A class's n * rate is rounded by a hash. What a source is then off by is made good from its largest fitting size
-    downwards: the largest size that isn't over the gap gives or takes as many copies as fit, and so on with the gap
-    that is left, until it is under ``near`` of the target or no class fits.
+    The running sum of n * rate over a source's sizes, the largest first, is rounded, and a class gets by how much its
+    sum is above the one before. What one class has too much the next ones have too little, so a source is off by
+    less than its largest size, in one pass. That is mostly far less; where it is over ``near`` of the target, the
+    largest size that isn't over the gap gives or takes as many copies as fit, and so on in up to ``rounds`` rounds, each of which brings it nearer.
     """
     same = F.col("c.source").eqNullSafe(F.col("g.source"))
     full = F.col("g.target") >= most * F.col("g.source_size")
     exact = F.when(full, F.lit(float(most))).otherwise(rate(F.col("g.tilt"), F.col("c.size"), F.col("g.mean"), most)) * F.col("c.n")
-    luck = F.pmod(F.xxhash64(F.lit("round"), "c.source", "c.size"), F.lit(1 << 20)) / float(1 << 20)
-    now = classes.alias("c").join(state.alias("g"), same).select("c.source", "c.size", "c.n", F.col("g.target").alias("target"), F.least(F.floor(F.round(exact, 6) + luck), most * F.col("c.n")).alias("copies"))
+    now = classes.alias("c").join(state.alias("g"), same).select("c.source", "c.size", "c.n", F.col("g.target").alias("target"), F.round(exact, 6).cast("decimal(30,6)").alias("exact"))
+    order = Window.partitionBy("source").orderBy(F.desc("size")).rowsBetween(Window.unboundedPreceding, 0)  # a row a size
+    upto = F.sum("exact").over(order)
+    whole = lambda c: F.floor(c + F.lit(0.5).cast("decimal(2,1)")).cast("long")
+    now = now.withColumn("upto", upto).select("source", "size", "n", "target", (whole(F.col("upto")) - whole(F.col("upto") - F.col("exact"))).alias("copies"))
     now = saved(now, "copies")
     for _ in range(rounds):
         gaps = now.groupBy("source").agg((F.max("target") - F.sum(F.col("copies") * F.col("size"))).alias("gap"), F.max("target").alias("goal"))
@@ -105,7 +111,7 @@ def whole_copies(classes: DataFrame, state: DataFrame, most: int = MOST, near: f
             return now
         hit = F.col("c.source").eqNullSafe(F.col("g.source")) & (F.col("c.size") == F.col("g.size"))
         now = saved(now.alias("c").join(move.alias("g"), hit, "left").select("c.source", "c.size", "c.n", "c.target", (F.col("c.copies") + F.coalesce("g.by", F.lit(0))).alias("copies")), "copies")
-    raise RuntimeError(f"copies did not come near their targets in {rounds} rounds")
+    return now
 
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST) -> DataFrame:
