@@ -32,7 +32,7 @@ def op3_ratings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return substrings.drop_repeats(table(spark, sf_dir, "documents")).select("doc_id", "text", "removed")
+    return substrings.drop_repeats(table(spark, sf_dir, "documents"), lines=True).select("doc_id", "text", "removed")
 
 
 def op5_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Repeated passages: paragraphs of hashed units are grouped globally by digest, later occurrences are removed."""
+"""Repeated lines and passages: lines and paragraphs of hashed units are grouped globally by digest, later ones are removed."""
 
 from __future__ import annotations
 
@@ -43,7 +43,7 @@ def lower(text: str) -> str:
 
 
 def words(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of each word: where it starts, its hash, and whether it ends a unit."""
+    """Of each word: where it starts, its hash, whether it ends a unit, and whether a line break follows it."""
     parts, at = [], 0
     while at < len(text):
         cut = GAP.search(text, min(len(text), at + BLOCK))  # a block ends before a word, or where the text does
@@ -65,20 +65,21 @@ def words(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
             last = letters[first + size - 1]
             breaks = np.concatenate([[0], np.cumsum(code == 10)])
             line = breaks[np.append(start[1:], len(code))] > breaks[last + 1]
-            parts.append((start + at, h, line | np.isin(code[last], MARKS) | (h % np.uint64(ANCHOR) == 0)))
+            parts.append((start + at, h, line | np.isin(code[last], MARKS) | (h % np.uint64(ANCHOR) == 0), line))
         at = end
     if not parts:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, bool)
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, bool), np.zeros(0, bool)
     return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
 
 
-def paragraphs(texts: list[str], min_words: int) -> tuple[np.ndarray, ...]:
-    """(document, start, end, d1, d2) of each paragraph, the fewest units with ``min_words`` words from a unit on, or up to one.
+def paragraphs(texts: list[str], min_words: int, lines: bool = False) -> tuple[np.ndarray, ...]:
+    """(document, start, end, d1, d2) of each paragraph, the fewest units with ``min_words`` words from a unit on, or up to one;
+    with ``lines`` of each line that has a word too, whatever its length.
 
     Offsets are code points, with the white space after the last word. The digest, two hashes of 64 bits, is that of
     the words in lower case, whatever white space is between them.
     """
-    start, h, ends = words("\n".join(map(lower, texts)))
+    start, h, ends, breaks = words("\n".join(map(lower, texts)))
     base = np.concatenate([[0], np.cumsum([len(t) + 1 for t in texts])])
     doc = np.searchsorted(base, start, side="right") - 1
     stop = np.nonzero(ends)[0]  # a document's last word is one: a line break follows it, or nothing
@@ -92,6 +93,11 @@ def paragraphs(texts: list[str], min_words: int) -> tuple[np.ndarray, ...]:
     s = np.concatenate([s, begin[np.searchsorted(begin, rest - min_words + 1, side="right") - 1]]) if len(rest) else s
     e = np.concatenate([e, rest])
     s, e = s[same := doc[s] == doc[e]], e[same]
+    if lines and len(start):
+        breaks[-1] = True
+        closing = np.nonzero(breaks)[0]  # a line break stands between documents too
+        both = np.unique(np.concatenate([s, [0], closing[:-1] + 1]) * len(start) + np.concatenate([e, closing]))
+        s, e = both // len(start), both % len(start)
     power = np.concatenate([[np.uint64(1)], np.cumprod(np.full(len(h), BASE))]).astype(np.uint64)
     back = np.concatenate([[np.uint64(1)], np.cumprod(np.full(len(h), INVERSE))]).astype(np.uint64)
     digests = []
@@ -122,12 +128,16 @@ def later(d1: np.ndarray, d2: np.ndarray, void: np.ndarray, key: np.ndarray, rid
     return out
 
 
-def repeated(docs: DataFrame, min_words: int) -> DataFrame:
+#: Digests that are unpacked and put in order at once.
+SLICE = 2_000_000
+
+
+def repeated(docs: DataFrame, min_words: int, lines: bool = False) -> DataFrame:
     """Rows (__rid, start, end), the paragraphs of ``docs`` (__rid, __key, __void, text) that come later than their like.
 
     Those that come later in the same block of texts are told at once, so that of a passage in any share of all
     documents one row a block goes on. Digests travel packed, dealt by their rest, a bucket of them to a row for each
-    block, and a bucket is compared at a time.
+    block. A bucket is compared at a time: it is held packed, and unpacked in slices of about SLICE digests.
     """
     spread = 2 * partitions(docs.sparkSession)
     names = [*KINDS, "docs", "times"]
@@ -139,7 +149,7 @@ def repeated(docs: DataFrame, min_words: int) -> DataFrame:
             heavy = np.cumsum([len(t) for t in texts]) // BLOCK if texts else np.zeros(0, int)
             for part in np.unique(heavy):
                 first, n = int(np.searchsorted(heavy, part)), int((heavy == part).sum())
-                doc, start, end, d1, d2 = paragraphs(texts[first : first + n], min_words)
+                doc, start, end, d1, d2 = paragraphs(texts[first : first + n], min_words, lines)
                 if not len(doc):
                     continue
                 doc = doc + first
@@ -162,10 +172,19 @@ def repeated(docs: DataFrame, min_words: int) -> DataFrame:
         of = np.repeat(np.frombuffer(row["docs"], "<i8").reshape(-1, 3), np.frombuffer(row["times"], "<u4"), axis=0)
         return [*out, of[:, 0], of[:, 1], of[:, 2]]
 
-    def spans(rows: list[list[np.ndarray]], sure: bool) -> pa.RecordBatch:
-        d1, d2, start, end, rid, key, void = (np.concatenate(x) for x in zip(*rows, strict=True))
-        on = slice(None) if sure else later(d1, d2, void, key, rid, start)
-        return pa.RecordBatch.from_arrays([pa.array(x[on]) for x in (rid, start, end)], names=["__rid", "start", "end"])
+    def spans(rows: list[dict], sure: bool) -> Iterator[pa.RecordBatch]:
+        slices = 1 if sure else max(1, sum(len(r["d1"]) for r in rows) // 8 // SLICE)
+        for k in range(slices):
+            some = []
+            for row in rows:
+                columns = unpacked(row)
+                if slices > 1:
+                    on = (columns[0].view(np.uint64) >> np.uint64(32)) % np.uint64(slices) == k
+                    columns = [c[on] for c in columns]
+                some.append(columns)
+            d1, d2, start, end, rid, key, void = (np.concatenate(x) for x in zip(*some, strict=True))
+            on = slice(None) if sure else later(d1, d2, void, key, rid, start)
+            yield pa.RecordBatch.from_arrays([pa.array(x[on]) for x in (rid, start, end)], names=["__rid", "start", "end"])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, rows = None, []
@@ -173,23 +192,23 @@ def repeated(docs: DataFrame, min_words: int) -> DataFrame:
             for i in range(len(batch)):
                 row = {c: batch[c][i].as_py() for c in ("bucket", "sure", *names)}
                 if row["sure"]:
-                    yield spans([unpacked(row)], True)
+                    yield from spans([row], True)
                     continue
                 if row["bucket"] != now and rows:
-                    yield spans(rows, False)
+                    yield from spans(rows, False)
                     rows = []
                 now = row["bucket"]
-                rows.append(unpacked(row))
+                rows.append(row)
         if rows:
-            yield spans(rows, False)
+            yield from spans(rows, False)
 
     packed = docs.mapInArrow(cut, "bucket int, sure boolean, " + ", ".join(f"{c} binary" for c in names))
     return packed.repartition(spread, "bucket").sortWithinPartitions("bucket").mapInArrow(compare, "__rid long, start int, end int")
 
 
-def repeated_spans(docs: DataFrame, min_words: int) -> DataFrame:
+def repeated_spans(docs: DataFrame, min_words: int, lines: bool = False) -> DataFrame:
     """Rows (__rid, __spans): of each document that loses any, the spans that go, array<struct<start, end>>, apart and in order."""
-    later = repeated(docs, min_words)
+    later = repeated(docs, min_words, lines)
     # a document's own spans: those that meet are one
     order = Window.partitionBy("__rid").orderBy("start", "end")
     before = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
@@ -198,26 +217,29 @@ def repeated_spans(docs: DataFrame, min_words: int) -> DataFrame:
     return apart.groupBy("__rid").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("__spans"))
 
 
-def drop_repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+def drop_repeats(docs: DataFrame, min_words: int = MIN_WORDS, lines: bool = False) -> DataFrame:
     """``docs`` with ``text`` less its repeated passages, and ``removed`` array<struct<start, end>>: their code point offsets.
 
+    ``lines``: each line with a word is such a passage, however short, so of a line that stands anywhere else before it
+    none is left; it goes with the white space after it. Blank-line paragraphs that repeat go line by line.
+
     A unit ends at a line's or a sentence's end, or after a word that its hash chooses; a paragraph is the fewest units
     with ``min_words`` words, from each unit on and up to each unit. Paragraphs are compared in lower case and by single spaces. The one that
-    comes first by (doc_id, position), null ids last, stays; all later ones go. Ids that are no integers rank by hash. Shorter repeats stay. Repeats inside
+    comes first by (doc_id, position), null ids last, stays; all later ones go. Ids that are no integers rank by hash. Shorter repeats stay, but for ``lines``. Repeats inside
     one document count like those in another. So a removed word always stands, amid the same paragraph, in an earlier
     place that stays. Null text stays null and empty text empty, ``removed`` is then empty. Of rows that are equal in
-    doc_id and text one is the first, and the others lose all of their text if it has ``min_words`` words. Other
-    columns stay; an input column ``removed`` is replaced.
+    doc_id and text one is the first, and the others lose all of their text if it has ``min_words`` words (``lines``: a
+    word). Other columns stay; an input column ``removed`` is replaced.
     """
     keep = [c for c in docs.columns if c != "removed"]
     key = F.xxhash64(F.col("doc_id").isNull(), "doc_id", "text")
     rank = F.col("doc_id").cast("long") if dict(docs.dtypes)["doc_id"] in ("tinyint", "smallint", "int", "bigint") else F.xxhash64("doc_id")
     void = F.col("doc_id").isNull()
     ranked = docs.select(key.alias("__rid"), F.coalesce(rank, F.lit(0)).alias("__key"), void.alias("__void"), "text")
-    spans = repeated_spans(ranked, min_words)
+    spans = repeated_spans(ranked, min_words, lines)
     met = docs.select(*keep, key.alias("__rid")).join(spans, "__rid", "left")
     nth = F.row_number().over(Window.partitionBy("__rid").orderBy("__rid"))
-    again = (nth > 1) & (F.regexp_count("text", F.lit(WORD)) >= min_words)
+    again = (nth > 1) & (F.regexp_count("text", F.lit(WORD)) >= (1 if lines else min_words))
     met = met.withColumn("__again", again)
     whole = F.array(F.struct(F.lit(0).alias("start"), F.char_length("text").alias("end")))
     removed = F.when(F.col("__again"), whole).otherwise(F.coalesce("__spans", F.array().cast("array<struct<start:int,end:int>>")))
