@@ -24,8 +24,8 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents less the passages that an earlier one has (operator 4); those left without a word go."""
-    found = substrings.drop_repeats(docs).withColumn("n_chars", F.char_length("text").cast("long"))
+    """Documents less the lines and passages that an earlier one has (operator 4); those left without a word go."""
+    found = substrings.drop_repeats(docs, lines=True).withColumn("n_chars", F.char_length("text").cast("long"))
     return found.where((F.size("removed") == 0) | F.col("text").rlike(WORD)).select(*COLUMNS)
 
 
