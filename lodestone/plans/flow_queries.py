@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodestone.operators import anomaly, indicators, merge, reads
-from lodestone.sources import feeds, shared
-from lodestone.streaming import quotes
+from lodestone.sources import feeds, shared, tables
+from lodestone.streaming import quotes, state
 
 from .domain import anomalies, articles, bars, flagged, listings, table
 from .queries import BARS, OBSERVED, RETURNS, ZED, observations, query
@@ -160,17 +160,112 @@ def row_validation(spark: SparkSession, d: str) -> DataFrame:
     return feeds.with_reason(rows).select("id", "reason")
 
 
-@query("select event_type as symbol, ts::date as session, arg_max(value, row(ts, event_id)) as close from events group by all")
-def stream_late_bars(spark: SparkSession, d: str) -> DataFrame:
-    ticks = quotes.source(spark, d, "events.parquet")
-    daily = ticks.select("symbol", F.to_date("ts").alias("session"), F.col("price").alias("close"), "ts", "event_id")
-    return shared.merged(daily, ["symbol", "session"], ["ts", "event_id"]).select("symbol", "session", "close")
+#: Days that part the events' month; those of a third arrive together.
+FIRST, SECOND = "2024-01-11", "2024-01-21"
+
+
+def arrivals(spark: SparkSession, d: str) -> DataFrame:
+    """(file, symbol, ts, event_id, version, price): events as they arrive, a file after the other. Some come a file late, some two,
+    some are sent again with the next file, and some are corrected with it (version 1)."""
+    k = F.col("event_id")
+    base = F.when(F.col("ts") < FIRST, 0).when(F.col("ts") < SECOND, 1).otherwise(2)
+    slow = F.when(k % 10 == 3, 1).when(k % 10 == 4, 2).otherwise(0)
+    own = F.array(F.struct((base + slow).alias("file"), F.lit(0).alias("version"), F.col("value").alias("price")))
+    again = F.array(F.struct((base + 1).alias("file"), F.lit(0).alias("version"), F.col("value").alias("price")))
+    right = F.array(F.struct((base + 1).alias("file"), F.lit(1).alias("version"), (F.col("value") + 1).alias("price")))
+    none = F.slice(own, 1, 0)
+    sent = F.concat(own, F.when((k % 7 == 2) & (slow == 0), again).otherwise(none), F.when((k % 11 == 5) & (slow == 0), right).otherwise(none))
+    return table(spark, d, "events").select(F.col("event_type").alias("symbol"), F.col("ts").cast("timestamp").alias("ts"), "event_id", F.explode(sent).alias("s")).select("s.file", "symbol", "ts", "event_id", "s.version", "s.price")
+
+
+ARRIVALS = f"""base as (select *, case when ts < timestamp '{FIRST}' then 0 when ts < timestamp '{SECOND}' then 1 else 2 end as base, case event_id % 10 when 3 then 1 when 4 then 2 else 0 end as slow from events),
+ arr as (select base + slow as file, event_type as symbol, ts, event_id, 0 as version, value as price from base
+  union all select base + 1, event_type, ts, event_id, 0, value from base where event_id % 7 = 2 and slow = 0
+  union all select base + 1, event_type, ts, event_id, 1, value + 1 from base where event_id % 11 = 5 and slow = 0),
+ mark as (select f.file, (select max(ts) from arr where arr.file <= f.file - 2) - interval 1 day as wm from (select distinct file from arr) f),
+ taken as (select arr.* from arr join mark using (file) where wm is null or ts > wm qualify row_number() over (partition by event_id, version order by file) = 1)"""
+
 
+def arrived(spark: SparkSession, d: str) -> DataFrame:
+    every = shared.kept(arrivals(spark, d), "arrivals")
+    return state.arriving(spark, [every.where(F.col("file") == k).drop("file") for k in range(5)])
 
-@query(f"with {BARS}, q as (select symbol, session, close, lag(close) over (partition by symbol order by session) as previous from bars qualify row_number() over (partition by symbol order by session desc) = 1) select symbol, format('{{:.2f}}', close) as close, format('{{:.4f}}', round((close - previous) / previous * 100, 4)) as change_percent, session = (select max(session) from bars) as is_provisional from q")
-def stream_payload(spark: SparkSession, d: str) -> DataFrame:
-    last = flagged(bars(spark, d)).select("symbol", "session", "is_provisional")
-    return quotes.payload(indicators.quotes(bars(spark, d)).join(last, ["symbol", "session"]))
+
+@query(f"with {ARRIVALS} select symbol, event_id, price from taken qualify lag(price) over (partition by symbol order by file, ts, event_id) is distinct from price")
+def stream_changes(spark: SparkSession, d: str) -> DataFrame:
+    """Changed prices over five batches, with value state and timers; what comes again or behind the watermark is dropped."""
+    with state.state_store(spark):
+        return shared.finished(state.changes(arrived(spark, d)))
+
+
+@query(f"""with {ARRIVALS}, seen as (select distinct file, symbol from taken),
+ closes as (select seen.file, seen.symbol, t.ts::date as session, arg_max(price, row(ts, event_id, version)) as close from seen join taken t on t.symbol = seen.symbol and t.file <= seen.file group by all),
+ two as (select *, lag(close) over w as before, row_number() over (partition by file, symbol order by session desc) as nth from closes window w as (partition by file, symbol order by session)),
+ sent as (select * from two where nth = 1 qualify row(session, close) is distinct from lag(row(session, close)) over (partition by symbol order by file))
+ select symbol, strftime(session, '%Y-%m-%d') as session, format('{{:.2f}}', close) as close, case when before <> 0 then format('{{:.4f}}', round((close - before) / before * 100, 4)) end as change_percent from sent""")
+def stream_messages(spark: SparkSession, d: str) -> DataFrame:
+    with state.state_store(spark):
+        return shared.finished(state.messages(arrived(spark, d)))
+
+
+@query(f"with {ARRIVALS} select symbol, ts::date as session, arg_max(price, row(ts, event_id, version)) as close from arr group by all")
+def stream_late_bars(spark: SparkSession, d: str) -> DataFrame:
+    """Daily closes in a stored table by week: five batches with late and corrected ticks touch the weeks they have ticks of."""
+    made = tables.stored(spark, "late-bars", "symbol string, session date, close double, seen array<long>", ("symbol", "session"), "cast(date_trunc('week', session) as date)")
+    ticks = arrived(spark, d).select("symbol", F.to_date("ts").alias("session"), F.col("price").alias("close"), F.array(F.unix_micros("ts"), F.col("event_id").cast("long"), F.col("version").cast("long")).alias("seen"))
+    tables.merged_stream(ticks, made, "seen")
+    return made.read(spark).drop("seen")
+
+
+@query(f"with {OBSERVED} select symbol, session, case when day(session) % 3 <> 0 then round(daily_return, 9) end as daily_return, round(volume_ratio * case when day(session) % 3 = 0 then 2 else 1 end, 9) as volume_ratio from obs")
+def feature_overwrite(spark: SparkSession, d: str) -> DataFrame:
+    """Feature rows written again with all their columns: a value that can't be told any more becomes null."""
+    made = tables.stored(spark, "features", "symbol string, session date, daily_return double, volume_ratio double", ("symbol", "session"), "year(session)")
+    rows = shared.kept(indicators.observations(bars(spark, d)).select("symbol", "session", "daily_return", "volume_ratio"), "observations")
+    made.merge(rows)
+    again = rows.where(F.day("session") % 3 == 0).select("symbol", "session", F.lit(None).cast("double").alias("daily_return"), (F.col("volume_ratio") * 2).alias("volume_ratio"))
+    made.merge(again)
+    return made.read(spark).select("symbol", "session", *[F.round(c, 9).alias(c) for c in ("daily_return", "volume_ratio")])
+
+
+FOUND = "found as (select symbol, session, feature, case when id % 2 = 0 then 'zscore' else 'isolation_forest' end as method, id, value, explanation from anomalies)"
+
+
+@query(f"with {ANOMALIES}, {FOUND}, last as (select symbol, session, feature, method, max(id) as id from found group by all) select l.symbol, l.session, l.feature, l.method, l.id, case when l.id % 5 = 0 then null else f.value end as value from last l join found f using (id)")
+def anomaly_keys(spark: SparkSession, d: str) -> DataFrame:
+    """Findings by symbol, session, feature and method: of several the last one stands, then a fifth loses its value."""
+    made = tables.stored(spark, "found", "symbol string, session date, feature string, method string, id long, value double", ("symbol", "session", "feature", "method"), "year(session)")
+    rows = anomalies(spark, d).select("symbol", "session", "feature", F.when(F.col("id") % 2 == 0, "zscore").otherwise("isolation_forest").alias("method"), "id", "value")
+    made.merge(rows, order="id")
+    made.merge(made.read(spark).where("id % 5 = 0").withColumn("value", F.lit(None).cast("double")))
+    return made.read(spark)
+
+
+DAYS = "days as (select n_name as exchange, cast(o_orderdate as date) as day, count(*) as n from orders join customer on o_custkey = c_custkey join nation on c_nationkey = n_nationkey group by all)"
+
+
+@query(f"with {DAYS} select exchange, day, n > 1 as is_trading_day, case when day(day) = 1 then null when n > 1 then 'busy' else 'quiet' end as note from days")
+def calendar_upsert(spark: SparkSession, d: str) -> DataFrame:
+    """An exchange's days, then the first of each month again without its note."""
+    o, c, n = table(spark, d, "orders"), table(spark, d, "customer"), table(spark, d, "nation")
+    met = o.join(c, F.col("o_custkey") == F.col("c_custkey")).join(F.broadcast(n), F.col("c_nationkey") == F.col("n_nationkey"))
+    days = met.groupBy(F.col("n_name").alias("exchange"), F.to_date("o_orderdate").alias("day")).agg((F.count(F.lit(1)) > 1).alias("is_trading_day"))
+    made = tables.stored(spark, "calendar", "exchange string, day date, is_trading_day boolean, note string", ("exchange", "day"), "year(day)")
+    made.merge(days.withColumn("note", F.when(F.col("is_trading_day"), "busy").otherwise("quiet")))
+    made.merge(made.read(spark).where(F.day("day") == 1).withColumn("note", F.lit(None).cast("string")))
+    return made.read(spark)
+
+
+@query(f"with {DAYS} select count(*) filter (where exchange <> 'FRANCE') as first_inserted, 0 as first_matched, count(*) filter (where exchange = 'FRANCE') as inserted, count(*) filter (where exchange <> 'FRANCE' and year(day) = 1996) as matched from days where exchange <> 'FRANCE' or year(day) = 1996")
+def merge_counts(spark: SparkSession, d: str) -> DataFrame:
+    """(inserted, matched) of two merges."""
+    o, c, n = table(spark, d, "orders"), table(spark, d, "customer"), table(spark, d, "nation")
+    met = o.join(c, F.col("o_custkey") == F.col("c_custkey")).join(F.broadcast(n), F.col("c_nationkey") == F.col("n_nationkey"))
+    days = shared.kept(met.select(F.col("n_name").alias("exchange"), F.to_date("o_orderdate").alias("day")).distinct(), "days")
+    made = tables.stored(spark, "days", "exchange string, day date", ("exchange", "day"), "year(day)")
+    first = made.merge(days.where("exchange <> 'FRANCE'"))
+    then = made.merge(days.where("year(day) = 1996"))
+    return spark.createDataFrame([(*first, *then)], "first_inserted long, first_matched long, inserted long, matched long")
 
 
 @query("select event_id, event_type as symbol from events where event_id % 3 <> 0")

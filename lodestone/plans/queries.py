@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from lodestone.functions import display, tagging, text
 from lodestone.operators import anomaly, evidence, graph, indicators, merge, portfolio, proposals, reads
 from lodestone.sources import feeds, shared
-from lodestone.streaming import quotes
+from lodestone.streaming import quotes, state
 
 from .domain import bars, edges, flagged, table
 
@@ -330,19 +330,28 @@ def bar_validation(spark: SparkSession, d: str) -> DataFrame:
     return good.select("symbol", F.lit(1).alias("g"), F.lit(0).alias("b")).unionByName(bad.select("symbol", F.lit(0).alias("g"), F.lit(1).alias("b"))).groupBy("symbol").agg(F.sum("g").alias("good"), F.sum("b").alias("bad"))
 
 
+def ticking(spark: SparkSession, d: str) -> DataFrame:
+    """The events as ticks in three batches by time, then one of a nameless symbol long after: the watermark passes all windows,
+    which are written once, when they close, and leave the state."""
+    ticks = table(spark, d, "events").select("event_id", F.col("event_type").alias("symbol"), F.col("ts").cast("timestamp").alias("ts"), F.col("value").alias("price"))
+    third = F.when(F.col("ts") < "2024-01-11", 0).when(F.col("ts") < "2024-01-21", 1).otherwise(2)
+    end = ticks.agg(F.max("ts").alias("ts")).select(F.lit(-1).cast("long").alias("event_id"), F.lit("").alias("symbol"), (F.col("ts") + F.expr("interval 10 days")).alias("ts"), F.lit(0.0).alias("price"))
+    return state.arriving(spark, [*[ticks.where(third == k) for k in range(3)], end.unionByName(end)])
+
+
 @query("select event_type as symbol, date_trunc('day', ts)::timestamptz as start, arg_min(value, row(ts, event_id)) as open, max(value) as high, min(value) as low, arg_max(value, row(ts, event_id)) as close, count(*) as n from events group by all")
 def stream_tumbling(spark: SparkSession, d: str) -> DataFrame:
-    return shared.finished(quotes.bars(quotes.source(spark, d, "events.parquet"), "1 day"), "complete")
+    return shared.finished(quotes.bars(ticking(spark, d), "1 day")).where("symbol <> ''")
 
 
 @query("with e as (select *, unnest([0, 1]) as k from events), w as (select event_type as symbol, date_trunc('hour', ts) - k * interval 1 hour as start, ts, event_id, value from e) select symbol, start::timestamptz as start, arg_min(value, row(ts, event_id)) as open, max(value) as high, min(value) as low, arg_max(value, row(ts, event_id)) as close, count(*) as n from w group by all")
 def stream_sliding(spark: SparkSession, d: str) -> DataFrame:
-    return shared.finished(quotes.bars(quotes.source(spark, d, "events.parquet"), "2 hours", "1 hour"), "complete")
+    return shared.finished(quotes.bars(ticking(spark, d), "2 hours", "1 hour")).where("symbol <> ''")
 
 
 @query('with g as (select event_type as symbol, ts, case when ts - lag(ts) over w >= interval 10 minute or lag(ts) over w is null then 1 else 0 end as fresh from events window w as (partition by event_type order by ts, event_id)), s as (select symbol, ts, sum(fresh) over (partition by symbol order by ts rows unbounded preceding) as k from g) select symbol, min(ts)::timestamptz as start, (max(ts) + interval 10 minute)::timestamptz as "end", count(*) as n from s group by symbol, k')
 def stream_sessions(spark: SparkSession, d: str) -> DataFrame:
-    return shared.finished(quotes.sessions(quotes.source(spark, d, "events.parquet"), "10 minutes"), "complete")
+    return shared.finished(quotes.sessions(ticking(spark, d), "10 minutes")).where("symbol <> ''")
 
 
 @query("select distinct event_id from events")
@@ -350,11 +359,6 @@ def stream_distinct(spark: SparkSession, d: str) -> DataFrame:
     return shared.finished(quotes.distinct(quotes.source(spark, d, "events.parquet"), ["event_id"])).select("event_id")
 
 
-@query("select event_type as symbol, event_id, value as price from events qualify lag(value) over (partition by event_type order by ts, event_id) is distinct from value")
-def stream_changes(spark: SparkSession, d: str) -> DataFrame:
-    return shared.stateful(quotes.source(spark, d, "events.parquet"), quotes.changes, quotes.CHANGES, quotes.LAST)
-
-
 @query("with b as (select o_custkey % 50 as question, o_orderkey as source, 'Order ' || o_orderkey as title, o_orderdate as published_at, o_orderpriority as text, (o_orderkey % 40) / 1000.0 as score, case when o_orderkey % 3 = 0 then 'keyword+vector' else 'vector' end as matched_by, case when o_orderkey % 5 <> 0 then (o_orderkey % 100) / 100.0 end as similarity from orders), e as (select * from b where score >= 0.015), ok as (select question from e group by question having max(similarity) >= 0.97) select question, count(*) as pieces, round(least(0.95, 0.4 * least(count(*) / 6, 1.0) + 0.35 * least(max(score) / 0.03, 1.0) + 0.25 * (count(*) filter (where contains(matched_by, '+'))) / count(*)), 3) as confidence from e join ok using (question) group by question")
 def evidence_confidence(spark: SparkSession, d: str) -> DataFrame:
     return evidence.confidence(evidence.supported(pieces(spark, d), 0.97))

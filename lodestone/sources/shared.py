@@ -56,22 +56,3 @@ def stateful(stream: DataFrame, step: Callable[[DataFrame, DataFrame], tuple[Dat
     stream.writeStream.trigger(availableNow=True).option("checkpointLocation", f"{path}/offsets").foreachBatch(put).start().awaitTermination()
     out = spark.read.schema(rows).parquet(f"{path}/rows")
     return out.drop("batch")
-
-
-def merged(stream: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
-    """The last row by ``order`` of each key, after all that a stream has now: late rows correct what is there.
-
-    Each batch writes the table's next version from the one before it, and one that is tried again writes the same.
-    """
-    spark = stream.sparkSession
-    path = f"{folder(spark)}/merged-{uuid.uuid4().hex}"
-    last = F.max_by(F.struct(*stream.columns), F.struct(*order)).alias("r")
-
-    def put(batch: DataFrame, number: int) -> None:
-        every = batch if number == 0 else spark.read.schema(stream.schema).parquet(f"{path}/{number - 1}").unionByName(batch)
-        every.groupBy(*[F.col(k).alias(f"__{k}") for k in keys]).agg(last).select("r.*").write.mode("overwrite").parquet(f"{path}/{number}")
-
-    run = stream.writeStream.trigger(availableNow=True).option("checkpointLocation", f"{path}/state").foreachBatch(put).start()
-    run.awaitTermination()
-    done = [p["batchId"] for p in run.recentProgress]
-    return spark.read.schema(stream.schema).parquet(f"{path}/{max(done, default=0)}")
