@@ -17,8 +17,8 @@ from pyspark.sql import functions as F
 
 from .common import partitions, saved
 
-#: What a line may be: dropped by its markup, outside an article, inside one.
-CHROME, LOOSE, BODY = 0, 1, 2
+#: What a line may be: dropped by its element, outside an article, inside one, outside and mostly a link, dropped by a name alone.
+CHROME, LOOSE, BODY, LINKED, NAMED = range(5)
 RAW = {t: re.compile(rf"</{t}\s*>", re.IGNORECASE) for t in ("script", "style", "textarea", "title", "iframe", "noscript", "xmp", "noembed", "template")}
 BLOCK = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol option p pre section summary table tbody tfoot thead title tr ul".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -32,20 +32,32 @@ HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.IGNORECASE
 ROLES = frozenset("alert alertdialog banner complementary contentinfo dialog form menu menubar navigation search status toolbar".split())
 #: Whole names in class or id that stand for an element HTML has, or for an advert, a notice or reader comments.
 NAMES = frozenset("ad ads advert advertisement aside banner breadcrumbs comments cookie-banner cookie-notice footer header menu nav navbar navigation newsletter notice sidebar site-footer site-header sponsored".split())
+#: Parts of such names (``top-menu``) that tell as much, but for names of what has or has not such a thing (``has-sidebar``).
+PARTS = frozenset("ad ads advert advertisement breadcrumb breadcrumbs comment comments cookie cookies menu nav navbar navigation newsletter notice sidebar sponsored".split())
+WRAPPER = re.compile(r"(?:has|no|with|without|is)[-_]")
+COMMENT = frozenset("comment comments reply replies".split())
+#: Words of a line in a ``menu`` inside an article that is not of links: it is prose, say about food.
+PROSE = 8
 
 
 def attributes(text: str) -> dict[str, str]:
     return {k.lower(): v.strip("\"'") for k, v in ATTRIBUTE.findall(text)}
 
 
-def marked(name: str, text: str) -> bool:
-    """Whether an element's attributes say that it is no part of the article."""
-    if not text or name in ("html", "body", "main", "article"):
+def marked(name: str, text: str) -> bool | str:
+    """Whether an element's attributes say that it is no part of the article; by a name alone: the name's part."""
+    if not text or name in ("html", "body", "main"):
         return False
     at = attributes(text)
+    names = f"{at.get('class', '')} {at.get('id', '')}".lower().split()
+    if name == "article":  # a page's article has all sorts of names, a reader's comment has its own
+        return not COMMENT.isdisjoint(names)
     if "hidden" in at or at.get("aria-hidden", "").lower() == "true" or at.get("role", "").lower() in ROLES or HIDDEN.search(at.get("style", "")):
         return True
-    return not NAMES.isdisjoint(f"{at.get('class', '')} {at.get('id', '')}".lower().split())
+    if not NAMES.isdisjoint(names):
+        return "menu" if "menu" in names else "name"
+    parts = {p for n in names if not WRAPPER.match(n) for p in re.split("[-_]+", n)} & PARTS
+    return "menu" if "menu" in parts else "name" if parts else False
 
 
 class Scanner:
@@ -91,7 +103,9 @@ def lines(page: str | None) -> tuple[list[str], list[int]]:
     """The page's lines of text, one a block, with character references decoded and white space made single, and their kinds."""
     texts: list[str] = []
     kinds: list[int] = []
-    stack: list[tuple[str, bool | str, bool]] = []  # open elements: name, whether dropped, whether inside an article
+    # open elements: name, whether dropped, whether inside an article, whether the block that its text is in is dropped, and
+    # where the paragraph is that only inline elements part it from (-1: none)
+    stack: list[tuple[str, bool | str, bool, bool, int]] = []
     opened: Counter[str] = Counter()
     buffer: list[str] = []
     linked = [0]
@@ -100,13 +114,25 @@ def lines(page: str | None) -> tuple[list[str], list[int]]:
     def flush() -> None:
         text = " ".join(html.unescape("".join(buffer)).split())
         if text:
-            dropped, inside = (stack[-1][1], stack[-1][2]) if stack else (False, False)
-            head = inside and heading and dropped == "header"
+            dropped, inside = (stack[-1][1] if stack and stack[-1][3] else False, stack[-1][2]) if stack else (False, False)
+            links = linked[0] * 2 > len(text)
+            if inside and (not dropped or (heading and dropped == "header") or (dropped == "menu" and not links and text.count(" ") >= PROSE - 1)):
+                kind = BODY
+            elif dropped:
+                kind = NAMED if dropped in ("name", "menu") else CHROME
+            else:
+                kind = LINKED if links else LOOSE
             texts.append(text)
-            kinds.append(CHROME if dropped and not head else BODY if inside and linked[0] * 2 <= len(text) else LOOSE)
+            kinds.append(kind)
         buffer.clear()
         linked[0] = 0
 
+    def put(text: str) -> None:
+        """Text of a dropped element inside a line that stays is no part of the line."""
+        if not stack or not stack[-1][1] or stack[-1][3]:
+            buffer.append(text)
+            linked[0] += len(text) * (link > 0)
+
     def pop() -> str:
         name = stack.pop()[0]
         opened[name] -= 1
@@ -117,8 +143,7 @@ def lines(page: str | None) -> tuple[list[str], list[int]]:
     while (tag := scanner.after(at)) is not None:
         start, end, name, close, given = tag
         if start > at:
-            buffer.append(page[at:start])
-            linked[0] += (start - at) * (link > 0)
+            put(page[at:start])
         at = end
         if not name:
             continue
@@ -145,24 +170,23 @@ def lines(page: str | None) -> tuple[list[str], list[int]]:
         if name in VOID or not (block or name in DROP or given.strip("/ ")):
             continue  # void, or an inline element that changes nothing
         if name == "p" or HEADING.match(name):  # these end an open paragraph
-            while stack and stack[-1][0] in INLINE:
+            first = stack[-1][4] if stack else -1
+            while 0 <= first < len(stack):
                 pop()
             heading = bool(HEADING.match(name))
         elif name == "li":
             while stack and stack[-1][0] == "li":
                 pop()
-        dropped, inside = (stack[-1][1], stack[-1][2]) if stack else (False, False)
-        if (name in ("article", "main") and not dropped) or (not dropped and "articleBody" in given):
-            dropped, inside = False, True
-        elif not dropped and (name in DROP or marked(name, given)):
-            dropped = True
-        elif not dropped and name == "header":
-            dropped = "header"
+        dropped, inside, hidden, paragraph = stack[-1][1:] if stack else (False, False, False, -1)
+        if not dropped:
+            dropped = name in DROP or marked(name, given) or ("header" if name == "header" else False)
+            if not dropped and (name in ("article", "main") or "articleBody" in given):
+                inside = True
         if given.endswith("/") and not block:
             continue
-        stack.append((name, dropped, inside))
+        stack.append((name, dropped, inside, bool(dropped) if block else hidden, len(stack) if name == "p" else paragraph if name in INLINE else -1))
         opened[name] += 1
-    buffer.append(page[at:])
+    put(page[at:])
     flush()
     return texts, kinds
 
@@ -228,8 +252,8 @@ def alike(bodies: list[list[int]]) -> tuple[int, int]:
 def repeated(page: Page, before: Page | None, after: Page | None) -> list[int]:
     """Numbers of the lines that a page loses, between its neighbours in the order of paths, whose texts differ from its.
 
-    The neighbour with the longer common path is the pair, the one before on a tie. A line outside an article goes if a
-    longest common subsequence with the pair has it. Articles quote each other and come in edited copies, so inside one
+    The neighbour with the longer common path is the pair, the one before on a tie. All lines are aligned, those that
+    markup will drop too. A line outside an article goes if a longest common subsequence with the pair has it. Articles quote each other and come in edited copies, so inside one
     a line goes only if it's part of a template: it stands in a run of lines with which all three articles begin, or
     end, while neither neighbour shares half of the page's article.
     """
@@ -238,7 +262,7 @@ def repeated(page: Page, before: Page | None, after: Page | None) -> list[int]:
     if not by:
         return []
     same = [shared(own, x[2]) for x in by]
-    out = [i for i in same[0] if kinds[i] == LOOSE]
+    out = [i for i in same[0] if kinds[i] != BODY]
     body = [i for i, k in enumerate(kinds) if k == BODY]
     half = sum(sizes[i] for i in body) / 2
     if len(by) == 2 and all(sum(sizes[i] for i in x if kinds[i] == BODY) < half for x in same):
@@ -247,15 +271,25 @@ def repeated(page: Page, before: Page | None, after: Page | None) -> list[int]:
     return sorted(out)
 
 
+def staying(texts: list[str], kinds: list[int]) -> list[int]:
+    """Numbers of the lines that markup leaves: those inside articles, if these have as much text as what is outside and is
+    neither dropped nor links; else those outside too. Where that is nothing, what names alone have dropped stays."""
+    size = lambda kind: sum(len(t) for t, k in zip(texts, kinds, strict=True) if k == kind)
+    kept = (BODY,) if size(BODY) >= max(1, size(LOOSE)) else (BODY, LOOSE, LINKED)
+    found = [i for i, k in enumerate(kinds) if k in kept]
+    return found or [i for i, k in enumerate(kinds) if k == NAMED]
+
+
 def article(page: str | None) -> tuple[list[str], list[int]]:
-    """Lines that markup alone leaves, and their kinds: those inside articles where there are any, else all but chrome."""
+    """Lines that markup alone leaves, and their kinds."""
     texts, kinds = lines(page)
-    least = BODY if BODY in kinds else LOOSE
-    return [t for t, k in zip(texts, kinds, strict=True) if k >= least], [k for k in kinds if k >= least]
+    on = staying(texts, kinds)
+    return [texts[i] for i in on], [kinds[i] for i in on]
 
 
 def extract(pages: DataFrame, key: str = "page_id") -> DataFrame:
-    """One row for each row of ``pages`` (key, url, html): key, url, text, n_chars, n_shared (lines deleted as shared).
+    """One row for each row of ``pages`` (key, url, html): key, url, text, n_chars, n_shared (lines deleted as shared, be they
+    such that markup drops or not).
 
     Digests of the pages' lines are sorted by host and path over all partitions, so that the nearest page by path is a
     neighbour; the first and last page of each partition are handed to the partitions around it, so a host may span any
@@ -275,7 +309,7 @@ def extract(pages: DataFrame, key: str = "page_id") -> DataFrame:
         for batch in batches:
             for i in range(0, len(batch), 256):
                 part = batch.slice(i, 256)
-                each = [article(x) for x in part["html"].to_pylist()]
+                each = [lines(x) for x in part["html"].to_pylist()]
                 marks = [[xxhash.xxh3_64_intdigest(t.encode("utf-8", "surrogatepass")) >> 1 for t in texts] for texts, _ in each]
                 lists = [
                     pa.array(marks, pa.list_(pa.int64())),
@@ -330,7 +364,8 @@ def extract(pages: DataFrame, key: str = "page_id") -> DataFrame:
             out = []
             for page, numbers in zip(h, g, strict=True):
                 less = set() if numbers is None else set(numbers.tolist() if hasattr(numbers, "tolist") else numbers)
-                text = "\n\n".join(t for i, t in enumerate(article(page)[0]) if i not in less)
+                texts, kinds = lines(page)
+                text = "\n\n".join(texts[i] for i in staying(texts, kinds) if i not in less)
                 out.append((text, len(text), len(less)))
             yield pd.DataFrame(out, columns=["text", "n_chars", "n_shared"])
 
