@@ -29,27 +29,31 @@ def listed(rows: DataFrame, by: str, item: Column) -> DataFrame:
     return rows.groupBy(by).agg(F.array_sort(F.collect_list(item)).alias("items"))
 
 
-K = F.col("o_orderkey")
-DAY = F.date_format("o_orderdate", "yyyy-MM-dd")
+def order() -> Column:
+    return F.col("o_orderkey")
+
+
+def day() -> Column:
+    return F.date_format("o_orderdate", "yyyy-MM-dd")
 
 
 @query("""select 'https://n.example/' || o_orderkey as url, 'Order ' || o_orderkey as title, o_orderpriority as source, (cast(o_orderdate as date) + interval 10 hour)::timestamp::timestamptz as published_at
  from orders where o_orderkey % 7 <> 0 and o_orderkey % 11 <> 0 and o_orderkey % 13 <> 0""")
 def source_articles(spark: SparkSession, d: str) -> DataFrame:
     """A response for each customer; removed articles and those without a title or a date are left out."""
-    title = F.when(K % 7 == 0, "[Removed]").when(K % 11 == 0, "").otherwise(F.concat(F.lit("Order "), text(K)))
-    when = F.when(K % 13 == 0, "soon").when(K % 2 == 0, F.concat(DAY, F.lit("T10:00:00Z"))).otherwise(F.concat(DAY, F.lit("T12:00:00.000+02:00")))
-    one = F.struct(F.concat(F.lit("https://n.example/"), text(K)).alias("url"), F.struct(F.col("o_orderpriority").alias("name")).alias("source"), title.alias("title"), when.alias("publishedAt"))
+    title = F.when(order() % 7 == 0, "[Removed]").when(order() % 11 == 0, "").otherwise(F.concat(F.lit("Order "), text(order())))
+    when = F.when(order() % 13 == 0, "soon").when(order() % 2 == 0, F.concat(day(), F.lit("T10:00:00Z"))).otherwise(F.concat(day(), F.lit("T12:00:00.000+02:00")))
+    one = F.struct(F.concat(F.lit("https://n.example/"), text(order())).alias("url"), F.struct(F.col("o_orderpriority").alias("name")).alias("source"), title.alias("title"), when.alias("publishedAt"))
     made = listed(table(spark, d, "orders"), "o_custkey", one).select(F.to_json(F.struct(F.lit("ok").alias("status"), F.col("items").alias("articles"))))
     return feeds.json_articles(spark, recorded(made), lines=True).select("url", "title", "source", "published_at")
 
 
 def feed(spark: SparkSession, d: str) -> DataFrame:
     """A feed for each customer with an item for each order; some have no date."""
-    date = F.when(K % 5 == 0, F.lit("")).otherwise(F.concat(F.lit("<pubDate>"), F.date_format("o_orderdate", "EEE, dd MMM yyyy"), F.when(K % 2 == 0, " 10:00:00 GMT").otherwise(" 10:00:00 +0100"), F.lit("</pubDate>")))
+    date = F.when(order() % 5 == 0, F.lit("")).otherwise(F.concat(F.lit("<pubDate>"), F.date_format("o_orderdate", "EEE, dd MMM yyyy"), F.when(order() % 2 == 0, " 10:00:00 GMT").otherwise(" 10:00:00 +0100"), F.lit("</pubDate>")))
     tag = lambda name, c: F.concat(F.lit(f"<{name}>"), c, F.lit(f"</{name}>"))
-    item = F.concat(F.lit("<item>"), tag("title", F.concat(F.lit("Order "), text(K))), tag("link", F.concat(F.lit("https://f.example/"), text(K))), tag("description", F.col("o_orderpriority")), date, F.lit("</item>"))
-    feeds_of = listed(table(spark, d, "orders"), "o_custkey", F.struct(K.alias("k"), item.alias("i")))
+    item = F.concat(F.lit("<item>"), tag("title", F.concat(F.lit("Order "), text(order()))), tag("link", F.concat(F.lit("https://f.example/"), text(order()))), tag("description", F.col("o_orderpriority")), date, F.lit("</item>"))
+    feeds_of = listed(table(spark, d, "orders"), "o_custkey", F.struct(order().alias("k"), item.alias("i")))
     made = feeds_of.select(F.concat(F.lit("<rss><channel><title>Orders</title>"), F.array_join("items.i", ""), F.lit("</channel></rss>")))
     return feeds.rss_items(spark, recorded(made), "1996-01-01", lines=True)
 
@@ -66,11 +70,11 @@ def source_rss(spark: SparkSession, d: str) -> DataFrame:
 @query("select 'https://a.example/' || o_orderkey as url, 'Order ' || o_orderkey as title, cast(o_orderdate as date)::timestamp::timestamptz as published_at from orders where o_orderkey % 4 <> 3")
 def source_atom(spark: SparkSession, d: str) -> DataFrame:
     """Entries dated by when they were published, else updated, else created."""
-    at = F.concat(DAY, F.lit("T00:00:00Z"))
+    at = F.concat(day(), F.lit("T00:00:00Z"))
     tag = lambda name, c: F.concat(F.lit(f"<{name}>"), c, F.lit(f"</{name}>"))
-    dates = F.when(K % 4 == 0, F.concat(tag("published", at), tag("updated", F.lit("1999-01-01T00:00:00Z")))).when(K % 4 == 1, tag("updated", at)).when(K % 4 == 2, tag("created", at)).otherwise("")
-    entry = F.concat(F.lit("<entry>"), tag("title", F.concat(F.lit("Order "), text(K))), F.lit('<link href="https://a.example/'), text(K), F.lit('"/>'), dates, F.lit("</entry>"))
-    entries = listed(table(spark, d, "orders"), "o_custkey", F.struct(K.alias("k"), entry.alias("e")))
+    dates = F.when(order() % 4 == 0, F.concat(tag("published", at), tag("updated", F.lit("1999-01-01T00:00:00Z")))).when(order() % 4 == 1, tag("updated", at)).when(order() % 4 == 2, tag("created", at)).otherwise("")
+    entry = F.concat(F.lit("<entry>"), tag("title", F.concat(F.lit("Order "), text(order()))), F.lit('<link href="https://a.example/'), text(order()), F.lit('"/>'), dates, F.lit("</entry>"))
+    entries = listed(table(spark, d, "orders"), "o_custkey", F.struct(order().alias("k"), entry.alias("e")))
     made = entries.select(F.concat(F.lit("<feed>"), F.array_join("items.e", ""), F.lit("</feed>")))
     return feeds.atom_entries(spark, recorded(made), lines=True).select("url", "title", "published_at")
 
@@ -86,7 +90,7 @@ def source_merged(spark: SparkSession, d: str) -> DataFrame:
 @query("select lpad(o_custkey::varchar, 10, '0') as cik, o_orderstatus as form, cast(o_orderdate as date) as date, lpad(o_custkey::varchar, 10, '0') || '/' || o_orderkey || '96' as at from orders where o_orderkey % 6 <> 0")
 def source_filings(spark: SparkSession, d: str) -> DataFrame:
     """Filings of each customer in parallel arrays."""
-    rows = listed(table(spark, d, "orders"), "o_custkey", F.struct(K.alias("k"), F.col("o_orderstatus").alias("form"), F.when(K % 6 == 0, "never").otherwise(DAY).alias("date"), F.concat(text(K), F.lit("-96")).alias("accession")))
+    rows = listed(table(spark, d, "orders"), "o_custkey", F.struct(order().alias("k"), F.col("o_orderstatus").alias("form"), F.when(order() % 6 == 0, "never").otherwise(day()).alias("date"), F.concat(text(order()), F.lit("-96")).alias("accession")))
     raw = rows.select(F.col("o_custkey").alias("cik"), *[F.col(f"items.{c}").alias(c) for c in ("form", "date", "accession")])
     return feeds.filings(raw).select("cik", "form", "date", F.replace("url", F.lit("https://filings.example/"), F.lit("")).alias("at"))
 
@@ -105,33 +109,34 @@ def source_candles(spark: SparkSession, d: str) -> DataFrame:
 @query("select o_totalprice as price, o_totalprice / 2 as previous_close, 100.0::double as change_percent, cast(o_orderdate as date)::timestamp::timestamptz as at from orders where o_orderkey % 9 <> 0")
 def source_quotes(spark: SparkSession, d: str) -> DataFrame:
     """A quote for each order; those of an unknown symbol are all zeros."""
-    known = lambda c: F.when(K % 9 == 0, F.lit(0.0)).otherwise(c)
+    known = lambda c: F.when(order() % 9 == 0, F.lit(0.0)).otherwise(c)
     price = F.col("o_totalprice")
     one = F.struct(known(price).alias("c"), known(price / 2).alias("d"), known(F.lit(100.0)).alias("dp"), known(price).alias("h"), known(price).alias("l"), known(price).alias("o"), known(price / 2).alias("pc"), F.unix_timestamp(F.to_date("o_orderdate").cast("timestamp")).alias("t"))
     return feeds.json_quotes(spark, recorded(table(spark, d, "orders").select(F.to_json(one))), lines=True).select("price", "previous_close", "change_percent", "at")
 
 
-P = F.col("p_partkey")
+def part() -> Column:
+    return F.col("p_partkey")
 
 
 @query("select 'P' || p_partkey as ticker, p_name as name, date '1980-01-01' + (p_size)::int as ipo, p_retailprice * 1000000 as market_value, p_size * 1000000.0::double as shares from part where p_partkey % 8 <> 0")
 def source_profiles(spark: SparkSession, d: str) -> DataFrame:
-    one = F.struct(F.concat(F.lit("P"), text(P)).alias("ticker"), F.col("p_name").alias("name"), F.date_format(F.date_add(F.lit("1980-01-01").cast("date"), F.col("p_size").cast("int")), "yyyy-MM-dd").alias("ipo"), F.col("p_retailprice").alias("marketCapitalization"), F.col("p_size").cast("double").alias("shareOutstanding"))
-    made = table(spark, d, "part").select(F.when(P % 8 == 0, "{}").otherwise(F.to_json(one)))
+    one = F.struct(F.concat(F.lit("P"), text(part())).alias("ticker"), F.col("p_name").alias("name"), F.date_format(F.date_add(F.lit("1980-01-01").cast("date"), F.col("p_size").cast("int")), "yyyy-MM-dd").alias("ipo"), F.col("p_retailprice").alias("marketCapitalization"), F.col("p_size").cast("double").alias("shareOutstanding"))
+    made = table(spark, d, "part").select(F.when(part() % 8 == 0, "{}").otherwise(F.to_json(one)))
     return feeds.json_profiles(spark, recorded(made), lines=True).select("ticker", "name", "ipo", "market_value", "shares")
 
 
 @query("select 'P' || p_partkey as symbol, '52WeekHigh' as metric, p_retailprice as value from part union all select 'P' || p_partkey, 'peTTM', p_size::double from part where p_partkey % 2 = 0")
 def source_metrics(spark: SparkSession, d: str) -> DataFrame:
-    held = F.create_map(F.lit("52WeekHigh"), F.col("p_retailprice"), F.lit("peTTM"), F.when(P % 2 == 0, F.col("p_size").cast("double")), F.lit("beta"), F.lit(None).cast("double"))
-    made = table(spark, d, "part").select(F.to_json(F.struct(F.concat(F.lit("P"), text(P)).alias("symbol"), held.alias("metric")), {"ignoreNullFields": "false"}))
+    held = F.create_map(F.lit("52WeekHigh"), F.col("p_retailprice"), F.lit("peTTM"), F.when(part() % 2 == 0, F.col("p_size").cast("double")), F.lit("beta"), F.lit(None).cast("double"))
+    made = table(spark, d, "part").select(F.to_json(F.struct(F.concat(F.lit("P"), text(part())).alias("symbol"), held.alias("metric")), {"ignoreNullFields": "false"}))
     return feeds.json_metrics(spark, recorded(made), lines=True)
 
 
 @query("select 'C' || o_custkey as symbol, cast(o_orderdate as date) as period, o_totalprice as actual, (o_orderkey % 4)::double as estimate, round((o_totalprice - o_orderkey % 4) / nullif(o_orderkey % 4, 0) * 100, 4) as surprise_percent from orders where o_orderkey % 6 <> 0")
 def source_earnings(spark: SparkSession, d: str) -> DataFrame:
     """A list of reports for each customer; some have no period that can be read."""
-    one = F.struct(F.when(K % 6 == 0, "x").otherwise(DAY).alias("period"), F.concat(F.lit("C"), text("o_custkey")).alias("symbol"), F.col("o_totalprice").alias("actual"), (K % 4).cast("double").alias("estimate"))
+    one = F.struct(F.when(order() % 6 == 0, "x").otherwise(day()).alias("period"), F.concat(F.lit("C"), text("o_custkey")).alias("symbol"), F.col("o_totalprice").alias("actual"), (order() % 4).cast("double").alias("estimate"))
     made = listed(table(spark, d, "orders"), "o_custkey", one).select(F.to_json("items"))
     e = feeds.json_earnings(spark, recorded(made), lines=True)
     return e.withColumn("surprise_percent", F.round(F.try_divide(F.col("actual") - F.col("estimate"), F.abs("estimate")) * 100, 4))
@@ -139,7 +144,7 @@ def source_earnings(spark: SparkSession, d: str) -> DataFrame:
 
 @query("select 'C' || o_custkey as symbol, o_orderpriority as name, (o_orderkey % 21 - 10)::double as change, o_totalprice as price, cast(o_orderdate as date) as traded_on from orders where o_orderkey % 3 <> 0 and o_orderkey % 7 <> 0")
 def source_insiders(spark: SparkSession, d: str) -> DataFrame:
-    one = F.struct(F.col("o_orderpriority").alias("name"), (K % 21 - 10).cast("double").alias("change"), F.when(K % 3 != 0, F.col("o_totalprice")).alias("transactionPrice"), F.when(K % 7 == 0, "x").otherwise(DAY).alias("transactionDate"))
+    one = F.struct(F.col("o_orderpriority").alias("name"), (order() % 21 - 10).cast("double").alias("change"), F.when(order() % 3 != 0, F.col("o_totalprice")).alias("transactionPrice"), F.when(order() % 7 == 0, "x").otherwise(day()).alias("transactionDate"))
     made = listed(table(spark, d, "orders"), "o_custkey", one).select(F.to_json(F.struct(F.concat(F.lit("C"), text("o_custkey")).alias("symbol"), F.col("items").alias("data"))))
     return feeds.json_insiders(spark, recorded(made), lines=True)
 
@@ -166,7 +171,7 @@ def source_statements(spark: SparkSession, d: str) -> DataFrame:
  case when o_orderkey % 3 <> 0 then cast(o_orderdate as date) end as day from orders""")
 def source_coercions(spark: SparkSession, d: str) -> DataFrame:
     """Numbers and days of any spelling; what is none is null."""
-    n = F.when(K % 4 == 0, "n/a").when(K % 4 == 1, "Infinity").otherwise(F.concat(F.lit(" "), text(K), F.lit(".5 ")))
-    w = F.when(K % 5 == 0, "").otherwise(F.concat(text(K), F.lit(".9")))
-    raw = table(spark, d, "orders").select(K.alias("k"), n.alias("n"), w.alias("w"), F.when(K % 3 == 0, "soon").otherwise(F.concat(DAY, F.lit("T10:00:00Z"))).alias("d"))
+    n = F.when(order() % 4 == 0, "n/a").when(order() % 4 == 1, "Infinity").otherwise(F.concat(F.lit(" "), text(order()), F.lit(".5 ")))
+    w = F.when(order() % 5 == 0, "").otherwise(F.concat(text(order()), F.lit(".9")))
+    raw = table(spark, d, "orders").select(order().alias("k"), n.alias("n"), w.alias("w"), F.when(order() % 3 == 0, "soon").otherwise(F.concat(day(), F.lit("T10:00:00Z"))).alias("d"))
     return raw.select("k", feeds.number("n").alias("number"), feeds.whole("w").alias("whole"), feeds.day("d").alias("day"))

@@ -69,7 +69,7 @@ def chunks(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def hash_embeddings(spark: SparkSession, d: str) -> DataFrame:
     """The hash is none that SQL has; tests hold the vectors against a plain version."""
-    return text.embeddings(table(spark, d, "benchmark"), "text").select("item_id", "embedding")
+    return text.embeddings(table(spark, d, "documents"), "text").select("doc_id", "embedding")
 
 
 @query("select doc_id, length(t) as chars, floor(length(t) / 4)::int as tokens from (select doc_id, regexp_replace(regexp_replace(regexp_replace(text, '^\\s+|\\s+$', '', 'g'), '[ \\t]+', ' ', 'g'), '\\n{3,}', chr(10) || chr(10), 'g') as t from documents)")
