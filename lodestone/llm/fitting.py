@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -44,7 +45,8 @@ def total(sample: DataFrame, part: Part, x: np.ndarray) -> tuple[float, np.ndarr
 
 
 def minimise(f: Callable[[np.ndarray], tuple[float, np.ndarray]], x: np.ndarray, rounds: int = 60, memory: int = 8, enough: float = 1e-5) -> np.ndarray:
-    """A minimum of ``f`` (loss, gradient) by L-BFGS with halved steps; it ends when a step gains little."""
+    """A minimum of ``f`` (loss, gradient) by L-BFGS with halved steps; it ends when a step gains little. Where the rounds run
+    out before, or no step gains, the best point so far is returned and a RuntimeWarning tells so."""
     loss, g = f(x)
     moves: list[tuple[np.ndarray, np.ndarray]] = []
     for _ in range(rounds):
@@ -69,11 +71,13 @@ def minimise(f: Callable[[np.ndarray], tuple[float, np.ndarray]], x: np.ndarray,
                 break
             step /= 2
         else:
+            warnings.warn(f"no step along the gradient gains: loss {loss:.6g}, gradient {np.sqrt(g @ g):.3g}", RuntimeWarning, stacklevel=2)
             return x
         if (new - x) @ (h - g) > 1e-12:
             moves = [*moves, (new - x, h - g)][-memory:]
         gain = loss - after
         x, loss, g = new, after, h
         if gain <= enough * max(1e-3, abs(loss)):
-            break
+            return x
+    warnings.warn(f"{rounds} rounds ran out: loss {loss:.6g}, gradient {np.sqrt(g @ g):.3g}, last gain {gain:.3g}", RuntimeWarning, stacklevel=2)
     return x

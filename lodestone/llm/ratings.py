@@ -158,8 +158,10 @@ def grade(docs: DataFrame, model: Ordinal, *keep: str, at_least: int | None = No
     """``keep`` columns of each row of ``docs`` with expected_grade, tails (array<double>: P(grade > each but the last)) and kept.
 
     kept: the probability of the grade ``at_least`` (the second one unless given) or better is ``odds`` or more. Null and
-    empty texts are graded by their length alone. Repeated rows are graded each; an empty table gives no rows.
+    empty texts are graded by their length alone. Repeated rows are graded each; a
+    column to keep that has a result's name gives way to the result; an empty table gives no rows.
     """
+    keep = tuple(c for c in keep if c not in ("expected_grade", "tails", "kept"))
     shared = docs.sparkSession.sparkContext.broadcast(model)
     cut = model.grades.index(at_least) - 1 if at_least is not None else 0
 

@@ -182,8 +182,10 @@ def score(docs: DataFrame, model: NoisyOr, *keep: str, locate: bool = True) -> D
 
     score: 0 to 1 by noisy-or over all sentences of the whole text; predicted: 1 where it is 0.5 or more. worst_start
     and worst_end: code point offsets of the sentence that scores most, the first of equals. Null and empty texts and
-    those without words score 0 and have no worst sentence (null). Repeated rows are scored each.
+    those without words score 0 and have no worst sentence (null). Repeated rows are scored each. A column to
+    keep that has a result's name gives way to the result.
     """
+    keep = tuple(c for c in keep if c not in ("score", "predicted", "worst_score", "worst_start", "worst_end"))
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("score double, worst_score double, worst_start int, worst_end int")
