@@ -208,13 +208,25 @@ def stream_messages(spark: SparkSession, d: str) -> DataFrame:
         return shared.finished(state.messages(arrived(spark, d)))
 
 
+def late_bars(spark: SparkSession, d: str) -> tuple[tables.Table, list[tuple[int, int, int, int]]]:
+    made = tables.stored(spark, "late-bars", "symbol string, session date, close double, seen array<long>", ("symbol", "session"), "cast(date_trunc('week', session) as date)")
+    ticks = arrived(spark, d).select("symbol", F.to_date("ts").alias("session"), F.col("price").alias("close"), F.array(F.unix_micros("ts"), F.col("event_id").cast("long"), F.col("version").cast("long")).alias("seen"))
+    return made, tables.merged_stream(ticks, made, "seen")
+
+
 @query(f"with {ARRIVALS} select symbol, ts::date as session, arg_max(price, row(ts, event_id, version)) as close from arr group by all")
 def stream_late_bars(spark: SparkSession, d: str) -> DataFrame:
     """Daily closes in a stored table by week: five batches with late and corrected ticks touch the weeks they have ticks of."""
-    made = tables.stored(spark, "late-bars", "symbol string, session date, close double, seen array<long>", ("symbol", "session"), "cast(date_trunc('week', session) as date)")
-    ticks = arrived(spark, d).select("symbol", F.to_date("ts").alias("session"), F.col("price").alias("close"), F.array(F.unix_micros("ts"), F.col("event_id").cast("long"), F.col("version").cast("long")).alias("seen"))
-    tables.merged_stream(ticks, made, "seen")
-    return made.read(spark).drop("seen")
+    return late_bars(spark, d)[0].read(spark).drop("seen")
+
+
+@query(f"""with {ARRIVALS}, k as (select file, symbol, ts::date as session, max(row(ts, event_id, version)) as r from arr group by all),
+ n as (select *, max(r) over (partition by symbol, session order by file rows between unbounded preceding and 1 preceding) as before from k),
+ c as (select file, count(*) filter (where before is null) as inserted, count(*) filter (where before is not null and before <= r) as matched from n group by file)
+ select file as batch, (select count(*) from arr where arr.file = c.file) as rows, inserted, matched from c""")
+def stream_progress(spark: SparkSession, d: str) -> DataFrame:
+    """Rows of each batch as the stream's progress reports them, and the keys that its merge inserted and matched."""
+    return spark.createDataFrame(late_bars(spark, d)[1], "batch long, rows long, inserted long, matched long")
 
 
 @query(f"with {OBSERVED} select symbol, session, case when day(session) % 3 <> 0 then round(daily_return, 9) end as daily_return, round(volume_ratio * case when day(session) % 3 = 0 then 2 else 1 end, 9) as volume_ratio from obs")

@@ -397,6 +397,48 @@ def article_tags(spark: SparkSession, d: str) -> DataFrame:
     return t.select("doc_id", F.array_join("companies", ",").alias("companies"), F.array_join("tags", ",").alias("tags"), F.size("keywords").alias("keywords"), F.array_join("tagged_tickers", ",").alias("tickers"), "relevant")
 
 
+ASSERTED = "case when doc_id % 3 = 0 then ['ZTB', 'OWN'] when doc_id % 3 = 1 then null else []::varchar[] end"
+
+
+@query(rf"""with t as (select page_id, url, {ASSERTED.replace("doc_id", "page_id")} as own, lower(coalesce(html, '')) as t from pages),
+ h as (select *, regexp_matches(t, '\b(clown)\b') as a, regexp_matches(t, '\b(stupid|trash)\b') as z, regexp_matches(t, '\b(moron|idiot|garbage)\b') as n from t),
+ x as (select page_id, lower(sha256(lower(trim(url)))) as url_hash, list_concat(coalesce(own, []), case when a then ['ACM'] else [] end, case when z then ['ZTA', 'ZTB'] else [] end) as all_of, a or z or n or len(coalesce(own, [])) > 0 as stays from h)
+ select page_id, url_hash, array_to_string(list_transform(list_filter(list_zip(all_of, range(len(all_of))), lambda p: list_position(all_of, p[1]) = p[2] + 1), lambda p: p[1]), ',') as tickers from x where stays""")
+def article_symbols(spark: SparkSession, d: str) -> DataFrame:
+    """Tagged pages with the tickers that their source asserts first, then those of the text."""
+    k = F.col("page_id")
+    own = F.when(k % 3 == 0, F.array(F.lit("ZTB"), F.lit("OWN"))).when(k % 3 == 2, F.array().cast("array<string>"))
+    pages = table(spark, d, "pages").select("page_id", "url", F.col("html").alias("text"), own.alias("asserted"))
+    out = tagging.normalise(tagging.tag(pages, "text", **TAGS))
+    return out.select("page_id", "url_hash", F.array_join("tickers", ",").alias("tickers"))
+
+
+SUPPLIED = """e as (select c_custkey as doc_id, lower(c_name) as c, lower(n_name) as n, lower(r_name) as r, lower(c_name) || ' supplies parts to ' || lower(n_name) || ' and to ' || lower(r_name) || ' each year' as text from customer join nation on c_nationkey = n_nationkey join region on n_regionkey = r_regionkey)"""
+
+
+@query(f"""with {SUPPLIED}, newest as (select * from e qualify row_number() over (order by doc_id desc) <= 500), ask as (select * from newest where doc_id % 13 <> 0),
+ made as (select doc_id, unnest([{{'s': c, 't': n}}, {{'s': c, 't': r}}, {{'s': n, 't': r}}], recursive := true) from ask where doc_id % 5 <> 0 and doc_id % 7 <> 0),
+ found as (select s as source_slug, t as target_slug, 'supplies' as relation, min(doc_id) as doc_id, {proposals.KINDS["supplies"][0]} as confidence, 'pending' as status from made group by s, t),
+ stored as (select c as source_slug, n as target_slug, 'supplies' as relation, -1 as doc_id, 0.5 as confidence, 'refused' as status from e where doc_id % 11 = 0)
+ select * from stored union all select * from found where (source_slug, target_slug) not in (select (source_slug, target_slug) from stored)""")
+def extraction_pass(spark: SparkSession, d: str) -> DataFrame:
+    """Proposals of the newest 500 documents, held against their texts; those that were reviewed stay as they are."""
+    c, n, r = table(spark, d, "customer"), table(spark, d, "nation"), table(spark, d, "region")
+    met = c.join(F.broadcast(n), F.col("c_nationkey") == F.col("n_nationkey")).join(F.broadcast(r), F.col("n_regionkey") == F.col("r_regionkey"))
+    text_of = F.concat("c", F.lit(" supplies parts to "), "n", F.lit(" and to "), "r", F.lit(" each year"))
+    docs = met.select(F.col("c_custkey").alias("doc_id"), F.lower("c_name").alias("c"), F.lower("n_name").alias("n"), F.lower("r_name").alias("r")).withColumn("text", text_of)
+    docs = shared.kept(docs, "documents")
+    k = F.col("doc_id")
+    pair = lambda a, b: F.struct(F.col(a).alias("source"), F.col(b).alias("target"))
+    relation, quote = F.when(k % 7 == 0, "uses").otherwise("supplies"), F.when(k % 5 == 0, "too short").otherwise(F.col("text"))
+    asked = docs.select("doc_id", F.explode(F.array(pair("c", "n"), pair("c", "r"), pair("n", "r"))).alias("p"), relation.alias("relation"), quote.alias("quote")).select("doc_id", "p.*", "relation", "quote")
+    each = docs.select("doc_id", F.explode(F.array("c", "n", "r")).alias("entity"))
+    named = each.where((k % 13 != 0) | (F.col("entity") == "never"))
+    stored = docs.where(k % 11 == 0).select(F.col("c").alias("source_slug"), F.col("n").alias("target_slug"), F.lit("supplies").alias("relation"), F.lit(-1).cast("long").alias("doc_id"), F.lit(0.5).alias("confidence"), F.lit("refused").alias("status"))
+    names = each.select(F.col("entity").alias("name"), F.col("entity").alias("slug")).distinct()
+    return proposals.extract(docs.select("doc_id", "text"), asked, names, named, stored, 500)
+
+
 @query("""with p as (select doc_id, text, split_part(text, ' ', 1) as source, split_part(text, ' ', 2) as target, case doc_id % 4 when 0 then 'supplies' when 1 then 'uses' when 2 then 'acquired' else 'owns' end as relation, case when doc_id % 5 = 0 then 'a sentence that the text has not' else substr(text, 1, 60) end as quote from documents),
  n as (select distinct lower(split_part(text, ' ', 1)) as name from documents where text is not null), c as (select *, coalesce(lower(trim(quote)), '') as q, coalesce(lower(trim(source)), '') as s, coalesce(lower(trim(target)), '') as t from p)
  select case when s not in (select name from n) or t not in (select name from n) then 'unknown_entity' when s = t then 'self_relationship' when relation = 'owns' then 'unknown_relation' when relation = 'uses' then 'relation_not_extractable' when length(q) < 25 or not coalesce(contains(lower(text), q), false) then 'quote_not_in_source' when not (contains(q, s) and contains(q, t)) then 'quote_missing_an_entity'
@@ -420,10 +462,18 @@ def chart_all(spark: SparkSession, d: str) -> DataFrame:
     return reads.candles(bars(spark, d), "MAX", "1998-06-30").withColumn("start", F.col("start").cast("timestamp"))
 
 
-@query(f"with {BARS}, done as (select * from bars where session < (select max(session) from bars) qualify row_number() over (partition by symbol order by session desc) <= 300 and count(*) over (partition by symbol) >= 5), f as (select symbol, session, round((adjusted_close - lag(adjusted_close) over w) / nullif(lag(adjusted_close) over w, 0), 6) as daily_return, case when row_number() over w >= 20 then round(avg(adjusted_close) over (partition by symbol order by session rows 19 preceding), 6) end as sma_20 from done window w as (partition by symbol order by session)) select * from f qualify row_number() over (partition by symbol order by session desc) <= 40")
+#: The rows of ``feature_rows`` over what an update reads: completed bars, the last 300 of symbols with 5 or more.
+UPDATES = ORACLE_SQL["feature_rows"].replace(BARS, BARS.replace("bars as (", "every_bar as (", 1) + """, bars as (select * from every_bar where session < (select max(session) from every_bar)
+ qualify row_number() over (partition by symbol order by session desc) <= 300 and count(*) over (partition by symbol) >= 5)""", 1)
+#: Features are decimals of six places, so what is compared is rounded from these.
+UPDATES = UPDATES.replace(THIRD, ", ".join(f"round({c}::decimal(38, 6), {4 if c in SHARES else 3})::double as {c}" for c in SHARES + PRICES))
+
+
+@query(f"select * from ({UPDATES}) qualify row_number() over (partition by symbol order by session desc) <= 40")
 def feature_updates(spark: SparkSession, d: str) -> DataFrame:
+    """All twenty columns of the rows that an update writes."""
     out = indicators.updates(flagged(bars(spark, d)), BENCHMARK)
-    return out.select("symbol", "session", *[F.col(c).cast("double").alias(c) for c in ("daily_return", "sma_20")])
+    return out.select("symbol", "session", *[F.round(c, 4 if c in SHARES else 3).cast("double").alias(c) for c in SHARES + PRICES])
 
 
 FACTS = """select c_custkey, array_to_string([ '[' || i || '] ' || x for x, i in list_filter([ 'Name: ' || c_name, case when c_acctbal >= 0 then 'Balance: ' || case when c_acctbal * 1e6 >= 1e9 then format('{:,.2f} billion USD', c_acctbal * 1e6 / 1e9) when c_acctbal * 1e6 >= 1e6 then format('{:,.2f} million USD', c_acctbal * 1e6 / 1e6) else format('{:,.2f} USD', c_acctbal * 1e6) end end, 'Segment: ' || nullif(c_mktsegment, ''), 'Nation: ' || format('{:,}', c_nationkey)], lambda x: x is not null)], chr(10)) as lines from customer"""

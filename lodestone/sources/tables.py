@@ -75,9 +75,9 @@ def stored(spark: SparkSession, name: str, kinds: str, keys: tuple[str, ...], pa
     return Table(f"{folder(spark)}/{name}-{uuid.uuid4().hex}", kinds, keys, part).create(spark)
 
 
-def merged_stream(stream: DataFrame, table: Table, order: str) -> list[tuple[int, int]]:
+def merged_stream(stream: DataFrame, table: Table, order: str) -> list[tuple[int, int, int, int]]:
     """Merges what a stream has now into ``table``, a batch at a time: late and corrected rows replace what is there, and a
-    batch touches the partitions it has rows for. (inserted, matched) by batch.
+    batch touches the partitions it has rows for. (batch, rows, inserted, matched) of each batch, rows as Spark reports them.
 
     A row never gives way to one of a smaller ``order``, in whatever batch that comes: ``order`` is a column of the table.
     """
@@ -91,5 +91,7 @@ def merged_stream(stream: DataFrame, table: Table, order: str) -> list[tuple[int
         newer = own.alias("n").join(old.alias("o"), [*same, F.col(f"o.{order}") > F.col(f"n.{order}")], "left_anti")
         counts[number] = table.merge(newer.select(*columns), order)
 
-    stream.writeStream.trigger(availableNow=True).option("checkpointLocation", f"{folder(stream.sparkSession)}/merged-{uuid.uuid4().hex}").foreachBatch(put).start().awaitTermination()
-    return [counts[k] for k in sorted(counts)]
+    run = stream.writeStream.trigger(availableNow=True).option("checkpointLocation", f"{folder(stream.sparkSession)}/merged-{uuid.uuid4().hex}").foreachBatch(put).start()
+    run.awaitTermination()
+    rows = {p["batchId"]: p["numInputRows"] for p in run.recentProgress}
+    return [(k, rows.get(k, 0), *counts[k]) for k in sorted(counts)]
