@@ -4,13 +4,12 @@ from __future__ import annotations
 
 import functools
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.sources.shared import kept
 
+from . import forest
 from .reads import in_calendar
 
 #: Deviations of a normal distribution in one median absolute deviation.
@@ -26,27 +25,38 @@ SKETCH = 2000
 
 
 def exact_median(df: DataFrame, value: str, *by: str) -> DataFrame:
-    """(by, median, n): the exact median of each group's values (the mean of the middle two), and how many there are.
+    """(by, median, n): the exact median of each group's values, and how many there are."""
+    return exact_quantile(df, value, 0.5, *by).withColumnRenamed("quantile", "median")
 
-    A mergeable quantile sketch brackets the median, by twice what it may be off; a second pass counts the values below
-    the bracket and, by value, those in it, and picks the middle ones by their running count. No group is gathered: a
-    window sees one row for each value in the bracket, a thousandth or so of a large group.
+
+def exact_quantile(df: DataFrame, value: str, q: float, *by: str) -> DataFrame:
+    """(by, quantile, n): the exact quantile of each group's values, between the two that are nearest to (n - 1) * q, and n.
+
+    A mergeable sketch brackets it, by twice what it may be off; a second pass counts the values below the bracket
+    and, by value, those in it, and picks by their running count. No group is gathered: a window sees one row for each
+    value in the bracket, a thousandth or so of a large group.
     """
     some = df.where(F.col(value).isNotNull())
-    near = F.approx_percentile(value, F.array(F.lit(0.5 - 2 / SKETCH), F.lit(0.5 + 2 / SKETCH)), F.lit(SKETCH))
-    about = some.groupBy(*by).agg(near.alias("near"), F.count(F.lit(1)).alias("n")).select(*by, F.col("near")[0].alias("low"), F.col("near")[1].alias("high"), "n")
+    ends = F.array(F.lit(max(0.0, q - 2 / SKETCH)), F.lit(min(1.0, q + 2 / SKETCH)))
+    about = some.groupBy(*by).agg(F.approx_percentile(value, ends, F.lit(SKETCH)).alias("near"), F.count(F.lit(1)).alias("n")).select(*by, F.col("near")[0].alias("low"), F.col("near")[1].alias("high"), "n")
+    place = (F.col("n") - 1) * F.lit(q)
+    first, next_ = F.floor(place) + 1, F.ceil(place) + 1
+    # small groups are taken whole: their ranks are too few for a bracket
     same = functools.reduce(Column.__and__, [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in by], F.lit(True))
-    met = some.alias("a").join(about.alias("b"), same).where(F.col(f"a.{value}") <= F.col("b.high"))
-    spot = F.when(F.col(f"a.{value}") >= F.col("b.low"), F.col(f"a.{value}"))  # null: below the bracket
+    met = some.alias("a").join(about.alias("b"), same)
+    inside = F.col(f"a.{value}").between(F.col("b.low"), F.col("b.high")) | (F.col("b.n") <= SKETCH)
+    spot = F.when(inside, F.col(f"a.{value}"))  # null: below the bracket
+    met = met.where((F.col(f"a.{value}") <= F.col("b.high")) | (F.col("b.n") <= SKETCH))
     counts = met.groupBy(*[F.col(f"a.{c}").alias(c) for c in by], F.col("b.n").alias("n"), spot.alias("spot")).agg(F.count(F.lit(1)).alias("k"))
     order = Window.partitionBy(*by).orderBy(F.col("spot").asc_nulls_first())
     upto = counts.withColumn("upto", F.sum("k").over(order.rowsBetween(Window.unboundedPreceding, 0)))
     pick = lambda rank: F.min(F.when(F.col("upto") >= rank, F.col("spot")))
-    middle = (pick(F.floor((F.col("n") + 1) / 2)) + pick(F.floor(F.col("n") / 2) + 1)) / 2
     below = F.coalesce(F.max(F.when(F.col("spot").isNull(), F.col("upto"))), F.lit(0))
-    ends = upto.groupBy(*by).agg(middle.alias("middle"), F.max("n").alias("n"), below.alias("below"))
-    held = F.when((F.col("below") < F.floor((F.col("n") + 1) / 2)) & F.col("middle").isNotNull(), F.col("middle")).otherwise(F.raise_error(F.lit("a sketch was off by more than its bound")))
-    return ends.select(*by, held.alias("median"), "n")
+    picked = upto.groupBy(*by).agg(pick(first).alias("a"), pick(next_).alias("b"), F.max("n").alias("n"), below.alias("below"))
+    value_of = (F.col("a") + F.col("b")) / 2 if q == 0.5 else F.col("a") + (F.col("b") - F.col("a")) * (place - F.floor(place))
+    middle = F.when(first == next_, F.col("a")).otherwise(value_of)
+    held = F.when((F.col("below") < first) & F.col("b").isNotNull(), middle).otherwise(F.raise_error(F.lit("a sketch was off by more than its bound")))
+    return picked.select(*by, held.alias("quantile"), "n")
 
 
 def robust_z(df: DataFrame, value: str, *by: str) -> DataFrame:
@@ -108,15 +118,15 @@ def prepared(observations: DataFrame, calendar: DataFrame, read: int = READ, lea
     return ranked.withColumn("reported", F.col("__n") <= lookback).drop("__n", "__all")
 
 
-def run(observations: DataFrame, calendar: DataFrame, forest: bool = True, lookback: int = LOOKBACK) -> DataFrame:
+def run(observations: DataFrame, calendar: DataFrame, lone: bool = True, lookback: int = LOOKBACK) -> DataFrame:
     """Findings of both detectors (method: zscore, isolation_forest) in the last ``lookback`` sessions; baselines are whole."""
     read = prepared(observations, calendar, lookback=lookback)
     recent = read.where("reported").select("symbol", "session")
     found = detect(read).withColumn("method", F.lit("zscore"))
-    if forest:
-        lone = isolation_forest(read, ["daily_return", "volume_ratio", "volatility_20", "relative_strength"])
-        missing = {c: F.lit(None).cast(t) for c, t in found.dtypes if c not in lone.columns and c != "method"}
-        found = found.unionByName(lone.withColumns(missing).withColumns({"feature": F.lit("return"), "score": F.abs("decision"), "method": F.lit("isolation_forest")}).select(*found.columns))
+    if lone:
+        far = isolation_forest(read, ["daily_return", "volume_ratio", "volatility_20", "relative_strength"])
+        missing = {c: F.lit(None).cast(t) for c, t in found.dtypes if c not in far.columns and c != "method"}
+        found = found.unionByName(far.withColumns(missing).withColumns({"feature": F.lit("return"), "score": F.abs("decision"), "method": F.lit("isolation_forest")}).select(*found.columns))
     return found.join(recent, ["symbol", "session"], "left_semi")
 
 
@@ -130,55 +140,11 @@ def valid_anomalies(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     return rows.where(good), rows.where(~good)
 
 
-def depth(n: np.ndarray | float) -> np.ndarray:
-    """Mean path length of an unsuccessful search in a binary tree of ``n`` points."""
-    n = np.asarray(n, dtype=float)
-    return np.where(n > 2, 2 * (np.log(np.maximum(n - 1, 1)) + 0.5772156649) - 2 * (n - 1) / np.maximum(n, 1), np.where(n == 2, 1.0, 0.0))
-
-
-def forest_scores(x: np.ndarray, trees: int, seed: int, sample: int = 256) -> np.ndarray:
-    """Anomaly scores 2 ^ (-E[path] / c): all points go down all trees level by level."""
-    rng = np.random.default_rng(seed)
-    n, size = len(x), min(sample, len(x))
-    limit = int(np.ceil(np.log2(max(2, size))))
-    fit = np.concatenate([rng.choice(n, size, replace=False) for _ in range(trees)])
-    fit_node, node, point = np.repeat(np.arange(trees), size), np.repeat(np.arange(trees), n), np.tile(np.arange(n), trees)
-    total = np.zeros(n)
-    for level in range(limit + 1):
-        _, every = np.unique(np.concatenate([fit_node, node]), return_inverse=True)
-        fit_node, node, k = every[: len(fit)], every[len(fit) :], every.max() + 1
-        count = np.bincount(fit_node, minlength=k)
-        low, high = np.full((k, x.shape[1]), np.inf), np.full((k, x.shape[1]), -np.inf)
-        np.minimum.at(low, fit_node, x[fit])
-        np.maximum.at(high, fit_node, x[fit])
-        wide = high > low
-        leaf = (count <= 1) | ~wide.any(axis=1) | (level == limit)
-        done = leaf[node]
-        np.add.at(total, point[done], level + depth(count[node[done]]))
-        luck = np.where(wide, rng.random(wide.shape), -1.0)
-        axis, nodes = luck.argmax(axis=1), np.arange(k)
-        cut = np.where(leaf, 0.0, low[nodes, axis] + rng.random(k) * np.where(leaf, 0.0, np.where(wide, high - low, 0.0)[nodes, axis])) if k else np.zeros(0)
-        node, point = node[~done], point[~done]
-        if not len(point):
-            break
-        node = 2 * node + (x[point, axis[node]] >= cut[node])
-        stay = ~leaf[fit_node]
-        fit_node, fit = fit_node[stay], fit[stay]
-        fit_node = 2 * fit_node + (x[fit, axis[fit_node]] >= cut[fit_node])
-    return 2.0 ** (-total / trees / depth(size))
-
-
-def isolation_forest(observations: DataFrame, features: list[str], trees: int = 200, share: float = 0.02, seed: int = 42, least: int = LEAST) -> DataFrame:
-    """Rows of each symbol whose score is in the top ``share`` of its own; rows with a missing feature are skipped."""
-
-    def of(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values("session")
-        if len(g) < least:
-            return pd.DataFrame({"symbol": [], "session": [], "decision": []})
-        s = forest_scores(g[features].to_numpy(dtype=float), trees, seed)
-        decision = np.quantile(s, 1 - share) - s
-        return pd.DataFrame({"symbol": g["symbol"], "session": g["session"], "decision": decision})[decision < 0]
-
-    found = observations.select("symbol", "session", *features).dropna().groupBy("symbol").applyInPandas(of, "symbol string, session date, decision double")
+def isolation_forest(observations: DataFrame, features: list[str], trees: int = 200, share: float = 0.02, least: int = LEAST) -> DataFrame:
+    """Rows of each symbol whose score is over its quantile of 1 - ``share``; rows with a missing feature are skipped."""
+    rows = kept(observations.select("symbol", "session", *features).dropna(), "complete")
+    told = kept(forest.scored(rows, features, trees, least), "scores")
+    limits = exact_quantile(told, "score", 1 - share, "symbol").select("symbol", "quantile")
+    found = told.join(limits, "symbol").withColumn("decision", F.round(F.col("quantile") - F.col("score"), 9)).where("decision < 0")
     size = F.abs("decision") * 40
     return found.select("symbol", "session", "decision", severity(size).alias("severity"), confidence(size).alias("confidence"))

@@ -10,7 +10,7 @@ from lodestone.sources import feeds, shared, tables
 from lodestone.streaming import quotes, state
 
 from .domain import anomalies, articles, bars, flagged, listings, table
-from .queries import BARS, OBSERVED, RETURNS, ZED, observations, query
+from .queries import BARS, OBSERVED, RETURNS, ZED, forest_sql, observations, query
 from .read_queries import ANOMALIES, ARTICLES, LISTINGS
 
 
@@ -111,12 +111,18 @@ def detection_input(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
 
 @query(f"with {RUN} select f.* from found f join recent using (symbol, session)")
 def detection_run(spark: SparkSession, d: str) -> DataFrame:
-    return anomaly.run(*detection_input(spark, d), forest=False).drop("method")
+    return anomaly.run(*detection_input(spark, d), lone=False).drop("method")
 
 
-@query()
+STRENGTH = f"strength as (select a.symbol, a.session, a.daily_return - b.daily_return as relative_strength from rets a left join (select * from rets where symbol = 'Brand#1') b using (session))"
+
+
+@query(f"""with {RUN}, {STRENGTH}, whole as (select k.symbol, k.session, k.daily_return as f0, k.volume_ratio as f1, k.volatility_20 as f2, s.relative_strength as f3 from kept k join strength s using (symbol, session)
+ where k.daily_return is not null and k.volume_ratio is not null and k.volatility_20 is not null and s.relative_strength is not null), {forest_sql()}
+ select f.*, 'zscore' as method from found f join recent using (symbol, session) union all
+ select symbol, session, 'return', null, abs(decision), null, severity, confidence, 'isolation_forest' from lone join recent using (symbol, session)""")
 def detection_both(spark: SparkSession, d: str) -> DataFrame:
-    """Both detectors' findings: the forest's trees are drawn at random from a seed, so there is no SQL."""
+    """Both detectors' findings."""
     obs, days = detection_input(spark, d)
     strength = indicators.relative_strength(bars(spark, d), "Brand#1")
     return anomaly.run(obs.join(strength, ["symbol", "session"]), days)

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.functions import display, tagging, text
-from lodestone.operators import anomaly, evidence, graph, indicators, merge, portfolio, proposals, reads
+from lodestone.operators import anomaly, evidence, forest, graph, indicators, merge, portfolio, proposals, reads
 from lodestone.sources import feeds, shared
 from lodestone.streaming import quotes, state
 
@@ -198,10 +198,44 @@ def severity_counts(spark: SparkSession, d: str) -> DataFrame:
     return anomaly.detect(observations(spark, d)).groupBy("feature", "severity", "direction").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query()
+def forest_sql(trees: int = 200, features: int = 4, share: float = 0.02, least: int = 60) -> str:
+    """lone (symbol, session, decision, severity, confidence) of a table whole (symbol, session, f0, f1 ...): forests grown level by level."""
+    ks = range(features)
+    many = lambda form: ", ".join(form.format(k=k) for k in ks)
+    deep = 8
+    out = [
+        f"sized as (select symbol, count(*) as n, least({forest.POOL}, count(*)) as pool, least({forest.SAMPLE}, count(*)) as size, ceil(log2(greatest(2, least({forest.SAMPLE}, count(*)))))::int as lim from whole group by symbol having count(*) >= {least})",
+        f"pool as (select w.* from whole w join sized using (symbol) qualify row_number() over (partition by symbol order by md5(symbol || '|' || session)) <= {forest.POOL})",
+        f"fit0 as materialized (select symbol, tree, 1::bigint as node, {many('f{k}')} from pool, range({trees}) t(tree) qualify row_number() over (partition by symbol, tree order by md5(symbol || '|' || tree || '|' || session)) <= {forest.SAMPLE})",
+        f"row0 as materialized (select symbol, session, tree, 1::bigint as node, {many('f{k}')} from whole join sized using (symbol), range({trees}) t(tree))",
+    ]
+    x, lows, highs = (f"[{many(c + '{k}')}]" for c in ("f", "l", "h"))
+    for k in range(deep + 1):
+        ranks = ", ".join(f"case when h{j} > l{j} then ('0x' || substr(h, {9 + 6 * j}, 6))::bigint else -1 end" for j in ks)
+        out += [
+            f"sum{k} as (select symbol, tree, node, count(*) as c, {many('min(f{k}) as l{k}, max(f{k}) as h{k}')} from fit{k} group by symbol, tree, node)",
+            f"rank{k} as (select *, md5(symbol || '|' || tree || '|' || node) as h, [{ranks}] as ranks from sum{k})",
+            f"node{k} as materialized (select r.symbol, tree, node, c, case when c <= 1 or lim <= {k} or list_max(ranks) < 0 then 0 else list_position(ranks, list_max(ranks)) end as axis, {lows}[axis] + ('0x' || left(h, 8))::bigint / 4294967296.0::double * ({highs}[axis] - {lows}[axis]) as cut from rank{k} r join sized using (symbol))",
+            f"end{k} as (select symbol, session, {k} + case when c > 2 then 2 * (ln(c - 1) + 0.5772156649::double) - 2 * (c - 1) / c::double when c = 2 then 1 else 0 end as path from row{k} join node{k} using (symbol, tree, node) where axis = 0)",
+        ]
+        if k < deep:
+            out += [f"{t}{k + 1} as materialized (select symbol, {extra} tree, node * 2 + case when {x}[axis] >= cut then 1 else 0 end as node, {many('f{k}')} from {t}{k} join node{k} using (symbol, tree, node) where axis > 0)" for t, extra in (("fit", ""), ("row", "session,"))]
+    ends = " union all ".join(f"select * from end{k}" for k in range(deep + 1))
+    out += [
+        f"mean as (select symbol, session, sum(path) / {trees} as path from ({ends}) group by symbol, session)",
+        "scores as (select symbol, session, round(pow(2.0::double, -path / (2 * (ln(size - 1) + 0.5772156649::double) - 2 * (size - 1) / size::double)), 9) as score from mean join sized using (symbol))",
+        f"far as (select *, round(quantile_cont(score, {1 - share}) over (partition by symbol) - score, 9) as decision from scores)",
+        "lone as (select symbol, session, decision, case when 40 * abs(decision) >= 8 then 'extreme' when 40 * abs(decision) >= 5 then 'high' when 40 * abs(decision) >= 3.5 then 'medium' else 'low' end as severity, case when 40 * abs(decision) <= 3 then 0.0::double else 1 - exp(-(40 * abs(decision) - 3) / 2) end as confidence from far where decision < 0)",
+    ]
+    return ", ".join(out)
+
+
+@query(f"""with {OBSERVED}, whole as (select o.symbol, o.session, o.daily_return as f0, volume_ratio as f1, volatility_20 as f2, o.daily_return - b.daily_return as f3 from obs o join rets b on b.symbol = '{BENCHMARK}' and b.session = o.session
+ where o.daily_return is not null and volume_ratio is not null and volatility_20 is not null and b.daily_return is not null), {forest_sql()} select symbol, session, decision, severity, round(confidence, 6) as confidence from lone""")
 def isolation_forest(spark: SparkSession, d: str) -> DataFrame:
     both = observations(spark, d).join(indicators.relative_strength(bars(spark, d), BENCHMARK), ["symbol", "session"])
-    return anomaly.isolation_forest(both, ["daily_return", "volume_ratio", "volatility_20", "relative_strength"])
+    found = anomaly.isolation_forest(both, ["daily_return", "volume_ratio", "volatility_20", "relative_strength"])
+    return rounded(found, "confidence")
 
 
 @query("select page_id, sha256(lower(trim(url))) as url_hash from pages qualify row_number() over (partition by sha256(lower(trim(url))) order by page_id) = 1")

@@ -8,7 +8,7 @@ import pandas as pd
 import pytest
 
 from lodestone.functions import text
-from lodestone.operators import anomaly, graph, indicators, merge, reads
+from lodestone.operators import anomaly, forest, graph, indicators, merge, reads
 from lodestone.plans import catalogue as queries
 
 SF = "/root/testdata/sf0.001"
@@ -45,8 +45,37 @@ def test_same_rows_as_sql(spark, db, name):
 def test_forest_finds_the_far_point():
     rng = np.random.default_rng(0)
     x = np.concatenate([rng.normal(size=(300, 3)), [[9.0, 9.0, 9.0]]])
-    s = anomaly.forest_scores(x, 100, 42)
-    assert s.argmax() == 300 and (s == anomaly.forest_scores(x, 100, 42)).all()
+    names = [str(i) for i in range(301)]
+    grown = forest.grown("s", names, x, 100)
+    s = forest.scores(x, *grown, 100, 256)
+    assert s.argmax() == 300 and (s == forest.scores(x, *forest.grown("s", names, x, 100), 100, 256)).all()
+
+
+def test_forest_scores_are_mean_paths_and_do_not_depend_on_pieces(spark, monkeypatch):
+    import datetime
+
+    rng = np.random.default_rng(1)
+    day = datetime.date(2000, 1, 1)
+    rows = [(s, day + datetime.timedelta(days=i), *map(float, rng.normal(size=5))) for s, n in (("a", 400), ("b", 90), ("c", 10)) for i in range(n)]
+    rows += [("flat", day + datetime.timedelta(days=i), 1.0, 1.0, 1.0, 1.0, 1.0) for i in range(70)]
+    names = [f"f{k}" for k in range(5)]
+    df = spark.createDataFrame(rows, "symbol string, session date, " + ", ".join(f"{n} double" for n in names)).repartition(3)
+    score = lambda: {(r["symbol"], r["session"]): r["score"] for r in forest.scored(df, names, 20, 60).collect()}
+    whole = score()
+    assert len(whole) == 560 and {s for s, _ in whole} == {"a", "b", "flat"}
+    monkeypatch.setattr(forest, "PIECE", 37)
+    assert score() == whole
+    own = [r for r in rows if r[0] == "b"]
+    axis, cut, count = forest.grown("b", [str(r[1]) for r in own], np.array([r[2:] for r in own]), 20)
+    wide = len(axis) // 20
+    for r in own[:10]:
+        paths = []
+        for t in range(20):
+            node, steps = 1, 0
+            while axis[t * wide + node] >= 0:
+                node, steps = 2 * node + (r[2 + axis[t * wide + node]] >= cut[t * wide + node]), steps + 1
+            paths.append(steps + float(forest.depth(count[t * wide + node])))
+        assert abs(whole["b", r[1]] - 2 ** (-np.mean(paths) / float(forest.depth(90)))) < 1e-8
 
 
 def test_flat_series_has_no_z(spark):
