@@ -48,9 +48,11 @@ def with_tags(df: DataFrame, column: str, tags: list[str], match_all: bool = Fal
     return df.where(F.size(F.array_except(wanted, column)) == 0 if match_all else F.arrays_overlap(column, wanted))
 
 
-def listing_search(df: DataFrame, text: str, limit: int) -> DataFrame:
-    """Rows whose symbol or name holds ``text``: exact symbols first, then prefixes, then short ones, then by symbol."""
+def listing_search(df: DataFrame, text: str, limit: int, active_only: bool = False) -> DataFrame:
+    """Rows whose symbol or name holds ``text``: exact symbols first, then prefixes, then short ones, then by symbol.
+    ``active_only``: those that are active (is_active)."""
     t = text.strip()
+    df = df.where("is_active") if active_only else df
     hit = F.upper("symbol").contains(t.upper()) | F.upper("name").contains(t.upper())
     order = [(F.upper("symbol") != t.upper()).cast("int"), (~F.upper("symbol").startswith(t.upper())).cast("int"), F.length("symbol"), F.col("symbol"), F.col("name")]
     return df.where(hit).orderBy(*order).limit(limit)
@@ -207,15 +209,17 @@ def flag(df: DataFrame, members: DataFrame, key: str, name: str) -> DataFrame:
     return df.join(members.select(key, F.lit(True).alias(name)).distinct(), key, "left").withColumn(name, F.coalesce(name, F.lit(False)))
 
 
-def breadth(quotes: DataFrame) -> DataFrame:
-    """One row: how many advance, decline and stay, the mean return, and what the market is called then.
+def breadth(quotes: DataFrame, anomalies: DataFrame | None = None) -> DataFrame:
+    """One row: how many advance, decline and stay, the mean return, and what the market is called then; with the number of
+    ``anomalies``, if given.
 
     ``up``: six in ten of those that move advance; ``down``: four in ten or fewer; else ``mixed``; ``flat`` if none moves.
     """
     r = F.col("daily_return")
     counts = quotes.agg(F.count_if(r > 0).alias("advancers"), F.count_if(r < 0).alias("decliners"), F.count_if(r == 0).alias("unchanged"), F.round(F.avg(r), 6).alias("average_return"))
     share = F.try_divide(F.col("advancers"), F.col("advancers") + F.col("decliners"))
-    return counts.withColumn("regime", F.when(share.isNull(), "flat").when(share >= 0.6, "up").when(share <= 0.4, "down").otherwise("mixed"))
+    told = counts.withColumn("regime", F.when(share.isNull(), "flat").when(share >= 0.6, "up").when(share <= 0.4, "down").otherwise("mixed"))
+    return told if anomalies is None else told.join(F.broadcast(anomalies.agg(F.count(F.lit(1)).alias("anomalies"))))  # one row each
 
 
 def next_position(items: DataFrame, lists: DataFrame, key: str) -> DataFrame:

@@ -209,6 +209,19 @@ def market_breadth(spark: SparkSession, d: str) -> DataFrame:
     return reads.breadth(r)
 
 
+@query(f"with {LISTINGS} select symbol, name from listings where is_active and (contains(symbol, 'S1') or contains(upper(name), 'S1')) order by (symbol <> 'S1')::int, (not starts_with(symbol, 'S1'))::int, length(symbol), symbol, name limit 10")
+def active_listing_search(spark: SparkSession, d: str) -> DataFrame:
+    return reads.listing_search(listings(spark, d), "s1 ", 10, active_only=True).select("symbol", "name")
+
+
+@query(f"""with {BARS}, {RETURNS}, {ANOMALIES}, r as (select * from rets where session = date '1996-07-01'), c as (select count(*) filter (where daily_return > 0) as advancers, count(*) filter (where daily_return < 0) as decliners, count(*) filter (where daily_return = 0) as unchanged, round(avg(daily_return), 6) as average_return from r)
+ select *, case when advancers + decliners = 0 then 'flat' when advancers / (advancers + decliners) >= 0.6 then 'up' when advancers / (advancers + decliners) <= 0.4 then 'down' else 'mixed' end as regime, (select count(*) from anomalies where session = date '1996-07-01') as anomalies from c""")
+def market_day(spark: SparkSession, d: str) -> DataFrame:
+    """The market on a day, with the number of findings."""
+    on = F.col("session") == F.lit("1996-07-01").cast("date")
+    return reads.breadth(indicators.returns(bars(spark, d)).where(on), anomalies(spark, d).where(on))
+
+
 @query("with l as (select distinct c_custkey as list from customer), i as (select o_custkey as list, row_number() over (partition by o_custkey order by o_orderkey, o_totalprice) - 1 as position from orders) select l.list, coalesce(max(position) + 1, 0) as next_position from l left join i using (list) group by l.list")
 def next_position(spark: SparkSession, d: str) -> DataFrame:
     nth = F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderkey", "o_totalprice")) - 1
@@ -216,9 +229,9 @@ def next_position(spark: SparkSession, d: str) -> DataFrame:
     return reads.next_position(items, table(spark, d, "customer").select(F.col("c_custkey").alias("list")).distinct(), "list")
 
 
-@query("with l as (select o_custkey as user, o_orderpriority as name, min(o_orderdate) as created_at from orders where o_custkey < 300 group by all), f as (select *, row_number() over (partition by user order by created_at, name) = 1 as is_default from l) select user, name, row_number() over (partition by user order by (not is_default)::int, name) as place from f")
+@query("with l as (select o_custkey as user, o_orderpriority as name, min(o_orderdate) as created_at from orders group by all), f as (select *, row_number() over (partition by user order by created_at, name) = 1 as is_default from l) select user, name, row_number() over (partition by user order by (not is_default)::int, name) as place from f")
 def watchlist_order(spark: SparkSession, d: str) -> DataFrame:
-    lists = table(spark, d, "orders").where("o_custkey < 300").groupBy(F.col("o_custkey").alias("user"), F.col("o_orderpriority").alias("name")).agg(F.min("o_orderdate").alias("created_at"))
+    lists = table(spark, d, "orders").groupBy(F.col("o_custkey").alias("user"), F.col("o_orderpriority").alias("name")).agg(F.min("o_orderdate").alias("created_at"))
     return portfolio.ordered(portfolio.with_default(lists)).select("user", "name", "place")
 
 
