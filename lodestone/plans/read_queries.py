@@ -209,9 +209,9 @@ def market_breadth(spark: SparkSession, d: str) -> DataFrame:
     return reads.breadth(r)
 
 
-@query(f"with {LISTINGS} select symbol, name from listings where is_active and (contains(symbol, 'S1') or contains(upper(name), 'S1')) order by (symbol <> 'S1')::int, (not starts_with(symbol, 'S1'))::int, length(symbol), symbol, name limit 10")
+@query(f"with {LISTINGS} select symbol, name from listings where is_active and (contains(symbol, 'S0000') or contains(upper(name), 'S0000')) order by (symbol <> 'S0000')::int, (not starts_with(symbol, 'S0000'))::int, length(symbol), symbol, name limit 10")
 def active_listing_search(spark: SparkSession, d: str) -> DataFrame:
-    return reads.listing_search(listings(spark, d), "s1 ", 10, active_only=True).select("symbol", "name")
+    return reads.listing_search(listings(spark, d), "s0000 ", 10, active_only=True).select("symbol", "name")
 
 
 @query(f"""with {BARS}, {RETURNS}, {ANOMALIES}, r as (select * from rets where session = date '1996-07-01'), c as (select count(*) filter (where daily_return > 0) as advancers, count(*) filter (where daily_return < 0) as decliners, count(*) filter (where daily_return = 0) as unchanged, round(avg(daily_return), 6) as average_return from r)
