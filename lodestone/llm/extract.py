@@ -32,8 +32,10 @@ HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.IGNORECASE
 ROLES = frozenset("alert alertdialog banner complementary contentinfo dialog form menu menubar navigation search status toolbar".split())
 #: Whole names in class or id that stand for an element HTML has, or for an advert, a notice or reader comments.
 NAMES = frozenset("ad ads advert advertisement aside banner breadcrumbs comments cookie-banner cookie-notice footer header menu nav navbar navigation newsletter notice sidebar site-footer site-header sponsored".split())
-#: Parts of such names (``top-menu``) that tell as much, but for names of what has or has not such a thing (``has-sidebar``).
+#: What a name of several parts may be of (``top-menu``, ``comment-list``): its last part, or the one before a word for a container.
+#: Names of what has or has not such a thing (``has-sidebar``) are others.
 PARTS = frozenset("ad ads advert advertisement breadcrumb breadcrumbs comment comments cookie cookies menu nav navbar navigation newsletter notice sidebar sponsored".split())
+CONTAINERS = frozenset("area banner bar block body box container form item items links list panel section slot thread unit widget wrap wrapper".split())
 WRAPPER = re.compile(r"(?:has|no|with|without|is)[-_]")
 COMMENT = frozenset("comment comments reply replies".split())
 #: Words of a line in a ``menu`` inside an article that is not of links: it is prose, say about food.
@@ -56,8 +58,14 @@ def marked(name: str, text: str) -> bool | str:
         return True
     if not NAMES.isdisjoint(names):
         return "menu" if "menu" in names else "name"
-    parts = {p for n in names if not WRAPPER.match(n) for p in re.split("[-_]+", n)} & PARTS
-    return "menu" if "menu" in parts else "name" if parts else False
+    heads = {head(n) for n in names if not WRAPPER.match(n)} & PARTS
+    return "menu" if "menu" in heads else "name" if heads else False
+
+
+def head(name: str) -> str:
+    """What a name of parts is of."""
+    parts = re.split("[-_]+", name)
+    return parts[-2] if len(parts) > 1 and parts[-1] in CONTAINERS else parts[-1]
 
 
 class Scanner:
