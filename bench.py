@@ -11,7 +11,7 @@ from pyspark.sql import SparkSession
 from lodestone.plans.catalogue import QUERIES
 
 HEADLINE = """bars_weekly recent_bars returns moving_averages bollinger_bands volatility_and_volume recursive_indicators feature_rows zscore_anomalies
- detection_run trading_calendar lexicon_sentiment entity_mentions keyword_topk vector_topk hybrid_rrf news_correlation graph_reachable graph_impact
+ detection_run trading_calendar lexicon_sentiment entity_mentions keyword_terms keyword_topk vector_topk hybrid_rrf news_correlation graph_reachable graph_impact
  position_values upsert_merge stream_tumbling""".split()
 #: A second run of these is timed too: code is compiled and Python workers are there.
 AGAIN = ["returns", "zscore_anomalies", "keyword_topk", "news_correlation", "graph_reachable", "position_values"]
