@@ -2,10 +2,19 @@
 
 from __future__ import annotations
 
+import functools
+import re
+from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType
 
 from lodestone.sources.shared import kept
 
@@ -15,16 +24,21 @@ TERM = "[a-z0-9]+"
 LITERAL = 500
 #: Scores are rounded to six places, so a block is left out only if its bound is under the last score by more.
 SLACK = 2e-6
-#: Files that a bucket of one segment is split into, by block, so that no task writes all of a common term.
-SPLIT = 4
+#: Files that a bucket of one segment is split into, by block, so that no task writes all of a common term: at the least,
+#: and one more for so many blocks.
+SPLIT, SPLIT_BLOCKS = 4, 256
+#: Terms, repeats included, that a block has at the most (a longer document is a block of its own), and blocks to a task.
+TOKENS, TASK = 1 << 20, 4
+#: Of more than LITERAL terms: questions that meet so many blocks in a task, and cells (questions by documents) at a time.
+CHUNK, PIECE, CELLS = 1 << 16, 32, 1 << 21
 
 
 @dataclass(frozen=True)
 class Index:
     """An index at ``path``: ``buckets`` of terms, blocks of about ``block`` documents. Each segment writes new files.
 
-    * ``postings`` (segment, bucket; term, block, n, most, entries): a term's documents in a block (key, tf), how many
-      they are, and the largest tf; sorted by term, so that row groups of a file hold a few terms.
+    * ``postings`` (segment, bucket; term, block, n, most, total, entries): a term's documents in a block (key, tf), how
+      many they are, the largest tf and their sum; sorted by term, so that row groups of a file hold a few terms.
     * ``docs`` (segment; key, block, terms): what a segment holds.
     * ``gone`` (by; segment, key, block): what segment ``by`` has replaced or deleted of those before it.
     """
@@ -37,7 +51,7 @@ class Index:
         return F.pmod(F.xxhash64(term), F.lit(self.buckets)).cast("int")
 
     def postings(self, spark: SparkSession) -> DataFrame:
-        return spark.read.schema("term string, block long, n int, most int, entries array<struct<key: long, tf: int>>, segment int, bucket int").parquet(f"{self.path}/postings")
+        return spark.read.schema("term string, block long, n int, most int, total long, entries array<struct<key: long, tf: int>>, segment int, bucket int").parquet(f"{self.path}/postings")
 
     def docs(self, spark: SparkSession) -> DataFrame:
         return spark.read.schema("key long, block long, terms int, segment int").parquet(f"{self.path}/docs")
@@ -53,13 +67,28 @@ def terms(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(TERM), F.lit(0))
 
 
-def placed(sized: DataFrame, block: int) -> DataFrame:
-    """``sized`` (key, terms: how many) with its block. Blocks hold documents of like length (quarter octaves of terms),
-    since frequencies grow with it: the largest of a block is then near those of all its documents, and a bound that is
-    made of it near their scores. Within a class a hash deals documents out."""
-    octave = F.ceil(4 * F.log2(F.col("terms") + 1)).cast("long")
-    classes = sized.groupBy(octave.alias("octave")).agg(F.ceil(F.count(F.lit(1)) / block).alias("blocks"))  # some hundred rows at most
-    met = sized.withColumn("octave", octave).join(F.broadcast(classes), "octave")
+@F.arrow_udf(IntegerType())
+def counted(low: pa.Array) -> pa.Array:
+    """How many terms each text has; Arrow's expressions take a tenth of the time of Java's."""
+    return pc.count_substring_regex(low, TERM).cast(pa.int32())
+
+
+def classed(sized: DataFrame, block: int) -> tuple[DataFrame, int]:
+    """(octave, blocks): how many blocks each class of ``sized`` (key, terms: how many) has, and their sum; a row a class, some
+    hundred at most. Blocks hold documents of like length (quarter octaves of terms), since frequencies grow with it: the
+    largest of a block is then near those of all its documents, and a bound that is made of it near their scores."""
+    blocks = F.ceil(F.greatest(F.count(F.lit(1)) / block, F.sum("terms") / TOKENS))
+    rows = sized.groupBy(octave().alias("octave")).agg(blocks.alias("blocks")).collect()
+    return sized.sparkSession.createDataFrame(rows, "octave long, blocks long"), sum(r["blocks"] for r in rows)
+
+
+def octave() -> Column:
+    return F.ceil(4 * F.log2(F.col("terms") + 1)).cast("long")
+
+
+def placed(sized: DataFrame, classes: DataFrame) -> DataFrame:
+    """``sized`` (key, terms) with its block: within a class a hash deals documents out."""
+    met = sized.withColumn("octave", octave()).join(F.broadcast(classes), "octave")
     return met.withColumn("block", F.shiftleft("octave", 40) + F.pmod(F.xxhash64("key"), "blocks")).drop("octave", "blocks")
 
 
@@ -83,28 +112,72 @@ def update(index: Index, docs: DataFrame, key: str, text: str, deleted: DataFram
 
 
 def add(index: Index, docs: DataFrame, key: str, text: str, number: int) -> None:
-    each = kept(docs.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("key"), terms(F.col(text)).alias("all")), "terms")
-    found = kept(placed(each.groupBy("key").agg(F.sum(F.size("all")).cast("int").alias("terms")), index.block), "placed")
-    counts = each.select("key", F.explode("all").alias("term")).groupBy("key", "term").agg(F.count(F.lit(1)).cast("int").alias("tf"))
-    lay(index, counts.join(found.select("key", "block"), "key"), number)
+    """Terms are counted first, so that each text travels once, to its block, and the block's postings once more."""
+    each = docs.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("key"), F.lower(F.coalesce(text, F.lit(""))).alias("low"))
+    rows = kept(each.select("key", counted("low").alias("terms")), "sizes")
+    sizes = kept(rows.groupBy("key").agg(F.sum("terms").cast("int").alias("terms"), F.count(F.lit(1)).alias("rows")), "terms")
+    classes, blocks = classed(sizes, index.block)
+    found = placed(sizes.drop("rows"), classes)
     found.select("key", "block", "terms").write.mode("overwrite").parquet(f"{index.path}/docs/segment={number}")
-
-
-def lay(index: Index, counts: DataFrame, number: int) -> None:
-    """Writes the postings of (key, term, tf, block)."""
-    rows = counts.groupBy("term", "block").agg(F.count(F.lit(1)).cast("int").alias("n"), F.max("tf").alias("most"), F.sort_array(F.collect_list(F.struct("key", "tf"))).alias("entries"))
-    laid = rows.withColumn("bucket", index.bucket(F.col("term"))).repartition(index.buckets, "bucket", F.pmod("block", F.lit(SPLIT)))
-    laid.sortWithinPartitions("bucket", "term", "block").write.mode("overwrite").partitionBy("bucket").parquet(f"{index.path}/postings/segment={number}")
+    several = sizes.where("rows > 1").select("key", F.col("terms").alias("all"))
+    own = each.withColumn("terms", counted("low"))
+    if not several.isEmpty():  # rows of one key go to the block of all its terms
+        own = own.join(several, "key", "left").withColumn("terms", F.coalesce("all", "terms")).drop("all")
+    tasks = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), blocks // TASK)
+    laid = placed(own, classes).select("block", "key", "low").repartition(tasks, "block").sortWithinPartitions("block", "key")
+    lay(index, laid.mapInArrow(inverted, POSTING), number, blocks)
+
+
+POSTING = "term string, block long, n int, most int, total long, key array<long>, tf array<int>"
+
+
+def inverted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The postings of rows (block, key, low) that are sorted so, a block at a time."""
+    block, keys, counts = None, [], []
+
+    def done() -> Iterator[pa.RecordBatch]:
+        code, words = pd.factorize(np.array([w for c in counts for w in c], dtype=object))
+        if len(words):
+            tf = np.array([n for c in counts for n in c.values()])
+            order = np.argsort(code, kind="stable")  # by term; documents stay as they come, by key
+            n = np.bincount(code)
+            at = np.concatenate([[0], np.cumsum(n)]).astype(np.int32)
+            key, tf = np.repeat(np.array(keys), list(map(len, counts)))[order], tf[order]
+            lists = [pa.ListArray.from_arrays(pa.array(at), pa.array(x, t)) for x, t in ((key, pa.int64()), (tf, pa.int32()))]
+            own = [pa.array(words, pa.string()), pa.array(np.full(len(n), block)), pa.array(n, pa.int32()), pa.array(np.maximum.reduceat(tf, at[:-1]), pa.int32()), pa.array(np.add.reduceat(tf, at[:-1]), pa.int64()), *lists]
+            whole = pa.RecordBatch.from_arrays(own, names=["term", "block", "n", "most", "total", "key", "tf"])
+            yield from (whole.slice(i, 10_000) for i in range(0, len(whole), 10_000))
+
+    for batch in batches:
+        for b, k, low in zip(*[batch[c].to_pylist() for c in ("block", "key", "low")], strict=True):
+            if b != block:
+                yield from done()
+                block, keys, counts = b, [], []
+            if not keys or keys[-1] != k:
+                keys.append(k)
+                counts.append(Counter())
+            counts[-1].update(re.findall(TERM, low))
+    yield from done()
+
+
+def lay(index: Index, rows: DataFrame, number: int, blocks: int) -> None:
+    """Writes the postings ``rows`` (POSTING) of so many ``blocks``."""
+    split = max(SPLIT, blocks // SPLIT_BLOCKS)
+    laid = rows.withColumn("bucket", index.bucket(F.col("term"))).repartition(min(index.buckets * split, max(index.buckets, blocks)), "bucket", F.pmod("block", F.lit(split))).sortWithinPartitions("bucket", "term", "block")
+    laid = laid.select("term", "block", "n", "most", "total", F.arrays_zip("key", "tf").alias("entries"), "bucket")
+    laid.write.mode("overwrite").partitionBy("bucket").parquet(f"{index.path}/postings/segment={number}")
 
 
 def compact(index: Index, spark: SparkSession, to: Index) -> None:
     """The index's live documents as one segment at another path, made from postings: no text is read again."""
     live = kept(index.live(spark), "live")
-    found = kept(placed(live.select("key", "terms"), to.block), "placed")
+    classes, blocks = classed(live, to.block)
+    found = kept(placed(live.select("key", "terms"), classes), "placed")
     each = index.postings(spark).select("segment", "term", F.explode("entries").alias("e")).select("segment", "term", "e.*")
     counts = each.join(live.select("segment", "key"), ["segment", "key"], "left_semi").join(found.select("key", "block"), "key")
     spark.createDataFrame([], "segment int, key long, block long").write.mode("overwrite").parquet(f"{to.path}/gone/by=0")
-    lay(to, counts.select("key", "term", "tf", "block"), 0)
+    rows = counts.groupBy("term", "block").agg(F.sort_array(F.collect_list(F.struct("key", "tf"))).alias("e"), F.max("tf").alias("most"), F.sum("tf").alias("total"))
+    lay(to, rows.select("term", "block", F.size("e").alias("n"), "most", "total", F.col("e.key").alias("key"), F.col("e.tf").alias("tf")), 0, blocks)
     found.select("key", "block", "terms").write.mode("overwrite").parquet(f"{to.path}/docs/segment=0")
 
 
@@ -116,6 +189,8 @@ class Asked:
     frequencies. Blocks of the largest bounds are scored until they hold ``k`` documents; of the others only those
     are that may still reach the k-th score. The scan takes the buckets of the terms, of which there are a fixed number,
     as partitions, and up to LITERAL terms as values for its row groups.
+
+    Of more terms, questions times blocks are too many for rows: ``sweep`` brings questions to the postings instead.
     """
 
     def __init__(self, index: Index, questions: DataFrame):
@@ -125,7 +200,8 @@ class Asked:
         distinct = self.words.select("term", "bucket").distinct()
         some = index.postings(spark).where(F.col("bucket").isin([r[0] for r in distinct.select("bucket").distinct().collect()]))
         few = [r[0] for r in distinct.select("term").limit(LITERAL + 1).collect()]
-        self.postings = some.where(F.col("term").isin(few)) if len(few) <= LITERAL else some.join(distinct.select("term"), "term", "left_semi")
+        self.index, self.many = index, len(few) > LITERAL
+        self.postings = some.join(distinct.select("term"), "term", "left_semi") if self.many else some.where(F.col("term").isin(few))
         self.gone = index.gone(spark)
         self.changed = not self.gone.isEmpty()
         counts = self.postings.groupBy("term").agg(F.sum("n").alias("df"))
@@ -136,9 +212,14 @@ class Asked:
             less = lost.groupBy("term").agg(F.count(F.lit(1)).alias("less"))
             counts = counts.join(less, "term", "left").select("term", (F.col("df") - F.coalesce("less", F.lit(0))).alias("df"))
         idf = F.log(1 + F.lit(total) / F.col("df"))
-        self.weights = kept(self.words.drop("bucket").join(counts.where("df > 0"), "term").select("query_id", "term", idf.alias("idf")), "weights")
+        self.counts = kept(counts.where("df > 0").select("term", idf.alias("idf"), F.monotonically_increasing_id().alias("tid")), "counts")
+        self.weights = kept(self.words.drop("bucket").join(self.counts, "term").select("query_id", "term", "tid", "idf"), "weights")
+
+    @functools.cached_property
+    def bounds(self) -> DataFrame:
         bound = F.sum((1 + F.log("most")) * F.col("idf"))
-        self.bounds = kept(self.postings.select("segment", "block", "term", "n", "most").join(self.weights, "term").groupBy("query_id", "segment", "block").agg(bound.alias("bound"), F.max("n").alias("n")), "bounds")
+        met = self.postings.select("segment", "block", "term", "n", "most").join(self.weights, "term")
+        return kept(met.groupBy("query_id", "segment", "block").agg(bound.alias("bound"), F.max("n").alias("n")), "bounds")
 
     def entries(self, blocks: DataFrame, on: list[str]) -> DataFrame:
         return self.postings.join(blocks, on).select(*blocks.columns, *[c for c in ("segment", "term") if c not in blocks.columns], F.explode("entries").alias("e")).select("*", "e.key", "e.tf").drop("e")
@@ -159,6 +240,8 @@ class Asked:
 
     def top(self, k: int, allowed: DataFrame | None = None) -> DataFrame:
         """(query_id, key, score, rank): the ``k`` best of each question, ties by key; exact, whatever is pruned."""
+        if self.many:
+            return self.sweep(k, allowed)
         marked = self.first(k)
         best = kept(ranked(self.scores(marked.where("seed"), allowed), k), "best")
         rest = self.open(marked, best, k)
@@ -170,6 +253,134 @@ class Asked:
         return marked.where("not seed").join(last, "query_id", "left").where(F.col("last").isNull() | (F.col("bound") >= F.col("last") - SLACK))
 
 
+    def sweep(self, k: int, allowed: DataFrame | None = None) -> DataFrame:
+        """The same as ``top`` in one pass. Postings are dealt in pieces of PIECE blocks, and each piece gets the questions, CHUNK at
+        the most; a task holds these and one block, and gives the ``k`` best of its piece. Questions of the same terms are one."""
+        asks = self.weights.groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct("tid", "idf"))).alias("ask"))
+        asks = kept(asks.withColumn("asked", F.min("query_id").over(Window.partitionBy("ask"))), "asks")
+        docs = self.index.docs(self.spark)
+        pieces = max(1, docs.select("segment", "block").distinct().count() // PIECE)
+        chunks = max(1, -(-asks.where("query_id = asked").count() // CHUNK))
+        every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+        dealt = lambda n, *c: F.pmod(F.xxhash64(*c), F.lit(n)).cast("int")
+        none = lambda t: F.array().cast(f"array<{t}>")
+        one = asks.where("query_id = asked").select("query_id", F.col("ask.tid").alias("keys"), none("int").alias("tfs"), F.col("ask.idf").alias("idfs"), dealt(chunks, "query_id").alias("chunk"))
+        rows = one.select("chunk", every(pieces).alias("piece"), F.lit(0).alias("side"), F.lit(0).alias("segment"), F.lit(0).cast("long").alias("block"), F.col("query_id").alias("id"), "keys", "tfs", "idfs")
+        held = self.postings.join(self.counts.select("term", "tid"), "term")
+        rows = rows.unionByName(held.select(every(chunks).alias("chunk"), dealt(pieces, "segment", "block").alias("piece"), F.lit(2).alias("side"), "segment", "block", F.col("tid").alias("id"), F.col("entries.key").alias("keys"), F.col("entries.tf").alias("tfs"), none("double").alias("idfs")))
+        barred = self.gone.select("segment", "block", "key") if self.changed else None
+        if allowed is not None:
+            other = docs.join(allowed.select("key"), "key", "left_anti").select("segment", "block", "key")
+            barred = other if barred is None else barred.unionByName(other)
+        if barred is not None:
+            lists = barred.groupBy("segment", "block").agg(F.collect_list("key").alias("keys"))
+            rows = rows.unionByName(lists.select(every(chunks).alias("chunk"), dealt(pieces, "segment", "block").alias("piece"), F.lit(1).alias("side"), "segment", "block", F.lit(0).cast("long").alias("id"), "keys", none("int").alias("tfs"), none("double").alias("idfs")))
+        group = rows.repartition(chunks * pieces, "chunk", "piece").sortWithinPartitions("chunk", "piece", F.col("side") > 0, F.desc("block"), "segment", "side", "id")
+        found = ranked(group.mapInArrow(lambda bs: swept(bs, k), "query_id long, key long, score double"), k)
+        return found.withColumnRenamed("query_id", "asked").join(asks.select("query_id", "asked"), "asked").select("query_id", "key", "score", "rank")
+
+
+def swept(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
+    """The ``k`` best of each question in rows (chunk, piece, side, segment, block, id, keys, tfs, idfs) that are sorted so: a piece's
+    questions (their terms and weights), then block by block the documents that don't count and the postings by term."""
+    piece, best = None, None
+    for at, part in runs(batches, ["chunk", "piece", "segment", "block", "side"]):
+        if at[:2] != piece:
+            if best is not None:
+                yield from best.rows()
+            piece, best, out = at[:2], None, None
+        if at[4] == 0:
+            best = Best(part, k)
+        elif at[4] == 1:
+            out = at[2:4], flat(part, "keys")[0]
+        elif best is not None:
+            best.block(part, out[1] if out is not None and out[0] == at[2:4] else None)
+    if best is not None:
+        yield from best.rows()
+
+
+def runs(batches: Iterator[pa.RecordBatch], columns: list[str]) -> Iterator[tuple[tuple, pa.Table]]:
+    """Rows of one value of ``columns``, which stand together."""
+    at, parts = None, []
+    for batch in batches:
+        if not len(batch):
+            continue
+        values = np.stack([batch[c].to_numpy() for c in columns])
+        cuts = [0, *(np.nonzero((values[:, 1:] != values[:, :-1]).any(axis=0))[0] + 1).tolist(), len(batch)]
+        for a, b in zip(cuts, cuts[1:], strict=False):
+            own = tuple(values[:, a].tolist())
+            if own != at and parts:
+                yield at, pa.Table.from_batches(parts)
+                parts = []
+            at = own
+            parts.append(batch.slice(a, b - a))
+    if parts:
+        yield at, pa.Table.from_batches(parts)
+
+
+def flat(part: pa.Table, column: str) -> tuple[np.ndarray, np.ndarray]:
+    """The values of a list column in a row, and how many each list has."""
+    chunks = part[column].chunks
+    return np.concatenate([c.flatten().to_numpy() for c in chunks]), np.concatenate([pc.list_value_length(c).to_numpy() for c in chunks])
+
+
+class Best:
+    """The best documents so far of questions (id, keys: terms, idfs)."""
+
+    def __init__(self, part: pa.Table, k: int):
+        self.ids = part["id"].to_numpy()
+        self.term, n = flat(part, "keys")
+        self.idf, self.owner = flat(part, "idfs")[0], np.repeat(np.arange(len(n)), n)
+        self.k, self.last = k, np.zeros(len(n))  # the k-th score
+        self.question, self.score, self.key = np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64)
+
+    def block(self, part: pa.Table, barred: np.ndarray | None) -> None:
+        """Scores a block (id: term, keys, tfs) for those questions that it may hold a document for."""
+        terms, (key, n), tf = part["id"].to_numpy(), flat(part, "keys"), flat(part, "tfs")[0]
+        value, start = 1 + np.log(tf), np.cumsum(n) - n
+        most = np.maximum.reduceat(value, start)
+        at = np.minimum(np.searchsorted(terms, self.term), len(terms) - 1)
+        there = terms[at] == self.term
+        bound = np.bincount(self.owner[there], self.idf[there] * most[at[there]], len(self.ids))
+        pair = np.nonzero(there & (bound >= self.last - SLACK)[self.owner])[0]
+        if not len(pair):
+            return
+        docs, doc = np.unique(key, return_inverse=True)
+        counts = np.ones(len(docs), bool) if barred is None else ~np.isin(docs, barred)
+        live, row = np.unique(self.owner[pair], return_inverse=True)
+        step = max(1, CELLS // len(docs))
+        cuts = np.searchsorted(row, np.arange(0, len(live) + step, step))
+        for i, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)):
+            own = at[pair[a:b]]
+            size, ends = n[own], np.cumsum(n[own])
+            entry = np.repeat(start[own] - (ends - size), size) + np.arange(ends[-1])
+            who = live[i * step : (i + 1) * step]
+            cell = np.repeat((row[a:b] - i * step) * len(docs), size) + doc[entry]
+            score = np.bincount(cell, np.repeat(self.idf[pair[a:b]], size) * value[entry], len(who) * len(docs)).reshape(len(who), len(docs))
+            score[:, ~counts] = 0
+            least = self.last[who]
+            if len(docs) > self.k:
+                fresh = np.nonzero(least == 0)[0]
+                least[fresh] = np.partition(score[fresh], len(docs) - self.k, axis=1)[:, len(docs) - self.k]
+            q, d = np.nonzero((score > 0) & (score >= least[:, None] - SLACK))
+            self.merge(who[q], np.round(score[q, d], 6), docs[d])
+
+    def merge(self, question: np.ndarray, score: np.ndarray, key: np.ndarray) -> None:
+        question, score, key = np.concatenate([self.question, question]), np.concatenate([self.score, score]), np.concatenate([self.key, key])
+        order = np.lexsort((key, -score, question))
+        question, score, key = question[order], score[order], key[order]
+        rank = np.arange(len(question)) - np.searchsorted(question, question)
+        full = rank == self.k - 1
+        self.last[question[full]] = score[full]
+        on = rank < self.k
+        self.question, self.score, self.key = question[on], score[on], key[on]
+
+    def rows(self) -> Iterator[pa.RecordBatch]:
+        for i in range(0, len(self.key), 100_000):
+            s = slice(i, i + 100_000)
+            yield pa.RecordBatch.from_arrays([pa.array(self.ids[self.question[s]]), pa.array(self.key[s]), pa.array(self.score[s])], names=["query_id", "key", "score"])
+
+
 def ranked(scored: DataFrame, k: int) -> DataFrame:
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "key")
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)

@@ -166,7 +166,7 @@ def asking(spark: SparkSession, *questions: list[str]) -> DataFrame:
 def keyword_terms(spark: SparkSession, d: str) -> DataFrame:
     """The index's vocabulary, from its postings."""
     rows = document_index(spark, d).postings(spark)
-    return rows.groupBy("term").agg(F.sum("n").alias("df"), F.sum(F.aggregate("entries", F.lit(0).cast("long"), lambda a, e: a + e["tf"])).alias("occurrences"))
+    return rows.groupBy("term").agg(F.sum("n").alias("df"), F.sum("total").alias("occurrences"))
 
 
 @query(f"with {SCORED} select doc_id, score from scored order by score desc, doc_id limit 20")

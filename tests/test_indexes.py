@@ -80,6 +80,42 @@ def test_keyword_index_segments(spark, docs, tmp_path):
     assert found(none, spark, asked, 3) == [[], [], []]
 
 
+def test_keyword_index_moves_texts_once(spark, docs, tmp_path, monkeypatch):
+    """Terms are made where a block's texts are, and not stored before; rows of one key are one document of all their terms."""
+    saved = []
+    monkeypatch.setattr(keyword_index, "kept", lambda df, name, real=keyword_index.kept: (saved.append(df.schema.simpleString()), real(df, name))[1])
+    index = keyword_index.Index(f"{tmp_path}/i", buckets=8, block=16)
+    twice = frame(spark, docs).union(frame(spark, {3: "again w1 " * 70, 7: "Again w1"}))
+    keyword_index.write(index, twice, "id", "text")
+    assert not any("array" in s or "string" in s for s in saved)
+    joined = docs | {3: f"{docs[3]} " + "again w1 " * 70, 7: f"{docs[7]} Again w1"}
+    asked = [["again", "w1"], ["w30", "w1"]]
+    close(found(index, spark, asked, 5), [brute(joined, a, 5) for a in asked])
+    rows = index.postings(spark).groupBy("term").agg(keyword_index.F.sum("n"), keyword_index.F.sum("total")).collect()
+    every = {i: Counter(re.findall("[a-z0-9]+", (t or "").lower())) for i, t in joined.items()}
+    assert {r[0]: tuple(r)[1:] for r in rows} == {w: (sum(w in c for c in every.values()), sum(c[w] for c in every.values())) for c in every.values() for w in c}
+
+
+def test_many_questions_are_swept(spark, docs, tmp_path, monkeypatch):
+    """Beyond LITERAL terms no row is made for a question and a block, and results stay those of brute force."""
+    monkeypatch.setattr(keyword_index, "LITERAL", 3)
+    monkeypatch.setattr(keyword_index, "PIECE", 5)
+    monkeypatch.setattr(keyword_index, "CHUNK", 4)
+    monkeypatch.setattr(keyword_index, "CELLS", 40)
+    monkeypatch.setattr(keyword_index.Asked, "bounds", None)
+    index = keyword_index.Index(f"{tmp_path}/i", buckets=8, block=16)
+    keyword_index.write(index, frame(spark, docs), "id", "text")
+    asked = [["w30", "w1"], ["w0"], ["nothing"], ["w39", "W38", "w39"], ["word"], [], ["w1", "w30"], ["w5", "w6", "w7", "w8"], ["w2"], ["w3", "w9"]]
+    close(found(index, spark, asked, 5), [brute(docs, [w.lower() for w in a], 5) for a in asked])
+    some = [i for i in docs if i % 3 == 0]
+    close(found(index, spark, asked, 5, some), [brute(docs, [w.lower() for w in a], 5, set(some)) for a in asked])
+    new = {i: f"{WORDS[i % 40]} fresh " * 3 for i in range(0, 600, 7)}
+    keyword_index.update(index, frame(spark, new), "id", "text", spark.createDataFrame([(1,), (2,)], "id long"))
+    now = {i: t for i, t in docs.items() if i not in (1, 2)} | new
+    close(found(index, spark, asked, 5), [brute(now, [w.lower() for w in a], 5) for a in asked])
+    close(found(index, spark, asked, 5, some), [brute(now, [w.lower() for w in a], 5, set(some)) for a in asked])
+
+
 @pytest.fixture(scope="module")
 def vectors():
     rng = np.random.default_rng(1)
