@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions.text import content_words, mentions, name_tokens
+from lodestone.sources.shared import kept
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -24,6 +25,8 @@ def cosine(a: Column, b: Column) -> Column:
 
 #: Queries that are compared with all vectors in one pass: 4,096 of 64 dimensions are 2 MB.
 BLOCK = 4096
+#: Queries, and rows, that are compared at a time: a task's arrays are a few MB, however many there are.
+TILE = 512
 
 
 def vector_topk(vectors: DataFrame, queries: DataFrame, key: str, column: str, k: int) -> DataFrame:
@@ -55,25 +58,32 @@ def nearest(batches: Iterator[pa.RecordBatch], ids: list[int], queries: list[lis
         by.setdefault(len(q), []).append(i)
     unit = lambda x: x / np.maximum(np.sqrt((x * x).sum(axis=1)), 1e-300)[:, None]
     told = {d: (np.array([ids[i] for i in at]), unit(np.array([queries[i] for i in at], dtype=float).reshape(len(at), d))) for d, at in by.items()}
-    top: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+    top: dict[tuple[int, int], tuple[np.ndarray, np.ndarray]] = {}
     for batch in batches:
         size = pc.fill_null(pc.list_value_length(batch[1]), -1).to_numpy(zero_copy_only=False)
         for d, (_, q) in told.items():
             rows = np.nonzero(size == d)[0]
-            for a in range(0, len(rows), 1024):
-                part = rows[a : a + 1024]
-                x = unit(batch[1].take(pa.array(part)).flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(part), d))
-                score = np.round(np.einsum("qd,nd->qn", q, x), 6) + 0.0
-                key = np.broadcast_to(batch[0].take(pa.array(part)).to_numpy(), score.shape)
-                if d in top:
-                    score, key = np.concatenate([top[d][0], score], axis=1), np.concatenate([top[d][1], key], axis=1)
-                order = np.lexsort((key, -score), axis=1)[:, :k]
-                top[d] = np.take_along_axis(score, order, axis=1), np.take_along_axis(key, order, axis=1)
-    for d, (score, key) in top.items():
-        who = np.repeat(told[d][0], score.shape[1])
+            for a in range(0, len(rows), TILE):
+                part = pa.array(rows[a : a + TILE])
+                x = unit(batch[1].take(part).flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(part), d))
+                key = batch[0].take(part).to_numpy()
+                for i in range(0, len(q), TILE):
+                    top[d, i] = better(top.get((d, i)), q[i : i + TILE], x, key, k)
+    for (d, i), (score, key) in top.items():
+        who = np.repeat(told[d][0][i : i + TILE], score.shape[1])
         yield pa.RecordBatch.from_arrays([pa.array(who, pa.int64()), pa.array(key.ravel(), pa.int64()), pa.array(score.ravel())], names=["query_id", batch.schema.names[0], "similarity"])
 
 
+def better(best: tuple[np.ndarray, np.ndarray] | None, q: np.ndarray, x: np.ndarray, key: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(similarity, key) of each query's ``k`` best among ``best`` and the unit rows ``x``; queries and rows are TILE at the most."""
+    score = np.round(np.einsum("qd,nd->qn", q, x), 6) + 0.0
+    key = np.broadcast_to(key, score.shape)
+    if best is not None:
+        score, key = np.concatenate([best[0], score], axis=1), np.concatenate([best[1], key], axis=1)
+    order = np.lexsort((key, -score), axis=1)[:, :k]
+    return np.take_along_axis(score, order, axis=1), np.take_along_axis(key, order, axis=1)
+
+
 def keyword_scores(docs: DataFrame, key: str, text: str, words: list[str]) -> DataFrame:
     """(key, score): sum of (1 + ln tf) * ln(1 + N / df) over the words; rows without any are left out.
 
@@ -135,6 +145,8 @@ def range_join(left: DataFrame, right: DataFrame, at: str, low: str, high: str)
     return days.join(right.withColumn("__day", F.to_date(at)), "__day").where(F.col(at).between(F.col(low), F.col(high))).drop("__day")
 
 
+#: Events that are alike in these have the same news.
+KINDS = ["close_at", "symbol", "name", "direction"]
 #: Hours before a close and after it in which articles count.
 BEFORE, AFTER = 72, 24
 
@@ -159,17 +171,33 @@ def correlate(events: DataFrame, news: DataFrame, most: int = 40, top: int = 3)
     word of the name, 0.25 recency, 0.20 the sentiment agrees, 0.05 it has tags; articles without the first two and
     without tags go.
 
-    Events that are alike in close, symbol, name and direction are scored once. Names are looked for once in each
-    article, all in one pass; pairs of event and article carry no text, and titles join the three that stay.
+    Events of one kind (KINDS) are scored once, see ``by_kind``.
+    """
+    few = by_kind(events, news, most, top)
+    return events.select("event_id", *KINDS).alias("a").join(few.alias("b"), alike(KINDS)).select("event_id", *[F.col(f"b.{c}") for c in few.columns if c not in KINDS])
+
+
+def alike(columns: list[str]) -> Column:
+    """Rows ``a`` and ``b`` are the same in ``columns``, null or not."""
+    return functools.reduce(Column.__and__, [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in columns])
+
+
+def by_kind(events: DataFrame, news: DataFrame, most: int = 40, top: int = 3) -> DataFrame:
+    """The best news of each kind of events (KINDS), as ``correlate`` tells them.
+
+    Only candidates (40 a close) are read for names, all in one pass; pairs of kind and article carry no text, and titles join
+    the three that stay.
     """
-    kinds = ["close_at", "symbol", "name", "direction"]
+    kinds = KINDS
     asked = events.select(*kinds).distinct()
+    near = kept(candidates(events, news, most), "candidates")
+    news = news.join(near.select("article").distinct(), "article", "left_semi")
     told = F.array_compact(F.concat(F.array(F.lower("symbol")), F.coalesce(name_tokens(F.col("name")), F.array().cast("array<string>"))))
     surfaces = asked.select("symbol", "name").distinct().select(F.explode(told).alias("surface")).distinct()
     said = news.select("article", F.concat("title", F.lit(" "), F.coalesce("summary", F.lit(""))).alias("said"))
     hits = mentions(said, "article", "said", surfaces.select("surface", F.col("surface").alias("entity")), whole=False).groupBy("article").agg(F.collect_set("entity").alias("hits"))
     own = news.select("article", "published_at", F.transform("tickers", lambda t: F.upper(t)).alias("tickers"), (F.size("tags") > 0).alias("tagged"), "label").join(hits, "article", "left")
-    met = asked.withColumn("told", told).join(candidates(events, news, most).join(own, "article"), "close_at")
+    met = asked.withColumn("told", told).join(near.join(own, "article"), "close_at")
     hours = (F.unix_timestamp("close_at") - F.unix_timestamp("published_at")) / 3600
     recency = F.when(hours >= 0, F.greatest(F.lit(0.0), 1 - hours / BEFORE)).otherwise(0.5 * F.greatest(F.lit(0.0), 1 + hours / BEFORE))
     named = F.coalesce(F.arrays_overlap("hits", "told"), F.lit(False))
@@ -180,9 +208,7 @@ def correlate(events: DataFrame, news: DataFrame, most: int = 40, top: int = 3)
     score = F.round(0.20 * one(filed) + 0.30 * one(named) + 0.25 * recency + 0.20 * one(agrees) + 0.05 * one(tagged), 4)
     out = met.where(filed | named | tagged).select(*kinds, "article", score.alias("score"), filed.alias("source_attributed"), named.alias("named_in_text"), agrees.alias("sentiment_agrees"), F.round(hours, 1).alias("hours_before"))
     best = Window.partitionBy(*kinds).orderBy(F.desc("score"), "article")
-    few = out.withColumn("place", F.row_number().over(best)).where(F.col("place") <= top).join(news.select("article", "title"), "article")
-    same = functools.reduce(Column.__and__, [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in kinds])
-    return events.select("event_id", *kinds).alias("a").join(few.alias("b"), same).select("event_id", *[F.col(f"b.{c}") for c in few.columns if c not in kinds])
+    return out.withColumn("place", F.row_number().over(best)).where(F.col("place") <= top).join(news.select("article", "title"), "article")
 
 
 def move(feature: Column, direction: Column, value: Column) -> Column:
@@ -194,16 +220,18 @@ def move(feature: Column, direction: Column, value: Column) -> Column:
 
 def narrative(events: DataFrame, found: DataFrame) -> DataFrame:
     """(event_id, explanation, documents): what may have moved each event (event_id, symbol, session, feature, direction,
-    value), from its news; told differently where none came before the close. Events without news have no row."""
+    value), from its news (of ``correlate``, by event_id; or of ``by_kind``, whose lines are made once a kind); told differently
+    where none came before the close. Events without news have no row."""
+    keys = ["event_id"] if "event_id" in found.columns else KINDS
     filed = F.when(F.col("named_in_text"), "names this company").when(F.col("source_attributed"), "filed under this ticker by the source")
     hours = F.concat(F.format_string("%.0f", F.abs("hours_before")), F.when(F.col("hours_before") >= 0, "h before the close").otherwise("h after the close"))
     marks = F.array_join(F.array_compact(F.array(filed, F.when(F.col("sentiment_agrees"), "sentiment agrees with the move"), hours)), "; ")
     line = F.concat(F.lit("  - "), F.coalesce("title", F.lit("")), F.lit(" ("), marks, F.lit(")"))
-    by = found.groupBy("event_id").agg(F.sort_array(F.collect_list(F.struct("place", line.alias("line"), "article"))).alias("l"), F.bool_or(F.col("hours_before") >= 0).alias("before"))
+    by = found.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("place", line.alias("line"), "article"))).alias("l"), F.bool_or(F.col("hours_before") >= 0).alias("before"))
     head = F.when(F.col("before"), "Possible contributing factors, ranked by relevance:").otherwise(
         "No news published before the close was found in the corpus. The following covered the move afterwards and may describe, but cannot explain, it:"
     )
     end = F.when(F.col("before"), F.array(F.lit("These are correlations in time and topic, not established causes."))).otherwise(F.array().cast("array<string>"))
-    first = F.concat("symbol", F.lit(" "), move(F.col("feature"), F.col("direction"), F.col("value")), F.lit(" on "), F.date_format("session", "yyyy-MM-dd"), F.lit("."))
-    told = events.join(by, "event_id")
-    return told.select("event_id", F.array_join(F.concat(F.array(first, head), F.col("l.line"), end), "\n").alias("explanation"), F.col("l.article").alias("documents"))
+    first = F.concat("a.symbol", F.lit(" "), move(F.col("feature"), F.col("a.direction"), F.col("value")), F.lit(" on "), F.date_format("session", "yyyy-MM-dd"), F.lit("."))
+    told = events.alias("a").join(by.alias("b"), alike(keys))
+    return told.select("a.event_id", F.array_join(F.concat(F.array(first, head), F.col("l.line"), end), "\n").alias("explanation"), F.col("l.article").alias("documents"))

@@ -274,7 +274,7 @@ def news_correlation(spark: SparkSession, d: str) -> DataFrame:
   || chr(10) || l || case when before then chr(10) || 'These are correlations in time and topic, not established causes.' else '' end) as digest from ev join lines using (event_id)""")
 def news_narrative(spark: SparkSession, d: str) -> DataFrame:
     e = events(spark, d)
-    told = search.narrative(e, search.correlate(e, news(spark, d)))
+    told = search.narrative(e, search.by_kind(e, news(spark, d)))
     return told.select("event_id", F.size("documents").alias("documents"), F.sha2("explanation", 256).alias("digest"))
 
 

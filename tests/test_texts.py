@@ -5,7 +5,7 @@ import json
 from pyspark.sql import functions as F
 
 from lodestone.functions import display, tagging
-from lodestone.operators import evidence, graph, portfolio, proposals, reads
+from lodestone.operators import evidence, graph, portfolio, proposals, reads, search
 from lodestone.sources import feeds
 
 
@@ -99,3 +99,17 @@ def test_longer_aliases_are_found_whole(spark):
     d = spark.createDataFrame([("the acme steel works",)], "t string")
     out = tagging.tag(d, "t", {"a": ["acme", "acme steel"]}, {}, {}).first()
     assert list(out["keywords"]) == ["acme steel"]
+
+
+def test_narratives_are_told_once_a_kind(spark):
+    """Events of one kind share the news: lines are made by kind, and explanations are those of each event's own news."""
+    kinds = [("S1", "Ther Co", "up"), ("S2", None, "down")]
+    rows = [(i, *kinds[i % 2], f"1996-01-0{i % 3 + 2}", ["return", "volume"][i % 2], i / 100) for i in range(30)]
+    e = spark.createDataFrame(rows, "event_id long, symbol string, name string, direction string, day string, feature string, value double").withColumn("session", F.to_date("day"))
+    e = e.withColumn("close_at", F.col("session").cast("timestamp_ntz") + F.expr("interval 21 hours")).drop("day")
+    told = [(i, f"1996-01-0{i % 4 + 1} 12:00:00", f"ther {i}" if i % 2 else None, None, ["s1"] if i % 3 else ["S2"], ["t"] * (i % 2), ["bullish", "bearish"][i % 2]) for i in range(40)]
+    news = spark.createDataFrame(told, "article long, at string, title string, summary string, tickers array<string>, tags array<string>, label string").withColumn("published_at", F.col("at").cast("timestamp_ntz"))
+    by, each = search.by_kind(e, news), search.correlate(e, news)
+    assert "event_id" not in by.columns and by.count() < each.count() / 3
+    got = lambda found: sorted(map(tuple, search.narrative(e, found).collect()))
+    assert len(got(by)) == 30 and got(by) == got(each)
