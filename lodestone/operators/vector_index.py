@@ -20,6 +20,15 @@ MOST_CELLS = 4096
 CHUNK, PIECE = 1024, 50_000
 #: Cell of vectors without a direction: they score 0 with everything, and every query asks it.
 NOWHERE = -1
+#: Rows and cells that are compared at a time.
+CELLS = 1 << 18
+
+
+def slices(batches: Iterator[pa.RecordBatch], cells: int) -> Iterator[pa.RecordBatch]:
+    """The batches in parts of so many rows that a matrix of them and ``cells`` has CELLS entries, about."""
+    step = max(1, CELLS // cells)
+    for batch in batches:
+        yield from (batch.slice(i, step) for i in range(0, len(batch), step))
 
 
 @dataclass(frozen=True)
@@ -92,12 +101,11 @@ def write(vectors: DataFrame, key: str, column: str, path: str, keep: tuple[str,
     probes = needed(x, c, k, recall)
 
     def assigned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if len(batch):
-                own = matrix(batch["vector"], dims)
-                cos = unit(own) @ c.T
-                cell = np.where(np.abs(own).sum(axis=1) > 0, cos.argmax(axis=1), NOWHERE)
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cell, pa.int32()), pa.array(cos.max(axis=1))], names=[*batch.schema.names, "cell", "cos"])
+        for batch in slices(batches, len(c)):
+            own = matrix(batch["vector"], dims)
+            cos = unit(own) @ c.T
+            cell = np.where(np.abs(own).sum(axis=1) > 0, cos.argmax(axis=1), NOWHERE)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cell, pa.int32()), pa.array(cos.max(axis=1))], names=[*batch.schema.names, "cell", "cos"])
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
     laid = rows.mapInArrow(assigned, f"{kinds}, cell int, cos double")
@@ -119,9 +127,7 @@ def to_probe(queries: DataFrame, index: Index, probes: int, passing: dict[int, i
     rest = "last" in queries.columns
 
     def told(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not len(batch):
-                continue
+        for batch in slices(batches, len(c)):
             cos = np.clip(unit(matrix(batch["query"], dims)) @ c.T, -1, 1)
             order = np.argsort(-cos, axis=1, kind="stable")
             before = np.cumsum(counts[order], axis=1) - counts[order]
@@ -169,8 +175,8 @@ def scored(batches: Iterator[pa.RecordBatch], dims: int, k: int) -> Iterator[pa.
                 continue
             if not ids:
                 continue
-            for i in range(0, len(part), 1024):
-                some = part.slice(i, 1024)
+            for i in range(0, len(part), 256):
+                some = part.slice(i, 256)
                 score = np.round(np.einsum("qd,nd->qn", q, unit(matrix(some["vector"], dims))), 6) + 0.0
                 key = np.broadcast_to(some["id"].to_numpy(), score.shape)
                 if best is not None:

@@ -206,3 +206,33 @@ def test_shocks_go_on_as_states(spark):
 def test_scan_of_keywords_agrees(spark, docs):
     got = [(r["id"], r["score"]) for r in search.keyword_topk(frame(spark, docs), "id", "text", ["w30", "w1"], 6).collect()]
     close([got], [brute(docs, ["w30", "w1"], 6)])
+
+
+def test_nearest_compares_in_tiles(spark, vectors, monkeypatch):
+    """However many queries there are, a task compares TILE of them with TILE rows."""
+    monkeypatch.setattr(search, "TILE", 7)
+    seen = []
+    monkeypatch.setattr(search, "better", lambda best, q, x, key, k, real=search.better: (seen.append((len(q), len(x))), real(best, q, x, key, k))[1])
+    rows = [(i, v) for i, v, _ in vectors if v is not None]
+    queries = [(i, v) for i, v in rows if i % 50 == 0 and i < 1000]
+    batch = search.pa.RecordBatch.from_arrays([search.pa.array([i for i, _ in rows if i != 1003]), search.pa.array([v for i, v in rows if i != 1003])], names=["id", "v"])
+    got = {}
+    for out in search.nearest(iter([batch]), [i for i, _ in queries], [v for _, v in queries], 10):
+        for r in sorted(out.to_pylist(), key=lambda r: (-r["similarity"], r["key"] if "key" in r else r["id"])):
+            got.setdefault(r["query_id"], []).append(r["id"])
+    assert got == nearest(vectors, 10) and max(map(max, seen)) == 7
+
+
+def test_cells_are_probed_in_parts(spark, vectors, tmp_path, monkeypatch):
+    """Matrices of rows and cells have a bounded size, whatever a batch holds."""
+    monkeypatch.setattr(vector_index, "CELLS", 90)
+    batch = search.pa.RecordBatch.from_arrays([search.pa.array(range(100))], names=["id"])
+    parts = list(vector_index.slices(iter([batch, batch.slice(0, 0)]), 30))
+    assert max(map(len, parts)) == 3 and sum(map(len, parts)) == 100
+    df = spark.createDataFrame(vectors, "id long, v array<float>, label int").repartition(3)
+    index = vector_index.write(df, "id", "v", f"{tmp_path}/v", keep=("label",))
+    asked = df.where("id % 50 = 0 and id < 1000").select(vector_index.F.col("id").alias("query_id"), vector_index.F.col("v").alias("query"))
+    got = {}
+    for r in vector_index.search(index, asked, 10, exact=True).orderBy("rank").collect():
+        got.setdefault(r["query_id"], []).append(r["key"])
+    assert got == nearest(vectors, 10)
