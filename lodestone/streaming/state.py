@@ -8,6 +8,7 @@ from collections.abc import Iterator
 from contextlib import contextmanager
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -117,8 +118,23 @@ def changes(ticks: DataFrame, late: str = "1 day") -> DataFrame:
     return fresh.groupBy("symbol").transformWithStateInPandas(Changes(), "symbol string, event_id long, price double", "Append", "EventTime")
 
 
+def closes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of each symbol and day the tick that counts (the last by time, event and version), in a task's share of a batch."""
+    best = None
+    for batch in batches:
+        if len(batch):
+            own = batch.to_pandas()
+            own = own if best is None else pd.concat([best, own])
+            own = own.sort_values(["ts", "event_id", "version", "price"], kind="stable")
+            best = own.groupby(["symbol", own["ts"].dt.date], sort=False, dropna=False).tail(1)
+            schema = batch.schema
+    if best is not None:
+        yield pa.RecordBatch.from_pandas(best, schema=schema, preserve_index=False)
+
+
 def messages(ticks: DataFrame, late: str = "1 day") -> DataFrame:
     """(symbol, session, close, change_percent): texts for the wire, of a stream as for ``changes``."""
     fresh = ticks.withWatermark("ts", late).dropDuplicatesWithinWatermark(["event_id", "version"])
-    out = fresh.groupBy("symbol").transformWithStateInPandas(Messages(), "symbol string, session string, close double, change double", "Append", "EventTime")
+    few = fresh.select("symbol", "ts", "event_id", "version", "price").mapInArrow(closes, "symbol string, ts timestamp, event_id long, version int, price double")
+    out = few.groupBy("symbol").transformWithStateInPandas(Messages(), "symbol string, session string, close double, change double", "Append", "EventTime")
     return out.select("symbol", "session", F.format_string("%.2f", "close").alias("close"), F.when(F.col("change").isNotNull() & ~F.isnan("change"), F.format_string("%.4f", F.round("change", 4))).alias("change_percent"))

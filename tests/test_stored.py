@@ -106,3 +106,12 @@ def test_create_keeps_what_is_there(spark, tmp_path):
     made = tables.Table(f"{tmp_path}/t", KINDS, ("symbol",), "symbol").create(spark)
     with pytest.raises(Exception, match="PATH_ALREADY_EXISTS"):
         made.create(spark)
+
+
+def test_ticks_of_a_day_become_its_close_before_the_state():
+    """A symbol's state step gets a row a day and task, not all ticks."""
+    at = lambda d, h: state.pd.Timestamp(f"2024-01-0{d} {h:02}:00", tz="UTC")
+    rows = [("a", at(1 + i % 2, i % 20), i, 0, float(i)) for i in range(60)] + [("a", at(1, 18), 58, 1, 7.0)]
+    frame = state.pd.DataFrame(rows, columns=["symbol", "ts", "event_id", "version", "price"])
+    got = [r for b in state.closes(iter(state.pa.RecordBatch.from_pandas(frame.iloc[i : i + 9], preserve_index=False) for i in range(0, len(frame), 9))) for r in b.to_pylist()]
+    assert sorted((r["ts"].day, r["event_id"], r["version"], r["price"]) for r in got) == [(1, 58, 1, 7.0), (2, 59, 0, 59.0)]
