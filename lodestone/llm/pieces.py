@@ -15,8 +15,8 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 #: Base of the substring hashes, which are polynomials in it modulo 2^64.
 BASE = 0x9E3779B97F4A7C15
-#: Pair verdicts that a Python worker remembers; beyond it, it forgets them all.
-REMEMBERED = 2_000_000
+#: Pair verdicts that a Python worker remembers, 2^REMEMBERED at the most: each in its slot, and a later one may take it.
+REMEMBERED = 21
 
 
 class Pieces:
@@ -40,13 +40,15 @@ class Pieces:
         self.longest = max(map(len, self.ids), default=1)
         lengths = np.array([len(p) for p in self.ids], dtype=np.int64)
         keys = np.array([self.hash(p) for p in self.ids], dtype=np.uint64) + lengths.astype(np.uint64)
-        order = np.argsort(keys)
+        order = np.lexsort((keys, self.bits(keys)))
         self.keys, self.at, self.lengths = keys[order], np.array(list(self.ids.values()), dtype=np.int64)[order], lengths[order]
         if len(np.unique(self.keys)) < len(keys):
             raise ValueError("two pieces have one hash")
-        #: Whether a key with these first 20 bits is there: most substrings are no pieces, and end here.
-        self.first = np.zeros(1 << 20, dtype=bool)
-        self.first[self.keys >> np.uint64(44)] = True
+        #: Keys are ordered by 20 bits of them times an odd number; where those of the same bits begin (-1: none is there; most substrings are no pieces, and end here), and
+        #: how many have the same ones at the most.
+        head, begin, many = np.unique(self.bits(self.keys), return_index=True, return_counts=True)
+        self.first = np.full(1 << 20, -1, dtype=np.int32)
+        self.first[head], self.same = begin, int(many.max(initial=1))
         self.chars = {p for p in self.ids if len(p) == 1}
         #: Characters that no merge crosses: they end words, and are words of their own.
         self.breaks = [c for c in "\n\t\r\x0b\f" if c not in self.chars]
@@ -66,6 +68,10 @@ class Pieces:
             raise ValueError("models with a normaliser are not supported")
         return Pieces([(p.piece, p.score, p.type) for p in model.pieces], (kind or model.trainer_spec.model_type) == 2, n.add_dummy_prefix)
 
+    @staticmethod
+    def bits(keys: np.ndarray) -> np.ndarray:
+        return (keys * np.uint64(BASE)) >> np.uint64(44)
+
     @staticmethod
     def hash(text: str) -> int:
         h = 0
@@ -114,17 +120,28 @@ class Pieces:
         return [s for s in sym if s]
 
     def told(self, keys: np.ndarray) -> np.ndarray:
-        """What ``merges`` says of each key; verdicts are kept in a sorted array, so that each is made once a worker."""
-        if len(self.known) > REMEMBERED:
-            self.known, self.verdict = self.known[:0], self.verdict[:0]
-        at = np.minimum(np.searchsorted(self.known, keys), max(0, len(self.known) - 1))
-        new = np.unique(keys[self.known[at] != keys]) if len(self.known) else np.unique(keys)
-        if len(new):
+        """What ``merges`` says of each key; verdicts are kept in slots by hash, so that most are made once a worker."""
+        if not len(self.known):
+            self.known, self.verdict = np.full(1 << REMEMBERED, -1, dtype=np.int64), np.zeros(1 << REMEMBERED, dtype=bool)
+        slot = (keys.astype(np.uint64) * np.uint64(BASE)) >> np.uint64(64 - REMEMBERED)
+        out, missing = self.verdict[slot], np.nonzero(self.known[slot] != keys)[0]
+        if len(missing):
+            new, at, which = np.unique(keys[missing], return_index=True, return_inverse=True)
             verdict = np.array([self.merges(k) for k in new.tolist()], dtype=bool)
-            to = np.searchsorted(self.known, new)
-            self.known, self.verdict = np.insert(self.known, to, new), np.insert(self.verdict, to, verdict)
-            at = np.searchsorted(self.known, keys)
-        return self.verdict[at]
+            out[missing] = verdict[which]
+            to, one = np.unique(slot[missing[at]], return_index=True)
+            self.known[to], self.verdict[to] = new[one], verdict[one]
+        return out
+
+    def found(self, key: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(row, word, id) of the ``key`` (by row: a length, word) that are pieces."""
+        first = self.first[self.bits(key)]
+        row, word = np.nonzero(first >= 0)
+        own, at = key[row, word], first[row, word]
+        for _ in range(self.same - 1):
+            at = np.minimum(at + (self.keys[at] < own), len(self.keys) - 1)
+        hit = (self.keys[at] == own) & (self.lengths[at] == sizes[row])
+        return row[hit], word[hit], self.at[at[hit]]
 
     def merges(self, key: int) -> bool:
         """Whether merges leave apart the pieces of a key left << 20 | right. Without a left one (1 << 40): make the right one."""
@@ -151,10 +168,7 @@ class Pieces:
             sizes = np.arange(longest, 0, -1)  # of equal scores, the longest last piece is taken
             factor = np.array([power[k] for k in sizes], dtype=np.uint64)[:, None]
             key = prefix[i] - prefix[i - sizes] * factor + sizes[:, None].astype(np.uint64)
-            row, word = np.nonzero(self.first[key >> np.uint64(44)])
-            at = np.minimum(np.searchsorted(self.keys, key[row, word]), len(self.keys) - 1)
-            hit = (self.keys[at] == key[row, word]) & (self.lengths[at] == sizes[row])
-            row, word, found = row[hit], word[hit], self.at[at[hit]]
+            row, word, found = self.found(key, sizes)
             start, single = i - sizes[row], np.ones(m, dtype=bool)
             single[word[row == longest - 1]] = False
             if self.bpe:

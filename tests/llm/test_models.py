@@ -132,3 +132,18 @@ def test_saved_tables_can_be_released(spark):
     common.release(spark)
     assert not glob.glob(f"{where}/*")
     assert common.saved(spark.range(3), "some").count() == 3
+
+
+def test_pieces_are_found_by_slot_and_verdicts_may_share_one(monkeypatch):
+    import numpy as np
+
+    from lodestone.llm import pieces
+
+    monkeypatch.setattr(pieces, "REMEMBERED", 1)  # two slots for all pairs
+    model = pieces.Pieces([("<unk>", 0.0, 2), *[(c, -1.0, 1) for c in "abcdé中"], ("ab", -2.0, 1), ("abc", -3.0, 1), ("cd", -4.0, 1)], True)
+    keys = np.array([left << 20 | right for left in range(1, 10) for right in range(1, 10)] * 2, dtype=np.int64)
+    for _ in range(2):
+        assert model.told(keys).tolist() == [model.merges(k) for k in keys.tolist()]
+    sizes = np.array([3, 2, 1])
+    own = np.array([[model.hash(w) + n for w in ws] for n, ws in zip(sizes.tolist(), [["abc", "bcd"], ["cd", "bd"], ["中", "x"]], strict=True)], dtype=np.uint64)
+    assert [(int(r), int(w), model.texts[i]) for r, w, i in zip(*model.found(own, sizes), strict=True)] == [(0, 0, "abc"), (1, 0, "cd"), (2, 0, "中")]
