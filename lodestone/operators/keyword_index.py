@@ -3,32 +3,31 @@
 from __future__ import annotations
 
 import functools
-import re
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegerType
+from pyspark.sql.types import ArrayType, BinaryType, IntegerType, LongType, StructType
 
 from lodestone.sources.shared import kept
 
 #: A term is a run of these in the lower-cased text.
 TERM = "[a-z0-9]+"
+#: The same by byte.
+IN_TERM = np.isin(np.arange(256), list(b"abcdefghijklmnopqrstuvwxyz0123456789"))
 #: Terms that are handed to the scan as values; of more questions the terms are joined.
 LITERAL = 500
 #: Scores are rounded to six places, so a block is left out only if its bound is under the last score by more.
 SLACK = 2e-6
-#: Files that a bucket of one segment is split into, by block, so that no task writes all of a common term: at the least,
-#: and one more for so many blocks.
+#: Files that a bucket of one segment is split into, by block, so that no task writes all of a common term: at the least
+#: (fewer where there are fewer blocks than files), and one more for so many blocks.
 SPLIT, SPLIT_BLOCKS = 4, 256
-#: Terms, repeats included, that a block has at the most (a longer document is a block of its own), and blocks to a task.
-TOKENS, TASK = 1 << 20, 4
+#: Bytes of text that a block has on average at the most (a longer document may be a block of its own), and blocks to a task.
+BYTES, TASK = 1 << 23, 4
 #: Of more than LITERAL terms: questions that meet so many blocks in a task, and cells (questions by documents) at a time.
 CHUNK, PIECE, CELLS = 1 << 16, 32, 1 << 21
 
@@ -37,9 +36,10 @@ CHUNK, PIECE, CELLS = 1 << 16, 32, 1 << 21
 class Index:
     """An index at ``path``: ``buckets`` of terms, blocks of about ``block`` documents. Each segment writes new files.
 
-    * ``postings`` (segment, bucket; term, block, n, most, total, entries): a term's documents in a block (key, tf), how
-      many they are, the largest tf and their sum; sorted by term, so that row groups of a file hold a few terms.
-    * ``docs`` (segment; key, block, terms): what a segment holds.
+    * ``postings`` (segment, bucket; term, block, n, most, total, keys, tfs): a term's documents in a block (keys as packed
+      longs, tfs as packed ints: ``unpacked``), how many they are, the largest tf and their sum; sorted by term, so that row
+      groups of a file hold a few terms.
+    * ``docs`` (segment; key, block, size): what a segment holds, with the bytes of each text.
     * ``gone`` (by; segment, key, block): what segment ``by`` has replaced or deleted of those before it.
     """
 
@@ -51,10 +51,10 @@ class Index:
         return F.pmod(F.xxhash64(term), F.lit(self.buckets)).cast("int")
 
     def postings(self, spark: SparkSession) -> DataFrame:
-        return spark.read.schema("term string, block long, n int, most int, total long, entries array<struct<key: long, tf: int>>, segment int, bucket int").parquet(f"{self.path}/postings")
+        return spark.read.schema(f"{POSTING}, segment int, bucket int").parquet(f"{self.path}/postings")
 
     def docs(self, spark: SparkSession) -> DataFrame:
-        return spark.read.schema("key long, block long, terms int, segment int").parquet(f"{self.path}/docs")
+        return spark.read.schema("key long, block long, size long, segment int").parquet(f"{self.path}/docs")
 
     def gone(self, spark: SparkSession) -> DataFrame:
         return spark.read.schema("segment int, key long, block long, by int").parquet(f"{self.path}/gone").drop("by")
@@ -67,27 +67,47 @@ def terms(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(TERM), F.lit(0))
 
 
-@F.arrow_udf(IntegerType())
-def counted(low: pa.Array) -> pa.Array:
-    """How many terms each text has; Arrow's expressions take a tenth of the time of Java's."""
-    return pc.count_substring_regex(low, TERM).cast(pa.int32())
+@F.arrow_udf(ArrayType(StructType().add("key", LongType()).add("tf", IntegerType())))
+def unpacked(keys: pa.Array, tfs: pa.Array) -> pa.Array:
+    (key, n), tf = numbers(keys, np.int64), numbers(tfs, np.int32)[0]
+    return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *n]), pa.int32()), pa.StructArray.from_arrays([pa.array(key), pa.array(tf)], names=["key", "tf"]))
+
+
+@F.arrow_udf(BinaryType())
+def packed(values: pa.Array) -> pa.Array:
+    return binary(values.flatten().to_numpy(), pc.list_value_length(values).to_numpy())
+
+
+def numbers(column: pa.Array, kind: type) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers in a column of packed ones, and how many each row has."""
+    column = column.cast(pa.large_binary())
+    _, ends, data = column.buffers()
+    ends = np.frombuffer(ends, np.int64)[column.offset : column.offset + len(column) + 1] if len(column) else np.zeros(1, np.int64)
+    own = np.frombuffer(data, np.uint8)[ends[0] : ends[-1]] if ends[-1] > ends[0] else np.zeros(0, np.uint8)
+    return own.view(kind), np.diff(ends) // np.dtype(kind).itemsize
+
+
+def binary(values: np.ndarray, n: np.ndarray) -> pa.Array:
+    """``values`` packed, ``n`` to a row."""
+    ends = (np.cumsum([0, *n]) * values.itemsize).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(values))])
 
 
 def classed(sized: DataFrame, block: int) -> tuple[DataFrame, int]:
-    """(octave, blocks): how many blocks each class of ``sized`` (key, terms: how many) has, and their sum; a row a class, some
-    hundred at most. Blocks hold documents of like length (quarter octaves of terms), since frequencies grow with it: the
+    """(octave, blocks): how many blocks each class of ``sized`` (key, size) has, and their sum; a row a class, some
+    hundred at most. Blocks hold documents of like length (quarter octaves of bytes), since frequencies grow with it: the
     largest of a block is then near those of all its documents, and a bound that is made of it near their scores."""
-    blocks = F.ceil(F.greatest(F.count(F.lit(1)) / block, F.sum("terms") / TOKENS))
-    rows = sized.groupBy(octave().alias("octave")).agg(blocks.alias("blocks")).collect()
-    return sized.sparkSession.createDataFrame(rows, "octave long, blocks long"), sum(r["blocks"] for r in rows)
+    blocks = F.ceil(F.greatest(F.count(F.lit(1)) / block, F.sum("size") / BYTES))
+    rows = kept(sized.groupBy(octave().alias("octave")).agg(blocks.alias("blocks")), "classes")
+    return rows, rows.agg(F.sum("blocks")).first()[0] or 0
 
 
 def octave() -> Column:
-    return F.ceil(4 * F.log2(F.col("terms") + 1)).cast("long")
+    return F.ceil(4 * F.log2(F.col("size") + 1)).cast("long")
 
 
 def placed(sized: DataFrame, classes: DataFrame) -> DataFrame:
-    """``sized`` (key, terms) with its block: within a class a hash deals documents out."""
+    """``sized`` (key, size) with its block: within a class a hash deals documents out."""
     met = sized.withColumn("octave", octave()).join(F.broadcast(classes), "octave")
     return met.withColumn("block", F.shiftleft("octave", 40) + F.pmod(F.xxhash64("key"), "blocks")).drop("octave", "blocks")
 
@@ -95,10 +115,14 @@ def placed(sized: DataFrame, classes: DataFrame) -> DataFrame:
 def write(index: Index, docs: DataFrame, key: str, text: str) -> None:
     """A new index of ``docs``, as segment 0. Keys are integers; rows of one key are one document,
     rows without a key are left out, null texts have no term."""
-    docs.sparkSession.createDataFrame([], "segment int, key long, block long").write.mode("overwrite").parquet(f"{index.path}/gone/by=0")
+    nothing(docs.sparkSession).write.mode("overwrite").parquet(f"{index.path}/gone/by=0")
     add(index, docs, key, text, 0)
 
 
+def nothing(spark: SparkSession) -> DataFrame:
+    return spark.range(0).select(F.lit(0).alias("segment"), F.col("id").alias("key"), F.col("id").alias("block"))
+
+
 def update(index: Index, docs: DataFrame, key: str, text: str, deleted: DataFrame | None = None) -> None:
     """Adds ``docs`` as a segment of its own; they replace what the index has of their keys, and keys of ``deleted`` go.
     What is there stays as it is: its files are not read but for the keys that are replaced."""
@@ -112,59 +136,66 @@ def update(index: Index, docs: DataFrame, key: str, text: str, deleted: DataFram
 
 
 def add(index: Index, docs: DataFrame, key: str, text: str, number: int) -> None:
-    """Terms are counted first, so that each text travels once, to its block, and the block's postings once more."""
-    each = docs.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("key"), F.lower(F.coalesce(text, F.lit(""))).alias("low"))
-    rows = kept(each.select("key", counted("low").alias("terms")), "sizes")
-    sizes = kept(rows.groupBy("key").agg(F.sum("terms").cast("int").alias("terms"), F.count(F.lit(1)).alias("rows")), "terms")
+    """Sizes are taken first, by Spark alone, so that each text travels once, to its block, and the block's postings once more."""
+    each = docs.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("key"), F.coalesce(text, F.lit("")).alias("text"))
+    own = each.withColumn("size", F.octet_length("text").cast("long"))
+    sizes = kept(own.groupBy("key").agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("rows")), "sizes")
     classes, blocks = classed(sizes, index.block)
-    found = placed(sizes.drop("rows"), classes)
-    found.select("key", "block", "terms").write.mode("overwrite").parquet(f"{index.path}/docs/segment={number}")
-    several = sizes.where("rows > 1").select("key", F.col("terms").alias("all"))
-    own = each.withColumn("terms", counted("low"))
-    if not several.isEmpty():  # rows of one key go to the block of all its terms
-        own = own.join(several, "key", "left").withColumn("terms", F.coalesce("all", "terms")).drop("all")
+    placed(sizes.drop("rows"), classes).select("key", "block", "size").write.mode("overwrite").parquet(f"{index.path}/docs/segment={number}")
+    several = sizes.where("rows > 1").select("key", F.col("size").alias("all"))
+    if not several.isEmpty():  # rows of one key go to the block of all its text
+        own = own.join(several, "key", "left").withColumn("size", F.coalesce("all", "size")).drop("all")
     tasks = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), blocks // TASK)
-    laid = placed(own, classes).select("block", "key", "low").repartition(tasks, "block").sortWithinPartitions("block", "key")
+    laid = placed(own, classes).select("block", "key", F.lower("text").alias("low")).repartition(tasks, "block").sortWithinPartitions("block", "key")
     lay(index, laid.mapInArrow(inverted, POSTING), number, blocks)
 
 
-POSTING = "term string, block long, n int, most int, total long, key array<long>, tf array<int>"
+POSTING = "term string, block long, n int, most int, total long, keys binary, tfs binary"
 
 
 def inverted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The postings of rows (block, key, low) that are sorted so, a block at a time."""
-    block, keys, counts = None, [], []
-
-    def done() -> Iterator[pa.RecordBatch]:
-        code, words = pd.factorize(np.array([w for c in counts for w in c], dtype=object))
-        if len(words):
-            tf = np.array([n for c in counts for n in c.values()])
-            order = np.argsort(code, kind="stable")  # by term; documents stay as they come, by key
-            n = np.bincount(code)
-            at = np.concatenate([[0], np.cumsum(n)]).astype(np.int32)
-            key, tf = np.repeat(np.array(keys), list(map(len, counts)))[order], tf[order]
-            lists = [pa.ListArray.from_arrays(pa.array(at), pa.array(x, t)) for x, t in ((key, pa.int64()), (tf, pa.int32()))]
-            own = [pa.array(words, pa.string()), pa.array(np.full(len(n), block)), pa.array(n, pa.int32()), pa.array(np.maximum.reduceat(tf, at[:-1]), pa.int32()), pa.array(np.add.reduceat(tf, at[:-1]), pa.int64()), *lists]
-            whole = pa.RecordBatch.from_arrays(own, names=["term", "block", "n", "most", "total", "key", "tf"])
-            yield from (whole.slice(i, 10_000) for i in range(0, len(whole), 10_000))
-
-    for batch in batches:
-        for b, k, low in zip(*[batch[c].to_pylist() for c in ("block", "key", "low")], strict=True):
-            if b != block:
-                yield from done()
-                block, keys, counts = b, [], []
-            if not keys or keys[-1] != k:
-                keys.append(k)
-                counts.append(Counter())
-            counts[-1].update(re.findall(TERM, low))
-    yield from done()
+    for (block,), part in runs(batches, ["block"]):
+        key, row = np.unique(part["key"].to_numpy(), return_inverse=True)  # rows of one key are one document
+        words, place = split(part["low"])
+        if not len(words):
+            continue
+        coded, bits = words.dictionary_encode(), len(key).bit_length()
+        order = pc.sort_indices(coded.dictionary).to_numpy()  # what stands by term is sorted sooner later on
+        code = np.empty(len(order), np.int64)
+        code[order] = np.arange(len(order))
+        pair = np.sort((code << bits)[coded.indices.to_numpy()] | row[place])  # by term, then key
+        first = np.flatnonzero(np.concatenate([[True], pair[1:] != pair[:-1]]))
+        tf, pair = np.diff(first, append=len(pair)).astype(np.int32), pair[first]
+        n, doc = np.bincount(pair >> bits), pair & ((1 << bits) - 1)
+        at = np.cumsum(n) - n
+        own = [coded.dictionary.take(pa.array(order)).cast(pa.string()), pa.array(np.full(len(n), block)), pa.array(n, pa.int32()), pa.array(np.maximum.reduceat(tf, at)), pa.array(np.add.reduceat(tf, at, dtype=np.int64)), binary(key[doc], n), binary(tf, n)]
+        whole = pa.RecordBatch.from_arrays(own, names=["term", "block", "n", "most", "total", "keys", "tfs"])
+        yield from (whole.slice(i, 10_000) for i in range(0, len(whole), 10_000))
+
+
+def split(low: pa.ChunkedArray) -> tuple[pa.Array, np.ndarray]:
+    """All terms of texts, repeats included, and the row of each: runs of bytes of IN_TERM that end with the text."""
+    texts = pa.concat_arrays(low.cast(pa.large_string()).chunks)
+    _, ends, data = texts.buffers()
+    ends = np.frombuffer(ends, np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    data = np.frombuffer(data, np.uint8)[ends[0] : ends[-1]] if ends[-1] > ends[0] else np.zeros(0, np.uint8)
+    ends = ends - ends[0]
+    within = IN_TERM[data]
+    cut = np.zeros(len(data) + 1, bool)  # before a byte
+    cut[ends] = True
+    cut[1:-1] |= within[1:] != within[:-1]
+    at, end = np.flatnonzero(within & cut[:-1]), np.flatnonzero(within & cut[1:]) + 1
+    words = pa.Array.from_buffers(pa.large_string(), len(at), [None, pa.py_buffer(np.concatenate([[0], np.cumsum(end - at)])), pa.py_buffer(data[within])])
+    return words, np.searchsorted(ends, at, side="right") - 1
 
 
 def lay(index: Index, rows: DataFrame, number: int, blocks: int) -> None:
-    """Writes the postings ``rows`` (POSTING) of so many ``blocks``."""
-    split = max(SPLIT, blocks // SPLIT_BLOCKS)
-    laid = rows.withColumn("bucket", index.bucket(F.col("term"))).repartition(min(index.buckets * split, max(index.buckets, blocks)), "bucket", F.pmod("block", F.lit(split))).sortWithinPartitions("bucket", "term", "block")
-    laid = laid.select("term", "block", "n", "most", "total", F.arrays_zip("key", "tf").alias("entries"), "bucket")
+    """Writes the postings ``rows`` (POSTING) of so many ``blocks``: a task has one bucket, whose blocks come sorted by term."""
+    split = max(1, min(SPLIT, blocks // index.buckets), blocks // SPLIT_BLOCKS)
+    laid = rows.withColumn("bucket", index.bucket(F.col("term")))
+    place = F.col("bucket") * split + F.pmod(F.xxhash64("block"), F.lit(split)).cast("int")
+    laid = laid.repartitionById(index.buckets * split, place).sortWithinPartitions("bucket", "term", "block")
     laid.write.mode("overwrite").partitionBy("bucket").parquet(f"{index.path}/postings/segment={number}")
 
 
@@ -172,13 +203,13 @@ def compact(index: Index, spark: SparkSession, to: Index) -> None:
     """The index's live documents as one segment at another path, made from postings: no text is read again."""
     live = kept(index.live(spark), "live")
     classes, blocks = classed(live, to.block)
-    found = kept(placed(live.select("key", "terms"), classes), "placed")
-    each = index.postings(spark).select("segment", "term", F.explode("entries").alias("e")).select("segment", "term", "e.*")
+    found = kept(placed(live.select("key", "size"), classes), "placed")
+    each = index.postings(spark).select("segment", "term", unpacked("keys", "tfs").alias("e")).select("segment", "term", F.inline("e"))
     counts = each.join(live.select("segment", "key"), ["segment", "key"], "left_semi").join(found.select("key", "block"), "key")
-    spark.createDataFrame([], "segment int, key long, block long").write.mode("overwrite").parquet(f"{to.path}/gone/by=0")
+    nothing(spark).write.mode("overwrite").parquet(f"{to.path}/gone/by=0")
     rows = counts.groupBy("term", "block").agg(F.sort_array(F.collect_list(F.struct("key", "tf"))).alias("e"), F.max("tf").alias("most"), F.sum("tf").alias("total"))
-    lay(to, rows.select("term", "block", F.size("e").alias("n"), "most", "total", F.col("e.key").alias("key"), F.col("e.tf").alias("tf")), 0, blocks)
-    found.select("key", "block", "terms").write.mode("overwrite").parquet(f"{to.path}/docs/segment=0")
+    lay(to, rows.select("term", "block", F.size("e").alias("n"), "most", "total", packed("e.key").alias("keys"), packed("e.tf").alias("tfs")), 0, blocks)
+    found.select("key", "block", "size").write.mode("overwrite").parquet(f"{to.path}/docs/segment=0")
 
 
 class Asked:
@@ -222,7 +253,8 @@ class Asked:
         return kept(met.groupBy("query_id", "segment", "block").agg(bound.alias("bound"), F.max("n").alias("n")), "bounds")
 
     def entries(self, blocks: DataFrame, on: list[str]) -> DataFrame:
-        return self.postings.join(blocks, on).select(*blocks.columns, *[c for c in ("segment", "term") if c not in blocks.columns], F.explode("entries").alias("e")).select("*", "e.key", "e.tf").drop("e")
+        columns = [*blocks.columns, *[c for c in ("segment", "term") if c not in blocks.columns]]
+        return self.postings.join(blocks, on).select(*columns, unpacked("keys", "tfs").alias("e")).select(*columns, F.inline("e"))
 
     def scores(self, blocks: DataFrame, allowed: DataFrame | None) -> DataFrame:
         """(query_id, key, score) of the live documents in ``blocks`` (query_id, segment, block), those of ``allowed`` (key)."""
@@ -263,26 +295,26 @@ class Asked:
         chunks = max(1, -(-asks.where("query_id = asked").count() // CHUNK))
         every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
         dealt = lambda n, *c: F.pmod(F.xxhash64(*c), F.lit(n)).cast("int")
-        none = lambda t: F.array().cast(f"array<{t}>")
-        one = asks.where("query_id = asked").select("query_id", F.col("ask.tid").alias("keys"), none("int").alias("tfs"), F.col("ask.idf").alias("idfs"), dealt(chunks, "query_id").alias("chunk"))
-        rows = one.select("chunk", every(pieces).alias("piece"), F.lit(0).alias("side"), F.lit(0).alias("segment"), F.lit(0).cast("long").alias("block"), F.col("query_id").alias("id"), "keys", "tfs", "idfs")
+        none = lambda t: F.lit(None).cast(t)
+        one = asks.where("query_id = asked").select("query_id", "ask.tid", "ask.idf", dealt(chunks, "query_id").alias("chunk"))
+        rows = one.select("chunk", every(pieces).alias("piece"), F.lit(0).alias("side"), F.lit(0).alias("segment"), F.lit(0).cast("long").alias("block"), F.col("query_id").alias("id"), F.col("tid").alias("list"), F.col("idf").alias("idfs"), none("binary").alias("keys"), none("binary").alias("tfs"))
         held = self.postings.join(self.counts.select("term", "tid"), "term")
-        rows = rows.unionByName(held.select(every(chunks).alias("chunk"), dealt(pieces, "segment", "block").alias("piece"), F.lit(2).alias("side"), "segment", "block", F.col("tid").alias("id"), F.col("entries.key").alias("keys"), F.col("entries.tf").alias("tfs"), none("double").alias("idfs")))
+        rows = rows.unionByName(held.select(every(chunks).alias("chunk"), dealt(pieces, "segment", "block").alias("piece"), F.lit(2).alias("side"), "segment", "block", F.col("tid").alias("id"), none("array<long>").alias("list"), none("array<double>").alias("idfs"), "keys", "tfs"))
         barred = self.gone.select("segment", "block", "key") if self.changed else None
         if allowed is not None:
             other = docs.join(allowed.select("key"), "key", "left_anti").select("segment", "block", "key")
             barred = other if barred is None else barred.unionByName(other)
         if barred is not None:
-            lists = barred.groupBy("segment", "block").agg(F.collect_list("key").alias("keys"))
-            rows = rows.unionByName(lists.select(every(chunks).alias("chunk"), dealt(pieces, "segment", "block").alias("piece"), F.lit(1).alias("side"), "segment", "block", F.lit(0).cast("long").alias("id"), "keys", none("int").alias("tfs"), none("double").alias("idfs")))
+            lists = barred.groupBy("segment", "block").agg(F.collect_list("key").alias("list"))
+            rows = rows.unionByName(lists.select(every(chunks).alias("chunk"), dealt(pieces, "segment", "block").alias("piece"), F.lit(1).alias("side"), "segment", "block", F.lit(0).cast("long").alias("id"), "list", none("array<double>").alias("idfs"), none("binary").alias("keys"), none("binary").alias("tfs")))
         group = rows.repartition(chunks * pieces, "chunk", "piece").sortWithinPartitions("chunk", "piece", F.col("side") > 0, F.desc("block"), "segment", "side", "id")
         found = ranked(group.mapInArrow(lambda bs: swept(bs, k), "query_id long, key long, score double"), k)
         return found.withColumnRenamed("query_id", "asked").join(asks.select("query_id", "asked"), "asked").select("query_id", "key", "score", "rank")
 
 
 def swept(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
-    """The ``k`` best of each question in rows (chunk, piece, side, segment, block, id, keys, tfs, idfs) that are sorted so: a piece's
-    questions (their terms and weights), then block by block the documents that don't count and the postings by term."""
+    """The ``k`` best of each question in rows (chunk, piece, side, segment, block, id, list, idfs, keys, tfs) that are sorted so: a piece's
+    questions (list: their terms, and weights), then block by block the documents that don't count (list) and the postings by term."""
     piece, best = None, None
     for at, part in runs(batches, ["chunk", "piece", "segment", "block", "side"]):
         if at[:2] != piece:
@@ -292,7 +324,7 @@ def swept(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]
         if at[4] == 0:
             best = Best(part, k)
         elif at[4] == 1:
-            out = at[2:4], flat(part, "keys")[0]
+            out = at[2:4], flat(part, "list")[0]
         elif best is not None:
             best.block(part, out[1] if out is not None and out[0] == at[2:4] else None)
     if best is not None:
@@ -325,18 +357,19 @@ def flat(part: pa.Table, column: str) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Best:
-    """The best documents so far of questions (id, keys: terms, idfs)."""
+    """The best documents so far of questions (id, list: terms, idfs)."""
 
     def __init__(self, part: pa.Table, k: int):
         self.ids = part["id"].to_numpy()
-        self.term, n = flat(part, "keys")
+        self.term, n = flat(part, "list")
         self.idf, self.owner = flat(part, "idfs")[0], np.repeat(np.arange(len(n)), n)
         self.k, self.last = k, np.zeros(len(n))  # the k-th score
         self.question, self.score, self.key = np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64)
 
     def block(self, part: pa.Table, barred: np.ndarray | None) -> None:
         """Scores a block (id: term, keys, tfs) for those questions that it may hold a document for."""
-        terms, (key, n), tf = part["id"].to_numpy(), flat(part, "keys"), flat(part, "tfs")[0]
+        terms = part["id"].to_numpy()
+        (key, n), (tf, _) = (numbers(pa.concat_arrays(part[c].chunks), kind) for c, kind in (("keys", np.int64), ("tfs", np.int32)))
         value, start = 1 + np.log(tf), np.cumsum(n) - n
         most = np.maximum.reduceat(value, start)
         at = np.minimum(np.searchsorted(terms, self.term), len(terms) - 1)

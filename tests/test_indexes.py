@@ -7,6 +7,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from lodestone.functions import text
@@ -96,6 +97,28 @@ def test_keyword_index_moves_texts_once(spark, docs, tmp_path, monkeypatch):
     assert {r[0]: tuple(r)[1:] for r in rows} == {w: (sum(w in c for c in every.values()), sum(c[w] for c in every.values())) for c in every.values() for w in c}
 
 
+def test_keyword_index_takes_texts_to_python_once(spark, docs, tmp_path, monkeypatch):
+    """Blocks are dealt by sizes that Spark takes itself, postings are stored packed, and a task writes one bucket."""
+    plans = []
+    monkeypatch.setattr(keyword_index, "kept", lambda df, name, real=keyword_index.kept: (plans.append(df._jdf.queryExecution().toString()), real(df, name))[1])
+    index = keyword_index.Index(f"{tmp_path}/i", buckets=2, block=16)
+    keyword_index.write(index, frame(spark, docs), "id", "text")
+    assert plans and not any("EvalPython" in p or "InArrow" in p for p in plans)
+    assert not any("array" in kind for _, kind in index.postings(spark).dtypes)
+    files = [p for p in (tmp_path / "i" / "postings").rglob("*.parquet") if p.parent.name == "bucket=0"]
+    assert len(files) == keyword_index.SPLIT
+    rows = index.postings(spark).select("n", "most", "total", keyword_index.unpacked("keys", "tfs").alias("e")).collect()
+    assert all((r["n"], r["most"], r["total"]) == (len(r["e"]), max(x["tf"] for x in r["e"]), sum(x["tf"] for x in r["e"])) for r in rows)
+
+
+def test_terms_end_with_their_text():
+    """Neighbouring texts don't run together, and terms are what the regular expression finds."""
+    texts = ["abc", "def", "", "", "é0x é", " ", "ab--", "日本1語z9", "", "a", "", "\u017fk\x00q"]
+    for part in (pa.chunked_array([texts]), pa.chunked_array([texts[:4], texts[4:]], pa.string()), pa.chunked_array([pa.array(["zz", *texts]).slice(1)]), pa.chunked_array([["", ""]])):
+        words, row = keyword_index.split(part)
+        assert list(zip(row.tolist(), words.to_pylist(), strict=True)) == [(i, w) for i, t in enumerate(part.to_pylist()) for w in re.findall(keyword_index.TERM, t)]
+
+
 def test_many_questions_are_swept(spark, docs, tmp_path, monkeypatch):
     """Beyond LITERAL terms no row is made for a question and a block, and results stay those of brute force."""
     monkeypatch.setattr(keyword_index, "LITERAL", 3)
