@@ -151,13 +151,18 @@ KINDS = ["close_at", "symbol", "name", "direction"]
 BEFORE, AFTER = 72, 24
 
 
+def windows(rows: DataFrame) -> DataFrame:
+    """``rows`` (close_at) with low and high: from when to when articles count."""
+    return rows.withColumn("low", F.col("close_at") - F.expr(f"interval {BEFORE} hours")).withColumn("high", F.col("close_at") + F.expr(f"interval {AFTER} hours"))
+
+
 def candidates(events: DataFrame, news: DataFrame, most: int) -> DataFrame:
     """(close_at, article): the ``most`` newest articles in the window of each distinct close, whoever's they are.
 
     Events of one close share them. Each day's ``most`` newest articles up to every hour are enough for any close, but
     closes are few (one a day), so each meets its days' articles.
     """
-    closes = events.select("close_at").distinct().withColumn("low", F.col("close_at") - F.expr(f"interval {BEFORE} hours")).withColumn("high", F.col("close_at") + F.expr(f"interval {AFTER} hours"))
+    closes = windows(events.select("close_at").distinct())
     met = range_join(closes, news.select("article", "published_at"), "published_at", "low", "high")
     newest = Window.partitionBy("close_at").orderBy(F.desc("published_at"), "article")
     return met.withColumn("nth", F.row_number().over(newest)).where(F.col("nth") <= most).select("close_at", "article")
@@ -182,22 +187,28 @@ def alike(columns: list[str]) -> Column:
     return functools.reduce(Column.__and__, [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in columns])
 
 
-def by_kind(events: DataFrame, news: DataFrame, most: int = 40, top: int = 3) -> DataFrame:
-    """The best news of each kind of events (KINDS), as ``correlate`` tells them.
+def by_kind(events: DataFrame, news: DataFrame, most: int | None = None, top: int = 3) -> DataFrame:
+    """The best news of each kind of events (KINDS), of all articles in the window of their close; with ``most`` of the newest
+    so many, as ``correlate`` tells them.
 
-    Only candidates (40 a close) are read for names, all in one pass; pairs of kind and article carry no text, and titles join
-    the three that stay.
+    Texts are read for names in one pass, those of the windows' days alone (or of candidates); pairs of kind and article carry
+    no text, and titles join the ``top`` that stay.
     """
     kinds = KINDS
     asked = events.select(*kinds).distinct()
-    near = kept(candidates(events, news, most), "candidates")
-    news = news.join(near.select("article").distinct(), "article", "left_semi")
+    near = None if most is None else kept(candidates(events, news, most), "candidates")
+    if near is None:
+        days = windows(events.select("close_at").distinct()).select(F.explode(F.sequence(F.to_date("low"), F.to_date("high"))).alias("__day")).distinct()
+        news = news.join(days, F.to_date("published_at") == F.col("__day"), "left_semi")
+    else:
+        news = news.join(near.select("article").distinct(), "article", "left_semi")
     told = F.array_compact(F.concat(F.array(F.lower("symbol")), F.coalesce(name_tokens(F.col("name")), F.array().cast("array<string>"))))
     surfaces = asked.select("symbol", "name").distinct().select(F.explode(told).alias("surface")).distinct()
     said = news.select("article", F.concat("title", F.lit(" "), F.coalesce("summary", F.lit(""))).alias("said"))
     hits = mentions(said, "article", "said", surfaces.select("surface", F.col("surface").alias("entity")), whole=False).groupBy("article").agg(F.collect_set("entity").alias("hits"))
     own = news.select("article", "published_at", F.transform("tickers", lambda t: F.upper(t)).alias("tickers"), (F.size("tags") > 0).alias("tagged"), "label").join(hits, "article", "left")
-    met = asked.withColumn("told", told).join(near.join(own, "article"), "close_at")
+    asked = asked.withColumn("told", told)
+    met = range_join(windows(asked), own, "published_at", "low", "high") if near is None else asked.join(near.join(own, "article"), "close_at")
     hours = (F.unix_timestamp("close_at") - F.unix_timestamp("published_at")) / 3600
     recency = F.when(hours >= 0, F.greatest(F.lit(0.0), 1 - hours / BEFORE)).otherwise(0.5 * F.greatest(F.lit(0.0), 1 + hours / BEFORE))
     named = F.coalesce(F.arrays_overlap("hits", "told"), F.lit(False))

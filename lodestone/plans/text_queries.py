@@ -241,8 +241,14 @@ def extractive_answer(spark: SparkSession, d: str) -> DataFrame:
 
 
 EVENTS = f"""{ANOMALIES}, ev as (select id as event_id, symbol, case when id % 2 = 0 then 'Ther Holdings' else 'The Ntion Corp.' end as name, case when id % 2 = 0 then 'ther' else 'ntion' end as token, session, session + interval 21 hour as close_at, feature, direction, value from anomalies)"""
-CORRELATED = f"""{EVENTS}, {ARTICLES}, closes as (select distinct close_at from ev),
- cut as (select close_at, a.* from closes join articles a on published_at between close_at - interval 72 hour and close_at + interval 24 hour qualify row_number() over (partition by close_at order by published_at desc, article) <= 40),
+#: The newest articles of a window that ``news_correlation`` scores; ``news_narrative`` scores all.
+NEWEST = " qualify row_number() over (partition by close_at order by published_at desc, article) <= 40"
+
+
+def correlated_sql(newest: str) -> str:
+    """Events, and their best news among what ``newest`` leaves of each window."""
+    return f"""{EVENTS}, {ARTICLES}, closes as (select distinct close_at from ev),
+ cut as (select close_at, a.* from closes join articles a on published_at between close_at - interval 72 hour and close_at + interval 24 hour{newest}),
  m as (select event_id, article, title, tags, epoch(e.close_at - published_at) / 3600 as h, list_contains(tickers, symbol) as filed, contains(lower(title || ' ' || coalesce(summary, '')), lower(symbol)) or contains(lower(title || ' ' || coalesce(summary, '')), token) as named,
   coalesce((direction = 'up' and sentiment = 'bullish') or (direction = 'down' and sentiment = 'bearish'), false) as agrees from ev e join cut using (close_at)),
  cand as (select event_id, article, title, filed, coalesce(named, false) as named, agrees, round(h, 1) as hours_before,
@@ -262,12 +268,12 @@ def news(spark: SparkSession, d: str) -> DataFrame:
     return articles(spark, d).withColumnRenamed("sentiment", "label")
 
 
-@query(f"with {CORRELATED} select event_id, article, score, filed as source_attributed, named as named_in_text, agrees as sentiment_agrees, hours_before, place from best")
+@query(f"with {correlated_sql(NEWEST)} select event_id, article, score, filed as source_attributed, named as named_in_text, agrees as sentiment_agrees, hours_before, place from best")
 def news_correlation(spark: SparkSession, d: str) -> DataFrame:
     return search.correlate(events(spark, d), news(spark, d)).drop("title")
 
 
-@query(f"""with {CORRELATED}, lines as (select event_id, bool_or(hours_before >= 0) as before, cast(count(*) as int) as documents, string_agg('  - ' || coalesce(title, '') || ' (' || case when named then 'names this company; ' when filed then 'filed under this ticker by the source; ' else '' end
+@query(f"""with {correlated_sql('')}, lines as (select event_id, bool_or(hours_before >= 0) as before, cast(count(*) as int) as documents, string_agg('  - ' || coalesce(title, '') || ' (' || case when named then 'names this company; ' when filed then 'filed under this ticker by the source; ' else '' end
   || case when agrees then 'sentiment agrees with the move; ' else '' end || format('{{:.0f}}', abs(hours_before)) || case when hours_before >= 0 then 'h before the close' else 'h after the close' end || ')', chr(10) order by place) as l from best group by event_id)
  select event_id, documents, sha256(symbol || ' ' || case when feature = 'volume' then 'traded on unusual volume' when feature = 'volatility' then 'showed unusual volatility' else case when direction = 'up' then 'rose' else 'fell' end || ' of ' || format('{{:.1f}}', value * 100) || '%' end
   || ' on ' || strftime(session, '%Y-%m-%d') || '.' || chr(10) || case when before then 'Possible contributing factors, ranked by relevance:' else 'No news published before the close was found in the corpus. The following covered the move afterwards and may describe, but cannot explain, it:' end

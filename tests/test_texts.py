@@ -113,3 +113,16 @@ def test_narratives_are_told_once_a_kind(spark):
     assert "event_id" not in by.columns and by.count() < each.count() / 3
     got = lambda found: sorted(map(tuple, search.narrative(e, found).collect()))
     assert len(got(by)) == 30 and got(by) == got(each)
+
+
+def test_narratives_know_all_news_of_the_window(spark):
+    """Of 60 articles before a close the three oldest alone name the company: 57 newer ones don't hide them."""
+    e = spark.createDataFrame([(1, "S1", "Ther Co", "up", "1996-01-05", "return", 0.1)], "event_id long, symbol string, name string, direction string, day string, feature string, value double").withColumn("session", F.to_date("day"))
+    e = e.withColumn("close_at", F.col("session").cast("timestamp_ntz") + F.expr("interval 21 hours")).drop("day")
+    told = [(i, f"1996-01-0{3 + i // 24} {i % 24:02d}:00:00", "ther speaks" if i < 3 else "silence", None, ["s1"] if i < 3 else [], ["t"], "bullish") for i in range(60)]
+    told += [(90, "1996-01-02 20:00:00", "ther speaks", None, ["s1"], ["t"], "bullish"), (91, "1996-01-06 22:00:00", "ther speaks", None, ["s1"], ["t"], "bullish")]
+    news = spark.createDataFrame(told, "article long, at string, title string, summary string, tickers array<string>, tags array<string>, label string").withColumn("published_at", F.col("at").cast("timestamp_ntz"))
+    all_of, newest = search.by_kind(e, news), search.by_kind(e, news, 40)
+    assert sorted(r["article"] for r in all_of.collect()) == [0, 1, 2]
+    assert min(r["article"] for r in newest.collect()) >= 20
+    assert search.narrative(e, all_of).first()["documents"] == [2, 1, 0]
