@@ -5,6 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 import numpy as np
 import pyarrow as pa
@@ -26,14 +28,42 @@ def shared_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
-def saved(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written once to the shared folder and read back: cuts its lineage, and a lost executor costs no rerun."""
+def saved(df: DataFrame, name: str, out: bool = False) -> DataFrame:
+    """``df`` written once to the shared folder and read back: cuts its lineage, and a lost executor costs no rerun. What its
+    job has shuffled goes at once, not when the driver happens to collect its garbage. ``out``: see ``scratch``."""
     spark = df.sparkSession
     path = f"{run_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    scopes = SCOPES.get()[:-1] if out else SCOPES.get()
+    if scopes:
+        scopes[-1].append(path)
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Spark's setting by which a query's shuffle files go when it ends.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Paths of the tables that are saved in each open ``scratch``, the innermost last.
+SCOPES: ContextVar[tuple[list[str], ...]] = ContextVar("scopes", default=())
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables that are saved meanwhile go at its end, but those saved with ``out``, which go with the scratch around it."""
+    own: list[str] = []
+    token = SCOPES.set((*SCOPES.get(), own))
+    try:
+        yield
+    finally:
+        SCOPES.reset(token)
+        for path in own:
+            delete(spark, path)
+
+
 #: Saved tables of one driver stand in a folder of their own.
 RUN = f"lodestone-{uuid.uuid4().hex}"
 
@@ -44,7 +74,11 @@ def run_dir(spark: SparkSession) -> str:
 
 def release(spark: SparkSession) -> None:
     """Deletes the tables that this driver's operators have saved; results that were not written yet need them."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(run_dir(spark))
+    delete(spark, run_dir(spark))
+
+
+def delete(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 

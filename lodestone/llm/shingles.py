@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, half_space, met, partitions, saved, tile_pairs
+from .common import components, forest, half_space, met, partitions, saved, scratch, tile_pairs
 from .simhash import SEED, near_wide, wide
 
 SHINGLE = 5
@@ -24,6 +24,8 @@ MULTIPLIERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779
 WORDS, RADIUS = 8, 120
 #: Fingerprints in one piece of a tile, 512 kB, and shingles in one piece where sets are compared, about 2 MB.
 PIECE, HEAVY = 8192, 1 << 18
+#: Links of a pair of pieces that are held before they are made a forest.
+HELD = 1 << 20
 #: Characters that are cut into shingles at once.
 CHARS = 1_000_000
 
@@ -123,7 +125,6 @@ def candidates(docs: DataFrame, printed: DataFrame) -> DataFrame:
     A set that links with another does so, so that all others can be left out of the comparison.
     """
     nodes = printed.where("n > 0").groupBy("sid").agg(F.sum("n").alias("all"), F.min("doc_id").alias("doc_id"))
-    some = saved(nodes.join(common_counts(docs), "sid").where(DEN * F.col("c") >= NUM * F.col("all")).select("sid", "doc_id"), "some")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -131,10 +132,12 @@ def candidates(docs: DataFrame, printed: DataFrame) -> DataFrame:
                 if len(g := shingles(t.as_py())):
                     yield pa.RecordBatch.from_arrays([pa.array([set_id(g)], pa.int64()), pa.array([len(g)], pa.int32()), *[pa.array([x.view(np.int64)], pa.list_(pa.int64())) for x in (g, wide(g, WORDS))]], names=["sid", "n", "grams", "fp"])
 
-    wanted = some.select(F.col("doc_id").alias("__id")).distinct()
-    own = docs.select("doc_id", "text").join(wanted, F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi")
-    found = own.select("text").mapInArrow(sets, "sid long, n int, grams array<long>, fp array<long>").join(some.select("sid"), "sid", "left_semi")
-    return saved(found.dropDuplicates(["sid"]), "candidates")
+    with scratch(docs.sparkSession):
+        some = saved(nodes.join(common_counts(docs), "sid").where(DEN * F.col("c") >= NUM * F.col("all")).select("sid", "doc_id"), "some")
+        wanted = some.select(F.col("doc_id").alias("__id")).distinct()
+        own = docs.select("doc_id", "text").join(wanted, F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi")
+        found = own.select("text").mapInArrow(sets, "sid long, n int, grams array<long>, fp array<long>").join(some.select("sid"), "sid", "left_semi")
+        return saved(found.dropDuplicates(["sid"]), "candidates", out=True)
 
 
 def linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -145,19 +148,27 @@ def linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return saved(both.where((DEN + NUM) * shared >= NUM * (F.col("n_a") + F.col("n_b"))).select("a", "b"), "linked")
 
 
-def pieces_of(sets: DataFrame, payload: list[str], most: Column, name: str) -> DataFrame:
-    """Pairs of pieces of ``sets``, for ``met``, that hold sets of about the same size; ``most``: sets in a piece, by cell.
+def size_class() -> Column:
+    """A set's size as a cell: sets of one differ by a factor of 1.26 at most, so that only neighbouring cells have sets within
+    5 / 4 of another."""
+    return F.floor(F.log("n") / F.log(F.lit(1.26))).cast("int")
 
-    A cell's sets differ by a factor of 1.26 at most, so that only neighbouring cells have sets within 5 / 4 of another.
-    """
-    cell = F.floor(F.log("n") / F.log(F.lit(1.26))).cast("int")
-    cells = sets.select(*payload, F.array(cell).alias("cell"))
-    # a cell for each power of 1.26: under 200 of them, so their sizes may be broadcast
-    pieces = F.broadcast(cells.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / most).cast("int").alias("__n")))
+
+def pieces_of(sets: DataFrame, payload: list[str], pieces: Column, name: str) -> DataFrame:
+    """Pairs of pieces of ``sets`` (space, cell int, *payload), for ``met``, of one space and the same cell or neighbouring ones;
+    ``pieces``: how many a cell of a space is cut into. Spaces and cells are few: their numbers are broadcast."""
+    cells = sets.select("space", F.array("cell").alias("cell"), *payload)
+    counts = F.broadcast(cells.groupBy("space", "cell").agg(pieces.cast("int").alias("__n")))
     items = F.collect_list(F.struct(*payload)).alias("x")
-    tiles = cells.join(pieces, "cell").groupBy("cell", F.pmod(F.xxhash64("sid"), "__n").alias("piece")).agg(items)
+    tiles = cells.join(counts, ["space", "cell"]).groupBy("space", "cell", F.pmod(F.xxhash64("sid"), "__n").alias("piece")).agg(items)
     flat = [F.flatten(f"x.{c}").alias(c) if c in ("fp", "grams") else F.col(f"x.{c}").alias(c) for c in payload]
-    return tile_pairs(tiles.select(F.lit(0).alias("space"), "cell", "piece", *flat), half_space(1, 1, lambda o: True), payload, name)
+    return tile_pairs(tiles.select("space", "cell", "piece", *flat), half_space(1, 1, lambda o: True), payload, name)
+
+
+def near_pieces(sets: DataFrame, name: str) -> DataFrame:
+    """Pairs of pieces of ``sets`` (CLOSE) of about the same size: a cell for each power of 1.26, under 200 of them."""
+    laid = sets.select(F.lit(0).alias("space"), size_class().alias("cell"), *CLOSE)
+    return pieces_of(laid, CLOSE, F.ceil(F.count(F.lit(1)) / PIECE), name)
 
 
 def close(left: tuple, right: tuple) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -173,6 +184,8 @@ def arrays(row: tuple) -> tuple:
 
 
 CLOSE = ["sid", "n", "root", "fp"]
+#: The cell of buckets of families: no cell of a size is next to it.
+APART = -9
 
 
 def nearest(sets: DataFrame) -> DataFrame:
@@ -192,30 +205,44 @@ def nearest(sets: DataFrame) -> DataFrame:
             if best:
                 yield pa.RecordBatch.from_arrays([pa.array(list(best), pa.int64()), pa.array([y for _, y in best.values()], pa.int64()), pa.array([z for z, _ in best.values()], pa.int32())], names=["a", "b", "bits"])
 
-    found = pieces_of(sets, CLOSE, F.lit(PIECE), "near-tiles").mapInArrow(compare, "a long, b long, bits int")
-    one = found.groupBy("a").agg(F.min_by("b", F.struct("bits", "b")).alias("b"))
-    return saved(one.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "nearest")
+    with scratch(sets.sparkSession):
+        found = near_pieces(sets, "near-tiles").mapInArrow(compare, "a long, b long, bits int")
+        one = found.groupBy("a").agg(F.min_by("b", F.struct("bits", "b")).alias("b"))
+        return saved(one.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "nearest", out=True)
+
 
+def families(sets: DataFrame) -> DataFrame:
+    """(sid, family) of the sets that have another within the radius whose root is another: chains of such pairs are a family.
 
-def open_sets(sets: DataFrame) -> DataFrame:
-    """(sid) of the sets that have another within the radius whose root is another."""
+    Fingerprints alone are compared; a pair of pieces gives a forest of its links, an edge a set at most.
+    """
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for left, right, _ in met(batches, CLOSE):
             one, two = arrays(left), arrays(right)
-            hit, hit2 = np.zeros(len(one[0]), dtype=bool), np.zeros(len(two[0]), dtype=bool)
+            a, b = np.zeros(0, np.int64), np.zeros(0, np.int64)
+            more, n = [], 0
             for i, j, _ in close(one, two):
-                hit[i], hit2[j] = True, True
-            sid = np.unique(np.concatenate([one[0][hit], two[0][hit2]]))
-            if len(sid):
-                yield pa.RecordBatch.from_arrays([pa.array(sid)], names=["sid"])
+                more.append((one[0][i], two[0][j]))
+                n += len(i)
+                if n > HELD:
+                    a, b = forest(*(np.concatenate(x) for x in zip((a, b), *more, strict=True)))
+                    more, n = [], 0
+            if n:
+                a, b = forest(*(np.concatenate(x) for x in zip((a, b), *more, strict=True)))
+            if len(a):
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
-    return saved(pieces_of(sets, CLOSE, F.lit(PIECE), "open-tiles").mapInArrow(compare, "sid long").distinct(), "open")
+    with scratch(sets.sparkSession):
+        roots = components(near_pieces(sets, "open-tiles").mapInArrow(compare, "a long, b long"))
+        return saved(roots.select(F.col("node").alias("sid"), F.col("root").alias("family")), "families", out=True)
 
 
 def counted(sets: DataFrame) -> DataFrame:
-    """(a, b): pairs of ``sets`` (sid, n, root, fp, grams) that link their roots: shingles are counted piece by piece.
+    """(a, b): pairs of ``sets`` (family, sid, n, root, fp, grams) that link their roots: shingles are counted piece by piece.
 
+    Only sets of one family meet. Families are dealt to buckets of about HEAVY shingles, each a piece that meets itself, so that
+    shingles travel once; a family of more is one space of its own, in pieces by size.
     Pairs stay inside a task, and those whose roots it has joined already are not counted, so that a group gives few rows.
     """
     payload = [*CLOSE, "grams"]
@@ -247,26 +274,34 @@ def counted(sets: DataFrame) -> DataFrame:
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([y for _, y in found], pa.int64())], names=["a", "b"])
 
-    most = F.greatest(F.lit(1.0), HEAVY / F.pow(F.lit(1.26), F.element_at("cell", 1) + 1))
-    return saved(pieces_of(sets, payload, most, "set-tiles").mapInArrow(compare, "a long, b long"), "counted")
+    weights = sets.groupBy("family").agg(F.sum("n").alias("all"))
+    with scratch(sets.sparkSession):
+        weights = saved(weights, "weights")
+        buckets = max(1, -(-(weights.agg(F.sum("all")).first()[0] or 0) // HEAVY))
+        large = F.broadcast(weights.where(F.col("all") > HEAVY).select("family", F.lit(True).alias("large")))  # one in HEAVY shingles
+        laid = sets.join(large, "family", "left")
+        space = F.when(F.col("large"), F.col("family")).otherwise(F.pmod(F.xxhash64("family"), F.lit(buckets)))
+        cell = F.when(F.col("large"), size_class()).otherwise(F.lit(APART))
+        laid = laid.select(space.alias("space"), cell.alias("cell"), *payload)
+        pairs = pieces_of(laid, payload, F.ceil(F.sum("n") / (2 * HEAVY)), "set-tiles").mapInArrow(compare, "a long, b long")
+        return saved(pairs, "counted", out=True)
 
 
 def links(sets: DataFrame) -> DataFrame:
     """Edges (a, b) that connect all sets (sid, n, grams, fp) which chains of pairs with a similarity of 4 / 5 connect.
 
     First each set is counted against its nearest one, which joins most of a large group without its pairs. Sets that
-    still have one within the radius that is not connected to them then meet with their shingles.
+    still have one within the radius that is not connected to them then meet with their shingles, by families of such sets.
     """
 
-    def rooted(edges: DataFrame, *more: str) -> DataFrame:
+    def rooted(edges: DataFrame) -> DataFrame:
         roots = components(edges)
-        return sets.join(roots, sets["sid"] == roots["node"], "left").select("sid", "n", "fp", F.coalesce("root", "sid").alias("root"), *more)
+        return saved(sets.join(roots, sets["sid"] == roots["node"], "left").select("sid", "n", "fp", F.coalesce("root", "sid").alias("root")), "placed")
 
     first = linked(nearest(sets.select("sid", "n", "fp", F.col("sid").alias("root"))), sets)
-    placed = saved(rooted(first), "placed")
-    second = first.unionByName(linked(nearest(placed), sets))
-    placed = saved(rooted(second, "grams"), "placed")
-    rest = placed.join(open_sets(placed.drop("grams")), "sid", "left_semi")
+    second = first.unionByName(linked(nearest(rooted(first)), sets))
+    placed = rooted(second)
+    rest = placed.join(families(placed), "sid").join(sets.select("sid", "grams"), "sid")
     return second.unionByName(counted(rest))
 
 
@@ -278,8 +313,9 @@ def keep_one(docs: DataFrame) -> DataFrame:
     texts are one group. A document with a null doc_id is kept only where no other of its group has an id; repeated
     rows of the kept id stay repeated.
     """
-    printed = saved(prints(docs), "prints")
-    roots = components(links(candidates(docs, printed)))
-    group = printed.join(roots, printed["sid"] == roots["node"], "left").select("doc_id", F.coalesce("root", "sid").alias("root"))
-    kept = group.groupBy("root").agg(F.min("doc_id").alias("__keep")).select("__keep").distinct()
+    with scratch(docs.sparkSession):
+        printed = saved(prints(docs), "prints")
+        roots = components(links(candidates(docs, printed)))
+        group = printed.join(roots, printed["sid"] == roots["node"], "left").select("doc_id", F.coalesce("root", "sid").alias("root"))
+        kept = saved(group.groupBy("root").agg(F.min("doc_id").alias("__keep")).select("__keep").distinct(), "kept", out=True)
     return docs.join(kept, docs["doc_id"].eqNullSafe(kept["__keep"]), "left_semi").select(*docs.columns)

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, partitions
+from .common import WORD, partitions, saved
 
 #: Words that a paragraph of units has at least, so that a passage of over 50 words has one wherever it stands.
 MIN_WORDS = 25
@@ -236,7 +236,8 @@ def drop_repeats(docs: DataFrame, min_words: int = MIN_WORDS, lines: bool = Fals
     rank = F.col("doc_id").cast("long") if dict(docs.dtypes)["doc_id"] in ("tinyint", "smallint", "int", "bigint") else F.xxhash64("doc_id")
     void = F.col("doc_id").isNull()
     ranked = docs.select(key.alias("__rid"), F.coalesce(rank, F.lit(0)).alias("__key"), void.alias("__void"), "text")
-    spans = repeated_spans(ranked, min_words, lines)
+    # saved: the digests that were shuffled are gone before the texts are
+    spans = saved(repeated_spans(ranked, min_words, lines), "spans")
     met = docs.select(*keep, key.alias("__rid")).join(spans, "__rid", "left")
     nth = F.row_number().over(Window.partitionBy("__rid").orderBy("__rid"))
     again = (nth > 1) & (F.regexp_count("text", F.lit(WORD)) >= (1 if lines else min_words))

@@ -1,8 +1,11 @@
 """The pipeline end to end on a small table."""
 
+import os
 import random
+import time
 
 import corpus_pipeline
+from lodestone.llm import common, shingles
 
 
 def test_stages_apply_in_order(spark, tmp_path):
@@ -91,3 +94,52 @@ def test_a_family_under_the_similarity_stays_and_one_over_it_goes(spark):
     near = [(100 + i, edited(2), "en", "s", 1) for i in range(60)]
     kept = corpus_pipeline.near_copies(spark, spark.createDataFrame(far + near, COLUMNS).repartition(3), "").collect()
     assert 100 in {r["doc_id"] for r in kept} and sum(r["doc_id"] >= 100 for r in kept) == 1 and len(kept) == 61
+
+
+def test_shingles_of_open_sets_travel_once(spark, monkeypatch):
+    """40 families of three under the similarity but within the radius: their pieces meet themselves, not those of all others."""
+    rng = random.Random(4)
+    texts = []
+    for f in range(40):
+        for _ in range(3):
+            words = [f"f{f}w{i}" for i in range(200)]
+            for i in rng.sample(range(3, 198, 6), 4):
+                words[i] = f"e{rng.randrange(10**9)}"
+            texts.append(" ".join(words))
+    rows, tile_pairs = {}, shingles.tile_pairs
+
+    def counting(tiles, offsets, payload, name):
+        out = tile_pairs(tiles, offsets, payload, name)
+        rows[name] = (tiles.count(), out.count())
+        return out
+
+    monkeypatch.setattr(shingles, "tile_pairs", counting)
+    monkeypatch.setattr(shingles, "HEAVY", 1 << 11)
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in enumerate(texts)], COLUMNS).repartition(3)
+    assert corpus_pipeline.near_copies(spark, docs, "").count() == 120
+    tiles, sent = rows["set-tiles"]
+    assert tiles > 5 and sent <= 2 * tiles
+
+
+def test_families_of_any_size_are_compared_whole(spark, monkeypatch):
+    monkeypatch.setattr(shingles, "HEAVY", 1000)
+    test_a_family_under_the_similarity_stays_and_one_over_it_goes(spark)
+    test_near_copies_go_from_similarity_four_fifths(spark)
+
+
+def test_stages_leave_neither_shuffled_data_nor_their_own_tables(spark):
+    docs = odd_docs(spark)
+    base = common.run_dir(spark).removeprefix("file:")
+    before = set(os.listdir(base)) if os.path.isdir(base) else set()
+    corpus_pipeline.near_copies(spark, docs, "").count()
+    assert [x.rpartition("-")[0] for x in set(os.listdir(base)) - before] == ["kept"]
+    disk = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    shuffled = lambda: set(disk.getAllFiles().mkString(" ").split()) - old
+    old = set()
+    old = shuffled()
+    common.saved(docs.groupBy("doc_id").count(), "counts")
+    for _ in range(100):
+        if not any("/shuffle_" in f for f in shuffled()):
+            break
+        time.sleep(0.1)
+    assert not any("/shuffle_" in f for f in shuffled())
