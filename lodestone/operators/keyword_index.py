@@ -29,7 +29,9 @@ SPLIT, SPLIT_BLOCKS = 4, 256
 #: Bytes of text that a block has on average at the most (a longer document may be a block of its own), and blocks to a task.
 BYTES, TASK = 1 << 23, 4
 #: Of more than LITERAL terms: questions that meet so many blocks in a task, and cells (questions by documents) at a time.
-CHUNK, PIECE, CELLS = 1 << 16, 32, 1 << 21
+CHUNK, PIECE, CELLS = 1 << 16, 32, 1 << 19
+#: Documents of a block that have a bound of their own.
+SUB = 32
 
 
 @dataclass(frozen=True)
@@ -307,7 +309,8 @@ class Asked:
         if barred is not None:
             lists = barred.groupBy("segment", "block").agg(F.collect_list("key").alias("list"))
             rows = rows.unionByName(lists.select(every(chunks).alias("chunk"), dealt(pieces, "segment", "block").alias("piece"), F.lit(1).alias("side"), "segment", "block", F.lit(0).cast("long").alias("id"), "list", none("array<double>").alias("idfs"), none("binary").alias("keys"), none("binary").alias("tfs")))
-        group = rows.repartition(chunks * pieces, "chunk", "piece").sortWithinPartitions("chunk", "piece", F.col("side") > 0, F.desc("block"), "segment", "side", "id")
+        place = F.col("chunk") * pieces + F.col("piece")  # one to a task: by a hash some tasks would have several, and others none
+        group = rows.repartitionById(chunks * pieces, place).sortWithinPartitions("chunk", "piece", F.col("side") > 0, F.desc("block"), "segment", "side", "id")
         found = ranked(group.mapInArrow(lambda bs: swept(bs, k), "query_id long, key long, score double"), k)
         return found.withColumnRenamed("query_id", "asked").join(asks.select("query_id", "asked"), "asked").select("query_id", "key", "score", "rank")
 
@@ -357,61 +360,92 @@ def flat(part: pa.Table, column: str) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Best:
-    """The best documents so far of questions (id, list: terms, idfs)."""
+    """The best documents so far of questions (id, list: terms, idfs): a row of ``k`` scores and keys each, 0 where there are fewer."""
 
     def __init__(self, part: pa.Table, k: int):
         self.ids = part["id"].to_numpy()
         self.term, n = flat(part, "list")
         self.idf, self.owner = flat(part, "idfs")[0], np.repeat(np.arange(len(n)), n)
-        self.k, self.last = k, np.zeros(len(n))  # the k-th score
-        self.question, self.score, self.key = np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64)
+        self.k, self.score, self.key = k, np.zeros((len(n), k)), np.zeros((len(n), k), np.int64)
 
     def block(self, part: pa.Table, barred: np.ndarray | None) -> None:
-        """Scores a block (id: term, keys, tfs) for those questions that it may hold a document for."""
-        terms = part["id"].to_numpy()
+        """Scores a block (id: term, keys, tfs) for those questions that it may hold a document for.
+
+        It is cut into SUB documents each, whose largest frequencies bound their scores in turn. A term is a row of all the
+        block's documents, by number of the frequency: a question's scores are a sum of rows, where its bounds ask for them.
+        """
+        terms, last = part["id"].to_numpy(), self.score[:, -1]
         (key, n), (tf, _) = (numbers(pa.concat_arrays(part[c].chunks), kind) for c, kind in (("keys", np.int64), ("tfs", np.int32)))
-        value, start = 1 + np.log(tf), np.cumsum(n) - n
-        most = np.maximum.reduceat(value, start)
+        start, most = np.cumsum(n) - n, 1 + np.log(np.maximum.reduceat(tf, np.cumsum(n) - n))
         at = np.minimum(np.searchsorted(terms, self.term), len(terms) - 1)
         there = terms[at] == self.term
         bound = np.bincount(self.owner[there], self.idf[there] * most[at[there]], len(self.ids))
-        pair = np.nonzero(there & (bound >= self.last - SLACK)[self.owner])[0]
+        pair = np.nonzero(there & (bound >= last - SLACK)[self.owner])[0]
         if not len(pair):
             return
         docs, doc = np.unique(key, return_inverse=True)
-        counts = np.ones(len(docs), bool) if barred is None else ~np.isin(docs, barred)
+        subs = -(-len(docs) // SUB)
+        used, own = np.unique(at[pair], return_inverse=True)
+        size = n[used]
+        entry, term = spans(start[used], size), np.repeat(np.arange(len(used)), size)
+        kinds, code = np.unique(tf[entry], return_inverse=True)
+        value = np.concatenate([[0.0], 1 + np.log(kinds)])
+        rows = np.zeros((len(used) + 1, subs * SUB), np.min_scalar_type(len(kinds)))  # the last: no term
+        rows[term, doc[entry]] = code + 1
+        rows = rows.reshape(-1, subs, SUB)
+        tops = value[rows.max(axis=2)]  # frequencies are numbered in order
+        counts = None
+        if barred is not None:
+            counts = np.zeros(subs * SUB, bool)
+            counts[: len(docs)] = ~np.isin(docs, barred)
+            counts = counts.reshape(subs, SUB)
         live, row = np.unique(self.owner[pair], return_inverse=True)
-        step = max(1, CELLS // len(docs))
+        nth = np.arange(len(row)) - np.searchsorted(row, row)  # a question's first term, its second one, ...
+        step = max(1, CELLS // max(SUB, subs, nth.max() + 1))
         cuts = np.searchsorted(row, np.arange(0, len(live) + step, step))
         for i, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)):
-            own = at[pair[a:b]]
-            size, ends = n[own], np.cumsum(n[own])
-            entry = np.repeat(start[own] - (ends - size), size) + np.arange(ends[-1])
             who = live[i * step : (i + 1) * step]
-            cell = np.repeat((row[a:b] - i * step) * len(docs), size) + doc[entry]
-            score = np.bincount(cell, np.repeat(self.idf[pair[a:b]], size) * value[entry], len(who) * len(docs)).reshape(len(who), len(docs))
-            score[:, ~counts] = 0
-            least = self.last[who]
-            if len(docs) > self.k:
-                fresh = np.nonzero(least == 0)[0]
-                least[fresh] = np.partition(score[fresh], len(docs) - self.k, axis=1)[:, len(docs) - self.k]
-            q, d = np.nonzero((score > 0) & (score >= least[:, None] - SLACK))
-            self.merge(who[q], np.round(score[q, d], 6), docs[d])
+            many = nth[a:b].max(initial=-1) + 1
+            slot, idf = np.full((many, len(who)), len(used)), np.zeros((many, len(who)))
+            slot[nth[a:b], row[a:b] - i * step], idf[nth[a:b], row[a:b] - i * step] = own[a:b], self.idf[pair[a:b]]
+            bound = np.zeros((subs, len(who)))
+            for j in range(many):
+                bound += tops.T[:, slot[j]] * idf[j]
+            for sub in range(subs):
+                least = np.maximum(self.score[who, -1] - SLACK, SLACK)  # no score of a document with a term is so small
+                q = np.nonzero(bound[sub] >= least)[0]
+                if not len(q):
+                    continue
+                score, some = np.zeros((len(q), SUB)), rows[:, sub]
+                for j in range(many):
+                    score += value[some[slot[j, q]]] * idf[j, q, None]
+                if counts is not None:
+                    score *= counts[sub]
+                x, d = np.nonzero(score >= least[q, None])
+                if len(x):
+                    self.merge(who[q[x]], np.round(score[x, d], 6), docs[sub * SUB + d])
 
     def merge(self, question: np.ndarray, score: np.ndarray, key: np.ndarray) -> None:
-        question, score, key = np.concatenate([self.question, question]), np.concatenate([self.score, score]), np.concatenate([self.key, key])
-        order = np.lexsort((key, -score, question))
-        question, score, key = question[order], score[order], key[order]
-        rank = np.arange(len(question)) - np.searchsorted(question, question)
-        full = rank == self.k - 1
-        self.last[question[full]] = score[full]
-        on = rank < self.k
-        self.question, self.score, self.key = question[on], score[on], key[on]
+        """Only rows of the questions that have something new are put in order again."""
+        who, row = np.unique(question, return_inverse=True)
+        row = np.concatenate([np.repeat(np.arange(len(who)), self.k), row])
+        score, key = np.concatenate([self.score[who].ravel(), score]), np.concatenate([self.key[who].ravel(), key])
+        order = np.lexsort((key, -score, row))
+        row = row[order]
+        on = order[np.arange(len(row)) - np.searchsorted(row, row) < self.k]
+        self.score[who], self.key[who] = score[on].reshape(-1, self.k), key[on].reshape(-1, self.k)
 
     def rows(self) -> Iterator[pa.RecordBatch]:
-        for i in range(0, len(self.key), 100_000):
-            s = slice(i, i + 100_000)
-            yield pa.RecordBatch.from_arrays([pa.array(self.ids[self.question[s]]), pa.array(self.key[s]), pa.array(self.score[s])], names=["query_id", "key", "score"])
+        question, place = np.nonzero(self.score > 0)
+        for i in range(0, len(question), 100_000):
+            q, p = question[i : i + 100_000], place[i : i + 100_000]
+            yield pa.RecordBatch.from_arrays([pa.array(self.ids[q]), pa.array(self.key[q, p]), pa.array(self.score[q, p])], names=["query_id", "key", "score"])
+
+
+def spans(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The places start, start + 1, ... of each of ``size``, one after the other."""
+    ends = np.cumsum(size)
+    return np.repeat(start - (ends - size), size) + np.arange(ends[-1] if len(ends) else 0)
 
 
 def ranked(scored: DataFrame, k: int) -> DataFrame:

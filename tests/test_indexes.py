@@ -259,3 +259,52 @@ def test_cells_are_probed_in_parts(spark, vectors, tmp_path, monkeypatch):
     for r in vector_index.search(index, asked, 10, exact=True).orderBy("rank").collect():
         got.setdefault(r["query_id"], []).append(r["key"])
     assert got == nearest(vectors, 10)
+
+
+def asks_and_block(rng, questions, docs, terms):
+    """Questions (as Best takes them), and a block of documents: its table, and tf by term and key."""
+    ask = [sorted(rng.sample(range(terms + 3), rng.randint(1, 6))) for _ in range(questions)]
+    idf = {t: 1 + (t * 7 % 11) / 10 for t in range(terms + 3)}
+    part = pa.table({"id": list(range(questions)), "list": pa.array(ask, pa.list_(pa.int64())), "idfs": pa.array([[idf[t] for t in a] for a in ask], pa.list_(pa.float64()))})
+    held = {t: {k: rng.randint(1, 9) for k in rng.sample(docs, rng.randint(1, len(docs)))} for t in range(0, terms, 2)}
+    packed = lambda t, kind, of: np.array(of(held[t]), kind).tobytes()
+    block = pa.table({"id": list(held), "keys": [packed(t, np.int64, sorted) for t in held], "tfs": [packed(t, np.int32, lambda h: [h[k] for k in sorted(h)]) for t in held]})
+    return ask, idf, part, held, block
+
+
+@pytest.mark.parametrize(("sub", "cells"), [(32, 1 << 19), (4, 64), (1, 8)])
+def test_blocks_are_scored_as_by_hand(monkeypatch, sub, cells):
+    monkeypatch.setattr(keyword_index, "SUB", sub)
+    monkeypatch.setattr(keyword_index, "CELLS", cells)
+    rng = random.Random(sub)
+    ask, idf, part, held, block = asks_and_block(rng, 50, list(range(100, 190)), 20)
+    best = keyword_index.Best(part, 5)
+    best.block(block, np.array([101, 150, 999]))
+    more = {t: {k + 1000: 10 - n for k, n in h.items()} for t, h in held.items()}
+    best.block(pa.table({"id": list(more), "keys": [np.array(sorted(h), np.int64).tobytes() for h in more.values()], "tfs": [np.array([h[k] for k in sorted(h)], np.int32).tobytes() for h in more.values()]}), None)
+    got = sorted((q, -s, k) for rows in best.rows() for q, k, s in zip(*(c.to_pylist() for c in rows.columns), strict=True))
+    want = []
+    for q, terms in enumerate(ask):
+        score = {}
+        for t in terms:
+            for k, n in (held.get(t, {}) | more.get(t, {})).items():
+                if k not in (101, 150):
+                    score[k] = score.get(k, 0) + (1 + math.log(n)) * idf[t]
+        want += sorted((q, -round(s, 6), k) for k, s in score.items())[:5]
+    assert [(q, k) for q, _, k in got] == [(q, k) for q, _, k in want]
+    assert np.allclose([s for _, s, _ in got], [s for _, s, _ in want], atol=2e-6)
+
+
+def test_what_a_block_adds_costs_its_own_questions_alone(monkeypatch):
+    """One question's better document doesn't put the rows of all others in order again."""
+    many = 2000
+    part = pa.table({"id": list(range(many)), "list": pa.array([[i] for i in range(many)], pa.list_(pa.int64())), "idfs": pa.array([[1.0]] * many, pa.list_(pa.float64()))})
+    best = keyword_index.Best(part, 10)
+    entry = lambda ids, key, tf: pa.table({"id": ids, "keys": [np.array([key + i for i in range(10)], np.int64).tobytes()] * len(ids), "tfs": [np.full(10, tf, np.int32).tobytes()] * len(ids)})
+    best.block(entry(list(range(many)), 0, 5), None)
+    sorted_rows, lexsort = [], np.lexsort
+    monkeypatch.setattr(np, "lexsort", lambda keys, *a, **b: sorted_rows.append(len(keys[0])) or lexsort(keys, *a, **b))
+    best.block(entry([7], 500, 9), None)
+    assert sum(sorted_rows) <= 20
+    found = {(q, k) for rows in best.rows() for q, k in zip(rows["query_id"].to_pylist(), rows["key"].to_pylist(), strict=True)}
+    assert {k for q, k in found if q == 7} == set(range(500, 510)) and len(found) == 10 * many
